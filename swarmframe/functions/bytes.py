@@ -6,9 +6,13 @@ power of two is exact, so the result is bit-for-bit the stored value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swarmframe.plans.once import computed_once
+
 _MANTISSA = 1 << 52
 
 
@@ -68,29 +72,41 @@ def u32_bytes(x: Column | str) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in (3, 2, 1, 0)]))
 
 
-def f64_to_bits(x: Column | str) -> Column:
-    """IEEE 754 bits of a double as a bigint. Pass a plain column: it is used several times."""
-    x = _col(x).cast("double")
-    size = F.abs(x)
-    finite = (size > 0) & (size < float("inf"))
-    guess = F.floor(F.log2(F.when(finite, size).otherwise(F.lit(1.0)))).cast("double")
-    guess = F.greatest(guess, F.lit(-1022.0))
-    # log2 may be off by one next to a power of two
-    power = guess + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1.0).when(
-        (size < F.pow(F.lit(2.0), guess)) & (guess > -1022), -1.0).otherwise(0.0)
-    normal = size >= F.pow(F.lit(2.0), F.lit(-1022.0))
-    scaled = size * F.pow(F.lit(2.0), -power)
-    fraction = F.when(normal, (scaled - 1.0) * float(_MANTISSA)).otherwise(size * (2.0 ** 537) * (2.0 ** 537))
-    exponent = F.when(normal, power + 1023.0).otherwise(0.0)
-    negative = (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))
-    body = F.when(F.isnan(x), F.lit(0x7FF8000000000000).cast("bigint")).when(
-        size == float("inf"), F.lit(0x7FF0000000000000).cast("bigint")).otherwise(
-        F.shiftleft(F.when(finite, exponent).otherwise(0.0).cast("bigint"), 52)
-        .bitwiseOR(F.when(finite, fraction).otherwise(0.0).cast("bigint")))
-    return F.when(negative & ~F.isnan(x), body.bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))).otherwise(body)
-
-
-def f64_bytes(x: Column | str) -> Column:
-    """Double to 8 little-endian bytes."""
-    digits = F.lpad(F.hex(f64_to_bits(x)), 16, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+def with_f64_bytes(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add ``columns[source] -> name``: doubles as 8 little-endian bytes.
+
+    One projection per step (exponent by logarithm, its correction, the bits), so that each step is computed once.
+    """
+    names = list(enumerate(columns.items()))
+    tiny = F.pow(F.lit(2.0), F.lit(-1022.0))
+
+    def finite(x: Column) -> Column:
+        return (x != 0) & (F.abs(x) < float("inf"))
+
+    def guess(x: Column) -> Column:
+        size = F.when(finite(x), F.abs(x)).otherwise(F.lit(1.0))
+        return F.greatest(F.floor(F.log2(size)).cast("double"), F.lit(-1022.0))
+
+    def corrected(x: Column, power: Column) -> Column:
+        # log2 may be off by one next to a power of two
+        return (power + F.when(F.abs(x) >= F.pow(F.lit(2.0), power + 1), F.lit(1.0)).when(
+            (F.abs(x) < F.pow(F.lit(2.0), power)) & (power > -1022), F.lit(-1.0)).otherwise(F.lit(0.0)))
+
+    def bits(x: Column, power: Column) -> Column:
+        size = F.abs(x)
+        normal = (F.pow(F.lit(2.0), F.lit(52.0)) * (size * F.pow(F.lit(2.0), -power) - 1.0)).cast("bigint").bitwiseOR(
+            F.shiftleft((power + 1023.0).cast("bigint"), 52))
+        body = (F.when(F.isnan(x), F.lit(0x7FF8000000000000).cast("bigint"))
+                .when(size == float("inf"), F.lit(0x7FF0000000000000).cast("bigint"))
+                .when(size >= tiny, normal).otherwise((size * 2.0 ** 537 * 2.0 ** 537).cast("bigint")))
+        sign = F.when(~F.isnan(x) & F.startswith(x.cast("string"), F.lit("-")), F.lit(-(1 << 63)).cast("bigint"))
+        return F.when(x.isNotNull(), body.bitwiseOR(F.coalesce(sign, F.lit(0).cast("bigint"))))
+
+    def swapped(digits: Column) -> Column:
+        return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)]))
+
+    step = df.select("*", *[guess(F.col(c)).alias(f"_e{i}") for i, (c, _) in names])
+    step = step.select(*df.columns, *[corrected(F.col(c), F.col(f"_e{i}")).alias(f"_e{i}") for i, (c, _) in names])
+    step = step.select(*df.columns, *[F.lpad(F.hex(bits(F.col(c), F.col(f"_e{i}"))), 16, "0").alias(f"_h{i}")
+                                      for i, (c, _) in names])
+    return computed_once(step, df.columns, [swapped(F.col(f"_h{i}")).alias(name) for i, (_, name) in names])

@@ -65,37 +65,43 @@ def is_number_list(text: Column | str) -> Column:
     return _col(text).rlike(f"^{SPACE}*(?:{NUMBER}(?:{SPACE}+{NUMBER})*{SPACE}*)?$")
 
 
-def _number(token: Column) -> Column:
-    plain = F.replace(token, F.lit("_"), F.lit(""))
-    return F.when(plain.rlike("(?i)^[+-]?nan$"), F.lit(float("nan"))).otherwise(plain.try_cast("double"))
-
-
-def _tokens(text: Column) -> Column:
-    return F.split(strip_text(text), f"{SPACE}+")
+def number_tokens(text: Column | str) -> Column:
+    """The white-space separated tokens of a text, spelled so that a cast reads them."""
+    plain = F.regexp_replace(F.translate(strip_text(text), "_", ""), "(?i)[+-](?=nan)", "")
+    return F.split(plain, f"{SPACE}+")
 
 
 def is_camera_matrix(text: Column | str) -> Column:
     """True where the text is exactly nine numbers."""
-    text = _col(text)
-    return is_number_list(text) & (F.size(_tokens(text)) == 9)
+    return is_number_list(text) & (F.size(number_tokens(text)) == 9)
+
+
+def _float(tokens: Column, i: int) -> Column:
+    return F.get(tokens, F.lit(i)).try_cast("double").cast("float")
+
+
+def matrix_of(tokens: Column | str) -> Column:
+    """3x3 matrix of nine tokens."""
+    tokens = _col(tokens)
+    return F.array(*[F.array(*[_float(tokens, 3 * i + j) for j in range(3)]) for i in range(3)])
+
+
+def five_of(tokens: Column | str) -> Column:
+    """First five tokens as numbers, padded with zeros."""
+    tokens = _col(tokens)
+    return F.array(*[F.coalesce(_float(tokens, i), F.lit(0.0).cast("float")) for i in range(5)])
 
 
 def parse_camera_matrix(text: Column | str) -> Column:
     """Nine numbers -> 3x3 matrix; null for null, empty or unusable text (see ``is_camera_matrix``)."""
-    text = _col(text)
-    parts = _tokens(text)
-    rows = [F.array(*[_number(F.get(parts, F.lit(3 * i + j))).cast("float") for j in range(3)]) for i in range(3)]
-    return F.when(is_camera_matrix(text), F.array(*rows))
+    return F.when(is_camera_matrix(text), matrix_of(number_tokens(text)))
 
 
 def parse_distortion(text: Column | str) -> Column:
     """First five numbers, padded with zeros; all zeros for null or empty text; null where a token is no number."""
     text = _col(text)
-    parts = _tokens(text)
-    blank = text.isNull() | (F.length(strip_text(text)) == 0)
-    values = [F.coalesce(_number(F.get(parts, F.lit(i))), F.lit(0.0)).cast("float") for i in range(5)]
     zeros = F.array(*[F.lit(0.0).cast("float")] * 5)
-    return F.when(blank, zeros).when(is_number_list(text), F.array(*values))
+    return F.when(text.isNull(), zeros).when(is_number_list(text), five_of(number_tokens(text)))
 
 
 def intrinsics(k: Column | str) -> Column:

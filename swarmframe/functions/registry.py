@@ -26,7 +26,16 @@ DEFINITIONS = {
     "grid_col": ("drone INT", "INT", "pmod(drone - 1, 4)"),
     "detection_status": ("n BIGINT", "STRING", "if(n > 0, concat(n, ' TARGETS'), 'NO TARGETS')"),
     "active_label": ("active BOOLEAN", "STRING", "if(active, 'ACTIVE', 'INACTIVE')"),
-    "detection_label": ("conf DOUBLE", "STRING", "concat('person ', if(conf < 0, '-', ''), format_string('%.2f', bround(abs(conf), 2)))"),
+    "hundredths": (
+        "x DOUBLE", "BIGINT",
+        "floor(x * 100D) + if(x * 200D > 2 * floor(x * 100D) + 1 OR (x * 200D = 2 * floor(x * 100D) + 1 AND ("
+        "(x * 134217729D - (x * 134217729D - x)) * 200D - x * 200D "
+        "+ (x - (x * 134217729D - (x * 134217729D - x))) * 200D > 0D OR "
+        "((x * 134217729D - (x * 134217729D - x)) * 200D - x * 200D "
+        "+ (x - (x * 134217729D - (x * 134217729D - x))) * 200D = 0D AND pmod(floor(x * 100D), 2) = 1))), 1, 0)"),
+    "detection_label": (
+        "conf DOUBLE", "STRING",
+        "concat('person ', hundredths(conf) DIV 100, '.', lpad(string(pmod(hundredths(conf), 100)), 2, '0'))"),
     "box_iou": (
         "ax1 DOUBLE, ay1 DOUBLE, ax2 DOUBLE, ay2 DOUBLE, bx1 DOUBLE, by1 DOUBLE, bx2 DOUBLE, by2 DOUBLE", "DOUBLE",
         "coalesce(try_divide("

@@ -11,6 +11,7 @@ from swarmframe.functions.bytes import bits_to_f64, f64_bits
 from swarmframe.functions.geometry import (intrinsics, parse_camera_matrix, parse_distortion, position, rodrigues,
                                            to_float32)
 from swarmframe.operators.packets import outgoing_error
+from swarmframe.plans.once import computed_once
 
 KEYS = ["drone_id", "frame_num"]
 
@@ -36,12 +37,12 @@ def load_calibration(intr: DataFrame, extr: DataFrame, keys: Sequence[str] = KEY
     """
     keys = list(keys)
     inner = (intr.filter(F.col("error_kind").isNull())
-             .select(*keys, parse_camera_matrix("k_text").alias("K"), parse_distortion("dist_text").alias("dist"))
-             .filter(F.col("K").isNotNull()))
+             .select(*keys, parse_camera_matrix("k_text").alias("K"), parse_distortion("dist_text").alias("dist")))
     outer = decode_vectors(extr.filter(F.col("error_kind").isNull()).select(*keys, "rvec", "tvec"),
                            ["rvec", "tvec"])
     outer = outer.select(*keys, rodrigues("rvec").alias("R"), to_float32("tvec").alias("t"))
-    return valid_calibration(inner.join(outer, keys)).select(*keys, "K", "R", "t", "dist")
+    return valid_calibration(computed_once(inner, keys, ["K", "dist"])
+                             .join(computed_once(outer, keys, ["R", "t"]), keys)).select(*keys, "K", "R", "t", "dist")
 
 
 def compare_calibration(calib: DataFrame, frame: int, drones: Sequence[int]) -> DataFrame:

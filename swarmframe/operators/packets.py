@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarmframe.functions.bytes import bits_to_f64, f64_bits, f64_bytes, slice_bytes, u8, u32_bytes, u32_le
-from swarmframe.functions.geometry import (is_camera_matrix, is_number_list, parse_camera_matrix, parse_distortion,
+from swarmframe.functions.bytes import bits_to_f64, f64_bits, slice_bytes, u8, u32_bytes, u32_le, with_f64_bytes
+from swarmframe.functions.geometry import (five_of, is_camera_matrix, is_number_list, matrix_of, number_tokens,
                                            rodrigues, to_float32)
 from swarmframe.functions.packet import (EXTRINSIC_SIZE, FRAME_OFFSET, HEADER_SIZE, JPEG_SIZE_OFFSET, MIN_SIZE,
                                          TEXT_SIZES, TIME_OFFSET, VECTOR_SIZE, valid_text)
+from swarmframe.plans.once import computed_once
 
 # First and last bytes of a JPEG image.
 SOI = b"\xff\xd8"
@@ -39,16 +40,16 @@ def pack_packets(df: DataFrame, n_drones: int = 8, max_frame: int = 999) -> Data
     """
     used = ["drone_id", "frame_num", "ts", "jpeg", "rvec", "tvec", "k_text", "dist_text"]
     kept = [c for c in df.columns if c not in used]
-    checked = (validate_outgoing(df, n_drones, max_frame)
+    checked = (with_f64_bytes(validate_outgoing(df, n_drones, max_frame), {"ts": "_ts_bytes"})
                .withColumn("_k", F.coalesce(F.encode("k_text", "UTF-8"), F.lit(b"")))
                .withColumn("_dist", F.coalesce(F.encode("dist_text", "UTF-8"), F.lit(b""))))
     pad = F.lit(b"\x00" * 3)
     header = F.concat(F.unhex(F.lpad(F.hex(F.col("drone_id").cast("bigint")), 2, "0")), pad,
-                      u32_bytes("frame_num"), u32_bytes(F.length("jpeg")), F.lit(b"\x00" * 4), f64_bytes("ts"))
+                      u32_bytes("frame_num"), u32_bytes(F.length("jpeg")), F.lit(b"\x00" * 4), "_ts_bytes")
     packet = F.concat(header, "jpeg", "rvec", "tvec", u32_bytes(F.length("_k")), u32_bytes(F.length("_dist")),
                       "_k", "_dist")
-    return checked.select(*kept, "drone_id", "frame_num",
-                          F.when(F.col("error_kind").isNull(), packet).alias("packet"), "error_kind")
+    packed = checked.withColumn("packet", F.when(F.col("error_kind").isNull(), packet))
+    return computed_once(packed, [*kept, "drone_id", "frame_num"], ["packet", "error_kind"])
 
 
 def _located(df: DataFrame, packet: str) -> DataFrame:
@@ -104,22 +105,25 @@ def validate_packets(df: DataFrame, n_drones: int = 8, max_frame: int = 999, pac
             .when(F.col("_k").isNotNull() & ~F.coalesce(is_camera_matrix("k_text"), F.lit(False)), "bad_k_text")
             .when(F.col("_dist").isNotNull() & ~F.coalesce(is_number_list("dist_text"), F.lit(False)),
                   "bad_dist_text"))
-    return texts.select(*kept, "drone_id", "frame_num", "jpeg_size", "ts", "rvec", "tvec", "k_text", "dist_text",
-                        kind.alias("error_kind"))
+    return computed_once(texts.withColumn("error_kind", kind), kept,
+                         ["drone_id", "frame_num", "jpeg_size", "ts", "rvec", "tvec", "k_text", "dist_text",
+                          "error_kind"])
 
 
 def decode_sections(valid: DataFrame) -> DataFrame:
     """Replace the raw sections of good packets by K, R, t, dist and ``sent_at``."""
     raw = ["rvec", "tvec", "k_text", "dist_text"]
     kept = [c for c in valid.columns if c not in raw + ["error_kind"]]
-    bits = valid.select("*", *[f64_bits(v, 8 * i).alias(f"_{v}{i}") for v in ("rvec", "tvec") for i in range(3)])
-    vectors = bits.select(*valid.columns, *[bits_to_f64(f"_{v}{i}").alias(f"_{v}{i}")
-                                            for v in ("rvec", "tvec") for i in range(3)])
-    arrays = vectors.select(*valid.columns, F.array("_rvec0", "_rvec1", "_rvec2").alias("_r"),
+    names = [(v, i) for v in ("rvec", "tvec") for i in range(3)]
+    # one projection per step: bits, doubles and tokens are each computed once
+    bits = valid.select(*kept, *[f64_bits(v, 8 * i).alias(f"_{v}{i}") for v, i in names],
+                        number_tokens("k_text").alias("_k"), number_tokens("dist_text").alias("_d"))
+    vectors = bits.select(*kept, "_k", "_d", *[bits_to_f64(f"_{v}{i}").alias(f"_{v}{i}") for v, i in names])
+    arrays = vectors.select(*kept, "_k", "_d", F.array("_rvec0", "_rvec1", "_rvec2").alias("_r"),
                             F.array("_tvec0", "_tvec1", "_tvec2").alias("_t"))
     return arrays.select(*kept, F.timestamp_micros((F.col("ts") * 1_000_000).try_cast("bigint")).alias("sent_at"),
-                         parse_camera_matrix("k_text").alias("K"), rodrigues("_r").alias("R"),
-                         to_float32("_t").alias("t"), parse_distortion("dist_text").alias("dist"))
+                         F.when(F.col("_k").isNotNull(), matrix_of("_k")).alias("K"), rodrigues("_r").alias("R"),
+                         to_float32("_t").alias("t"), five_of("_d").alias("dist"))
 
 
 def decode_packets(df: DataFrame, col: str = "packet", n_drones: int = 8,

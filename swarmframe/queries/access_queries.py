@@ -87,8 +87,8 @@ SELECT id, full_name, CASE WHEN id % 6 = 0 THEN 'admin' ELSE role END AS role,
         lambda s, d: A.access_decisions(requests(s, d), revocations(s, d), users(s, d)), f"""WITH {ACCESS},
 judged AS (
   SELECT request_id, route, CASE
-    WHEN token IN (SELECT v.token FROM revoked v WHERE v.expires_at > at) THEN '401 revoked'
-    WHEN NOT token_valid OR exp < at THEN '401 invalid_token'
+    WHEN token IN (SELECT v.token FROM revoked v WHERE v.expires_at > asked_at) THEN '401 revoked'
+    WHEN NOT token_valid OR exp < asked_at THEN '401 invalid_token'
     WHEN user_id IS NULL OR email IS NULL THEN '401 missing_claims'
     WHEN route <> 'view_by_id' AND role <> 'admin' THEN '403 admin_only'
     WHEN route = 'view_by_id' AND user_id <> target_id AND role <> 'admin' THEN '403 own_profile_only'
@@ -100,11 +100,11 @@ FROM judged"""),
     "revoked_requests": (
         lambda s, d: A.revoked_requests(requests(s, d), revocations(s, d)).select("request_id", "route"),
         f"""WITH {ACCESS}
-SELECT request_id, route FROM requests SEMI JOIN revoked v ON v.token = requests.token AND v.expires_at > requests.at"""),
+SELECT request_id, route FROM requests SEMI JOIN revoked v ON v.token = requests.token AND v.expires_at > requests.asked_at"""),
     "open_requests": (
         lambda s, d: A.open_requests(requests(s, d), revocations(s, d)).select("request_id", "route"),
         f"""WITH {ACCESS}
-SELECT request_id, route FROM requests ANTI JOIN revoked v ON v.token = requests.token AND v.expires_at > requests.at"""),
+SELECT request_id, route FROM requests ANTI JOIN revoked v ON v.token = requests.token AND v.expires_at > requests.asked_at"""),
     "active_revocations": (
         lambda s, d: _plain(A.active_revocations(revocations(s, d), ts(NOW))),
         f"WITH {ACCESS} SELECT * FROM revoked WHERE expires_at > TIMESTAMP '{NOW}'"),

@@ -74,7 +74,7 @@ _VOC = f"""
 {BOXES}, {IOU},
 best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, det_id ORDER BY iou DESC, truth_id) AS rn
-                 FROM overlaps WHERE iou >= 0.5) WHERE rn = 1)"""
+                 FROM overlapping WHERE iou >= 0.5) WHERE rn = 1)"""
 _HITS = _VOC + """,
 hits AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, truth_id ORDER BY conf DESC, det_id) AS place
@@ -129,7 +129,7 @@ SELECT image_id, box_id, round(x1 * 0.75::DOUBLE, 6) AS x1, round(y1 * 0.75::DOU
        round(x2 * 0.75::DOUBLE, 6) AS x2, round(y2 * 0.75::DOUBLE, 6) AS y2, round(x1 * 0.25::DOUBLE, 6) AS grid_x,
        printf('person %.2f', conf) AS label FROM det"""),
     "match_boxes": (matched, f"""WITH {BOXES}, {IOU}
-SELECT image_id, det_id, truth_id, round(iou, 9) AS iou FROM overlaps WHERE iou >= 0.5"""),
+SELECT image_id, det_id, truth_id, round(iou, 9) AS iou FROM overlapping WHERE iou >= 0.5"""),
     "best_detections": (best, f"""WITH {BOXES}
 SELECT image_id, box_id, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, box_id) AS rank FROM det) WHERE rank <= 2"""),
@@ -155,13 +155,13 @@ UNION ALL SELECT 0, -1, (SELECT count(*) FROM truth) - n FROM hits
 UNION ALL SELECT -1, 0, (SELECT count(*) FROM det WHERE conf >= 0.25) - n FROM hits"""),
     "camera_dashboard": (dashboard, f"""WITH {ARRIVALS}, {BOXES},
 last AS (
-  SELECT session_id, drone_id, arg_max(frame_num, (arrival_ts, packet_id)) AS frame_num, max(arrival_ts) AS at
+  SELECT session_id, drone_id, arg_max(frame_num, (arrival_ts, packet_id)) AS frame_num, max(arrival_ts) AS last_at
   FROM arrivals WHERE arrival_ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL),
 n AS (
   SELECT l.drone_id, count(d.box_id) AS n FROM last l
   LEFT JOIN det d ON d.image_id % 8 + 1 = l.drone_id AND d.image_id % 720 = l.frame_num AND d.conf >= 0.25 GROUP BY ALL)
 SELECT session_id, drone_id, printf('Camera %03d', drone_id) AS title, frame_num, n AS detections,
        CASE WHEN n > 0 THEN n || ' TARGETS' ELSE 'NO TARGETS' END AS status,
-       CASE WHEN TIMESTAMP '2024-01-20 12:00:00' - at <= INTERVAL 1800 SECOND THEN 'ACTIVE' ELSE 'INACTIVE' END AS state
+       CASE WHEN TIMESTAMP '2024-01-20 12:00:00' - last_at <= INTERVAL 1800 SECOND THEN 'ACTIVE' ELSE 'INACTIVE' END AS state
 FROM last JOIN n USING (drone_id)"""),
 }

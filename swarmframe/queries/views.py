@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swarmframe.functions.bytes import f64_bytes
+from swarmframe.functions.bytes import with_f64_bytes
 from swarmframe.functions.text import frame_key
 from swarmframe.operators.dataset import union_scans
 from swarmframe.operators.sync import tick_of
@@ -100,8 +100,9 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_bytes(df: DataFrame, columns: tuple[str, ...] = ("rvec", "tvec")) -> DataFrame:
     """Replace arrays of three doubles by their 24 bytes."""
     flat = df.select("*", *[F.get(c, F.lit(i)).alias(f"_{c}{i}") for c in columns for i in range(3)])
-    return flat.select(*[F.concat(*[f64_bytes(f"_{c}{i}") for i in range(3)]).alias(c) if c in columns else F.col(c)
-                         for c in df.columns])
+    coded = with_f64_bytes(flat, {f"_{c}{i}": f"_{c}{i}_bytes" for c in columns for i in range(3)})
+    return coded.select(*[F.concat(*[f"_{c}{i}_bytes" for i in range(3)]).alias(c) if c in columns else F.col(c)
+                          for c in df.columns])
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +218,7 @@ det AS (
   FROM merged WHERE tax <> 0)"""
 
 IOU = """
-overlaps AS (
+overlapping AS (
   SELECT *, CASE WHEN ua > 0 THEN ia / ua ELSE 0 END AS iou FROM (
     SELECT d.image_id, d.cls, d.box_id AS det_id, t.box_id AS truth_id, d.conf, ia,
            (d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) - ia AS ua
@@ -306,7 +307,7 @@ requests AS (
          CASE WHEN o_custkey % 5 = 0 THEN 'admin' ELSE 'user' END AS role,
          (['add_user', 'view_by_id', 'view_by_email', 'delete_user'])[o_orderkey % 4 + 1] AS route,
          o_custkey + o_orderkey % 3 AS target_id, {_ADDRESS.format('(o_custkey + o_orderkey % 3)')} AS target_email,
-         o_orderdate + INTERVAL 30 MINUTE AS at
+         o_orderdate + INTERVAL 30 MINUTE AS asked_at
   FROM orders),
 sign_ups AS (
   SELECT o_orderkey AS seq,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swarmframe.functions.geometry import strip_text
+from swarmframe.plans.once import computed_once
 
 INTRINSIC = ("camera_matrix struct<data: string>, distortion_coefficients struct<data: string>, "
              "_corrupt_record string")
@@ -31,11 +32,12 @@ def parse_intrinsic_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     kept = [c for c in df.columns if c != xml]
     doc = df.select(*kept, F.from_xml(xml, INTRINSIC, _OPTIONS).alias("_doc"))
     corrupt = F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull()
-    return doc.select(
+    fields = doc.select(
         *kept,
         F.when(~corrupt, strip_text(F.col("_doc.camera_matrix.data"))).alias("k_text"),
         F.when(~corrupt, strip_text(F.col("_doc.distortion_coefficients.data"))).alias("dist_text"),
         F.when(corrupt, "corrupt").alias("error_kind"))
+    return computed_once(fields, kept, ["k_text", "dist_text", "error_kind"])
 
 
 def parse_extrinsic_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
@@ -59,9 +61,10 @@ def parse_extrinsic_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
         kind = (kind.when(node.isNull(), f"{name}_not_found").when(~binary, f"{name}_not_binary")
                 .when(F.col(f"_{name}").isNull() | (F.length(f"_{name}") < VECTOR_SIZE), f"{name}_bad_base64"))
     checked = blobs.withColumn("error_kind", kind)
-    return checked.select(*kept, *[
+    fields = checked.select(*kept, *[
         F.when(F.col("error_kind").isNull(), F.substring(f"_{n}", -VECTOR_SIZE, VECTOR_SIZE)).alias(n)
         for n in ("rvec", "tvec")], "error_kind")
+    return computed_once(fields, kept, ["rvec", "tvec", "error_kind"])
 
 
 def scan_intrinsics(spark: SparkSession, root: str) -> DataFrame:

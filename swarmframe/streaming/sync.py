@@ -95,7 +95,8 @@ def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_dr
              .select("session_id", F.window_time("window").alias("closed_at"),
                      tick_of(F.col("window.start"), tick).alias("tick"), "frame_num",
                      F.col("drone_id").cast("int").alias("drone_id"), F.col("_last.packet_id").alias("packet_id"),
-                     F.col("_last.arrival_ts").alias("arrival_ts"), "n"))
+                     # rebuilt, so that only the window counts as the event time from here on
+                     F.timestamp_micros(F.unix_micros("_last.arrival_ts")).alias("arrival_ts"), "n"))
     return cells.groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=_Replay(session_ttl), outputStructType=OUTPUT, outputMode="Append",
         timeMode="EventTime")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -56,7 +57,12 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> tuple[bool, str]:
     return True, f"{len(mine)} rows"
 
 
+def _too_long(signum, frame):
+    raise TimeoutError("query ran too long")
+
+
 if __name__ == "__main__":
+    signal.signal(signal.SIGALRM, _too_long)
     from swarmframe.queries import ALL
     from swarmframe.session import build_session
 
@@ -67,12 +73,15 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0
+    limit = float(os.environ.get("CHECK_SECONDS", "120"))
     for name in wanted:
+        signal.setitimer(signal.ITIMER_REAL, limit)
         start = time.time()
         try:
             ok, note = compare(spark, con, ALL[name][0], ALL[name][1], sf)
         except Exception as e:  # report and go on with the next query
             ok, note = False, f"{type(e).__name__}: {str(e)[:700]}"
+        signal.setitimer(signal.ITIMER_REAL, 0)
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
     print(f"{len(wanted) - bad}/{len(wanted)} match")
