@@ -295,7 +295,7 @@ def nms(det: DataFrame, iou: float = 0.45, group_limit: int = 2000) -> DataFrame
     area = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     return (_suppress_in_rows(det.join(hot, keys, "left_anti"), iou)
             .unionByName(_suppress_in_rounds(large.filter(area), iou))
-            .unionByName(large.filter(~area)))
+            .unionByName(large.filter(~area)).select(*det.columns))
 
 
 __all__ = [

@@ -19,8 +19,8 @@ VECTOR_SIZE = 24
 
 def _scan(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     pattern = rf"{prefix}_Drone(\d+)_(\d{{4,}})\.xml$"
-    text = (spark.read.option("wholetext", "true").option("pathGlobFilter", f"{prefix}_Drone*_*.xml")
-            .option("recursiveFileLookup", "true").text(root).select(
+    text = (spark.read.option("pathGlobFilter", f"{prefix}_Drone*_*.xml")
+            .option("recursiveFileLookup", "true").text(root, wholetext=True).select(
                 F.col("_metadata.file_name").alias("_name"), F.col("value").alias("xml")))
     found = text.select(F.regexp_extract("_name", pattern, 1).try_cast("int").alias("drone_id"),
                         F.regexp_extract("_name", pattern, 2).try_cast("bigint").alias("frame_num"), "xml")
