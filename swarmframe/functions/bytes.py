@@ -27,25 +27,39 @@ def slice_bytes(b: Column | str, off: Column | int, n: Column | int) -> Column:
     return F.substring(_col(b), (start + 1).cast("int"), size.cast("int"))
 
 
-def _swapped_hex(b: Column, n: int) -> Column:
-    digits = F.hex(b)
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+def _little(digits: Column, off: int, n: int) -> Column:
+    """Hex digits of ``n`` little-endian bytes at byte ``off`` of a hex text, most significant first."""
+    return F.concat(*[F.substring(digits, 2 * (off + i) + 1, 2) for i in range(n - 1, -1, -1)])
+
+
+def u8_in_hex(digits: Column | str, off: int) -> Column:
+    return F.conv(F.substring(_col(digits), 2 * off + 1, 2), 16, 10).cast("int")
+
+
+def u32_in_hex(digits: Column | str, off: int) -> Column:
+    """Unsigned 32-bit number at byte ``off`` of bytes given as hex text; the text must reach that far."""
+    return F.conv(_little(_col(digits), off, 4), 16, 10).cast("bigint")
+
+
+def f64_bits_in_hex(digits: Column | str, off: int) -> Column:
+    """The 64 bits of a double at byte ``off`` of bytes given as hex text; the text must reach that far."""
+    return F.conv(_little(_col(digits), off, 8), 16, -10).cast("bigint")
 
 
 def u8(b: Column | str, off: Column | int) -> Column:
-    return F.conv(F.hex(slice_bytes(b, off, 1)), 16, 10).cast("int")
+    return u8_in_hex(F.hex(slice_bytes(b, off, 1)), 0)
 
 
 def u32_le(b: Column | str, off: Column | int) -> Column:
     """Little-endian unsigned 32-bit integer at a byte offset; null where fewer than 4 bytes are left."""
     piece = slice_bytes(b, off, 4)
-    return F.when(F.length(piece) == 4, F.conv(_swapped_hex(piece, 4), 16, 10).cast("bigint"))
+    return F.when(F.length(piece) == 4, u32_in_hex(F.hex(piece), 0))
 
 
 def f64_bits(b: Column | str, off: Column | int) -> Column:
     """The 64 bits of a little-endian double as a bigint; null where fewer than 8 bytes are left."""
     piece = slice_bytes(b, off, 8)
-    return F.when(F.length(piece) == 8, F.conv(_swapped_hex(piece, 8), 16, -10).cast("bigint"))
+    return F.when(F.length(piece) == 8, f64_bits_in_hex(F.hex(piece), 0))
 
 
 def bits_to_f64(bits: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmframe.functions.bytes import f64_le
@@ -32,27 +32,45 @@ def to_float32(vec: Column | str) -> Column:
     return F.when(vec.isNotNull(), F.array(*[F.get(vec, F.lit(i)).cast("float") for i in range(3)]))
 
 
+def _rotation_cell(i: int, j: int, cos: Column, sin: Column, axis: list[Column]) -> Column:
+    value = (F.lit(1.0) - cos) * axis[i] * axis[j]
+    if i == j:
+        return cos + value
+    turn = sin * axis[3 - i - j]
+    return value - turn if (j - i) % 3 == 1 else value + turn
+
+
 def rodrigues(rvec: Column | str) -> Column:
-    """Rotation vector (array<double>, size 3) -> 3x3 single-precision rotation matrix."""
+    """Rotation vector (array<double>, size 3) -> 3x3 single-precision rotation matrix.
+
+    For vectors that are costly to compute use ``with_rotation``.
+    """
     rvec = _col(rvec)
-    x, y, z = (F.get(rvec, F.lit(i)) for i in range(3))
-    theta = F.sqrt(x * x + y * y + z * z)
+    parts = [F.get(rvec, F.lit(i)) for i in range(3)]
+    theta = F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+    # below the limit the axis is zero and the angle too, which leaves the identity
     still = theta < EPSILON
-    inverse = F.when(still, F.lit(0.0)).otherwise(F.lit(1.0) / theta)
-    axis = (x * inverse, y * inverse, z * inverse)
-    cos, sin = F.cos(theta), F.sin(theta)
-
-    def cell(i: int, j: int) -> Column:
-        value = (F.lit(1.0) - cos) * axis[i] * axis[j]
-        if i == j:
-            value = cos + value
-        else:
-            k = 3 - i - j
-            turn = sin * axis[k]
-            value = value - turn if (j - i) % 3 == 1 else value + turn
-        return F.when(still, F.lit(1.0 if i == j else 0.0)).otherwise(value).cast("float")
-
-    return F.when(theta.isNotNull(), F.array(*[F.array(*[cell(i, j) for j in range(3)]) for i in range(3)]))
+    angle = F.when(still, F.lit(0.0)).otherwise(theta)
+    axis = [F.when(still, F.lit(0.0)).otherwise(p / theta) for p in parts]
+    cos, sin = F.cos(angle), F.sin(angle)
+    rows = [F.array(*[_rotation_cell(i, j, cos, sin, axis).cast("float") for j in range(3)]) for i in range(3)]
+    return F.when(theta.isNotNull(), F.array(*rows))
+
+
+def with_rotation(df: DataFrame, vector: list[str], name: str) -> DataFrame:
+    """Replace three double columns by the rotation matrix ``name``; angle, axis and cells in a projection each."""
+    kept = [c for c in df.columns if c not in vector]
+    x, y, z = (F.col(c) for c in vector)
+    still = F.col("_theta") < EPSILON
+    step = df.select(*df.columns, F.sqrt(x * x + y * y + z * z).alias("_theta"))
+    step = step.select(
+        *kept, F.cos(F.when(still, F.lit(0.0)).otherwise(F.col("_theta"))).alias("_cos"),
+        F.sin(F.when(still, F.lit(0.0)).otherwise(F.col("_theta"))).alias("_sin"),
+        *[F.when(still, F.lit(0.0)).otherwise(F.col(c) / F.col("_theta")).alias(f"_axis{i}") for i, c in enumerate(vector)])
+    axis = [F.col(f"_axis{i}") for i in range(3)]
+    rows = [F.array(*[_rotation_cell(i, j, F.col("_cos"), F.col("_sin"), axis).cast("float") for j in range(3)])
+            for i in range(3)]
+    return step.select(*kept, F.when(F.col("_cos").isNotNull(), F.array(*rows)).alias(name))
 
 
 def strip_text(text: Column | str) -> Column:
@@ -67,29 +85,31 @@ def is_number_list(text: Column | str) -> Column:
 
 def number_tokens(text: Column | str) -> Column:
     """The white-space separated tokens of a text, spelled so that a cast reads them."""
-    plain = F.regexp_replace(F.translate(strip_text(text), "_", ""), "(?i)[+-](?=nan)", "")
-    return F.split(plain, f"{SPACE}+")
+    plain = F.translate(_col(text), "_", "")
+    signed = F.contains(F.lower(plain), F.lit("nan"))
+    plain = F.when(signed, F.regexp_replace(plain, "(?i)[+-](?=nan)", "")).otherwise(plain)
+    return F.array_remove(F.split(plain, f"{SPACE}+"), "")
 
 
 def is_camera_matrix(text: Column | str) -> Column:
     """True where the text is exactly nine numbers."""
-    return is_number_list(text) & (F.size(number_tokens(text)) == 9)
+    return _col(text).rlike(f"^{SPACE}*{NUMBER}(?:{SPACE}+{NUMBER}){{8}}{SPACE}*$")
 
 
-def _float(tokens: Column, i: int) -> Column:
-    return F.get(tokens, F.lit(i)).try_cast("double").cast("float")
+def _floats(tokens: Column | str) -> Column:
+    return _col(tokens).try_cast("array<double>").cast("array<float>")
 
 
 def matrix_of(tokens: Column | str) -> Column:
     """3x3 matrix of nine tokens."""
-    tokens = _col(tokens)
-    return F.array(*[F.array(*[_float(tokens, 3 * i + j) for j in range(3)]) for i in range(3)])
+    numbers = _floats(tokens)
+    return F.array(*[F.slice(numbers, 3 * i + 1, 3) for i in range(3)])
 
 
 def five_of(tokens: Column | str) -> Column:
     """First five tokens as numbers, padded with zeros."""
-    tokens = _col(tokens)
-    return F.array(*[F.coalesce(_float(tokens, i), F.lit(0.0).cast("float")) for i in range(5)])
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 5)
+    return F.slice(F.concat(_floats(tokens), zeros), 1, 5)
 
 
 def parse_camera_matrix(text: Column | str) -> Column:

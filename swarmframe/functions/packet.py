@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swarmframe.functions.bytes import f64_le, slice_bytes, u8, u32_le
+from swarmframe.functions.bytes import (bits_to_f64, f64_bits_in_hex, f64_le, slice_bytes, u8, u8_in_hex, u32_in_hex,
+                                        u32_le)
 
 # The packet layout in bytes.
 HEADER_SIZE = 24
@@ -32,11 +33,13 @@ def decode_header(packet: Column | str) -> Column:
 def packet_info(packet: Column | str) -> Column:
     """Header fields, real size and the size expected without the calibration text; null for short packets."""
     packet = _col(packet)
-    head = decode_header(packet)
+    digits = F.hex(slice_bytes(packet, 0, HEADER_SIZE))
+    jpeg_size = u32_in_hex(digits, JPEG_SIZE_OFFSET)
     return F.when(F.length(packet) >= HEADER_SIZE, F.struct(
-        *[head[n].alias(n) for n in ("drone_id", "frame_num", "jpeg_size", "ts")],
+        u8_in_hex(digits, 0).alias("drone_id"), u32_in_hex(digits, FRAME_OFFSET).alias("frame_num"),
+        jpeg_size.alias("jpeg_size"), bits_to_f64(f64_bits_in_hex(digits, TIME_OFFSET)).alias("ts"),
         F.length(packet).cast("bigint").alias("total_size"),
-        (u32_le(packet, JPEG_SIZE_OFFSET) + (HEADER_SIZE + EXTRINSIC_SIZE + TEXT_SIZES)).alias("expected_size")))
+        (jpeg_size + (HEADER_SIZE + EXTRINSIC_SIZE + TEXT_SIZES)).alias("expected_size")))
 
 
 def valid_text(b: Column) -> Column:

@@ -7,21 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swarmframe.functions.bytes import bits_to_f64, f64_bits
-from swarmframe.functions.geometry import (intrinsics, parse_camera_matrix, parse_distortion, position, rodrigues,
-                                           to_float32)
+from swarmframe.functions.bytes import bits_to_f64, f64_bits_in_hex
+from swarmframe.functions.geometry import (intrinsics, parse_camera_matrix, parse_distortion, position,
+                                           with_rotation)
 from swarmframe.operators.packets import outgoing_error
 from swarmframe.plans.once import computed_once
 
 KEYS = ["drone_id", "frame_num"]
 
 
+def with_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace 24-byte columns by three double columns each (name0, name1, name2)."""
+    kept = [c for c in df.columns if c not in columns]
+    digits = df.select(*kept, *[F.when(F.length(c) == 24, F.hex(c)).alias(c) for c in columns])
+    bits = digits.select(*kept, *[f64_bits_in_hex(c, 8 * i).alias(f"{c}{i}") for c in columns for i in range(3)])
+    return bits.select(*kept, *[bits_to_f64(f"{c}{i}").alias(f"{c}{i}") for c in columns for i in range(3)])
+
+
 def decode_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace 24-byte columns by arrays of three doubles."""
-    bits = df.select("*", *[f64_bits(c, 8 * i).alias(f"_{c}{i}") for c in columns for i in range(3)])
-    arrays = [F.when(F.col(f"_{c}0").isNotNull(), F.array(*[bits_to_f64(f"_{c}{i}") for i in range(3)])).alias(c)
-              if c in columns else F.col(c) for c in df.columns]
-    return bits.select(*arrays)
+    flat = with_doubles(df, columns)
+    return flat.select(*[F.when(F.col(f"{c}0").isNotNull(), F.array(*[f"{c}{i}" for i in range(3)])).alias(c)
+                         if c in columns else F.col(c) for c in df.columns])
 
 
 def valid_calibration(df: DataFrame) -> DataFrame:
@@ -38,9 +45,9 @@ def load_calibration(intr: DataFrame, extr: DataFrame, keys: Sequence[str] = KEY
     keys = list(keys)
     inner = (intr.filter(F.col("error_kind").isNull())
              .select(*keys, parse_camera_matrix("k_text").alias("K"), parse_distortion("dist_text").alias("dist")))
-    outer = decode_vectors(extr.filter(F.col("error_kind").isNull()).select(*keys, "rvec", "tvec"),
-                           ["rvec", "tvec"])
-    outer = outer.select(*keys, rodrigues("rvec").alias("R"), to_float32("tvec").alias("t"))
+    outer = with_doubles(extr.filter(F.col("error_kind").isNull()).select(*keys, "rvec", "tvec"), ["rvec", "tvec"])
+    turned = with_rotation(outer, ["rvec0", "rvec1", "rvec2"], "R")
+    outer = turned.select(*keys, "R", F.array(*[F.col(f"tvec{i}").cast("float") for i in range(3)]).alias("t"))
     return valid_calibration(computed_once(inner, keys, ["K", "dist"])
                              .join(computed_once(outer, keys, ["R", "t"]), keys)).select(*keys, "K", "R", "t", "dist")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swarmframe.functions.bytes import bits_to_f64, f64_bits, slice_bytes, u8, u32_bytes, u32_le, with_f64_bytes
+from swarmframe.functions.bytes import (bits_to_f64, f64_bits_in_hex, slice_bytes, u8_in_hex, u32_bytes, u32_in_hex,
+                                        with_f64_bytes)
 from swarmframe.functions.geometry import (five_of, is_camera_matrix, is_number_list, matrix_of, number_tokens,
-                                           rodrigues, to_float32)
+                                           with_rotation)
 from swarmframe.functions.packet import (EXTRINSIC_SIZE, FRAME_OFFSET, HEADER_SIZE, JPEG_SIZE_OFFSET, MIN_SIZE,
                                          TEXT_SIZES, TIME_OFFSET, VECTOR_SIZE, valid_text)
 from swarmframe.plans.once import computed_once
@@ -55,18 +56,18 @@ def pack_packets(df: DataFrame, n_drones: int = 8, max_frame: int = 999) -> Data
 def _located(df: DataFrame, packet: str) -> DataFrame:
     """Header fields and section offsets, one projection per dependency level so that nothing is computed twice."""
     head = df.select("*", F.length(packet).cast("bigint").alias("_size"),
-                     slice_bytes(packet, 0, HEADER_SIZE).alias("_head"))
-    fields = head.select("*", u8("_head", 0).alias("drone_id"), u32_le("_head", FRAME_OFFSET).alias("frame_num"),
-                         u32_le("_head", JPEG_SIZE_OFFSET).alias("jpeg_size"),
-                         f64_bits("_head", TIME_OFFSET).alias("_ts_bits"))
+                     F.hex(slice_bytes(packet, 0, HEADER_SIZE)).alias("_head"))
+    fields = head.select(*df.columns, "_size", u8_in_hex("_head", 0).alias("drone_id"),
+                         u32_in_hex("_head", FRAME_OFFSET).alias("frame_num"),
+                         u32_in_hex("_head", JPEG_SIZE_OFFSET).alias("jpeg_size"),
+                         f64_bits_in_hex("_head", TIME_OFFSET).alias("_ts_bits"))
     extrinsic = F.col("jpeg_size") + HEADER_SIZE
+    at = fields.select("*", bits_to_f64("_ts_bits").alias("ts"), extrinsic.alias("_extrinsic"))
     # offsets past the end are pinned to the end: the error kind already says so, and int casts cannot overflow
-    at = fields.select("*", bits_to_f64("_ts_bits").alias("ts"), extrinsic.alias("_extrinsic"),
-                       (extrinsic + EXTRINSIC_SIZE).alias("_sizes_at"),
-                       (extrinsic + EXTRINSIC_SIZE + TEXT_SIZES).alias("_texts_at"))
-    pinned = F.least(F.col("_sizes_at"), F.col("_size"))
-    sizes = at.select("*", slice_bytes(packet, pinned, TEXT_SIZES).alias("_two"))
-    return sizes.select("*", u32_le("_two", 0).alias("_k_size"), u32_le("_two", 4).alias("_dist_size"))
+    pinned = F.least(F.col("_extrinsic") + EXTRINSIC_SIZE, F.col("_size"))
+    sizes = at.select("*", (F.col("_extrinsic") + EXTRINSIC_SIZE + TEXT_SIZES).alias("_texts_at"),
+                      F.hex(slice_bytes(packet, pinned, TEXT_SIZES)).alias("_two"))
+    return sizes.select("*", u32_in_hex("_two", 0).alias("_k_size"), u32_in_hex("_two", 4).alias("_dist_size"))
 
 
 def _structure_error(packet: str, n_drones: int, max_frame: int) -> Column:
@@ -114,16 +115,22 @@ def decode_sections(valid: DataFrame) -> DataFrame:
     """Replace the raw sections of good packets by K, R, t, dist and ``sent_at``."""
     raw = ["rvec", "tvec", "k_text", "dist_text"]
     kept = [c for c in valid.columns if c not in raw + ["error_kind"]]
-    names = [(v, i) for v in ("rvec", "tvec") for i in range(3)]
-    # one projection per step: bits, doubles and tokens are each computed once
-    bits = valid.select(*kept, *[f64_bits(v, 8 * i).alias(f"_{v}{i}") for v, i in names],
-                        number_tokens("k_text").alias("_k"), number_tokens("dist_text").alias("_d"))
-    vectors = bits.select(*kept, "_k", "_d", *[bits_to_f64(f"_{v}{i}").alias(f"_{v}{i}") for v, i in names])
-    arrays = vectors.select(*kept, "_k", "_d", F.array("_rvec0", "_rvec1", "_rvec2").alias("_r"),
-                            F.array("_tvec0", "_tvec1", "_tvec2").alias("_t"))
-    return arrays.select(*kept, F.timestamp_micros((F.col("ts") * 1_000_000).try_cast("bigint")).alias("sent_at"),
-                         F.when(F.col("_k").isNotNull(), matrix_of("_k")).alias("K"), rodrigues("_r").alias("R"),
-                         to_float32("_t").alias("t"), five_of("_d").alias("dist"))
+    # one projection per step, so that no value is computed twice and the generated methods stay small
+    names = [f"_{v}{i}" for v in "rt" for i in range(3)]
+    digits = valid.select(*kept, F.hex(F.concat("rvec", "tvec")).alias("_hex"), number_tokens("k_text").alias("_k"),
+                          number_tokens("dist_text").alias("_d"))
+    bits = digits.select(*kept, "_k", "_d", *[f64_bits_in_hex("_hex", 8 * i).alias(n) for i, n in enumerate(names)])
+    vectors = bits.select(*kept, "_k", "_d", *[bits_to_f64(n).alias(n) for n in names])
+    turned = with_rotation(vectors, names[:3], "R")
+    # the JIT leaves methods above 8000 bytecodes alone, so matrix, texts and vectors get a generated method each
+    turned = computed_once(turned, [*kept, "_k", "_d", *names[3:]], ["R"])
+    read = turned.withColumn("K", F.when(F.col("_k").isNotNull(), matrix_of("_k")))
+    read = computed_once(read, [*kept, "_d", *names[3:], "R"], ["K"])
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), 5)
+    rest = read.select(*kept, "K", "R", F.timestamp_micros((F.col("ts") * 1_000_000).try_cast("bigint")).alias("sent_at"),
+                       F.array(*[F.col(n).cast("float") for n in names[3:]]).alias("t"),
+                       F.coalesce(five_of("_d"), zeros).alias("dist"))
+    return computed_once(rest, kept, ["sent_at", "K", "R", "t", "dist"])
 
 
 def decode_packets(df: DataFrame, col: str = "packet", n_drones: int = 8,
