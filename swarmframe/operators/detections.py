@@ -123,16 +123,11 @@ def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5,
         "is_tp", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def _curve(points: DataFrame, n_truth: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cumulative counts over falling confidence. ``points``: keys, conf, n, tp, one row per confidence."""
-    down = points.withColumn("_down", -F.col("conf"))
-    sums = running(down, keys, "_down", F.floor(F.col("_down") * CHUNKS), {"n": "n_det", "tp": "n_tp"})
-    # one row per class: far below any broadcast limit, and AQE checks it
-    return (sums.join(n_truth, "cls")
-            .select(*keys, "conf", F.col("n_tp").alias("tp"), (F.col("n_det") - F.col("n_tp")).alias("fp"),
-                    (F.col("n_tp") / F.col("n_det")).alias("precision"),
-                    F.coalesce(F.try_divide(F.col("n_tp"), F.col("n_truth")), F.lit(0.0)).alias("recall"),
-                    "n_truth"))
+def _falling(points: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Running sums over falling confidence; one row per key and confidence, cut into chunks of confidence."""
+    down = points.select(*keys, (-F.col("conf")).alias("_down"), *values)
+    sums = running(down, keys, "_down", F.floor(F.col("_down") * CHUNKS), values)
+    return sums.select(*keys, (-F.col("_down")).alias("conf"), *values.values())
 
 
 def _truth_counts(truth: DataFrame) -> DataFrame:
@@ -145,8 +140,12 @@ def precision_recall_curve(matches: DataFrame, truth: DataFrame) -> DataFrame:
     ``matches``: detections with ``is_tp`` (see ``label_detections``). Equal confidences are merged before the
     running sum, which is cut into chunks of confidence, so one class may hold all rows.
     """
-    points = matches.groupBy("cls", "conf").agg(F.count("*").alias("n"), F.count_if("is_tp").alias("tp"))
-    return _curve(points, _truth_counts(truth), ["cls"]).drop("n_truth")
+    points = matches.groupBy("cls", "conf").agg(F.count("*").alias("n"), F.count_if("is_tp").alias("hit"))
+    sums = _falling(points, ["cls"], {"n": "n_det", "hit": "tp"})
+    # one row per class: far below any broadcast limit, and AQE checks it
+    return (sums.join(_truth_counts(truth), "cls")
+            .select("cls", "conf", "tp", (F.col("n_det") - F.col("tp")).alias("fp"),
+                    (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n_truth")).alias("recall")))
 
 
 def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -170,20 +169,23 @@ def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou:
     """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``."""
     levels = sorted({*thresholds, iou, 0.5})
     hits = true_positives(best_matches(det, truth, levels[0], True, pair_limit), levels)
-    tp = hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("tp"))
+    right = hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit"))
     found = det.groupBy("cls", "conf").agg(F.count("*").alias("n"))
-    grid = found.withColumn("iou_threshold", F.explode(F.array(*[F.lit(float(t)) for t in levels])))
-    points = grid.join(tp, ["cls", "iou_threshold", "conf"], "left").fillna(0, ["tp"])
     counts = _truth_counts(truth)
-    curve = _curve(points, counts, ["cls", "iou_threshold"])
+    # interpolated precision is reached where a right detection comes in, so only those points are followed per
+    # threshold; how many detections lie above them does not depend on the threshold
+    tp = _falling(right, ["cls", "iou_threshold"], {"hit": "tp"})
+    above = _falling(found, ["cls"], {"n": "n_det"})
+    curve = tp.join(above, ["cls", "conf"]).join(counts, "cls").withColumn("precision", F.col("tp") / F.col("n_det"))
     wanted = [float(t) for t in thresholds]
     ap = (average_precision(curve, ["cls", "iou_threshold"]).groupBy("cls").agg(
         F.max(F.when(F.col("iou_threshold") == 0.5, F.col("ap"))).alias("ap50"),
         (F.sum(F.when(F.col("iou_threshold").isin(*wanted), F.col("ap"))) / len(wanted)).alias("map")))
-    at = (points.filter((F.col("iou_threshold") == iou) & (F.col("conf") >= conf)).groupBy("cls")
-          .agg(F.sum("n").alias("n_det"), F.sum("tp").alias("n_tp")))
+    n_det = found.filter(F.col("conf") >= conf).groupBy("cls").agg(F.sum("n").alias("n_det"))
+    n_tp = (right.filter((F.col("iou_threshold") == iou) & (F.col("conf") >= conf)).groupBy("cls")
+            .agg(F.sum("hit").alias("n_tp")))
     zero = F.lit(0).cast("bigint")
-    return (counts.join(at, "cls", "left").join(ap, "cls", "left")
+    return (counts.join(n_det, "cls", "left").join(n_tp, "cls", "left").join(ap, "cls", "left")
             .select("cls", "n_truth", F.coalesce("n_det", zero).alias("n_det"), F.coalesce("n_tp", zero).alias("n_tp"),
                     F.coalesce(F.col("n_tp") / F.col("n_det"), F.lit(0.0)).alias("precision"),
                     F.coalesce(F.col("n_tp") / F.col("n_truth"), F.lit(0.0)).alias("recall"),

@@ -35,7 +35,8 @@ def arrivals_of(events: DataFrame) -> DataFrame:
     late = F.when(F.col("event_id") % 7 == 0, 2).otherwise(0)
     at = F.col("ts").cast("timestamp")
     return events.select(
-        F.lit(1).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
+        # one session; written as an expression, or Spark would fold the key away and plan for a single group
+        (F.col("event_id") >= 0).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
         (F.col("user_id") % 8 + 1).cast("int").alias("drone_id"),
         F.greatest(F.lit(0).cast("bigint"), tick_of(at, HOUR, ORIGIN_US) - late).alias("frame_num"),
         at.alias("arrival_ts"), (F.col("event_type") == "error").alias("failed"),
@@ -189,7 +190,8 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("l_discount").alias("d"), F.max("l_extendedprice").alias("e"), F.max("l_tax").alias("t"))
     return merged.select(
         F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("box_id"),
-        F.lit(0).alias("cls"), (F.col("p") % 1440).cast("double").alias("x1"),
+        # one class, likewise as an expression
+        (F.col("q") < 0).cast("int").alias("cls"), (F.col("p") % 1440).cast("double").alias("x1"),
         (F.col("s") * 37 % 810).cast("double").alias("y1"), (F.col("q") + 20).alias("_size"),
         (F.col("d") * 100).alias("_shift"), (0.1 + (F.col("e") % 1000) / 1112).alias("conf"), "t")
 
