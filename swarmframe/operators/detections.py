@@ -18,6 +18,7 @@ from swarmframe.operators.sync import latest_per_drone
 from swarmframe.plans.boxes import (CELLS, COORDS, PAIR_LIMIT, crowded, filed, grid_pairs, overlapping, plain_pairs,
                                     searching)
 from swarmframe.plans.lookup import micros
+from swarmframe.plans.once import stored
 from swarmframe.plans.scan import running
 from swarmframe.session import scratch_path
 
@@ -138,9 +139,11 @@ def precision_recall_curve(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """One operating point per class and distinct confidence: tp, fp, precision and recall at that threshold.
 
     ``matches``: detections with ``is_tp`` (see ``label_detections``). Equal confidences are merged before the
-    running sum, which is cut into chunks of confidence, so one class may hold all rows.
+    running sum, which is cut into chunks of confidence, so one class may hold all rows. The merged points are
+    written to the shared folder when this is called.
     """
-    points = matches.groupBy("cls", "conf").agg(F.count("*").alias("n"), F.count_if("is_tp").alias("hit"))
+    points = stored(matches.groupBy("cls", "conf").agg(F.count("*").alias("n"), F.count_if("is_tp").alias("hit")),
+                    "curve-points")
     sums = _falling(points, ["cls"], {"n": "n_det", "hit": "tp"})
     # one row per class: far below any broadcast limit, and AQE checks it
     return (sums.join(_truth_counts(truth), "cls")
@@ -166,11 +169,14 @@ def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
 def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5,
                       thresholds: Sequence[float] = THRESHOLDS,
                       pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
-    """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``."""
+    """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``.
+
+    Matching runs when this is called; its counts per confidence are written to the shared folder.
+    """
     levels = sorted({*thresholds, iou, 0.5})
     hits = true_positives(best_matches(det, truth, levels[0], True, pair_limit), levels)
-    right = hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit"))
-    found = det.groupBy("cls", "conf").agg(F.count("*").alias("n"))
+    right = stored(hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit")), "metric-hits")
+    found = stored(det.groupBy("cls", "conf").agg(F.count("*").alias("n")), "metric-found")
     counts = _truth_counts(truth)
     # interpolated precision is reached where a right detection comes in, so only those points are followed per
     # threshold; how many detections lie above them does not depend on the threshold
