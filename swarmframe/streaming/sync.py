@@ -18,7 +18,6 @@ from swarmframe.operators.sync import is_valid, tick_of
 
 OUTPUT = ("session_id long, tick long, kind string, frame_num long, n_drones int, drone_id int, packet_id long, "
           "arrival_ts timestamp, n long")
-_COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 
 
 def _interval(seconds: float) -> str:
@@ -40,44 +39,48 @@ def stream_tick_max(arrivals: DataFrame, tick: float, delay: str = "0 seconds",
             .select("session_id", tick_of(F.col("window.start"), tick).alias("tick"), "frame_num"))
 
 
-class _Replay(StatefulProcessor):
-    """Shows the highest new frame of each window; counts what is late or passed over."""
-
-    def __init__(self, session_ttl: float | None):
-        self._ttl_ms = None if session_ttl is None else int(session_ttl * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._shown = handle.getValueState("shown", "frame_num long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cells = pd.concat(list(rows), ignore_index=True)
-        known = self._shown.get() if self._shown.exists() else None
-        shown = -1 if known is None else int(known[0])
-        peaks = cells.groupby("tick")["frame_num"].max().sort_index()
-        before = peaks.cummax().shift(1, fill_value=shown).clip(lower=shown)
-        cells["_before"] = cells["tick"].map(before)
-        cells["_now"] = cells["tick"].map(peaks.cummax().clip(lower=shown))
-        late = cells["frame_num"] <= cells["_before"]
-        shown_now = ~late & (cells["frame_num"] == cells["_now"])
-        cells["kind"] = "superseded"
-        cells.loc[late, "kind"] = "late"
-        cells.loc[shown_now, "kind"] = "displayed"
-        cells["n_drones"] = cells.groupby(["tick", "kind", "frame_num"])["drone_id"].transform("size").astype("int32")
-        cells["session_id"] = key[0]
-        self._shown.update((max(shown, int(peaks.max())),))
-        if self._ttl_ms is not None:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
-            self._handle.registerTimer(int(cells["closed_at"].max().timestamp() * 1000) + self._ttl_ms)
-        yield cells.sort_values(["tick", "frame_num", "drone_id"])[_COLUMNS]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._shown.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _replay(session_ttl: float | None) -> StatefulProcessor:
+    # a local class travels to the workers with its code, so they need not have this package installed
+    ttl_ms = None if session_ttl is None else int(session_ttl * 1000)
+    columns = [field.split()[0] for field in OUTPUT.split(", ")]
+
+    class _Replay(StatefulProcessor):
+        """Shows the highest new frame of each window; counts what is late or passed over."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._handle = handle
+            self._shown = handle.getValueState("shown", "frame_num long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            cells = pd.concat(list(rows), ignore_index=True)
+            known = self._shown.get() if self._shown.exists() else None
+            shown = -1 if known is None else int(known[0])
+            peaks = cells.groupby("tick")["frame_num"].max().sort_index()
+            before = peaks.cummax().shift(1, fill_value=shown).clip(lower=shown)
+            cells["_before"] = cells["tick"].map(before)
+            cells["_now"] = cells["tick"].map(peaks.cummax().clip(lower=shown))
+            late = cells["frame_num"] <= cells["_before"]
+            shown_now = ~late & (cells["frame_num"] == cells["_now"])
+            cells["kind"] = "superseded"
+            cells.loc[late, "kind"] = "late"
+            cells.loc[shown_now, "kind"] = "displayed"
+            cells["n_drones"] = cells.groupby(["tick", "kind", "frame_num"])["drone_id"].transform("size").astype("int32")
+            cells["session_id"] = key[0]
+            self._shown.update((max(shown, int(peaks.max())),))
+            if ttl_ms is not None:
+                for timer in list(self._handle.listTimers()):
+                    self._handle.deleteTimer(timer)
+                self._handle.registerTimer(int(cells["closed_at"].max().timestamp() * 1000) + ttl_ms)
+            yield cells.sort_values(["tick", "frame_num", "drone_id"])[columns]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._shown.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return _Replay()
 
 
 def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8,
@@ -98,7 +101,7 @@ def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_dr
                      # rebuilt, so that only the window counts as the event time from here on
                      F.timestamp_micros(F.unix_micros("_last.arrival_ts")).alias("arrival_ts"), "n"))
     return cells.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Replay(session_ttl), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=_replay(session_ttl), outputStructType=OUTPUT, outputMode="Append",
         timeMode="EventTime")
 
 
