@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_folder
+from .exact_dedup import exact_duplicates
+from .line_dedup import drop_shared_lines
 from .mixing import mix_sources
 from .packing import pack_documents
+from .simhash import simhash_groups
 from .token_files import token_index, write_token_files
 
 
@@ -20,6 +23,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(_table(spark, sf_dir, "documents"), words=4, radius=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One half of the documents, by a hash of the id, is the snapshot; the other half is the batch that comes in."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = exact_duplicates(docs, old=F.xxhash64("doc_id") % 2 == 0)
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP3_SQL = """
+WITH hashed AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM hashed WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
@@ -62,6 +87,27 @@ FROM joined
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = drop_shared_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT d, doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
+  FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+shared AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT d) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN shared s ON k.key = s.key
+GROUP BY d, doc_id
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path)
@@ -70,6 +116,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": (op1_packing, None),
+    "op2_simhash": (op2_simhash, None),
+    "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mixing": (op4_mixing, OP4_SQL),
+    "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op7_token_files": (op7_token_files, None),
 }
