@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_folder
+from .common import held_out, scratch_folder
 from .exact_dedup import exact_duplicates
+from .language import fit_language_model, predict_languages
 from .line_dedup import drop_shared_lines
 from .mixing import mix_sources
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .token_files import token_index, write_token_files
+from .toxicity import fit_toxicity_model, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,17 +110,31 @@ GROUP BY d, doc_id
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark, "token-files")
     write_token_files(_table(spark, sf_dir, "documents"), path)
     return token_index(spark, path)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_simhash": (op2_simhash, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_mixing": (op4_mixing, OP4_SQL),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
+    "op6_language": (op6_language, None),
     "op7_token_files": (op7_token_files, None),
+    "op9_toxicity": (op9_toxicity, None),
 }
