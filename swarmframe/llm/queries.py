@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .language import fit_language_model, predict_languages
 from .line_dedup import drop_shared_lines
 from .mixing import mix_sources
+from .neighbours import nearest
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .token_files import token_index, write_token_files
@@ -121,6 +122,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity_model(docs, _table(spark, sf_dir, "labels"))
@@ -136,5 +141,6 @@ QUERIES = {
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_language": (op6_language, None),
     "op7_token_files": (op7_token_files, None),
+    "op8_neighbours": (op8_neighbours, None),
     "op9_toxicity": (op9_toxicity, None),
 }

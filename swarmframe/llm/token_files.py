@@ -81,7 +81,8 @@ def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        # ids are below 2 ** 31: their bytes are those of unsigned numbers
+        flat = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
         n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         ends = np.cumsum(n) * 4
         crc = [zlib.crc32(flat[e - 4 * k:e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]

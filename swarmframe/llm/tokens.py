@@ -17,8 +17,9 @@ import numpy as np
 KEPT_PIECES, KEPT_CHARS = 1_000_000, 48
 END_ID = b"\x00\x00\x00\x00"
 
-_SPACE_RUN = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
+_ASCII_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_SPACES = re.compile(r"[^\S \n]")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -28,6 +29,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut before each space that text follows, those spaces left out.
+
+    The vocabulary's splitting rule always cuts there. Where spaces stand beside other white space, the cut looks ahead.
+    """
+    if text.isascii():
+        plain = not any(c in text for c in _ASCII_SPACES)
+    else:
+        plain = not _OTHER_SPACES.search(text)
+    if plain and "  " not in text and " \n" not in text and text[-1:] != " ":
+        return text.split(" ")
+    return _CUT.split(text)
+
+
 class Encoder:
     """Ids of texts; special tokens' strings count as ordinary text."""
 
@@ -40,6 +55,7 @@ class Encoder:
         n = self.tokenizer.get_vocab_size()
         # in a byte-level vocabulary each character of a token stands for one byte
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
+        self.marks = {c: self.plain(c) for c in ".,"}
         self.after_space: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -47,21 +63,35 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each with a space before it, many in one call; the byte lengths tell them apart."""
-        known = self.after_space
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.cumsum([len(p.encode()) + 1 for p in some])
-            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            data, begin = ids.tobytes(), 0
-            for piece, stop in zip(some, (stops * 4).tolist(), strict=True):
-                known[piece] = data[begin:stop]
-                begin = stop
+    def _encode_words(self, words: list[str]) -> None:
+        """Encode words without spaces, a space before each, many in one call; the byte lengths tell them apart."""
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            joined = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw = joined.encode()
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)[1:], len(raw))
+            stops = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) * 4 + 4).tolist()
+            data = ids.tobytes()
+            self.after_space.update(zip(some, [data[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, words, marked = self.after_space, set(), []
+        for p in pieces:
+            if not p or len(p) > KEPT_CHARS or p[0].isspace() or " " in p:
+                continue  # rare: encoded on the spot
+            if p[-1] in ".," and p[:-1].isalpha():  # a mark behind letters is a token of its own
+                marked.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+            else:
+                words.add(p)
+        self._encode_words(list(words))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        split = [_CUT.split(t) if _SPACE_RUN.search(t) else t.split(" ") for t in texts]
+        split = [pieces_of(t) for t in texts]
         met: set[str] = set()
         for pieces in split:
             met.update(pieces)
@@ -69,8 +99,7 @@ class Encoder:
         if len(self.after_space) + len(unknown) > KEPT_PIECES:
             self.after_space.clear()
             unknown = met
-        # empty and long pieces, and first ones that begin with white space, are encoded on the spot
-        self._learn([p for p in unknown if p and len(p) <= KEPT_CHARS and not p[0].isspace()])
+        self._learn(unknown)
         get, out = self.after_space.__getitem__, []
         for pieces in split:
             first, rest = self.plain(pieces[0]), pieces[1:]
