@@ -12,6 +12,7 @@ from .line_dedup import drop_shared_lines
 from .mixing import mix_sources
 from .neighbours import nearest
 from .packing import pack_documents
+from .page_text import main_texts
 from .simhash import simhash_groups
 from .token_files import token_index, write_token_files
 from .toxicity import fit_toxicity_model, score_toxicity
@@ -133,6 +134,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = main_texts(_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_simhash": (op2_simhash, None),
@@ -143,4 +149,5 @@ QUERIES = {
     "op7_token_files": (op7_token_files, None),
     "op8_neighbours": (op8_neighbours, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_page_text": (op10_page_text, None),
 }
