@@ -169,3 +169,17 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
                 names=["doc_id", "text_key", "lang_pred", "score", "rejected"])
 
     return shipped(rows).mapInArrow(run, f"doc_id {id_type}, text_key long, lang_pred string, score double, rejected boolean")
+
+
+def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language the model does not reject."""
+    model_var = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model_var.value
+        for batch in batches:
+            found = [own.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= own.reject_below for lang, s in found], pa.bool_()))
+
+    return shipped(docs).mapInArrow(run, docs.schema)

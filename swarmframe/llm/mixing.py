@@ -2,7 +2,7 @@
 
 Weights turn into targets by filling: a share of all words is dealt by weight, no source above ``max_repeats`` times its
 size, what is above is dealt again among the others. Each document of a source then expects ``target / source size``
-copies. Documents of a source are laid out in a fixed order (coarse size, chunk, size, hash of the id), their expected
+copies. Documents of a source are laid out in a fixed order (size class, chunk, size, hash of the id), their expected
 copies are added up, one offset per source is added, and a document is taken once for each whole number that its sum
 crosses. As the order goes by size, the words taken come near the target.
 
@@ -30,6 +30,12 @@ def hash_fraction(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def size_class(size: Column) -> Column:
+    """Four classes to each doubling of the size, by exact arithmetic."""
+    octave = F.length(F.bin(size + 1)) - 1
+    return (4 * octave + F.floor((size + 1) * 4 / F.pow(F.lit(2.0), octave)) - 4).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
                    max_repeats: float = 2.0) -> DataFrame:
     """Add ``target`` to one row per source (``source``, ``source_size``).
@@ -48,14 +54,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     total = share * F.sum("source_size").over(Window.partitionBy())
     rows = rows.withColumn("level", (total - full_before) / weight_left)
     rows = rows.withColumn("full", F.col("cap") / F.col("weight") <= F.col("level"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
+    # the level of the first source that does not fill; those computed behind it are lower
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
     return rows.select("source", "source_size",
                        F.when(F.col("full") | level.isNull(), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0,
-                chunks: int = 64) -> DataFrame:
+                chunks: int = 16) -> DataFrame:
     """All rows and columns of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``.
 
     ``chunks`` divides every (source, size class); set it so that such a part of the largest source fits a task.
@@ -69,7 +76,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # a null source is a key of its own, so that plain equality joins and splits it
         known: source.isNotNull(), key: F.coalesce(source, F.lit("")), order: identity})
     rows = rows.withColumns({
-        klass: F.floor(F.log2(F.col(size) + 1.0)).cast("int"),
+        klass: size_class(F.col(size)),
         chunk: (F.conv(F.substring(order, 1, 6), 16, 10).cast("long") % chunks).cast("int")})
 
     parts = rows.groupBy(F.col(known).alias("known"), F.col(key).alias("key"), F.col(klass).alias("class"), F.col(chunk).alias("chunk")).agg(

@@ -61,7 +61,9 @@ WITH sized AS (
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
   FROM documents),
 classed AS (
-  SELECT *, floor(log2(size + 1.0))::INT AS class, (('0x' || substr(h, 1, 6))::BIGINT % 64)::INT AS chunk FROM sized),
+  SELECT *, (4 * (length(bin(size + 1)) - 1) + floor((size + 1) * 4 / 2.0::DOUBLE ** (length(bin(size + 1)) - 1)) - 4)::INT AS class,
+         (('0x' || substr(h, 1, 6))::BIGINT % 16)::INT AS chunk
+  FROM sized),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, chunk, size, h, doc_id) AS place FROM classed),
 sources AS (
@@ -77,8 +79,8 @@ levels AS (
 filled AS (SELECT *, cap / weight <= level AS is_full FROM levels),
 targets AS (
   SELECT source, source_size,
-         CASE WHEN is_full OR min(CASE WHEN NOT is_full THEN level END) OVER () IS NULL THEN cap
-              ELSE min(CASE WHEN NOT is_full THEN level END) OVER () * weight END AS target
+         CASE WHEN is_full OR max(CASE WHEN NOT is_full THEN level END) OVER () IS NULL THEN cap
+              ELSE max(CASE WHEN NOT is_full THEN level END) OVER () * weight END AS target
   FROM filled),
 joined AS (
   SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
