@@ -190,7 +190,7 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = 4,
-            leaf_size: int = 1500, visit_share: float = 1.25, sample_rows: int = 20_000, block_size: int = 4096,
+            leaf_size: int = 1500, visit_share: float = 1.5, sample_rows: int = 20_000, block_size: int = 4096,
             max_depth: int = 10) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the ``k`` nearest other rows of each row for which ``is_query`` holds.
 
