@@ -53,6 +53,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def texts_of(column, rows: int = 256):
+    """Values of an Arrow column as Python strings, a few rows at a time: a batch of long texts is not held twice."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, shipped
+from .common import settled, shipped, texts_of
 
 #: Digests that a bucket's filter is meant for.
 BUCKET_SIZE = 50_000
@@ -100,10 +100,12 @@ class FuseFilter:
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # lower() of bytes folds A-Z only
-        texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in batch.column(2).to_pylist()]
-        digests = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
-        lengths = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], digests, lengths], names=["doc_id", "old", "digest", "n_bytes"])
+        digests, lengths = [], []
+        for text in texts_of(batch.column(2)):
+            data = (text or "").encode("utf-8", "surrogatepass").lower()
+            digests.append(hashlib.sha256(data).digest())
+            lengths.append(len(data))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(lengths, pa.int64())], names=["doc_id", "old", "digest", "n_bytes"])
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old: object = None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shipped
+from .common import held_out, shipped, texts_of
 
 UNKNOWN = "und"
 BUCKET_BITS = 16
@@ -161,7 +161,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_var.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(2).to_pylist()]
+            found = [own.predict(t) for t in texts_of(batch.column(2))]
             score = [s for _, s in found]
             rejected = [lang == UNKNOWN or s < own.reject_below for lang, s in found]
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +179,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_var.value
         for batch in batches:
-            found = [own.predict(t) for t in batch.column(at).to_pylist()]
+            found = [own.predict(t) for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= own.reject_below for lang, s in found], pa.bool_()))
 
     return shipped(docs).mapInArrow(run, docs.schema)

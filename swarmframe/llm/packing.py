@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import shipped
+from .common import shipped, texts_of
 from .tokens import default_vocabulary, documents_ids
 
 _FAR = np.iinfo(np.int64).max
@@ -109,7 +109,7 @@ def _pack_batches(window: int, vocabulary: str, max_open: int, schema: pa.Schema
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, documents_ids(batch.column(1).to_pylist(), vocabulary), strict=True):
+            for doc_id, ids in zip(doc_ids, documents_ids(texts_of(batch.column(1)), vocabulary), strict=True):
                 n_tokens, n_docs = len(ids) // 4, n_docs + 1
                 names[n_docs] = (doc_id, n_tokens)
                 whole = n_tokens - n_tokens % window
@@ -123,7 +123,7 @@ def _pack_batches(window: int, vocabulary: str, max_open: int, schema: pa.Schema
                         del names[number]
                 if levels.n_open > max_open:
                     settle()
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield flushed()
         settle()
         yield flushed()

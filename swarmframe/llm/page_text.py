@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, texts_of
 
 #: Fixed: element names by what they mean for the text in them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,14 +161,14 @@ def host_of(url: Column) -> Column:
 
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [" ".join(t for r, t in blocks_of(h) if r != "article") for h in batch.column(2).to_pylist()]
+        texts = [" ".join(t for r, t in blocks_of(h) if r != "article") for h in texts_of(batch.column(2))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["host", "page", "stream"])
 
 
 def _article(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html in batch.column(2).to_pylist():
+        for html in texts_of(batch.column(2)):
             blocks = blocks_of(html)
             own = [t for r, t in blocks if r == "article"] or [t for r, t in blocks if r == "open"]
             texts.append("\n".join(own))

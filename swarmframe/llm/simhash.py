@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, shipped
+from .common import settled, shipped, texts_of
 from .components import components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, words) for t in texts_of(batch.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values)], names=["doc_id", "text_key", "fp"])
 
     return run

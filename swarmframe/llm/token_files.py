@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import shipped, texts_of
 from .tokens import default_vocabulary, documents_ids
 
 FILE_SCHEMA = "doc_id long, part long, start_in_part long, n_tokens long, ids array<int>"
@@ -44,11 +44,11 @@ def _encoded(vocabulary: str):
 
         for batch in batches:
             doc_ids, some, own, size = batch.column(0).to_pylist(), [], [], 0
-            for doc_id, ids in zip(doc_ids, documents_ids(batch.column(1).to_pylist(), vocabulary), strict=True):
+            for doc_id, ids in zip(doc_ids, documents_ids(texts_of(batch.column(1)), vocabulary), strict=True):
                 own.append(doc_id)
                 some.append(ids)
                 size += len(ids)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield rows(own, some)
                     some, own, size = [], [], 0
             if some:

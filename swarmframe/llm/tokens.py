@@ -2,7 +2,7 @@
 
 The vocabulary's splitting rule always cuts at certain places that single bytes show, so texts are cut there into pieces and
 each distinct piece meets the tokenizer once: workers keep the ids of the pieces they have met in a hash table of numpy
-arrays (a piece is known by two 64-bit hashes of its bytes), and a batch of texts becomes one gather. Texts are never shortened.
+arrays (a piece is known by 96 bits of two hashes of its bytes), and a batch of texts becomes one gather. Texts are never shortened.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces that a worker keeps (about 60 bytes each) and the bytes of the longest one that is kept.
-KEPT_PIECES, KEPT_BYTES = 1_500_000, 48
+#: Pieces that a worker keeps (about 40 bytes each) and the bytes of the longest one that is kept.
+KEPT_PIECES, KEPT_BYTES = 1_000_000, 48
 END_ID = b"\x00\x00\x00\x00"
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -58,45 +58,51 @@ def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_LOW = np.uint64(0xFFFFFFFF)
+
+
 class _Pieces:
-    """Hash table from two 64-bit hashes to a place in an array of ids; open addressing, rows are (hash, hash, place and length)."""
+    """Hash table to places in an array of ids; open addressing, rows are (hash, half of a second hash and place).
+
+    A place is 26 bits of position in the array and 6 bits of length, which is never 0 and at most ``KEPT_BYTES``.
+    """
 
     def __init__(self, bits: int = 16):
-        self.rows, self.bits, self.n = np.zeros((1 << bits, 3), dtype=np.uint64), bits, 0
+        self.rows, self.bits, self.n = np.zeros((1 << bits, 2), dtype=np.uint64), bits, 0
         self.ids, self.n_ids = np.zeros(1 << 18, dtype=np.uint16), 0
 
     def _slots(self, first: np.ndarray) -> np.ndarray:
         return (first >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Place and length per piece, 0 where it is not known (a length is never 0)."""
+        """Place per piece, 0 where it is not known."""
         out, slot = np.zeros(len(first), dtype=np.uint64), self._slots(first)
         at = np.arange(len(first))
         while len(at):
             row = self.rows[slot]
-            same = (row[:, 0] == first[at]) & (row[:, 1] == second[at])
-            out[at[same]] = row[same, 2]
-            on = ~same & (row[:, 2] != 0)
+            same = (row[:, 0] == first[at]) & ((row[:, 1] ^ second[at]) <= _LOW) & (row[:, 1] != 0)
+            out[at[same]] = row[same, 1] & _LOW
+            on = ~same & (row[:, 1] != 0)
             at, slot = at[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
     def add(self, first: np.ndarray, second: np.ndarray, places: np.ndarray) -> None:
         """Add distinct pieces that are not there."""
         if 2 * (self.n + len(first)) > 1 << self.bits:
-            old = self.rows[self.rows[:, 2] != 0]
+            old = self.rows[self.rows[:, 1] != 0]
             self.bits = int(2 * (self.n + len(first))).bit_length()
-            self.rows = np.zeros((1 << self.bits, 3), dtype=np.uint64)
-            self._put(old[:, 0], old[:, 1], old[:, 2])
-        self._put(first, second, places)
+            self.rows = np.zeros((1 << self.bits, 2), dtype=np.uint64)
+            self._put(old[:, 0], old[:, 1])
+        self._put(first, second & ~_LOW | places)
         self.n += len(first)
 
-    def _put(self, first: np.ndarray, second: np.ndarray, places: np.ndarray) -> None:
+    def _put(self, first: np.ndarray, values: np.ndarray) -> None:
         slot, at = self._slots(first), np.arange(len(first))
         while len(at):
-            free = np.flatnonzero(self.rows[slot, 2] == 0)
+            free = np.flatnonzero(self.rows[slot, 1] == 0)
             _, one = np.unique(slot[free], return_index=True)
             won = free[one]
-            self.rows[slot[won]] = np.stack([first[at[won]], second[at[won]], places[at[won]]], axis=1)
+            self.rows[slot[won]] = np.stack([first[at[won]], values[at[won]]], axis=1)
             on = np.ones(len(at), dtype=bool)
             on[won] = False
             at, slot = at[on], (slot[on] + 1) & ((1 << self.bits) - 1)
@@ -177,13 +183,13 @@ class Encoder:
             new, counts, order = self._ids([joined[b:b + k].decode() for b, k in zip(begins[one].tolist(), lengths[one].tolist(), strict=True)])
             one = one[order]
             start = self.pieces.append(new)
-            at = (start + np.cumsum(counts) - counts).astype(np.uint64) << np.uint64(16) | counts.astype(np.uint64)
+            at = (start + np.cumsum(counts) - counts).astype(np.uint64) << np.uint64(6) | counts.astype(np.uint64)
             self.pieces.add(first[one], second[one], at)
             places[missing] = self.pieces.find(first[missing], second[missing])
             missing = missing[places[missing] == 0]
         kept_ids = self.pieces.n_ids
-        counts = (places & np.uint64(0xFFFF)).astype(np.int64)
-        source = (places >> np.uint64(16)).astype(np.int64)
+        counts = (places & np.uint64(63)).astype(np.int64)
+        source = (places >> np.uint64(6)).astype(np.int64)
         for i in np.flatnonzero(lengths > KEPT_BYTES).tolist():  # encoded on the spot
             own = np.frombuffer(self.plain(joined[begins[i]:begins[i] + lengths[i]].decode()), dtype="<u4")
             counts[i], source[i] = len(own), self.pieces.append(own)
@@ -202,8 +208,8 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def documents_ids(texts: list[str | None], vocabulary: str, at_once: int = 1_000_000) -> Iterable[bytes]:
-    """Ids of each document with the end id 0 behind them (null: the end id alone), about a megabyte of text at a time."""
+def documents_ids(texts: Iterable[str | None], vocabulary: str, at_once: int = 500_000) -> Iterable[bytes]:
+    """Ids of each document with the end id 0 behind them (null: the end id alone), about half a megabyte of text at a time."""
     own, some, size = encoder(vocabulary), [], 0
     for text in texts:
         some.append(text or "")

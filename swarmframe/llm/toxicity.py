@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, shipped
+from .common import held_out, shipped, texts_of
 
 BUCKET_BITS = 22
 
@@ -156,7 +156,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_var.value
         for batch in batches:
-            scores = pa.array([own.score(t) for t in batch.column(1).to_pylist()], pa.float64())
+            scores = pa.array([own.score(t) for t in texts_of(batch.column(1))], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     return shipped(rows).mapInArrow(run, f"doc_id {id_type}, score double")
