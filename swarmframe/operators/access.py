@@ -46,15 +46,16 @@ def validate_users(batch: DataFrame) -> DataFrame:
 
 def lookup_users(users: DataFrame, keys: DataFrame) -> DataFrame:
     """Public user and ``found`` for a batch of keys; ``keys`` has ``id``, ``email`` or both (id is tried first)."""
+    marked = public_user(users).withColumn("_known", F.lit(True))
     if "id" in keys.columns and "email" in keys.columns:
         by_id = keys.filter(F.col("id").isNotNull())
         by_email = keys.filter(F.col("id").isNull())
-        left = by_id.withColumnRenamed("email", "_email").join(public_user(users), "id", "left").drop("_email")
-        right = by_email.drop("id").join(public_user(users), "email", "left")
+        left = by_id.withColumnRenamed("email", "_email").join(marked, "id", "left").drop("_email")
+        right = by_email.drop("id").join(marked, "email", "left")
         both = left.unionByName(right)
     else:
-        both = keys.join(public_user(users), "id" if "id" in keys.columns else "email", "left")
-    return both.withColumn("found", F.col("created_at").isNotNull())
+        both = keys.join(marked, "id" if "id" in keys.columns else "email", "left")
+    return both.withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def add_users(users: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -68,8 +69,8 @@ def add_users(users: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFram
     # the first valid row of each address wins; partial minima first, so a repeated address is no hot group
     firsts = valid.groupBy("email").agg(F.min("seq").alias("seq"))
     accepted = firsts.join(users.select("email"), "email", "left_anti").select("seq", F.lit(1).alias("_one"))
-    # ids follow the order of the batch; counted in chunks of seq, never in one task
-    numbered = running(accepted, [], "seq", F.floor(F.col("seq") / CHUNK), {"_one": "_place"}).drop("_one")
+    # ids follow the order of the batch; counted in chunks of as many rows each, never in one task
+    numbered = running(accepted, [], "seq", {"_one": "_place"}).drop("_one")
     top = users.select(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
     numbered = numbered.select("seq", (F.col("_place") + top).cast("bigint").alias("id"))
     fresh = valid.join(numbered, "seq").select(

@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 from swarmframe.functions.geometry import box_iou
 from swarmframe.functions.text import active_label, detection_status
 from swarmframe.operators.sync import latest_per_drone
-from swarmframe.plans.boxes import (CELLS, COORDS, PAIR_LIMIT, crowded, filed, grid_pairs, overlapping, plain_pairs,
-                                    searching)
-from swarmframe.plans.lookup import micros
+from swarmframe.plans.boxes import CELLS, COORDS, filed, grid_pairs, is_real, overlapping, searching
+from swarmframe.plans.lookup import join_null_safe, micros
 from swarmframe.plans.once import stored
 from swarmframe.plans.scan import running
-from swarmframe.session import scratch_path
 
 # The COCO thresholds .50:.05:.95.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
-CHUNKS = 4096
 
 
 def filter_conf(det: DataFrame, conf: float = 0.25) -> DataFrame:
@@ -42,59 +39,33 @@ def _keys(class_aware: bool) -> list[str]:
     return ["image_id", "cls"] if class_aware else ["image_id"]
 
 
-def _distinct_boxes(df: DataFrame, keys: Sequence[str], best: Sequence[Column]) -> DataFrame:
-    """One row per set of coordinates: the one with the greatest ``best``."""
-    rest = [c for c in df.columns if c not in keys and c not in COORDS]
-    top = df.groupBy(*keys, *COORDS).agg(F.max(F.struct(
-        *[c.alias(f"_{i}") for i, c in enumerate(best)], *rest)).alias("_top"))
-    return top.select(*[F.col(c) if c in keys or c in COORDS else F.col(f"_top.{c}").alias(c) for c in df.columns])
-
-
-def _pairs(det: DataFrame, truth: DataFrame, iou: float, class_aware: bool, merge_copies: bool,
-           pair_limit: int | None) -> DataFrame:
+def _pairs(det: DataFrame, truth: DataFrame, iou: float, class_aware: bool) -> DataFrame:
     keys = _keys(class_aware)
     carry = [] if class_aware else ["cls"]
     a_carry, b_carry = ["box_id", "conf", *carry], ["box_id", *carry]
-    det = det.select(*keys, *COORDS, *a_carry)
-    truth = truth.select(*keys, *COORDS, *b_carry)
     if iou <= 0:
         raise ValueError("the IoU threshold must be above 0")
-    hot = None if pair_limit is None else crowded(det, truth, keys, pair_limit)
-    if hot is None or hot.isEmpty():
-        found = plain_pairs(det, truth, keys, iou, a_carry, b_carry)
-    else:
-        hot_det, hot_truth = det.join(hot, keys, "left_semi"), truth.join(hot, keys, "left_semi")
-        if merge_copies:
-            hot_det = _distinct_boxes(hot_det, keys, [F.col("conf"), -F.col("box_id")])
-            hot_truth = _distinct_boxes(hot_truth, keys, [-F.col("box_id")])
-        found = plain_pairs(det.join(hot, keys, "left_anti"), truth.join(hot, keys, "left_anti"), keys, iou,
-                            a_carry, b_carry).unionByName(
-            grid_pairs(hot_det, hot_truth, keys, iou, a_carry, b_carry))
-    named = found.select(*keys, F.col("_a_box_id").alias("det_id"), F.col("_b_box_id").alias("truth_id"),
-                         F.col("_a_conf").alias("conf"), "iou",
-                         *[F.col(f"_{s}_cls").alias(n) for s, n in (("a", "pred_cls"), ("b", "true_cls"))
-                           if not class_aware])
-    return named
-
-
-def match_boxes(det: DataFrame, truth: DataFrame, iou: float = 0.5, class_aware: bool = True,
-                pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
+    found = grid_pairs(det.select(*keys, *COORDS, *a_carry), truth.select(*keys, *COORDS, *b_carry), keys, iou, a_carry, b_carry)
+    return found.select(*keys, F.col("_a_box_id").alias("det_id"), F.col("_b_box_id").alias("truth_id"),
+                        F.col("_a_conf").alias("conf"), "iou",
+                        *[F.col(f"_{s}_cls").alias(n) for s, n in (("a", "pred_cls"), ("b", "true_cls"))
+                          if not class_aware])
+
+
+def match_boxes(det: DataFrame, truth: DataFrame, iou: float = 0.5, class_aware: bool = True) -> DataFrame:
     """Pairs of one image (and class) with IoU >= ``iou``: det_id, truth_id, conf, iou.
 
-    Images with more than ``pair_limit`` candidate pairs are matched through the grid; finding them is one
-    pre-aggregated count. ``pair_limit=None`` skips that check.
+    Boxes with a null, NaN or infinite coordinate, or without area, match nothing; a null image or class neither.
     """
-    return _pairs(det, truth, iou, class_aware, False, pair_limit)
+    return _pairs(det, truth, iou, class_aware)
 
 
-def best_matches(det: DataFrame, truth: DataFrame, iou: float = 0.5, class_aware: bool = True,
-                 pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
+def best_matches(det: DataFrame, truth: DataFrame, iou: float = 0.5, class_aware: bool = True) -> DataFrame:
     """The truth box each detection overlaps most (ties: lowest truth id), where the overlap reaches ``iou``.
 
-    In crowded images exact copies are merged first: of equal truth boxes only the lowest id can be chosen, and
-    of equal detections only the most confident can be right.
+    Copies of a box are boxes: each detection has its row.
     """
-    pairs = _pairs(det, truth, iou, class_aware, True, pair_limit)
+    pairs = _pairs(det, truth, iou, class_aware)
     keys = _keys(class_aware)
     extra = [] if class_aware else ["pred_cls", "true_cls"]
     best = pairs.groupBy(*keys, "det_id", *extra[:1]).agg(
@@ -115,19 +86,18 @@ def true_positives(best: DataFrame, thresholds: Sequence[float], class_aware: bo
     return top.select(*keys, "truth_id", *extra, "iou_threshold", *[F.col(f"_t.{c}").alias(c) for c in rest])
 
 
-def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5,
-                     pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
+def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
     """Every detection with ``is_tp``."""
-    hits = true_positives(best_matches(det, truth, iou, True, pair_limit), [iou])
+    hits = true_positives(best_matches(det, truth, iou), [iou])
     hits = hits.select("image_id", "cls", F.col("det_id").alias("box_id"), F.lit(True).alias("_hit"))
     return det.join(hits, ["image_id", "cls", "box_id"], "left").withColumn(
         "is_tp", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def _falling(points: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Running sums over falling confidence; one row per key and confidence, cut into chunks of confidence."""
+    """Running sums over falling confidence; one row per key and confidence, cut into chunks."""
     down = points.select(*keys, (-F.col("conf")).alias("_down"), *values)
-    sums = running(down, keys, "_down", F.floor(F.col("_down") * CHUNKS), values)
+    sums = running(down, keys, "_down", values)
     return sums.select(*keys, (-F.col("_down")).alias("conf"), *values.values())
 
 
@@ -145,10 +115,11 @@ def precision_recall_curve(matches: DataFrame, truth: DataFrame) -> DataFrame:
     points = stored(matches.groupBy("cls", "conf").agg(F.count("*").alias("n"), F.count_if("is_tp").alias("hit")),
                     "curve-points")
     sums = _falling(points, ["cls"], {"n": "n_det", "hit": "tp"})
-    # one row per class: far below any broadcast limit, and AQE checks it
-    return (sums.join(_truth_counts(truth), "cls")
+    # one row per class; a class without truth has false detections only
+    return (join_null_safe(sums, _truth_counts(truth), ["cls"], "left")
             .select("cls", "conf", "tp", (F.col("n_det") - F.col("tp")).alias("fp"),
-                    (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n_truth")).alias("recall")))
+                    (F.col("tp") / F.col("n_det")).alias("precision"),
+                    F.coalesce(F.col("tp") / F.col("n_truth"), F.lit(0.0)).alias("recall")))
 
 
 def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -167,14 +138,14 @@ def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5,
-                      thresholds: Sequence[float] = THRESHOLDS,
-                      pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
+                      thresholds: Sequence[float] = THRESHOLDS, class_mean: bool = False) -> DataFrame:
     """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``.
 
-    Matching runs when this is called; its counts per confidence are written to the shared folder.
+    Classes without truth or without detections have zeros. With ``class_mean`` one more row, of class null, has the
+    sums of the counts and the means of the rates over the classes that have truth. Matching runs when this is called; its counts per confidence are written to the shared folder.
     """
     levels = sorted({*thresholds, iou, 0.5})
-    hits = true_positives(best_matches(det, truth, levels[0], True, pair_limit), levels)
+    hits = true_positives(best_matches(det, truth, levels[0]), levels)
     right = stored(hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit")), "metric-hits")
     found = stored(det.groupBy("cls", "conf").agg(F.count("*").alias("n")), "metric-found")
     counts = _truth_counts(truth)
@@ -191,18 +162,24 @@ def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou:
     n_tp = (right.filter((F.col("iou_threshold") == iou) & (F.col("conf") >= conf)).groupBy("cls")
             .agg(F.sum("hit").alias("n_tp")))
     zero = F.lit(0).cast("bigint")
-    return (counts.join(n_det, "cls", "left").join(n_tp, "cls", "left").join(ap, "cls", "left")
-            .select("cls", "n_truth", F.coalesce("n_det", zero).alias("n_det"), F.coalesce("n_tp", zero).alias("n_tp"),
+    classes = counts.join(det.select("cls").distinct().where("cls IS NOT NULL"), "cls", "full")
+    rows = (classes.join(n_det, "cls", "left").join(n_tp, "cls", "left").join(ap, "cls", "left")
+            .select("cls", F.coalesce("n_truth", zero).alias("n_truth"), F.coalesce("n_det", zero).alias("n_det"), F.coalesce("n_tp", zero).alias("n_tp"),
                     F.coalesce(F.col("n_tp") / F.col("n_det"), F.lit(0.0)).alias("precision"),
                     F.coalesce(F.col("n_tp") / F.col("n_truth"), F.lit(0.0)).alias("recall"),
                     F.coalesce("ap50", F.lit(0.0)).alias("ap50"), F.coalesce("map", F.lit(0.0)).alias("map")))
+    if not class_mean:
+        return rows
+    has_truth = F.col("n_truth") > 0
+    mean = rows.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("n_truth", "n_det", "n_tp")],
+                    *[F.coalesce(F.avg(F.when(has_truth, F.col(c))), F.lit(0.0)).alias(c) for c in ("precision", "recall", "ap50", "map")])
+    return rows.unionByName(mean.withColumn("cls", F.lit(None).cast(rows.schema["cls"].dataType)))
 
 
-def confusion_matrix(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5,
-                     pair_limit: int | None = PAIR_LIMIT) -> DataFrame:
+def confusion_matrix(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5) -> DataFrame:
     """Counts per (true_cls, pred_cls); -1 is the background: missed truth boxes and false detections."""
     det = filter_conf(det, conf)
-    hits = true_positives(best_matches(det, truth, iou, False, pair_limit), [iou], False)
+    hits = true_positives(best_matches(det, truth, iou, False), [iou], False)
     matched = hits.groupBy(F.col("true_cls").cast("int").alias("true_cls"),
                            F.col("pred_cls").cast("int").alias("pred_cls")).agg(F.count("*").alias("n"))
 
@@ -231,10 +208,10 @@ def camera_dashboard(det: DataFrame, arrivals: DataFrame, as_of: Column, conf: f
 
 
 def _suppress_in_rows(det: DataFrame, iou: float) -> DataFrame:
-    """Suppression by folding the confidence-ordered boxes of each image; images here are small."""
+    """Suppression by folding the ranked boxes of each image; images here are small."""
     keys = ["image_id", "cls"]
-    rest = [c for c in det.columns if c not in keys]
-    packed = F.struct((-F.col("conf")).alias("_order"), F.col("box_id").alias("_id"), *rest)
+    rest = [c for c in det.columns if c not in [*keys, "_conf", "_id"]]
+    packed = F.struct((-F.col("_conf")).alias("_order"), "_id", *COORDS, *[c for c in rest if c not in COORDS])
     ordered = det.groupBy(*keys).agg(F.sort_array(F.collect_list(packed)).alias("_boxes"))
 
     def overlaps(kept: Column, box: Column) -> Column:
@@ -243,7 +220,7 @@ def _suppress_in_rows(det: DataFrame, iou: float) -> DataFrame:
     kept = F.aggregate("_boxes", F.slice("_boxes", 1, 0), lambda acc, box: F.when(
         F.exists(acc, lambda k: overlaps(k, box)), acc).otherwise(F.concat(acc, F.array(box))))
     return ordered.select(*keys, F.explode(kept).alias("_box")).select(
-        *[F.col(c) if c in keys else F.col(f"_box.{c}").alias(c) for c in det.columns])
+        *keys, *[F.col(f"_box.{c}").alias(c) for c in rest])
 
 
 def _suppress_in_rounds(det: DataFrame, iou: float) -> DataFrame:
@@ -254,56 +231,53 @@ def _suppress_in_rounds(det: DataFrame, iou: float) -> DataFrame:
     round handles each remaining box a bounded number of times. Rounds go on until no box is left. The state of
     each round is written to the shared folder, so a lost executor costs one round.
     """
-    spark = det.sparkSession
     keys = ["image_id", "cls"]
-    box = [*keys, "box_id"]
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"nms-{name}")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    rank = F.struct(F.col("conf").alias("c"), (-F.col("box_id")).alias("b"))
-    # a copy of a better box always goes: whatever removes the one removes the other
-    copies_out = _distinct_boxes(det, keys, [F.col("conf"), -F.col("box_id")])
-    left = saved(filed(copies_out.select(*box, *COORDS, "conf")).withColumn("_rank", rank), "left")
-    kept_ids = []
+    box = [*keys, *COORDS]
+    rank = F.struct(F.col("_conf").alias("c"), (-F.col("_id")).alias("b"), *[(-F.col(c)).alias(c) for c in COORDS])
+    left = stored(filed(det.select(*box, "_conf", "_id")).withColumn("_rank", rank), "nms-left")
+    kept_boxes = None
     while not left.isEmpty():
         looking = searching(left.drop(*CELLS), iou)
         leaders = left.groupBy(*keys, *CELLS).agg(F.max("_rank").alias("_lead"))
         best = (looking.select(*box, *CELLS).join(leaders, [*keys, *CELLS])
                 .groupBy(*box).agg(F.max("_lead").alias("_lead")))
-        kept = saved(left.join(best, box).filter(F.col("_lead") == F.col("_rank")).drop("_lead"), "kept")
-        kept_ids.append(kept.select(*box))
-        removed = (overlapping(looking, kept, keys, ["box_id"], ["box_id"])
-                   .filter(F.col("iou") > iou).select(*keys, F.col("_a_box_id").alias("box_id")))
+        kept = stored(left.join(best, box).filter(F.col("_lead") == F.col("_rank")).drop("_lead"), "nms-kept")
+        kept_boxes = kept.select(*box) if kept_boxes is None else kept_boxes.unionByName(kept.select(*box))
+        removed = (overlapping(looking, kept, keys, [], []).filter(F.col("iou") > iou)
+                   .select(*keys, *[F.col(f"_a_{c}").alias(c) for c in COORDS]))
         out = removed.unionByName(kept.select(*box)).distinct()
-        left = saved(left.join(out, box, "left_anti"), "left")
-    if not kept_ids:
-        return det.limit(0)
-    ids = kept_ids[0]
-    for more in kept_ids[1:]:
-        ids = ids.unionByName(more)
-    return det.join(ids, box, "left_semi").select(*det.columns)
+        left = stored(left.join(out, box, "left_anti"), "nms-left")
+    rows = det.drop("_conf", "_id")
+    return rows.limit(0) if kept_boxes is None else rows.join(kept_boxes, box, "left_semi").select(*rows.columns)
 
 
 def nms(det: DataFrame, iou: float = 0.45, group_limit: int = 2000) -> DataFrame:
-    """Per image and class, most confident first (ties: lowest box id): drop boxes with IoU above ``iou``.
+    """Per image and class, most confident first: drop boxes with IoU above ``iou``.
 
-    Images with more than ``group_limit`` boxes of a class are resolved in distributed rounds; finding them is
-    one pre-aggregated count. Boxes without area are kept: they overlap nothing.
+    One rule for images of any size: null and NaN confidences rank last, ties go to the lower box id (null last), then to
+    the smaller coordinates. Boxes with a null, NaN or infinite coordinate, or without area, overlap nothing and stay, as
+    all boxes do with ``iou`` of 1 or more. Of equal boxes the best stays; rows may share a box id.
+    ``group_limit`` only chooses the plan: images with more boxes of a class are resolved in distributed rounds, which run
+    when this is called; finding them is one pre-aggregated count.
     """
     if iou <= 0:
         raise ValueError("the IoU threshold must be above 0")
+    if iou >= 1:
+        return det
     keys = ["image_id", "cls"]
-    hot = det.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_limit).select(*keys)
+    lowest = F.lit(float("-inf"))
+    conf = F.coalesce(F.when(~F.isnan(F.col("conf").cast("double")), F.col("conf").cast("double")), lowest)
+    ranked = det.filter(is_real()).withColumns({"_conf": conf, "_id": F.coalesce(F.col("box_id").cast("bigint"), F.lit(2 ** 63 - 1))})
+    # a copy of a better box always goes: whatever removes the one removes the other
+    rest = [c for c in ranked.columns if c not in [*keys, *COORDS]]
+    top = ranked.groupBy(*keys, *COORDS).agg(F.max(F.struct(F.col("_conf").alias("_c"), (-F.col("_id")).alias("_i"), *rest)).alias("_top"))
+    boxes = top.select(*keys, *COORDS, *[F.col(f"_top.{c}").alias(c) for c in rest]).select(*ranked.columns)
+    hot = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_limit).select(*keys)
+    without = det.filter(~is_real())
     if hot.isEmpty():
-        return _suppress_in_rows(det, iou)
-    large = det.join(hot, keys, "left_semi")
-    area = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    return (_suppress_in_rows(det.join(hot, keys, "left_anti"), iou)
-            .unionByName(_suppress_in_rounds(large.filter(area), iou))
-            .unionByName(large.filter(~area)).select(*det.columns))
+        return without.unionByName(_suppress_in_rows(boxes, iou)).select(*det.columns)
+    return (without.unionByName(_suppress_in_rows(boxes.join(hot, keys, "left_anti"), iou))
+            .unionByName(_suppress_in_rounds(boxes.join(hot, keys, "left_semi"), iou)).select(*det.columns))
 
 
 __all__ = [

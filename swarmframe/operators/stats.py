@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swarmframe.operators.sync import SESSION
 from swarmframe.plans.lookup import micros
 from swarmframe.plans.scan import running, with_previous
 
-CHUNK = 4096
-
 
 def _ratio(top, bottom):
     return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
@@ -49,7 +47,7 @@ def drone_report(stats: DataFrame) -> DataFrame:
 
 
 def progress_sample(log: DataFrame, every: int = 100, idle_every: int = 10, connected: str | None = "connected",
-                    side: str = "sender", keys: Sequence[str] = SESSION, chunk_seconds: float = 3600) -> DataFrame:
+                    side: str = "sender", keys: Sequence[str] = SESSION) -> DataFrame:
     """Rows that are worth a progress line.
 
     Sender: every ``every``-th frame with a client, every ``idle_every``-th without (``connected=None``: always
@@ -60,10 +58,9 @@ def progress_sample(log: DataFrame, every: int = 100, idle_every: int = 10, conn
             F.when(F.col(connected), F.lit(every)).otherwise(F.lit(idle_every))
         return log.filter(F.pmod(F.col("frame_num"), step) == 0)
     candidates = log.filter(F.pmod(F.col("frame_num"), F.lit(every)) == 0)
-    chunk = F.floor(micros("arrival_ts") / F.lit(chunk_seconds * 1_000_000))
-    seen = with_previous(candidates, [*keys, "drone_id"], ["arrival_ts", "packet_id"], chunk,
-                         {"frame_num": "_before"})
-    return seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("frame_num"))).drop("_before")
+    timed = candidates.withColumn("_us", micros("arrival_ts"))
+    seen = with_previous(timed, [*keys, "drone_id"], ["_us", "packet_id"], {"frame_num": "_before"})
+    return seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("frame_num"))).drop("_before", "_us")
 
 
 def running_avg_kb(log: DataFrame, every: int = 100, keys: Sequence[str] = SESSION) -> DataFrame:
@@ -74,8 +71,7 @@ def running_avg_kb(log: DataFrame, every: int = 100, keys: Sequence[str] = SESSI
     """
     keys = [*keys, "drone_id"]
     frames = log.groupBy(*keys, "frame_num").agg(F.sum("packet_bytes").alias("_bytes"), F.count("*").alias("_n"))
-    chunk = F.floor(F.col("frame_num") / CHUNK)
-    sums = running(frames, keys, "frame_num", chunk, {"_bytes": "total_bytes", "_n": "sent"})
+    sums = running(frames, keys, "frame_num", {"_bytes": "total_bytes", "_n": "sent"})
     return (sums.filter(F.pmod(F.col("frame_num"), F.lit(every)) == 0)
             .select(*keys, "frame_num", "sent", (F.col("total_bytes") / F.col("sent") / 1024.0).alias("avg_kb")))
 
@@ -91,9 +87,9 @@ def connection_gaps(log: DataFrame, gap: float = 5.0, keys: Sequence[str] = SESS
     at = log.select(*keys, micros("arrival_ts").alias("_us"))
     slots = (at.withColumn("_slot", ((F.col("_us") - F.pmod("_us", width)) / width).cast("bigint"))
              .groupBy(*keys, "_slot").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last")))
-    pairs = with_previous(slots, keys, ["_slot"], F.floor(F.col("_slot") / CHUNK), {"_last": "_silent_from"})
+    pairs = with_previous(slots, keys, ["_slot"], {"_last": "_silent_from"})
     outages = pairs.filter(F.col("_first") - F.col("_silent_from") > width).withColumn("_one", F.lit(1))
-    numbered = running(outages, keys, "_slot", F.floor(F.col("_slot") / CHUNK), {"_one": "_n"})
+    numbered = running(outages, keys, "_slot", {"_one": "_n"})
     return numbered.select(*keys, F.timestamp_micros("_silent_from").alias("silent_from"),
                            F.timestamp_micros("_first").alias("back_at"),
                            ((F.col("_first") - F.col("_silent_from")) / 1_000_000.0).alias("gap_seconds"),
@@ -103,17 +99,15 @@ def connection_gaps(log: DataFrame, gap: float = 5.0, keys: Sequence[str] = SESS
 def frame_gaps(log: DataFrame, n_frames: int | None = None, keys: Sequence[str] = SESSION) -> DataFrame:
     """Runs of missing frame numbers per drone; with ``n_frames`` also before the first and after the last frame.
 
-    Frames are made distinct before the window, so a drone has at most one row per frame number in it.
+    Frames are made distinct first; the next frame comes from chunks of frames, so no task holds all of a drone's.
     """
     keys = [*keys, "drone_id"]
     frames = log.select(*keys, "frame_num").distinct()
-    after = F.lead("frame_num").over(Window.partitionBy(*keys).orderBy("frame_num"))
+    down = frames.where("frame_num IS NOT NULL").withColumn("_down", -F.col("frame_num"))
+    pairs = with_previous(down, keys, ["_down"], {"frame_num": "_next"}).drop("_down")
     if n_frames is not None:
-        after = F.coalesce(after, F.lit(n_frames))
         first = frames.groupBy(*keys).agg(F.min("frame_num").alias("_next")).withColumn("frame_num", F.lit(-1))
-        pairs = frames.withColumn("_next", after).unionByName(first)
-    else:
-        pairs = frames.withColumn("_next", after)
+        pairs = pairs.withColumn("_next", F.coalesce("_next", F.lit(n_frames))).unionByName(first)
     return (pairs.filter(F.col("_next") - F.col("frame_num") > 1)
             .select(*keys, (F.col("frame_num") + 1).cast("bigint").alias("gap_from"),
                     (F.col("_next") - 1).cast("bigint").alias("gap_to"),

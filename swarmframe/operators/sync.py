@@ -8,8 +8,9 @@ the smaller of ``first(f)`` and ``newer(f)``. Then an arrival of frame ``f`` in
 * displayed   when ``newer(f) > k``     (no newer frame had come by the end of ``k``),
 * superseded  otherwise.
 
-So the whole replay is one pre-aggregation by (session, frame), a suffix minimum over at most ``max_frame + 1``
-rows per session, and one join back. Nothing is replayed row by row.
+So the whole replay is one pre-aggregation by (session, frame), a suffix minimum over frames, cut into chunks, and one
+join back. Nothing is replayed row by row. Rows without a session, time, frame or known drone are invalid: they are
+outcomes, but never part of a set. Frame numbers have no bound unless ``max_frame`` gives one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from swarmframe.plans.lookup import latest, micros
 from swarmframe.plans.scan import running, with_previous
 
 SESSION = ("session_id",)
-CHUNK = 1024
 
 
 def tick_of(ts: Column | str, tick: float, origin_us: int = 0) -> Column:
@@ -34,26 +34,22 @@ def tick_of(ts: Column | str, tick: float, origin_us: int = 0) -> Column:
     return ((since - F.pmod(since, width)) / width).cast("bigint")
 
 
-def is_valid(n_drones: int = 8, max_frame: int | None = 999) -> Column:
-    """Drone id within 1..n_drones and, where a bound is given, frame number within 0..max_frame."""
-    ok = F.col("drone_id").between(1, n_drones)
+def is_valid(n_drones: int = 8, max_frame: int | None = None, keys: Sequence[str] = SESSION) -> Column:
+    """Known session, time and frame, drone id within 1..n_drones, frame number within 0..max_frame where that is given."""
+    ok = F.col("drone_id").between(1, n_drones) & F.col("frame_num").isNotNull() & F.col("arrival_ts").isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
     if max_frame is not None:
         ok = ok & F.col("frame_num").between(0, max_frame)
     return F.coalesce(ok, F.lit(False))
 
 
-def frame_timeline(ticked: DataFrame, keys: Sequence[str] = SESSION, max_frame: int | None = 999) -> DataFrame:
+def frame_timeline(ticked: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
     """Per (session, frame): first tick, ``newer`` and ``due`` as defined above. Input: valid rows with ``tick``."""
     keys = list(keys)
     firsts = ticked.groupBy(*keys, "frame_num").agg(F.min("tick").alias("first_tick"))
-    if max_frame is not None:
-        above = Window.partitionBy(*keys).orderBy(F.desc("frame_num")).rowsBetween(Window.unboundedPreceding, -1)
-        line = firsts.withColumn("newer", F.min("first_tick").over(above))
-    else:
-        # no bound on frame numbers: cut the session into chunks of frames
-        line = running(firsts.withColumn("_down", -F.col("frame_num")), keys, "_down",
-                       F.floor(F.col("_down") / CHUNK), {"first_tick": "newer"}, how="min",
-                       exclusive=True).drop("_down")
+    line = running(firsts.withColumn("_down", -F.col("frame_num")), keys, "_down", {"first_tick": "newer"}, how="min",
+                   exclusive=True).drop("_down")
     return line.withColumn("due", F.least("first_tick", "newer"))
 
 
@@ -62,11 +58,11 @@ def _ticked(arrivals: DataFrame, tick: float, origin_us: int) -> DataFrame:
 
 
 def sync_outcomes(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequence[str] = SESSION,
-                  max_frame: int | None = 999, origin_us: int = 0) -> DataFrame:
+                  max_frame: int | None = None, origin_us: int = 0) -> DataFrame:
     """Every arrival with its ``tick`` and ``outcome``: displayed, superseded, late or invalid."""
     keys = list(keys)
-    ticked = _ticked(arrivals, tick, origin_us).withColumn("_valid", is_valid(n_drones, max_frame))
-    line = frame_timeline(ticked.filter("_valid"), keys, max_frame).select(*keys, "frame_num", "newer", "due")
+    ticked = _ticked(arrivals, tick, origin_us).withColumn("_valid", is_valid(n_drones, max_frame, keys))
+    line = frame_timeline(ticked.filter("_valid"), keys).select(*keys, "frame_num", "newer", "due")
     # line holds one row per (session, frame), so a hot frame is split on the arrivals' side only
     joined = ticked.join(line, [*keys, "frame_num"], "left")
     outcome = (F.when(~F.col("_valid"), "invalid")
@@ -77,11 +73,11 @@ def sync_outcomes(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Seq
 
 
 def sync_sets(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequence[str] = SESSION,
-              max_frame: int | None = 999, origin_us: int = 0) -> DataFrame:
+              max_frame: int | None = None, origin_us: int = 0) -> DataFrame:
     """Every newly shown set: tick, frame number, members (last write per drone) and their count."""
     keys = list(keys)
-    valid = _ticked(arrivals, tick, origin_us).filter(is_valid(n_drones, max_frame))
-    line = frame_timeline(valid, keys, max_frame)
+    valid = _ticked(arrivals, tick, origin_us).filter(is_valid(n_drones, max_frame, keys))
+    line = frame_timeline(valid, keys)
     shown = line.filter((F.col("due") == F.col("first_tick"))
                         & (F.col("newer").isNull() | (F.col("newer") > F.col("first_tick"))))
     # at most n_drones members per set; last writes are found before the shuffle
@@ -97,25 +93,25 @@ def sync_sets(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequenc
 
 
 def sync_latest(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequence[str] = SESSION,
-                max_frame: int | None = 999, origin_us: int = 0) -> tuple[DataFrame, DataFrame]:
+                max_frame: int | None = None, origin_us: int = 0) -> tuple[DataFrame, DataFrame]:
     """Replay of the buffer under a poll every ``tick`` seconds -> (outcomes, sets)."""
     args = (arrivals, tick, n_drones, keys, max_frame, origin_us)
     return sync_outcomes(*args), sync_sets(*args)
 
 
 def poll_trace(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequence[str] = SESSION,
-               max_frame: int | None = 999, origin_us: int = 0) -> DataFrame:
+               max_frame: int | None = None, origin_us: int = 0) -> DataFrame:
     """What each poll returns: per session and tick with valid arrivals, the highest frame so far (repeats kept)."""
     keys = list(keys)
-    peaks = (_ticked(arrivals, tick, origin_us).filter(is_valid(n_drones, max_frame))
+    peaks = (_ticked(arrivals, tick, origin_us).filter(is_valid(n_drones, max_frame, keys))
              .groupBy(*keys, "tick").agg(F.max("frame_num").alias("_peak")))
-    return running(peaks, keys, "tick", F.floor(F.col("tick") / CHUNK), {"_peak": "frame_num"}, how="max") \
+    return running(peaks, keys, "tick", {"_peak": "frame_num"}, how="max") \
         .select(*keys, "tick", "frame_num")
 
 
 def dedupe_displayed(polls: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
     """Drop polls that return the same frame as the poll before."""
-    seen = with_previous(polls, keys, ["tick"], F.floor(F.col("tick") / CHUNK), {"frame_num": "_before"})
+    seen = with_previous(polls, keys, ["tick"], {"frame_num": "_before"})
     return seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("frame_num"))).drop("_before")
 
 
@@ -124,18 +120,10 @@ def last_write_wins(arrivals: DataFrame, keys: Sequence[str] = SESSION) -> DataF
     return latest(arrivals, [*keys, "drone_id", "frame_num"], ["arrival_ts", "packet_id"])
 
 
-def _drone_count(n_drones: int) -> Column:
-    # one bit per drone keeps the partial state at 8 bytes, however many rows a frame has
-    if n_drones <= 62:
-        bit = F.expr("shiftleft(1L, drone_id - 1)")
-        return F.bit_count(F.bit_or(bit)).cast("bigint")
-    return F.count_distinct("drone_id")
-
-
 def frame_completeness(arrivals: DataFrame, n_drones: int = 8, keys: Sequence[str] = SESSION) -> DataFrame:
     """Distinct drones per (session, frame) and whether the set is full."""
-    return (arrivals.filter(F.col("drone_id").between(1, n_drones)).groupBy(*keys, "frame_num")
-            .agg(_drone_count(n_drones).alias("n_drones"))
+    return (arrivals.filter(F.col("drone_id").between(1, n_drones)).select(*keys, "frame_num", "drone_id").distinct()
+            .groupBy(*keys, "frame_num").agg(F.count("*").alias("n_drones"))
             .withColumn("is_full", F.col("n_drones") == n_drones))
 
 
@@ -177,7 +165,7 @@ def buffer_stats(outcomes: DataFrame, sets: DataFrame, n_drones: int = 8,
         F.count_if(F.col("outcome") == "late").alias("dropped"),
         F.max("tick").alias("_last_tick")))
     ends = per_drone.groupBy(*keys).agg(F.max("_last_tick").alias("_end"))
-    # sets are few: frame numbers of shown sets only grow, so a session has at most max_frame + 1
+    # shown sets only: at most one per poll of a session
     by_tick = Window.partitionBy(*keys).orderBy("tick")
     spans = sets.select(*keys, "tick", "frame_num", "n_drones",
                         F.transform("drones", lambda d: d["drone_id"]).alias("_members"),
@@ -238,7 +226,7 @@ def grid_manifest(sets: DataFrame, n_drones: int = 8, keys: Sequence[str] = SESS
 def rolling_fps(sets: DataFrame, tick: float, n: int = 30, keys: Sequence[str] = SESSION) -> DataFrame:
     """Instantaneous display rate of each new set and the mean over the last ``n`` rates.
 
-    Frame numbers of shown sets only grow, so one session has at most ``max_frame + 1`` rows here.
+    Only shown sets come in: at most one row per poll of a session.
     """
     by_tick = Window.partitionBy(*keys).orderBy("tick")
     gap = (F.col("tick") - F.lag("tick").over(by_tick)) * F.lit(float(tick))

@@ -1,9 +1,8 @@
 """Pairs of overlapping boxes, without forming all pairs of a crowded image.
 
 Two boxes with IoU >= t have widths within a factor 1/t of each other and left edges at most
-``(1 - t) * max(width)`` apart; the same holds for heights and top edges. In crowded images a box is therefore
-filed under its size class and grid cell, and the other side looks only into the classes and cells it can match.
-Other images are joined on their key alone.
+``(1 - t) * max(width)`` apart; the same holds for heights and top edges. A box is therefore filed under its size
+class and grid cell, and the other side looks only into the classes and cells it can match, in images of any size.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 from swarmframe.functions.geometry import box_iou
 
-# Images with more candidate pairs than this use the grid.
-PAIR_LIMIT = 4_000_000
 _BASE = 4.0
 _SLACK = 1e-9
 COORDS = ["x1", "y1", "x2", "y2"]
@@ -53,24 +50,27 @@ def _iou() -> Column:
     return box_iou(*[F.col(f"_a_{c}") for c in COORDS], *[F.col(f"_b_{c}") for c in COORDS])
 
 
-def _real(df: DataFrame) -> DataFrame:
-    return df.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+def real(df: DataFrame) -> DataFrame:
+    """Boxes that can overlap: with an area and finite coordinates. Others (null, NaN, infinite, empty) overlap nothing."""
+    return df.filter(is_real())
 
 
-def plain_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], iou: float, a_carry: Sequence[str],
-                b_carry: Sequence[str]) -> DataFrame:
-    joined = _named(_real(a), "a", keys, a_carry).join(_named(_real(b), "b", keys, b_carry), list(keys))
-    return joined.withColumn("iou", _iou()).filter(F.col("iou") >= iou)
+def is_real() -> Column:
+    ok = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    for c in COORDS:
+        # NaN is greater than infinity
+        ok = ok & (F.abs(c) < float("inf"))
+    return F.coalesce(ok, F.lit(False))
 
 
 def filed(df: DataFrame) -> DataFrame:
     """Boxes with the size class and cell they are filed under."""
-    return _file(_file(_real(df), "x"), "y")
+    return _file(_file(real(df), "x"), "y")
 
 
 def searching(df: DataFrame, iou: float) -> DataFrame:
     """Boxes once per size class and cell in which a box with at least this IoU can be filed."""
-    return _search(_search(_real(df), "x", iou), "y", iou)
+    return _search(_search(real(df), "x", iou), "y", iou)
 
 
 def overlapping(looking: DataFrame, found: DataFrame, keys: Sequence[str], a_carry: Sequence[str],
@@ -82,13 +82,5 @@ def overlapping(looking: DataFrame, found: DataFrame, keys: Sequence[str], a_car
 
 def grid_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], iou: float, a_carry: Sequence[str],
                b_carry: Sequence[str]) -> DataFrame:
-    """Same result as ``plain_pairs``; ``a`` looks up the cells ``b`` is filed under. Needs ``iou`` > 0."""
+    """Pairs with at least this IoU, which must be above 0; ``a`` looks up the cells ``b`` is filed under."""
     return overlapping(searching(a, iou), filed(b), keys, a_carry, b_carry).filter(F.col("iou") >= iou)
-
-
-def crowded(a: DataFrame, b: DataFrame, keys: Sequence[str], limit: int = PAIR_LIMIT) -> DataFrame:
-    """Keys with more than ``limit`` candidate pairs, counted from map-side partial counts."""
-    both = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-    return (both.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-            .filter(F.col("_a").cast("double") * F.col("_b") > limit).select(*keys))

@@ -14,6 +14,15 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which ``left``'s are kept; a null equals a null."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"_right_{k}"])
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the one with the greatest ``order``. Partial maxima are taken before the shuffle."""
     keys = list(keys)

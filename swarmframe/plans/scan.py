@@ -1,58 +1,68 @@
 """Running values over long ordered groups, without one task per group.
 
-A window partitioned by a session, a camera or a class puts that whole group into one task. These plans cut the
-group into chunks of the order value, run the window inside each chunk, carry one value per chunk across chunks
-(a table smaller by the chunk size), and join the carried value back. No step holds a whole group.
+A window partitioned by a session, a camera or a class puts that whole group into one task. These plans cut the rows
+into chunks at quantiles of the order value, so chunks hold about as many rows each whatever the values are, run the
+window inside each chunk, carry one value per chunk across chunks, and join the carried value back. No step holds a
+whole group. Keys and order values may be null: a null key is a key, null orders come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COMBINE = {
-    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
-    "max": F.greatest,
-    "min": F.least,
-}
+from swarmframe.plans.lookup import join_null_safe
 
+CHUNKS = 64
 
-def running(df: DataFrame, keys: Sequence[str], order: str, chunk: Column, values: dict[str, str],
-            how: str = "sum", exclusive: bool = False) -> DataFrame:
+
+def chunked(df: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
+    """Add ``_chunk``: how many of ``chunks - 1`` approximate quantiles of ``order`` lie below the row's."""
+    shares = [i / chunks for i in range(1, chunks)]
+    bounds = df.select(F.percentile_approx(order, shares, 100 * chunks)).scalar()
+    below = [F.coalesce((F.get("_bounds", F.lit(i)) < F.col(order)).cast("int"), F.lit(0)) for i in range(chunks - 1)]
+    return df.withColumn("_bounds", bounds).withColumn("_chunk", reduce(add, below, F.lit(0))).drop("_bounds")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], how: str = "sum",
+            exclusive: bool = False, chunks: int = CHUNKS) -> DataFrame:
     """Add running ``how`` (sum, max or min) of each ``values[column] -> name`` in ascending ``order``.
 
-    ``chunk`` must not decrease as ``order`` grows, and ``order`` must be unique within ``keys``. With
-    ``exclusive`` the row itself is left out, and the first row of a group gets null.
+    ``order`` must be unique within ``keys``. With ``exclusive`` the row itself is left out, and the first row of a
+    group gets null.
     """
     keys = list(keys)
     agg = getattr(F, how)
-    rows = df.withColumn("_chunk", chunk)
+    rows = chunked(df, order, chunks)
     totals = rows.groupBy(*keys, "_chunk").agg(*[agg(c).alias(f"_total_{n}") for c, n in values.items()])
+    # at most ``chunks`` rows per key
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, "_chunk", *[agg(f"_total_{n}").over(before).alias(f"_carry_{n}")
                                                for n in values.values()])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1 if exclusive else 0)
     local = rows.select("*", *[agg(c).over(inside).alias(f"_local_{n}") for c, n in values.items()])
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = join_null_safe(local, carried, [*keys, "_chunk"])
 
     def combined(n: str) -> Column:
         here, earlier = F.col(f"_local_{n}"), F.col(f"_carry_{n}")
-        if how == "sum" and exclusive:
-            return F.when(here.isNull() & earlier.isNull(), None).otherwise(
-                F.coalesce(earlier, F.lit(0)) + F.coalesce(here, F.lit(0)))
-        return _COMBINE[how](earlier, here)
+        if how != "sum":
+            return (F.greatest if how == "max" else F.least)(earlier, here)
+        return F.when(here.isNotNull() | earlier.isNotNull(),
+                      F.coalesce(earlier, F.lit(0)) + F.coalesce(here, F.lit(0)))
 
     return joined.select(*df.columns, *[combined(n).alias(n) for n in values.values()])
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                  values: dict[str, str]) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
+                  chunks: int = CHUNKS) -> DataFrame:
     """Add the previous row's ``values[column] -> name`` in ascending ``order`` (``lag`` by one, cut into chunks)."""
     keys = list(keys)
-    rows = df.withColumn("_chunk", chunk)
+    rows = chunked(df, order[0], chunks)
     packed = F.struct(*order, *[F.col(c).alias(f"_v_{n}") for c, n in values.items()])
     tails = rows.groupBy(*keys, "_chunk").agg(F.max(packed).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_chunk")
@@ -60,7 +70,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = rows.select("*", F.row_number().over(inside).alias("_place"),
                         *[F.lag(c).over(inside).alias(f"_local_{n}") for c, n in values.items()])
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = join_null_safe(local, carried, [*keys, "_chunk"])
     return joined.select(*df.columns, *[
         F.when(F.col("_place") == 1, F.col(f"_carry._v_{n}")).otherwise(F.col(f"_local_{n}")).alias(n)
         for n in values.values()])

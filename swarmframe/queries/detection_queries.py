@@ -61,9 +61,14 @@ def metrics(spark, sf):
                        *[F.round(c, 9).alias(c) for c in ("precision", "recall", "ap50", "map")])
 
 
+def mean_metrics(spark, sf):
+    rows = D.detection_metrics(*_both(spark, sf), class_mean=True).where("cls IS NULL")
+    return rows.select("n_truth", "n_det", "n_tp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "ap50", "map")])
+
+
 def dashboard(spark, sf):
     det = detections(spark, sf).select(
-        F.lit(1).cast("bigint").alias("session_id"), (F.col("image_id") % 8 + 1).cast("int").alias("drone_id"),
+        (F.floor(F.col("image_id") / 8) % 3 + 1).cast("bigint").alias("session_id"), (F.col("image_id") % 8 + 1).cast("int").alias("drone_id"),
         (F.col("image_id") % 720).alias("frame_num"), "conf")
     return D.camera_dashboard(det, arrivals(spark, sf), ts("2024-01-20 12:00:00"), active_within=1800).select(
         "session_id", "drone_id", "title", "frame_num", "detections", "status", "state")
@@ -99,28 +104,39 @@ ap AS (
   SELECT level, cls, sum(p) / 101 AS ap FROM (
     SELECT level, cls, r, coalesce(max(p), 0) AS p FROM reach JOIN grid ON reached >= r GROUP BY ALL) GROUP BY ALL)"""
 
+_METRICS = _LEVELS + """,
+at_conf AS (
+  SELECT cls, CAST(sum(n) AS BIGINT) AS n_det, CAST(sum(tp) AS BIGINT) AS n_tp FROM per_conf
+  WHERE level = 0.5 AND conf >= 0.25 GROUP BY cls),
+metrics AS (
+  SELECT cls, coalesce(n_truth, 0) AS n_truth, coalesce(n_det, 0) AS n_det, coalesce(n_tp, 0) AS n_tp,
+         coalesce(n_tp * 1.0::DOUBLE / n_det, 0) AS precision, coalesce(n_tp * 1.0::DOUBLE / n_truth, 0) AS recall,
+         coalesce((SELECT max(ap) FROM ap WHERE ap.cls = c.cls AND level = 0.5), 0) AS ap50,
+         coalesce((SELECT sum(ap) / 10 FROM ap WHERE ap.cls = c.cls), 0) AS map
+  FROM (SELECT cls FROM truth UNION SELECT cls FROM det) c LEFT JOIN totals USING (cls) LEFT JOIN at_conf USING (cls))"""
+
 _RANKED = f"""
 {BOXES},
 big AS (
-  SELECT image_id // 5 AS image_id, image_id % 5 * 100 + box_id AS box_id, x1, y1, x2 + 400 AS x2, y2 + 400 AS y2, conf
+  SELECT image_id // 5 AS image_id, cls, image_id % 5 * 100 + box_id AS box_id, x1, y1, x2 + 400 AS x2, y2 + 400 AS y2, conf
   FROM det),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, box_id) AS place FROM big),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, box_id) AS place FROM big),
 conflicts AS (
-  SELECT b.image_id, a.place AS better, b.place AS worse FROM ranked a JOIN ranked b
-  ON a.image_id = b.image_id AND a.place < b.place,
+  SELECT b.image_id, b.cls, a.place AS better, b.place AS worse FROM ranked a JOIN ranked b
+  ON a.image_id = b.image_id AND a.cls = b.cls AND a.place < b.place,
      LATERAL (SELECT greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0)
                      * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS ia)
   WHERE ia / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - ia) > 0.45),
-beaten AS (SELECT image_id, worse, list(better) AS better FROM conflicts GROUP BY ALL),
+beaten AS (SELECT image_id, cls, worse, list(better) AS better FROM conflicts GROUP BY ALL),
 walk AS (
-  SELECT image_id, 1::BIGINT AS place, [1::BIGINT] AS kept FROM ranked WHERE place = 1
+  SELECT image_id, cls, 1::BIGINT AS place, [1::BIGINT] AS kept FROM ranked WHERE place = 1
   UNION ALL
-  SELECT r.image_id, r.place,
+  SELECT r.image_id, r.cls, r.place,
          CASE WHEN list_has_any(w.kept, coalesce(b.better, [])) THEN w.kept ELSE list_append(w.kept, r.place) END
-  FROM walk w JOIN ranked r ON r.image_id = w.image_id AND r.place = w.place + 1
-  LEFT JOIN beaten b ON b.image_id = r.image_id AND b.worse = r.place),
-kept AS (SELECT image_id, unnest(kept) AS place FROM (
-  SELECT image_id, arg_max(kept, place) AS kept FROM walk GROUP BY ALL))"""
+  FROM walk w JOIN ranked r ON r.image_id = w.image_id AND r.cls = w.cls AND r.place = w.place + 1
+  LEFT JOIN beaten b ON b.image_id = r.image_id AND b.cls = r.cls AND b.worse = r.place),
+kept AS (SELECT image_id, cls, unnest(kept) AS place FROM (
+  SELECT image_id, cls, arg_max(kept, place) AS kept FROM walk GROUP BY ALL))"""
 
 QUERIES = {
     "filter_conf": (filtered, f"WITH {BOXES} SELECT image_id, box_id, round(conf, 9) AS conf FROM det WHERE conf >= 0.25"),
@@ -133,35 +149,51 @@ SELECT image_id, det_id, truth_id, round(iou, 9) AS iou FROM overlapping WHERE i
     "best_detections": (best, f"""WITH {BOXES}
 SELECT image_id, box_id, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, box_id) AS rank FROM det) WHERE rank <= 2"""),
-    "nms": (suppressed, f"WITH RECURSIVE {_RANKED} SELECT image_id, box_id FROM kept JOIN ranked USING (image_id, place)"),
+    "nms": (suppressed, f"WITH RECURSIVE {_RANKED} SELECT image_id, box_id FROM kept JOIN ranked USING (image_id, cls, place)"),
     "precision_recall_curve": (curve, f"""WITH {_HITS},
 flagged AS (
   SELECT d.cls, d.conf, count(*) AS n, count(h.det_id) AS tp
   FROM det d LEFT JOIN hits h ON h.image_id = d.image_id AND h.cls = d.cls AND h.det_id = d.box_id GROUP BY ALL)
 SELECT cls, round(conf, 9) AS conf, CAST(sum(tp) OVER w AS BIGINT) AS tp, CAST(sum(n - tp) OVER w AS BIGINT) AS fp,
        round(sum(tp) OVER w * 1.0::DOUBLE / sum(n) OVER w, 9) AS precision,
-       round(sum(tp) OVER w * 1.0::DOUBLE / (SELECT count(*) FROM truth), 9) AS recall
+       round(coalesce(sum(tp) OVER w * 1.0::DOUBLE / nullif((SELECT count(*) FROM truth t WHERE t.cls = flagged.cls), 0), 0), 9) AS recall
 FROM flagged WINDOW w AS (PARTITION BY cls ORDER BY conf DESC)"""),
-    "detection_metrics": (metrics, f"""WITH {_LEVELS}
-SELECT t.cls, t.n_truth, CAST(sum(n) AS BIGINT) AS n_det, CAST(sum(tp) AS BIGINT) AS n_tp,
-       round(sum(tp) * 1.0::DOUBLE / sum(n), 9) AS precision, round(sum(tp) * 1.0::DOUBLE / t.n_truth, 9) AS recall,
-       round((SELECT max(ap) FROM ap WHERE ap.cls = t.cls AND level = 0.5), 9) AS ap50,
-       round((SELECT sum(ap) / 10 FROM ap WHERE ap.cls = t.cls), 9) AS map
-FROM totals t JOIN per_conf p ON p.cls = t.cls AND level = 0.5 AND conf >= 0.25 GROUP BY t.cls, t.n_truth"""),
+    "detection_metrics": (metrics, f"""WITH {_METRICS}
+SELECT cls, n_truth, n_det, n_tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ap50, 9) AS ap50,
+       round(map, 9) AS map FROM metrics"""),
+    "detection_metrics_mean": (mean_metrics, f"""WITH {_METRICS}
+SELECT CAST(sum(n_truth) AS BIGINT) AS n_truth, CAST(sum(n_det) AS BIGINT) AS n_det, CAST(sum(n_tp) AS BIGINT) AS n_tp,
+       round(avg(precision) FILTER (WHERE n_truth > 0), 9) AS precision, round(avg(recall) FILTER (WHERE n_truth > 0), 9) AS recall,
+       round(avg(ap50) FILTER (WHERE n_truth > 0), 9) AS ap50, round(avg(map) FILTER (WHERE n_truth > 0), 9) AS map
+FROM metrics"""),
     "confusion_matrix": (lambda s, d: D.confusion_matrix(*_both(s, d)), f"""WITH {_VOC},
-hits AS (SELECT count(DISTINCT (image_id, truth_id)) AS n FROM best WHERE conf >= 0.25)
-SELECT 0 AS true_cls, 0 AS pred_cls, n FROM hits
-UNION ALL SELECT 0, -1, (SELECT count(*) FROM truth) - n FROM hits
-UNION ALL SELECT -1, 0, (SELECT count(*) FROM det WHERE conf >= 0.25) - n FROM hits"""),
+confident AS (SELECT * FROM det WHERE conf >= 0.25),
+any_class AS (
+  SELECT d.image_id, d.cls AS pred_cls, t.cls AS true_cls, d.box_id AS det_id, t.box_id AS truth_id, d.conf, ia,
+         (d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) - ia AS ua
+  FROM confident d JOIN truth t USING (image_id),
+       LATERAL (SELECT greatest(least(d.x2, t.x2) - greatest(d.x1, t.x1), 0)
+                       * greatest(least(d.y2, t.y2) - greatest(d.y1, t.y1), 0) AS ia)),
+nearest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, det_id ORDER BY ia / ua DESC, truth_id) AS rn
+                 FROM any_class WHERE ua > 0 AND ia / ua >= 0.5) WHERE rn = 1),
+hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, truth_id ORDER BY conf DESC, det_id) AS place
+                 FROM nearest) WHERE place = 1)
+SELECT true_cls, pred_cls, count(*) AS n FROM hits GROUP BY ALL
+UNION ALL SELECT cls, -1, count(*) FROM truth t WHERE NOT EXISTS (
+  SELECT 1 FROM hits h WHERE h.image_id = t.image_id AND h.truth_id = t.box_id) GROUP BY cls
+UNION ALL SELECT -1, cls, count(*) FROM confident d WHERE NOT EXISTS (
+  SELECT 1 FROM hits h WHERE h.image_id = d.image_id AND h.det_id = d.box_id) GROUP BY cls"""),
     "camera_dashboard": (dashboard, f"""WITH {ARRIVALS}, {BOXES},
 last AS (
   SELECT session_id, drone_id, arg_max(frame_num, (arrival_ts, packet_id)) AS frame_num, max(arrival_ts) AS last_at
   FROM arrivals WHERE arrival_ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL),
 n AS (
-  SELECT l.drone_id, count(d.box_id) AS n FROM last l
-  LEFT JOIN det d ON d.image_id % 8 + 1 = l.drone_id AND d.image_id % 720 = l.frame_num AND d.conf >= 0.25 GROUP BY ALL)
+  SELECT l.session_id, l.drone_id, count(d.box_id) AS n FROM last l
+  LEFT JOIN det d ON d.image_id % 8 + 1 = l.drone_id AND d.image_id // 8 % 3 + 1 = l.session_id AND d.image_id % 720 = l.frame_num AND d.conf >= 0.25 GROUP BY ALL)
 SELECT session_id, drone_id, printf('Camera %03d', drone_id) AS title, frame_num, n AS detections,
        CASE WHEN n > 0 THEN n || ' TARGETS' ELSE 'NO TARGETS' END AS status,
        CASE WHEN TIMESTAMP '2024-01-20 12:00:00' - last_at <= INTERVAL 1800 SECOND THEN 'ACTIVE' ELSE 'INACTIVE' END AS state
-FROM last JOIN n USING (drone_id)"""),
+FROM last JOIN n USING (session_id, drone_id)"""),
 }

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from swarmframe.operators.packets import pack_packets
 from swarmframe.queries.views import (ARRIVALS, HOUR, ORIGIN_US, PACKETS, REPLAY, arrivals_of, packets,
-                                      table)
+                                      table, ts)
 from swarmframe.session import SETTINGS, scratch_path
 from swarmframe.sources import stream_packets
 from swarmframe.streaming import (stream_decode, stream_dedup, stream_dropped, stream_sessions, stream_sets,
@@ -18,11 +18,21 @@ BASE = ORIGIN_US // 3_600_000_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def _closed(spark, sf) -> DataFrame:
+    """Good arrivals and, in a session of its own, one long after them: it closes all windows and connections before it."""
+    path = scratch_path(spark, "end")
+    live = _arrivals(spark, sf)
+    last = spark.range(1).select(*[F.lit({"session_id": -1, "drone_id": 1, "frame_num": 0}.get(f.name)).cast(f.dataType).alias(f.name)
+                                   if f.name != "arrival_ts" else ts("2100-01-01 00:00:00").alias(f.name) for f in live.schema])
+    last.write.parquet(path)
+    return live.unionByName(spark.readStream.schema(live.schema).parquet(path))
+
+
 def _arrivals(spark, sf, failed: bool = False) -> DataFrame:
     spark.conf.set(_PROVIDER, SETTINGS[_PROVIDER])
     schema = table(spark, sf, "events").schema
     events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
+              .parquet(sf))
     rows = arrivals_of(events)
     return rows if failed else rows.filter(~F.col("failed"))
 
@@ -39,23 +49,24 @@ def _drained(df: DataFrame, name: str) -> DataFrame:
 
 
 def synced(spark, sf):
-    sets = _drained(stream_sets(stream_sync(_arrivals(spark, sf), HOUR)), "sets")
+    sets = _drained(stream_sets(stream_sync(_closed(spark, sf), HOUR)), "sets")
     return sets.select("session_id", (F.col("tick") - BASE).alias("tick"), "frame_num",
                        F.col("n_drones").cast("bigint").alias("n_drones"), "drone_id", "packet_id")
 
 
 def dropped(spark, sf):
-    return stream_dropped(_drained(stream_sync(_arrivals(spark, sf), HOUR), "outcomes"))
+    return stream_dropped(_drained(stream_sync(_closed(spark, sf), HOUR), "outcomes"))
 
 
 def tick_max(spark, sf):
-    peaks = _drained(stream_tick_max(_arrivals(spark, sf), HOUR), "peaks")
+    peaks = _drained(stream_tick_max(_closed(spark, sf), HOUR), "peaks")
     return peaks.select("session_id", (F.col("tick") - BASE).alias("tick"), "frame_num")
 
 
 def sessions(spark, sf):
-    rows = _drained(stream_sessions(_arrivals(spark, sf), "4 hours", "0 seconds"), "sessions")
-    return rows.select("session_id", "drone_id", F.col("connected_at").cast("timestamp_ntz").alias("connected_at"), "packets")
+    rows = _drained(stream_sessions(_closed(spark, sf), "4 hours", "0 seconds"), "sessions")
+    return rows.select("session_id", "drone_id", F.col("connected_at").cast("timestamp_ntz").alias("connected_at"),
+                       F.col("last_at").cast("timestamp_ntz").alias("last_at"), "packets")
 
 
 def dedup(spark, sf):
@@ -95,17 +106,14 @@ def decoded(spark, sf):
     return rows.unionByName(errors)
 
 
-# only windows that a later arrival has closed are in the sinks
-_CLOSED = "tick < (SELECT max(tick) FROM good)"
-
 QUERIES = {
     "stream_sync": (synced, f"""WITH {REPLAY}
 SELECT session_id, tick, frame_num, n_drones, drone_id, packet_id
-FROM members JOIN sets USING (session_id, tick, frame_num) WHERE {_CLOSED}"""),
+FROM members JOIN sets USING (session_id, tick, frame_num)"""),
     "stream_dropped": (dropped, f"""WITH {REPLAY}
 SELECT session_id, drone_id, count(*) FILTER (WHERE outcome <> 'late') AS received,
-       count(*) FILTER (WHERE outcome = 'late') AS dropped FROM outcomes WHERE {_CLOSED} GROUP BY ALL"""),
-    "stream_tick_max": (tick_max, f"WITH {REPLAY} SELECT session_id, tick, peak AS frame_num FROM peaks WHERE {_CLOSED}"),
+       count(*) FILTER (WHERE outcome = 'late') AS dropped FROM outcomes GROUP BY ALL"""),
+    "stream_tick_max": (tick_max, f"WITH {REPLAY} SELECT session_id, tick, peak AS frame_num FROM peaks"),
     "stream_sessions": (sessions, f"""WITH {ARRIVALS},
 marked AS (
   SELECT *, coalesce(epoch_us(arrival_ts) - epoch_us(lag(arrival_ts) OVER w) >= 14400000000, TRUE) AS starts
@@ -115,8 +123,7 @@ numbered AS (
 runs AS (
   SELECT session_id, drone_id, n, min(arrival_ts) AS connected_at, max(arrival_ts) AS last_at, count(*) AS packets
   FROM numbered GROUP BY ALL)
-SELECT session_id, drone_id, connected_at, packets FROM runs
-WHERE last_at + INTERVAL 4 HOUR <= (SELECT max(arrival_ts) FROM good)"""),
+SELECT session_id, drone_id, connected_at, last_at, packets FROM runs"""),
     "stream_dedup": (dedup, f"WITH {ARRIVALS} SELECT DISTINCT session_id, drone_id, frame_num FROM good"),
     "stream_stats": (totals, f"""WITH {ARRIVALS}
 SELECT drone_id, count(*) AS received, count(*) FILTER (WHERE failed) AS failed,

@@ -42,7 +42,7 @@ def deduped(spark, sf):
 
 
 def buffer_stats(spark, sf):
-    return sync.buffer_stats(_outcomes(spark, sf), _sets(spark, sf)).drop("buffer_min", "buffer_max")
+    return sync.buffer_stats(_outcomes(spark, sf), _sets(spark, sf))
 
 
 def buffer_text(spark, sf):
@@ -125,7 +125,8 @@ SELECT session_id, tick, frame_num FROM (
         lambda s, d: sync.frame_completeness(good_arrivals(s, d)), f"""WITH {ARRIVALS}
 SELECT session_id, frame_num, count(DISTINCT drone_id) AS n_drones, count(DISTINCT drone_id) = 8 AS is_full
 FROM good GROUP BY ALL"""),
-    "buffer_stats": (buffer_stats, f"WITH {_BUFFER} SELECT * EXCLUDE (shown) FROM stats"),
+    "buffer_stats": (buffer_stats, f"""WITH {_BUFFER} SELECT * EXCLUDE (shown), CASE WHEN buffer_size = 1 THEN shown END AS buffer_min,
+       CASE WHEN buffer_size = 1 THEN shown END AS buffer_max FROM stats"""),
     "buffer_status_text": (buffer_text, f"""WITH {_BUFFER}
 SELECT session_id, drone_id, printf('rx=%4d, drop=%3d, buf=%2d [%s]', received, dropped, buffer_size,
        CASE WHEN buffer_size = 1 THEN CAST(shown AS VARCHAR) ELSE 'empty' END) AS status FROM stats"""),
@@ -146,7 +147,7 @@ SELECT session_id, drone_id, arg_max(frame_num, (arrival_ts, packet_id)) AS fram
 FROM good WHERE arrival_ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY ALL"""),
     "rolling_fps": (fps, f"""WITH {REPLAY},
 rates AS (
-  SELECT session_id, tick, frame_num, 1.0::DOUBLE / ((tick - lag(tick) OVER (ORDER BY tick)) * 3600.0::DOUBLE) AS fps
+  SELECT session_id, tick, frame_num, 1.0::DOUBLE / ((tick - lag(tick) OVER (PARTITION BY session_id ORDER BY tick)) * 3600.0::DOUBLE) AS fps
   FROM sets),
 means AS (
   SELECT *, avg(fps) OVER (PARTITION BY session_id ORDER BY tick ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS a
@@ -174,7 +175,7 @@ SELECT drone_id, received, dropped FROM stats ORDER BY drone_id"""),
 SELECT packet_id, drone_id, frame_num, packet_id % 5 <> 0 AS connected FROM arrivals
 WHERE frame_num % (CASE WHEN packet_id % 5 <> 0 THEN 100 ELSE 10 END) = 0"""),
     "progress_sample_receiver": (
-        lambda s, d: stats.progress_sample(good_arrivals(s, d), every=20, side="receiver", chunk_seconds=24 * HOUR)
+        lambda s, d: stats.progress_sample(good_arrivals(s, d), every=20, side="receiver")
         .select("packet_id", "drone_id", "frame_num"), f"""WITH {ARRIVALS}
 SELECT packet_id, drone_id, frame_num FROM (
   SELECT *, lag(frame_num) OVER (PARTITION BY session_id, drone_id ORDER BY arrival_ts, packet_id) AS prev

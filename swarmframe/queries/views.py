@@ -17,7 +17,6 @@ ORIGIN_US = 1_704_067_200_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # the tables hold UTC wall-clock times
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,8 +34,7 @@ def arrivals_of(events: DataFrame) -> DataFrame:
     late = F.when(F.col("event_id") % 7 == 0, 2).otherwise(0)
     at = F.col("ts").cast("timestamp")
     return events.select(
-        # one session; written as an expression, or Spark would fold the key away and plan for a single group
-        (F.col("event_id") >= 0).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
+        (F.floor(F.col("user_id") / 8) % 3 + 1).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
         (F.col("user_id") % 8 + 1).cast("int").alias("drone_id"),
         F.greatest(F.lit(0).cast("bigint"), tick_of(at, HOUR, ORIGIN_US) - late).alias("frame_num"),
         at.alias("arrival_ts"), (F.col("event_type") == "error").alias("failed"),
@@ -49,7 +47,7 @@ def good_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARRIVALS = """
 arrivals AS (
-  SELECT CAST(1 AS BIGINT) AS session_id, event_id AS packet_id, CAST(user_id % 8 + 1 AS BIGINT) AS drone_id,
+  SELECT CAST(user_id // 8 % 3 + 1 AS BIGINT) AS session_id, event_id AS packet_id, CAST(user_id % 8 + 1 AS BIGINT) AS drone_id,
          greatest(0, (epoch_us(ts) - 1704067200000000) // 3600000000
                      - CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) AS frame_num,
          ts AS arrival_ts, (epoch_us(ts) - 1704067200000000) // 3600000000 AS tick,
@@ -190,8 +188,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("l_discount").alias("d"), F.max("l_extendedprice").alias("e"), F.max("l_tax").alias("t"))
     return merged.select(
         F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("box_id"),
-        # one class, likewise as an expression
-        (F.col("q") < 0).cast("int").alias("cls"), (F.col("p") % 1440).cast("double").alias("x1"),
+        (F.col("l_linenumber") % 3).cast("int").alias("cls"), (F.col("p") % 11 == 0).alias("_mistaken"), (F.col("p") % 1440).cast("double").alias("x1"),
         (F.col("s") * 37 % 810).cast("double").alias("y1"), (F.col("q") + 20).alias("_size"),
         (F.col("d") * 100).alias("_shift"), (0.1 + (F.col("e") % 1000) / 1112).alias("conf"), "t")
 
@@ -203,20 +200,23 @@ def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = _boxes(spark, sf_dir).filter(F.col("t") != 0).withColumn("x1", F.col("x1") + F.col("_shift"))
+    # some detections name another class; class 3 has no truth
+    moved = moved.withColumn("cls", F.when(F.col("_mistaken"), F.col("cls") + 1).otherwise(F.col("cls")))
     return moved.select("image_id", "box_id", "cls", "x1", "y1", (F.col("x1") + F.col("_size")).alias("x2"),
                         (F.col("y1") + F.col("_size")).alias("y2"), "conf")
 
 
 BOXES = """
 merged AS (
-  SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS box_id, 0 AS cls,
+  SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS box_id, CAST(l_linenumber % 3 AS INTEGER) AS cls,
+         max(l_partkey) % 11 = 0 AS mistaken,
          CAST(max(l_partkey) % 1440 AS DOUBLE) AS x1, CAST(max(l_suppkey) * 37 % 810 AS DOUBLE) AS y1,
          max(l_quantity) + 20 AS size, max(l_discount) * 100 AS shift,
          0.1::DOUBLE + (max(l_extendedprice) % 1000) / 1112 AS conf, max(l_tax) AS tax
   FROM lineitem GROUP BY l_orderkey, l_linenumber),
 truth AS (SELECT image_id, box_id, cls, x1, y1, x1 + size AS x2, y1 + size AS y2 FROM merged),
 det AS (
-  SELECT image_id, box_id, cls, x1 + shift AS x1, y1, x1 + shift + size AS x2, y1 + size AS y2, conf
+  SELECT image_id, box_id, cls + CAST(mistaken AS INTEGER) AS cls, x1 + shift AS x1, y1, x1 + shift + size AS x2, y1 + size AS y2, conf
   FROM merged WHERE tax <> 0)"""
 
 IOU = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,13 +40,12 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; a local temporary folder only where none is set and Spark is local."""
-    import tempfile
-    import uuid
-
-    base = shared_dir(spark)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="swarmframe-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A new path in a folder that all executors can reach; what lies there goes when the session's JVM ends.
+
+    ``spark.checkpoint.dir`` where the session names it, the warehouse otherwise.
+    """
+    base = shared_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from swarmframe.operators.packets import decode_packets, drop_wrong_drone
+from swarmframe.operators.packets import decode_packets, decode_sections, drop_wrong_drone, validate_packets
 
 
 def _trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
@@ -25,9 +26,14 @@ def stream_decode(packets: DataFrame, good_path: str, bad_path: str, checkpoint:
     Each micro-batch replaces its own folder, so a repeated batch leaves no duplicates.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = decode_packets(batch)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        checked = validate_packets(batch).persist()  # checked once for both tables
+        try:
+            good = decode_sections(checked.filter(F.col("error_kind").isNull())).drop("packet")
+            good.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+            bad = checked.filter(F.col("error_kind").isNotNull()).select(*batch.columns, "error_kind")
+            bad.write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
+        finally:
+            checked.unpersist()
 
     writer = packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()

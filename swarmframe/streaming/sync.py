@@ -1,8 +1,8 @@
 """Alignment of live streams.
 
-Arrivals are first aggregated per (session, poll window, frame, drone): a window then has at most
-``n_drones * (max_frame + 1)`` rows per session, however many packets arrive. A stateful operator keyed by
-session keeps one number, the last shown frame, and walks the closed windows in order.
+Arrivals are aggregated per (session, poll window, frame, drone), then per (session, poll window): one row per window
+with its highest frame and its cells. A stateful operator keyed by session keeps one number, the last shown frame, and
+gets these rows only: Python sees one row per window. What became of each cell is decided in the JVM behind it.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from swarmframe.operators.sync import is_valid, tick_of
 
-OUTPUT = ("session_id long, tick long, kind string, frame_num long, n_drones int, drone_id int, packet_id long, "
-          "arrival_ts timestamp, n long")
+OUTPUT = "session_id long, tick long, before long, shown long, cells string"
+_CELLS = "array<struct<frame_num:bigint,drone_id:int,packet_id:bigint,us:bigint,n:bigint>>"
 
 
 def _interval(seconds: float) -> str:
@@ -31,7 +31,7 @@ def stream_dedup(arrivals: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 def stream_tick_max(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8,
-                    max_frame: int | None = 999) -> DataFrame:
+                    max_frame: int | None = None) -> DataFrame:
     """Highest frame number of each closed poll window per session."""
     return (arrivals.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
             .groupBy("session_id", F.window("arrival_ts", _interval(tick)))
@@ -52,26 +52,20 @@ def _replay(session_ttl: float | None) -> StatefulProcessor:
             self._shown = handle.getValueState("shown", "frame_num long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            cells = pd.concat(list(rows), ignore_index=True)
+            # one row per closed window
+            ticks = pd.concat(list(rows), ignore_index=True).sort_values("tick", ignore_index=True)
             known = self._shown.get() if self._shown.exists() else None
             shown = -1 if known is None else int(known[0])
-            peaks = cells.groupby("tick")["frame_num"].max().sort_index()
-            before = peaks.cummax().shift(1, fill_value=shown).clip(lower=shown)
-            cells["_before"] = cells["tick"].map(before)
-            cells["_now"] = cells["tick"].map(peaks.cummax().clip(lower=shown))
-            late = cells["frame_num"] <= cells["_before"]
-            shown_now = ~late & (cells["frame_num"] == cells["_now"])
-            cells["kind"] = "superseded"
-            cells.loc[late, "kind"] = "late"
-            cells.loc[shown_now, "kind"] = "displayed"
-            cells["n_drones"] = cells.groupby(["tick", "kind", "frame_num"])["drone_id"].transform("size").astype("int32")
-            cells["session_id"] = key[0]
-            self._shown.update((max(shown, int(peaks.max())),))
+            peaks = ticks["peak"].cummax().clip(lower=shown)
+            ticks["before"] = peaks.shift(1, fill_value=shown)
+            ticks["shown"] = peaks
+            ticks["session_id"] = key[0]
+            self._shown.update((int(peaks.iloc[-1]),))
             if ttl_ms is not None:
                 for timer in list(self._handle.listTimers()):
                     self._handle.deleteTimer(timer)
-                self._handle.registerTimer(int(cells["closed_at"].max().timestamp() * 1000) + ttl_ms)
-            yield cells.sort_values(["tick", "frame_num", "drone_id"])[columns]
+                self._handle.registerTimer(int(ticks["closed_at"].max().timestamp() * 1000) + ttl_ms)
+            yield ticks[columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._shown.clear()
@@ -84,25 +78,35 @@ def _replay(session_ttl: float | None) -> StatefulProcessor:
 
 
 def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8,
-                max_frame: int = 999, session_ttl: float | None = None) -> DataFrame:
+                max_frame: int | None = None, session_ttl: float | None = None) -> DataFrame:
     """Cells of closed poll windows with what became of them.
 
     One row per (session, tick, frame, drone): ``kind`` displayed, superseded or late, the last packet of the
     cell, and ``n``, the number of arrivals it stands for. Displayed rows of one tick are the members of a newly
-    shown set; ``n_drones`` is their number. Lateness is by frame number; ``delay`` only says how long a window
+    shown set; ``n_drones`` is their number (null for other rows). Lateness is by frame number; ``delay`` only says how long a window
     waits for packets. ``session_ttl`` seconds after its last window a session is forgotten.
     """
     cells = (arrivals.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
              .groupBy("session_id", F.window("arrival_ts", _interval(tick)), "frame_num", "drone_id")
              .agg(F.max(F.struct("arrival_ts", "packet_id")).alias("_last"), F.count("*").alias("n"))
-             .select("session_id", F.window_time("window").alias("closed_at"),
-                     tick_of(F.col("window.start"), tick).alias("tick"), "frame_num",
+             .select("session_id", F.window_time("window").alias("closed_at"), "frame_num",
                      F.col("drone_id").cast("int").alias("drone_id"), F.col("_last.packet_id").alias("packet_id"),
-                     # rebuilt, so that only the window counts as the event time from here on
-                     F.timestamp_micros(F.unix_micros("_last.arrival_ts")).alias("arrival_ts"), "n"))
-    return cells.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_replay(session_ttl), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="EventTime")
+                     F.unix_micros("_last.arrival_ts").alias("us"), "n"))
+    ticks = (cells.groupBy("session_id", F.window("closed_at", _interval(tick)))
+             .agg(F.max("frame_num").alias("peak"),
+                  F.to_json(F.collect_list(F.struct("frame_num", "drone_id", "packet_id", "us", "n"))).alias("cells"))
+             .select("session_id", F.window_time("window").alias("closed_at"),
+                     tick_of(F.col("window.start"), tick).alias("tick"), "peak", "cells"))
+    walked = ticks.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_replay(session_ttl), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    each = walked.withColumn("cells", F.from_json("cells", _CELLS))
+    displayed = F.size(F.filter("cells", lambda c: (c["frame_num"] > F.col("before")) & (c["frame_num"] == F.col("shown"))))
+    rows = each.select("session_id", "tick", "before", "shown", displayed.alias("_members"), F.inline("cells"))
+    late, now = F.col("frame_num") <= F.col("before"), F.col("frame_num") == F.col("shown")
+    kind = F.when(late, "late").when(now, "displayed").otherwise("superseded")
+    return rows.select("session_id", "tick", kind.alias("kind"), "frame_num",
+                       F.when(~late & now, F.col("_members")).cast("int").alias("n_drones"), "drone_id", "packet_id",
+                       F.timestamp_micros("us").alias("arrival_ts"), "n")
 
 
 def stream_sets(synced: DataFrame) -> DataFrame:

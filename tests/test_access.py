@@ -97,3 +97,15 @@ def test_revocation_table(spark):
                                   "seq bigint, token string, expires_at timestamp")
     got = {r.token: (r.blacklisted_at, r.expires_at) for r in A.revoke_tokens(tab, batch, now()).collect()}
     assert got == {"a": (T, hours(5)), "b": (T, hours(1)), "d": (T, hours(3))}
+
+
+def test_sign_ups_with_sparse_request_numbers(spark):
+    """Requests numbered by microseconds: ids still follow their order, and no task gets all of them."""
+    users = spark.createDataFrame([(7, "a@b.c", "h", "Name", "user", None, None)],
+                                  "id bigint, email string, password_hash string, full_name string, role string, created_at timestamp, updated_at timestamp")
+    batch = spark.createDataFrame([(i * 1_000_003, f"u{i}@b.c", "secret12", "h", "Some Name", None) for i in range(500)],
+                                  "seq bigint, email string, password string, password_hash string, full_name string, role string")
+    _, results = A.add_users(users, batch, F.lit("2024-01-01").cast("timestamp"))
+    assert [r.id for r in results.orderBy("seq").collect()] == list(range(8, 508))
+    found = A.lookup_users(users, spark.createDataFrame([(7,), (8,)], "id bigint")).orderBy("id").collect()
+    assert [r.found for r in found] == [True, False]

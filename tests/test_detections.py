@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swarmframe.operators import detections as D
-from swarmframe.plans.boxes import grid_pairs, plain_pairs
+from swarmframe.plans.boxes import grid_pairs
 from swarmframe.schemas import BOXES, DETECTIONS
 
 
@@ -41,14 +41,61 @@ def greedy(rows, limit):
 
 
 @pytest.mark.parametrize("threshold", [0.1, 0.45, 0.5, 0.9, 1.0])
-def test_grid_finds_the_same_pairs(spark, threshold):
+def test_grid_finds_all_pairs(spark, threshold):
     a, b = crowd(150, 1), crowd(150, 2)
-    got = [{(r._a_box_id, r._b_box_id) for r in pairs(boxes(spark, a), boxes(spark, b, False), ["image_id", "cls"], threshold,
-                                                      ["box_id"], ["box_id"]).collect()} for pairs in (plain_pairs, grid_pairs)]
+    got = [(r._a_box_id, r._b_box_id) for r in grid_pairs(boxes(spark, a), boxes(spark, b, False), ["image_id", "cls"], threshold,
+                                                          ["box_id"], ["box_id"]).collect()]
     want = {(x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] == y[2] and iou(x[3:7], y[3:7]) >= threshold}
-    assert got[0] == got[1] == want
-    n = grid_pairs(boxes(spark, a), boxes(spark, b, False), ["image_id", "cls"], threshold, ["box_id"], ["box_id"]).count()
-    assert n == len(want)
+    assert set(got) == want and len(got) == len(want)
+
+
+INF, NAN = float("inf"), float("nan")
+# kept at IoU 0.45, in an image by themselves: (rows as box_id, x1, y1, x2, y2, conf), ids that stay
+RULES = {
+    "null coordinate": ([(1, 0, 0, 10, 10, .9), (2, 0, 0, 10, 10, .8), (3, None, 0, 10, 10, .7)], [1, 3]),
+    "infinite coordinate": ([(1, 0, 0, 10, 10, .9), (2, 0, 0, INF, 10, .8), (3, -INF, 0, INF, 10, .7)], [1, 2, 3]),
+    "NaN coordinate": ([(1, 0, 0, NAN, 10, .9), (2, 0, 0, 10, 10, .8)], [1, 2]),
+    "null confidence": ([(1, 0, 0, 10, 10, None), (2, 0, 0, 10, 11, .1)], [2]),
+    "NaN confidence": ([(1, 0, 0, 10, 10, NAN), (2, 0, 0, 10, 11, .1)], [2]),
+    "null and NaN tie": ([(1, 0, 0, 10, 10, NAN), (2, 0, 0, 10, 11, None)], [1]),
+    "repeated id": ([(1, 0, 0, 10, 10, .9), (1, 0, 0, 10, 11, .8), (1, 50, 50, 60, 60, .7), (2, 0, 0, 11, 10, .6)], [1, 1]),
+    "repeated row": ([(1, 0, 0, 10, 10, .9), (1, 0, 0, 10, 10, .9)], [1]),
+    "no area": ([(1, 5, 5, 5, 9, .9), (2, 5, 5, 5, 9, .8)], [1, 2]),
+}
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+@pytest.mark.parametrize("case", RULES)
+def test_nms_follows_one_rule_at_any_size(spark, case, limit):
+    rows, want = RULES[case]
+    det = boxes(spark, [(1, i, 0, *[None if v is None else float(v) for v in rest]) for i, *rest in rows])
+    assert sorted(r.box_id for r in D.nms(det, 0.45, group_limit=limit).collect()) == want
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_nothing_overlaps_more_than_all(spark, limit):
+    det = boxes(spark, [(1, 1, 0, 0.0, 0.0, 9.0, 9.0, .9), (1, 2, 0, 0.0, 0.0, 9.0, 9.0, .8)])
+    assert D.nms(det, 1.0, group_limit=limit).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 3000])
+def test_matching_does_not_depend_on_the_size_of_the_image(spark, n):
+    far = [(1, 1000 + i, 0, 1000.0 + 20 * i, 0.0, 1010.0 + 20 * i, 10.0, .5) for i in range(n)]
+    det = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0, .9), (1, 2, 0, 0.0, 0.0, 10.0, 10.0, .8), (1, 3, 0, 0.0, 0.0, INF, 10.0, .7),
+           (1, 4, 0, None, 0.0, 10.0, 10.0, .6)]
+    truth = [(1, 7, 0, 0.0, 0.0, 10.0, 10.0), (1, 8, 0, 0.0, 0.0, INF, 10.0)]
+    ddf, tdf = boxes(spark, det + far), spark.createDataFrame(truth, BOXES)
+    for found in (D.best_matches(ddf, tdf), D.match_boxes(ddf, tdf)):
+        assert sorted((r.det_id, r.truth_id) for r in found.collect()) == [(1, 7), (2, 7)]
+
+
+def test_classes_without_truth_or_detections_stay(spark):
+    det = boxes(spark, [(1, 1, 0, 0.0, 0.0, 10.0, 10.0, .9), (1, 2, 1, 0.0, 0.0, 10.0, 10.0, .8)])
+    truth = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 5, 2, 0.0, 0.0, 10.0, 10.0)], BOXES)
+    rows = {r.cls: (r.n_truth, r.n_det, r.n_tp, r.precision, r.recall, round(r.map, 6)) for r in D.detection_metrics(det, truth, class_mean=True).collect()}
+    assert rows == {0: (1, 1, 1, 1.0, 1.0, 1.0), 1: (0, 1, 0, 0.0, 0.0, 0.0), 2: (1, 0, 0, 0.0, 0.0, 0.0), None: (2, 2, 1, 0.5, 0.5, 0.5)}
+    curve = D.precision_recall_curve(D.label_detections(det, truth), truth).collect()
+    assert sorted((r.cls, r.tp, r.fp, r.recall) for r in curve) == [(0, 1, 0, 1.0), (1, 0, 1, 0.0)]
 
 
 @pytest.mark.parametrize("limit", [10_000, 20])
@@ -81,8 +128,7 @@ def voc(det, truth, threshold):
     return set(hits.values())
 
 
-@pytest.mark.parametrize("limit", [None, 50])
-def test_matching_and_metrics(spark, limit):
+def test_matching_and_metrics(spark):
     truth = crowd(120, 4, spread=40)
     rnd = random.Random(9)
     det = [(r[0], i, r[2], r[3] + rnd.uniform(-2, 2), r[4] + rnd.uniform(-2, 2), r[5] + rnd.uniform(-2, 2), r[6] + rnd.uniform(-2, 2),
@@ -90,9 +136,9 @@ def test_matching_and_metrics(spark, limit):
     det += [(1, 5000 + i, 0, 500.0 + i, 0.0, 510.0 + i, 10.0, 0.5) for i in range(5)]
     ddf, tdf = boxes(spark, det), boxes(spark, truth, False)
     want = {(d[1], t[1]) for d in det for t in truth if d[0] == t[0] and d[2] == t[2] and iou(d[3:7], t[3:7]) >= 0.5}
-    assert {(r.det_id, r.truth_id) for r in D.match_boxes(ddf, tdf, 0.5, pair_limit=limit).collect()} == want
+    assert {(r.det_id, r.truth_id) for r in D.match_boxes(ddf, tdf, 0.5).collect()} == want
     hits = voc(det, truth, 0.5)
-    marked = D.label_detections(ddf, tdf, 0.5, pair_limit=limit)
+    marked = D.label_detections(ddf, tdf, 0.5)
     assert {r.box_id for r in marked.filter("is_tp").collect()} == hits
     curve = {(r.cls, r.conf): (r.tp, r.fp) for r in D.precision_recall_curve(marked, tdf).collect()}
     for cls in (0, 1):
@@ -100,7 +146,7 @@ def test_matching_and_metrics(spark, limit):
             above = [d[1] for d in det if d[2] == cls and d[7] >= c]
             tp = len([d for d in above if d in hits])
             assert curve[(cls, c)] == (tp, len(above) - tp)
-    metrics = {r.cls: r for r in D.detection_metrics(ddf, tdf, 0.25, 0.5, pair_limit=limit).collect()}
+    metrics = {r.cls: r for r in D.detection_metrics(ddf, tdf, 0.25, 0.5).collect()}
     for cls in (0, 1):
         n = len([t for t in truth if t[2] == cls])
         aps = []

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swarmframe.operators import stats, sync
-from swarmframe.plans.scan import running, with_previous
+from swarmframe.plans.scan import chunked, running, with_previous
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "session_id bigint, packet_id bigint, drone_id int, frame_num bigint, arrival_ts timestamp"
@@ -59,8 +59,7 @@ def table(spark, rows):
 
 
 @pytest.mark.parametrize("bounded", [True, False])
-def test_replay_matches_brute_force(spark, bounded, monkeypatch):
-    monkeypatch.setattr(sync, "CHUNK", 4)
+def test_replay_matches_brute_force(spark, bounded):
     n_drones, max_frame = 3, 40
     rows = traces()
     if not bounded:
@@ -140,27 +139,55 @@ def test_polls_and_rates(spark):
     assert fps[1].footer == "Synchronized Frame: 0009 | Display FPS: 0.4"
 
 
-def test_chunked_scans_equal_plain_windows(spark):
+@pytest.mark.parametrize("step", [1, 1_000_003])
+def test_chunked_scans_equal_plain_windows(spark, step):
+    """Dense and sparse orders, null keys, a null order, one chunk and many."""
     rnd = random.Random(5)
-    rows = [(rnd.randint(0, 2), i, rnd.randint(-50, 50)) for i in rnd.sample(range(2000), 400)]
+    rows = [(rnd.choice([0, 1, 2, None]), i * step, rnd.randint(-50, 50)) for i in rnd.sample(range(2000), 300)] + [(1, None, 7)]
     df = spark.createDataFrame(rows, "k int, o bigint, v bigint")
-    chunk = F.floor(F.col("o") / 64)
-    for how in ("sum", "max", "min"):
-        for exclusive in (False, True):
-            got = {(r.k, r.o): r.x for r in running(df, ["k"], "o", chunk, {"v": "x"}, how, exclusive).collect()}
-            for k, o, _ in rows:
-                before = [v for k2, o2, v in rows if k2 == k and (o2 < o or (o2 == o and not exclusive))]
-                assert got[(k, o)] == ({"sum": sum, "max": max, "min": min}[how](before) if before else None)
-    got = {(r.k, r.o): r.p for r in with_previous(df, ["k"], ["o"], chunk, {"v": "p"}).collect()}
-    for k, o, _ in rows:
-        before = [(o2, v) for k2, o2, v in rows if k2 == k and o2 < o]
-        assert got[(k, o)] == (max(before)[1] if before else None)
-    total = running(df, [], "o", chunk, {"v": "x"}).orderBy(F.desc("o")).first().x
+    at = lambda o: -1 if o is None else o
+    for chunks, how, exclusive in ((64, "sum", False), (5, "sum", True), (64, "max", True), (2, "min", False), (1, "max", False)):
+        got = {(r.k, r.o): r.x for r in running(df, ["k"], "o", {"v": "x"}, how, exclusive, chunks).collect()}
+        assert len(got) == len(rows)
+        for k, o, _ in rows:
+            before = [v for k2, o2, v in rows if k2 == k and (at(o2) < at(o) or (o2 == o and not exclusive))]
+            assert got[(k, o)] == ({"sum": sum, "max": max, "min": min}[how](before) if before else None)
+    for chunks in (3, 64):
+        got = {(r.k, r.o): r.p for r in with_previous(df, ["k"], ["o"], {"v": "p"}, chunks).collect()}
+        for k, o, _ in rows:
+            before = [(at(o2), v) for k2, o2, v in rows if k2 == k and at(o2) < at(o)]
+            assert got[(k, o)] == (max(before)[1] if before else None)
+    total = running(df, [], "o", {"v": "x"}).orderBy(F.desc("o")).first().x
     assert total == sum(v for _, _, v in rows)
+    assert running(df.limit(0), ["k"], "o", {"v": "x"}).collect() == []
 
 
-def test_gaps_and_progress(spark, monkeypatch):
-    monkeypatch.setattr(stats, "CHUNK", 2)
+def test_chunks_hold_about_as_many_rows_each(spark):
+    rows = [(i * i * 1_000_000,) for i in range(4000)]
+    sizes = [r["count"] for r in chunked(spark.createDataFrame(rows, "o bigint"), "o", 16).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * min(sizes)
+
+
+def test_high_frames_and_incomplete_rows(spark):
+    origin = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    df = spark.createDataFrame(
+        [(1, i, 1, 300 * i, T0 + dt.timedelta(seconds=i)) for i in range(10)]
+        + [(None, 50, 1, 5, T0), (1, 51, 1, 5000, None), (1, 52, None, 5000, T0), (1, 53, 1, None, T0)], SCHEMA)
+    outcomes, sets = sync.sync_latest(df, 1.0, origin_us=origin)
+    assert max(r.frame_num for r in sets.collect()) == 2700
+    got = {r.packet_id: r.outcome for r in outcomes.collect()}
+    assert {i: got[i] for i in (50, 51, 52, 53)} == dict.fromkeys((50, 51, 52, 53), "invalid") and got[9] == "displayed"
+    shown = {d.packet_id for r in sets.collect() for d in r.drones}
+    assert shown == {i for i, o in got.items() if o == "displayed"}
+    log = spark.createDataFrame([(1, 1, 1, 20, T0), (1, 2, None, 20, T0), (None, 3, 1, 20, None)], SCHEMA)
+    assert sorted(r.packet_id for r in stats.progress_sample(log, every=20, side="receiver").collect()) == [1, 2, 3]
+    sized = log.withColumn("packet_bytes", F.lit(1024))
+    assert stats.running_avg_kb(sized, every=20).count() == 3
+    polls = spark.createDataFrame([(None, 1, 5), (None, 2, 5), (1, 1, 7)], "session_id bigint, tick bigint, frame_num bigint")
+    assert sorted((r.session_id or 0, r.tick) for r in sync.dedupe_displayed(polls).collect()) == [(0, 1), (1, 1)]
+
+
+def test_gaps_and_progress(spark):
     rnd = random.Random(11)
     rows, pid = [], 0
     for drone in (1, 2):
@@ -185,7 +212,7 @@ def test_gaps_and_progress(spark, monkeypatch):
     missing = {(d, f) for d, a, b, _ in gaps for f in range(a, b + 1)}
     assert missing == {(d, f) for d in (1, 2) for f in range(60)} - {(r[2], r[3]) for r in rows}
     assert all(n == b - a + 1 for _, a, b, n in gaps)
-    sampled = stats.progress_sample(df, every=4, side="receiver", chunk_seconds=7).collect()
+    sampled = stats.progress_sample(df, every=4, side="receiver").collect()
     want = []
     for drone in (1, 2):
         last = None
