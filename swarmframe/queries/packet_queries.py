@@ -59,8 +59,22 @@ def header_info(spark, sf):
 
 def sections(spark, sf):
     packed = P.pack_packets(packets(spark, sf)).select("packet_id", X.packet_sections("packet").alias("s"))
-    return packed.select("packet_id", F.length("s.jpeg").cast("bigint").alias("jpeg_size"),
-                         F.nullif("s.k_text", F.lit("")).alias("k_text"), F.col("s.dist_text").alias("dist_text"))
+    vectors = packed.select("packet_id", "s", *[X.decode_vec3(f"s.{v}").alias(v) for v in ("rvec", "tvec")])
+    return vectors.select("packet_id", F.hex("s.jpeg").alias("jpeg"),
+                          *[F.get(v, F.lit(i)).alias(f"{v[0]}{i}") for v in ("rvec", "tvec") for i in range(3)],
+                          F.nullif("s.k_text", F.lit("")).alias("k_text"), F.col("s.dist_text").alias("dist_text"))
+
+
+def headers(spark, sf):
+    packed = P.pack_packets(packets(spark, sf)).select("packet_id", X.decode_header("packet").alias("h"), X.f64_le("packet", 16).alias("sent"))
+    return packed.select("packet_id", *[F.col(f"h.{n}").alias(n) for n in ("drone_id", "frame_num", "jpeg_size", "ts")], "sent")
+
+
+def overlay_fractions(spark, sf):
+    """Overlay lines of a matrix in eighths: ties of the rounding to whole numbers come up."""
+    eighths = F.transform(X.parse_camera_matrix("k_text"), lambda row: F.transform(row, lambda v: v / 8))
+    known = calibration(spark, sf).select("vec_id", "drone_id", "frame_num", X.intrinsics(eighths).alias("intr"), X.position("tvec").alias("pos"))
+    return known.select("vec_id", X.overlay_text("drone_id", "frame_num", "intr", "pos").alias("o")).select("vec_id", "o.line2", "o.line3")
 
 
 def round_trip(spark, sf):
@@ -160,17 +174,17 @@ def extrinsic_xml(spark, sf):
 
 def loaded(spark, sf):
     known = C.load_calibration(_intr(spark, sf).drop("vec_id"), _extr(spark, sf).drop("vec_id"))
-    k = X.intrinsics("K")
-    return known.select("drone_id", "frame_num", k["fx"].cast("double").alias("fx"), k["cy"].cast("double").alias("cy"),
-                        F.get("t", F.lit(2)).cast("double").alias("tz"),
-                        F.get("dist", F.lit(4)).cast("double").alias("k3"))
+    return known.select("drone_id", "frame_num", *_cells("K", "k"), *_cells("R", "r", 5),
+                        *[F.get("t", F.lit(i)).cast("double").alias(f"t{i}") for i in range(3)],
+                        *[F.get("dist", F.lit(i)).cast("double").alias(f"d{i}") for i in range(5)])
 
 
 def compared(spark, sf):
     known = C.load_calibration(_intr(spark, sf).drop("vec_id"), _extr(spark, sf).drop("vec_id"))
     rows = C.compare_calibration(known, 5, [1, 2, 3, 4])
     return rows.select("drone_id", "loaded", *[F.col(n).cast("double").alias(n) for n in ("fx", "fy", "cx", "cy")],
-                       *[F.col(n).cast("double").alias(n) for n in ("tx", "ty", "tz")], "n_loaded", "n_requested")
+                       *_cells("R", "r", 5), *[F.col(n).cast("double").alias(n) for n in ("tx", "ty", "tz")],
+                       *[F.get("dist", F.lit(i)).cast("double").alias(f"d{i}") for i in range(5)], "n_loaded", "n_requested")
 
 
 def manifest(spark, sf):
@@ -214,6 +228,8 @@ _LOADED = CALIBRATION + f""",
 loaded AS (
   SELECT * FROM texts WHERE vec_id % 9 NOT IN (1, 3) AND {_KIND_E} IS NULL)"""
 
+_DIST = ", ".join(f"CASE WHEN vec_id % 9 = 2 THEN 0.0 ELSE {_D.format(i + 1)} END AS d{i}" for i in range(5))
+
 QUERIES = {
     "rodrigues": (rodrigues, f"WITH {CALIBRATION}, {_ANGLES.format('calibration')} SELECT vec_id, {_sql_r()} FROM angles"),
     "decode_vectors": (decoded_vectors, f"""WITH {CALIBRATION}
@@ -231,7 +247,13 @@ SELECT vec_id, printf('Drone %d | Frame %04d', drone_id, frame_num) AS line1,
 SELECT packet_id, drone_id, frame AS frame_num, jpeg_size, sent AS ts, 80 + jpeg_size + k_size + dist_size AS total_size,
        80 + jpeg_size AS expected_size FROM packets"""),
     "packet_sections": (sections, f"""WITH {PACKETS}
-SELECT packet_id, jpeg_size, CASE WHEN k_size > 0 THEN k_text END AS k_text, dist_text FROM packets"""),
+SELECT packet_id, 'FFD8' || repeat('706978656C', CAST(vec_id % 9 AS INTEGER)) || 'FFD9' AS jpeg, rvec[1] AS r0, rvec[2] AS r1, rvec[3] AS r2,
+       tvec[1] AS t0, tvec[2] AS t1, tvec[3] AS t2, CASE WHEN k_size > 0 THEN k_text END AS k_text, dist_text FROM packets"""),
+    "decode_header": (headers, f"""WITH {PACKETS}
+SELECT packet_id, drone_id, frame AS frame_num, jpeg_size, sent AS ts, sent FROM packets"""),
+    "overlay_fractions": (overlay_fractions, f"""WITH {CALIBRATION}
+SELECT vec_id, printf('Intrinsic: fx=%.0f fy=%.0f', k[1] / 8.0::DOUBLE, k[5] / 8.0::DOUBLE) AS line2,
+       printf('Principal: cx=%.0f cy=%.0f', k[3] / 8.0::DOUBLE, k[6] / 8.0::DOUBLE) AS line3 FROM calibration"""),
     "packet_roundtrip": (round_trip, f"""WITH {PACKETS}, {_ANGLES.format('packets')}
 SELECT packet_id, drone_id, frame AS frame_num, sent AS ts, {_K_OR_NULL}, {_sql_r()},
        tvec[1] AS tx, tvec[2] AS ty, tvec[3] AS tz, {', '.join(_D.format(i + 1) + f' AS d{i}' for i in range(5))}
@@ -253,15 +275,15 @@ SELECT vec_id, CASE WHEN vec_id % 9 NOT IN (1, 3) THEN k_text END AS k_text,
     "extrinsic_xml": (extrinsic_xml, f"""WITH {CALIBRATION}
 SELECT vec_id, {', '.join(f"CASE WHEN {_KIND_E} IS NULL THEN {v}[{i + 1}] END AS {v[0]}{i}" for v in ('rvec', 'tvec') for i in range(3))},
        {_KIND_E} AS error_kind FROM calibration"""),
-    "load_calibration": (loaded, f"""WITH {_LOADED}
-SELECT drone_id, frame_num, CAST(CAST(k[1] AS FLOAT) AS DOUBLE) AS fx, CAST(CAST(k[6] AS FLOAT) AS DOUBLE) AS cy,
-       tvec[3] AS tz, CASE WHEN vec_id % 9 = 2 THEN 0.0 ELSE {_D.format(5)} END AS k3 FROM loaded"""),
-    "compare_calibration": (compared, f"""WITH {_LOADED}
+    "load_calibration": (loaded, f"""WITH {_LOADED}, {_ANGLES.format('loaded')}
+SELECT drone_id, frame_num, {_K}, {_sql_r()}, tvec[1] AS t0, tvec[2] AS t1, tvec[3] AS t2, {_DIST} FROM angles"""),
+    "compare_calibration": (compared, f"""WITH {_LOADED}, {_ANGLES.format('loaded')},
+whole AS (SELECT *, {_sql_r()}, {_DIST} FROM angles)
 SELECT w.drone_id, k IS NOT NULL AS loaded, CAST(CAST(k[1] AS FLOAT) AS DOUBLE) AS fx,
        CAST(CAST(k[5] AS FLOAT) AS DOUBLE) AS fy, CAST(CAST(k[3] AS FLOAT) AS DOUBLE) AS cx,
        CAST(CAST(k[6] AS FLOAT) AS DOUBLE) AS cy, tvec[1] AS tx, tvec[2] AS ty, tvec[3] AS tz,
-       count(k) OVER () AS n_loaded, count(*) OVER () AS n_requested
-FROM (SELECT unnest([1, 2, 3, 4]) AS drone_id) w LEFT JOIN loaded l ON l.drone_id = w.drone_id AND frame_num = 5
+       {', '.join(f'r{i}{j}' for i in range(3) for j in range(3))}, d0, d1, d2, d3, d4, count(k) OVER () AS n_loaded, count(*) OVER () AS n_requested
+FROM (SELECT unnest([1, 2, 3, 4]) AS drone_id) w LEFT JOIN whole l ON l.drone_id = w.drone_id AND frame_num = 5
 ORDER BY 1"""),
     "frame_manifest": (manifest, f"""WITH {CALIBRATION}
 SELECT drone_id, frame_num, CASE WHEN vec_id % 7 = 0 THEN 'frame_missing' WHEN vec_id % 15 = 8 THEN 'extrinsic_missing'

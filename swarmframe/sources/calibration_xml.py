@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmframe.functions.paths import calibration_path
 from swarmframe.functions.geometry import strip_text
 from swarmframe.plans.once import computed_once
 
@@ -18,13 +19,11 @@ VECTOR_SIZE = 24
 
 
 def _scan(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    pattern = rf"{prefix}_Drone(\d+)_(\d{{4,}})\.xml$"
     text = (spark.read.option("pathGlobFilter", f"{prefix}_Drone*_*.xml")
             .option("recursiveFileLookup", "true").text(root, wholetext=True).select(
                 F.col("_metadata.file_name").alias("_name"), F.col("value").alias("xml")))
-    found = text.select(F.regexp_extract("_name", pattern, 1).try_cast("int").alias("drone_id"),
-                        F.regexp_extract("_name", pattern, 2).try_cast("bigint").alias("frame_num"), "xml")
-    return found.filter(F.col("drone_id").isNotNull() & F.col("frame_num").isNotNull())
+    found = text.select(calibration_path("_name", prefix).alias("_at"), "xml").filter(F.col("_at").isNotNull())
+    return found.select("_at.drone_id", "_at.frame_num", "xml")
 
 
 def parse_intrinsic_xml(df: DataFrame, xml: str = "xml") -> DataFrame:

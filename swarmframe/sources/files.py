@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swarmframe.functions.paths import frame_path, image_path, label_path
+
 
 def _listed(spark: SparkSession, root: str, glob: str, recursive: bool = True) -> DataFrame:
     # without the content column the files are listed but never opened
@@ -18,42 +20,33 @@ def _part(pattern: str, group: int = 1) -> Column:
     return F.when(value != "", value)
 
 
+def _frames(files: DataFrame, *columns: str) -> DataFrame:
+    return files.withColumn("_at", frame_path("path")).filter(F.col("_at").isNotNull()).select(
+        "_at.drone_id", "_at.frame_num", *columns)
+
+
 def scan_frames(spark: SparkSession, root: str) -> DataFrame:
     """``D<drone>/<frame>.png`` below ``root`` -> drone_id, frame_num, path, length; other names are left out."""
-    pattern = r"(?:^|/)D(\d+)/(\d{4,})\.png$"
-    return (_listed(spark, root, "*.png").select(
-        _part(pattern, 1).try_cast("int").alias("drone_id"), _part(pattern, 2).try_cast("bigint").alias("frame_num"),
-        "path", "length").filter(F.col("drone_id").isNotNull() & F.col("frame_num").isNotNull()))
+    return _frames(_listed(spark, root, "*.png"), "path", "length")
 
 
 def read_frames(spark: SparkSession, root: str) -> DataFrame:
     """``scan_frames`` with the file bytes in ``content``."""
-    pattern = r"(?:^|/)D(\d+)/(\d{4,})\.png$"
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.png")
              .option("recursiveFileLookup", "true").load(root))
-    return files.select(_part(pattern, 1).try_cast("int").alias("drone_id"),
-                        _part(pattern, 2).try_cast("bigint").alias("frame_num"), "path", "length", "content") \
-        .filter(F.col("drone_id").isNotNull() & F.col("frame_num").isNotNull())
+    return _frames(files, "path", "length", "content")
 
 
 def scan_split_images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``D*/<stem>.png`` and ``.jpg``, and ``D*/labels/<stem>.txt`` -> (images, labels).
+    """``D*/<stem>.png`` and ``.jpg``, and ``D*/labels/<stem>.txt`` directly below ``root`` -> (images, labels).
 
-    images: folder, stem, suffix, path. labels: folder, stem, path.
+    images: folder, stem, suffix, path. labels: folder, stem, path. One listing serves both.
     """
-    from swarmframe.operators.dataset import union_scans
-
-    def images(suffix: str) -> DataFrame:
-        pattern = rf"(?:^|/)(D[^/]*)/([^/]+)\.{suffix}$"
-        return _listed(spark, root, f"*.{suffix}").select(
-            _part(pattern, 1).alias("folder"), _part(pattern, 2).alias("stem"),
-            F.lit(f".{suffix}").alias("suffix"), "path").filter(F.col("folder").isNotNull())
-
-    pattern = r"(?:^|/)(D[^/]*)/labels/([^/]+)\.txt$"
-    labels = _listed(spark, root, "*.txt").select(
-        _part(pattern, 1).alias("folder"), _part(pattern, 2).alias("stem"), "path") \
-        .filter(F.col("folder").isNotNull())
-    return union_scans(images("png"), images("jpg")), labels
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/D*/{{*.png,*.jpg,labels/*.txt}}").select("path")
+    images = files.withColumn("_at", image_path("path")).filter(F.col("_at").isNotNull()).select(
+        "_at.folder", "_at.stem", "_at.suffix", "path")
+    labels = files.withColumn("_at", label_path("path")).filter(F.col("_at").isNotNull()).select("_at.folder", "_at.stem", "path")
+    return images, labels
 
 
 def scan_split(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
