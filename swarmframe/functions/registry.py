@@ -1,52 +1,63 @@
-"""SQL names for the scalar functions: temporary SQL functions, which Catalyst inlines."""
+"""SQL names for the scalar functions: temporary SQL functions, which Catalyst inlines.
+
+The body of each is the SQL text of the column function's own expression, so the two cannot differ.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-_BE4 = ("concat(substring(hex(substring(b, off + 4, 1)), 1, 2), hex(substring(b, off + 3, 1)), "
-        "hex(substring(b, off + 2, 1)), hex(substring(b, off + 1, 1)))")
-_BE8 = "concat(" + ", ".join(f"hex(substring(b, off + {i}, 1))" for i in range(8, 0, -1)) + ")"
-
-DEFINITIONS = {
-    "u32_le": ("b BINARY, off INT", "BIGINT",
-               f"if(length(substring(b, off + 1, 4)) = 4, cast(conv({_BE4}, 16, 10) AS BIGINT), NULL)"),
-    "f64_le_bits": ("b BINARY, off INT", "BIGINT",
-                    f"if(length(substring(b, off + 1, 8)) = 8, cast(conv({_BE8}, 16, -10) AS BIGINT), NULL)"),
-    "f64_from_bits": (
-        "v BIGINT", "DOUBLE",
-        "if(v < 0, -1D, 1D) * if((shiftrightunsigned(v, 52) & 2047L) = 2047L, "
-        "if((v & 4503599627370495L) = 0L, double('Infinity'), double('NaN')), "
-        "cast((v & 4503599627370495L) + if((shiftrightunsigned(v, 52) & 2047L) > 0L, 4503599627370496L, 0L) AS DOUBLE)"
-        " * pow(2D, cast(greatest(shiftrightunsigned(v, 52) & 2047L, 1L) - 1075L AS DOUBLE)))"),
-    "f64_le": ("b BINARY, off INT", "DOUBLE", "f64_from_bits(f64_le_bits(b, off))"),
-    "frame_key": ("n BIGINT", "STRING", "format_string('%04d', n)"),
-    "sample_name": ("folder STRING, stem STRING", "STRING", "concat_ws('_', folder, stem)"),
-    "grid_row": ("drone INT", "INT", "(drone - 1) DIV 4"),
-    "grid_col": ("drone INT", "INT", "pmod(drone - 1, 4)"),
-    "detection_status": ("n BIGINT", "STRING", "if(n > 0, concat(n, ' TARGETS'), 'NO TARGETS')"),
-    "active_label": ("active BOOLEAN", "STRING", "if(active, 'ACTIVE', 'INACTIVE')"),
-    "hundredths": (
-        "x DOUBLE", "BIGINT",
-        "floor(x * 100D) + if(x * 200D > 2 * floor(x * 100D) + 1 OR (x * 200D = 2 * floor(x * 100D) + 1 AND ("
-        "(x * 134217729D - (x * 134217729D - x)) * 200D - x * 200D "
-        "+ (x - (x * 134217729D - (x * 134217729D - x))) * 200D > 0D OR "
-        "((x * 134217729D - (x * 134217729D - x)) * 200D - x * 200D "
-        "+ (x - (x * 134217729D - (x * 134217729D - x))) * 200D = 0D AND pmod(floor(x * 100D), 2) = 1))), 1, 0)"),
-    "detection_label": (
-        "conf DOUBLE", "STRING",
-        "concat('person ', hundredths(conf) DIV 100, '.', lpad(string(pmod(hundredths(conf), 100)), 2, '0'))"),
-    "box_iou": (
-        "ax1 DOUBLE, ay1 DOUBLE, ax2 DOUBLE, ay2 DOUBLE, bx1 DOUBLE, by1 DOUBLE, bx2 DOUBLE, by2 DOUBLE", "DOUBLE",
-        "coalesce(try_divide("
-        "greatest(least(ax2, bx2) - greatest(ax1, bx1), 0D) * greatest(least(ay2, by2) - greatest(ay1, by1), 0D), "
-        "(ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - "
-        "greatest(least(ax2, bx2) - greatest(ax1, bx1), 0D) * greatest(least(ay2, by2) - greatest(ay1, by1), 0D)), 0D)"),
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from swarmframe.functions import bytes as B
+from swarmframe.functions import geometry as G
+from swarmframe.functions import packet as P
+from swarmframe.functions import text as T
+
+_INTR = "STRUCT<fx: FLOAT, fy: FLOAT, cx: FLOAT, cy: FLOAT>"
+_POS = "STRUCT<tx: FLOAT, ty: FLOAT, tz: FLOAT>"
+_BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
+
+#: SQL name: (arguments, column function). ``position`` is a name of Spark's own, hence ``camera_position``.
+DEFINITIONS: dict[str, tuple[str, Callable[..., Column]]] = {
+    "u32_le": ("b BINARY, off INT", B.u32_le),
+    "f64_le": ("b BINARY, off INT", B.f64_le),
+    "f64_from_bits": ("v BIGINT", B.bits_to_f64),
+    "decode_header": ("b BINARY", P.decode_header),
+    "packet_info": ("b BINARY", P.packet_info),
+    "packet_sections": ("b BINARY", P.packet_sections),
+    "decode_vec3": ("b BINARY", G.decode_vec3),
+    "rodrigues": ("v ARRAY<DOUBLE>", G.rodrigues),
+    "to_float32": ("v ARRAY<DOUBLE>", G.to_float32),
+    "parse_camera_matrix": ("s STRING", G.parse_camera_matrix),
+    "parse_distortion": ("s STRING", G.parse_distortion),
+    "intrinsics": ("k ARRAY<ARRAY<FLOAT>>", G.intrinsics),
+    "camera_position": ("v ARRAY<FLOAT>", G.position),
+    "scale_box": (f"box {_BOX}, sx DOUBLE, sy DOUBLE", G.scale_box),
+    "box_iou": ("ax1 DOUBLE, ay1 DOUBLE, ax2 DOUBLE, ay2 DOUBLE, bx1 DOUBLE, by1 DOUBLE, bx2 DOUBLE, by2 DOUBLE", G.box_iou),
+    "frame_key": ("n BIGINT", T.frame_key),
+    "sample_name": ("folder STRING, stem STRING", T.sample_name),
+    "overlay_text": (f"drone INT, frame BIGINT, intr {_INTR}, pos {_POS}", T.overlay_text),
+    "footer_text": ("frame BIGINT, fps DOUBLE", T.footer_text),
+    "grid_cell": ("drone INT", T.grid_cell),
+    "detection_status": ("n BIGINT", T.detection_status),
+    "active_label": ("active BOOLEAN", T.active_label),
+    "detection_label": ("conf DOUBLE", T.detection_label),
 }
 
+#: Fields of the above under names of their own.
+SHORT = {"grid_row": ("drone INT", "grid_cell(drone).row"), "grid_col": ("drone INT", "grid_cell(drone).col")}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Create the SQL functions in this session and return their names."""
-    for name, (args, returns, body) in DEFINITIONS.items():
+    for name, (args, function) in DEFINITIONS.items():
+        table = spark.createDataFrame([], args)
+        out = table.select(function(*[F.col(c) for c in table.columns]).alias("r"))
+        body = out._jdf.queryExecution().analyzed().projectList().head().child().sql()
+        returns = out.schema["r"].dataType.simpleString()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
-    return list(DEFINITIONS)
+    for name, (args, body) in SHORT.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS INT RETURN {body}")
+    return [*DEFINITIONS, *SHORT]

@@ -145,7 +145,11 @@ def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou:
     sums of the counts and the means of the rates over the classes that have truth. Matching runs when this is called; its counts per confidence are written to the shared folder.
     """
     levels = sorted({*thresholds, iou, 0.5})
-    hits = true_positives(best_matches(det, truth, levels[0]), levels)
+    # of a truth box only the confidence of its right detection counts: one maximum per threshold, no row per threshold moves
+    best = best_matches(det, truth, levels[0]).groupBy("image_id", "cls", "truth_id").agg(
+        *[F.max(F.when(F.col("iou") >= t, F.col("conf"))).alias(f"_{i}") for i, t in enumerate(levels)])
+    tops = F.array(*[F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"_{i}").alias("conf")) for i, t in enumerate(levels)])
+    hits = best.select("cls", F.inline(tops)).where("conf IS NOT NULL")
     right = stored(hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit")), "metric-hits")
     found = stored(det.groupBy("cls", "conf").agg(F.count("*").alias("n")), "metric-found")
     counts = _truth_counts(truth)
@@ -162,7 +166,7 @@ def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou:
     n_tp = (right.filter((F.col("iou_threshold") == iou) & (F.col("conf") >= conf)).groupBy("cls")
             .agg(F.sum("hit").alias("n_tp")))
     zero = F.lit(0).cast("bigint")
-    classes = counts.join(det.select("cls").distinct().where("cls IS NOT NULL"), "cls", "full")
+    classes = counts.join(found.select("cls").distinct().where("cls IS NOT NULL"), "cls", "full")
     rows = (classes.join(n_det, "cls", "left").join(n_tp, "cls", "left").join(ap, "cls", "left")
             .select("cls", F.coalesce("n_truth", zero).alias("n_truth"), F.coalesce("n_det", zero).alias("n_det"), F.coalesce("n_tp", zero).alias("n_tp"),
                     F.coalesce(F.col("n_tp") / F.col("n_det"), F.lit(0.0)).alias("precision"),

@@ -8,6 +8,7 @@ whole group. Keys and order values may be null: a null key is a key, null orders
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -17,15 +18,25 @@ from pyspark.sql import functions as F
 
 from swarmframe.plans.lookup import join_null_safe
 
-CHUNKS = 64
+CHUNKS = 256
 
 
 def chunked(df: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
-    """Add ``_chunk``: how many of ``chunks - 1`` approximate quantiles of ``order`` lie below the row's."""
-    shares = [i / chunks for i in range(1, chunks)]
-    bounds = df.select(F.percentile_approx(order, shares, 100 * chunks)).scalar()
-    below = [F.coalesce((F.get("_bounds", F.lit(i)) < F.col(order)).cast("int"), F.lit(0)) for i in range(chunks - 1)]
-    return df.withColumn("_bounds", bounds).withColumn("_chunk", reduce(add, below, F.lit(0))).drop("_bounds")
+    """Add ``_chunk``: how many of about ``chunks`` approximate quantiles of ``order`` lie below the row's.
+
+    Quantiles are looked up in two steps of ``side`` each, the square root of the number of chunks.
+    """
+    side = math.isqrt(max(chunks, 1) - 1) + 1
+    shares = [i / side ** 2 for i in range(1, side ** 2)] or [1.0]
+    bounds = df.select(F.percentile_approx(order, shares, 50 * side ** 2)).scalar()
+
+    def below(at: Column) -> Column:
+        return F.coalesce((F.get("_bounds", at) < F.col(order)).cast("int"), F.lit(0))
+
+    coarse = reduce(add, [below(F.lit(side * i - 1)) for i in range(1, side)], F.lit(0))
+    fine = reduce(add, [below(F.col("_coarse") * side + j) for j in range(side - 1)], F.lit(0))
+    return (df.withColumn("_bounds", bounds).withColumn("_coarse", coarse)
+            .withColumn("_chunk", F.col("_coarse") * side + fine).drop("_bounds", "_coarse"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], how: str = "sum",

@@ -70,6 +70,22 @@ def headers(spark, sf):
     return packed.select("packet_id", *[F.col(f"h.{n}").alias(n) for n in ("drone_id", "frame_num", "jpeg_size", "ts")], "sent")
 
 
+def sql_functions(spark, sf):
+    """The functions by their SQL names."""
+    X.register(spark)
+    packed = P.pack_packets(packets(spark, sf)).select("packet_id", "packet")
+    return packed.selectExpr(
+        "packet_id", "u32_le(packet, 4) AS frame_num", "f64_le(packet, 16) AS sent", "decode_header(packet).jpeg_size AS jpeg_size",
+        "packet_info(packet).total_size AS total_size", "decode_vec3(packet_sections(packet).rvec)[1] AS r1", "frame_key(packet_id) AS frame_key", "sample_name('D1', frame_key(packet_id)) AS sample",
+        "detection_label(packet_id / 1024) AS label", "grid_cell(cast(packet_id % 8 + 1 AS INT)).x AS pixel_x",
+        "detection_status(packet_id % 3) AS status", "active_label(packet_id % 2 = 0) AS state",
+        "parse_camera_matrix('1 2 3 4 5 6 7 8 ' || packet_id)[2][2] AS k22", "parse_distortion('0.5 ' || packet_id)[1] AS p",
+        "camera_position(array(1F, 2F, cast(packet_id AS FLOAT))).tz AS tz",
+        "scale_box(named_struct('x1', 1D, 'y1', 2D, 'x2', 3D, 'y2', cast(packet_id AS DOUBLE)), 2D, 0.5D).y2 AS y2",
+        "round(box_iou(0D, 0D, 2D, 2D, 1D, 0D, 3D, packet_id + 1D), 9) AS iou").withColumns(
+            {c: F.col(c).cast("double") for c in ("k22", "p", "tz")})
+
+
 def overlay_fractions(spark, sf):
     """Overlay lines of a matrix in eighths: ties of the rounding to whole numbers come up."""
     eighths = F.transform(X.parse_camera_matrix("k_text"), lambda row: F.transform(row, lambda v: v / 8))
@@ -251,6 +267,14 @@ SELECT packet_id, 'FFD8' || repeat('706978656C', CAST(vec_id % 9 AS INTEGER)) ||
        tvec[1] AS t0, tvec[2] AS t1, tvec[3] AS t2, CASE WHEN k_size > 0 THEN k_text END AS k_text, dist_text FROM packets"""),
     "decode_header": (headers, f"""WITH {PACKETS}
 SELECT packet_id, drone_id, frame AS frame_num, jpeg_size, sent AS ts, sent FROM packets"""),
+    "sql_functions": (sql_functions, f"""WITH {PACKETS}
+SELECT packet_id, frame AS frame_num, sent, jpeg_size, 80 + jpeg_size + k_size + dist_size AS total_size,
+       rvec[2] AS r1, printf('%04d', packet_id) AS frame_key, 'D1_' || printf('%04d', packet_id) AS sample,
+       printf('person %.2f', packet_id / 1024.0::DOUBLE) AS label, packet_id % 4 * 480 AS pixel_x,
+       CASE WHEN packet_id % 3 > 0 THEN packet_id % 3 || ' TARGETS' ELSE 'NO TARGETS' END AS status,
+       CASE WHEN packet_id % 2 = 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS state, CAST(packet_id AS DOUBLE) AS k22,
+       CAST(packet_id AS DOUBLE) AS p, CAST(packet_id AS DOUBLE) AS tz, packet_id * 0.5::DOUBLE AS y2,
+       round(least(2, packet_id + 1) / (4 + 2 * (packet_id + 1) - least(2, packet_id + 1))::DOUBLE, 9) AS iou FROM packets"""),
     "overlay_fractions": (overlay_fractions, f"""WITH {CALIBRATION}
 SELECT vec_id, printf('Intrinsic: fx=%.0f fy=%.0f', k[1] / 8.0::DOUBLE, k[5] / 8.0::DOUBLE) AS line2,
        printf('Principal: cx=%.0f cy=%.0f', k[3] / 8.0::DOUBLE, k[6] / 8.0::DOUBLE) AS line3 FROM calibration"""),

@@ -128,3 +128,39 @@ def test_sql_names(spark):
                     "detection_status(3L) t, active_label(false) a, box_iou(0,0,2,2, 1,0,3,2) i").first()
     assert (row.k, row.s, row.r, row.c, row.t, row.a) == ("0007", "D1_0003", 1, 1, "3 TARGETS", "INACTIVE")
     assert abs(row.i - 1 / 3) < 1e-12
+
+
+def test_sql_names_equal_the_column_functions(spark):
+    """Every SQL name on a grid of values, nulls included."""
+    X.register(spark)
+    from swarmframe.functions.registry import DEFINITIONS
+
+    head = struct.pack("<B3xIII", 3, 77, 4, 0)[:16] + struct.pack("<d", 12.5)
+    packet = head + b"\xff\xd8\xff\xd9" + struct.pack("<6d", *range(6)) + struct.pack("<II", 17, 3) + b"1 2 3 4 5 6 7 8 9" + b".25"
+    values = {
+        "b BINARY": [packet, packet[:30], b"", None], "off INT": [0, 4, 99, None], "v BIGINT": [0, 4611686018427387904, -1, None],
+        "v ARRAY<DOUBLE>": [[0.1, 0.2, 0.3], [0.0, 0.0, 0.0], None], "v ARRAY<FLOAT>": [[1.0, 2.0, 3.0], None],
+        "s STRING": ["1 2 3 4 5 6 7 8 9", "0.5 x", "", None], "k ARRAY<ARRAY<FLOAT>>": [[[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]], None],
+        "n BIGINT": [0, 7, 12345, None], "folder STRING": ["D1", None], "stem STRING": ["0001"], "drone INT": [1, 8], "frame BIGINT": [5, None],
+        "fps DOUBLE": [0.25, 2.05, None], "active BOOLEAN": [True, False, None], "conf DOUBLE": [-0.05, 0.005, 0.125, 1.0, None],
+        "sx DOUBLE": [2.0], "sy DOUBLE": [0.5, None]}
+    box = [{"x1": 0.0, "y1": 0.0, "x2": 2.0, "y2": 2.0}, {"x1": 1.0, "y1": 0.0, "x2": 3.0, "y2": 2.0}]
+    for name, (args, function) in DEFINITIONS.items():
+        parts = [a.strip() for a in __import__("re").split(r",\s*(?![^<]*>)", args)]
+        if name == "box_iou":
+            rows = [(0.0, 0.0, 2.0, 2.0, 1.0, 0.0, 3.0, 2.0), (0.0,) * 8, (3.0, 0.0, 1.0, 2.0, 0.0, 0.0, 1.0, 1.0)]
+        else:
+            def of(part):
+                kind = part.split()[0]
+                if kind == "box":
+                    return box
+                if kind == "intr":
+                    return [{"fx": 1.5, "fy": 2.5, "cx": 3.0, "cy": None}]
+                if kind == "pos":
+                    return [{"tx": 1.0, "ty": -0.005, "tz": 2.0}, None]
+                return values[part]
+            import itertools
+            rows = list(itertools.product(*[of(p) for p in parts]))
+        df = spark.createDataFrame(rows, args)
+        both = df.select(function(*[F.col(c) for c in df.columns]).alias("a"), F.expr(f"{name}({', '.join(df.columns)})").alias("b")).collect()
+        assert [str(r.a) for r in both] == [str(r.b) for r in both], name
