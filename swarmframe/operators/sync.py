@@ -35,8 +35,8 @@ def tick_of(ts: Column | str, tick: float, origin_us: int = 0) -> Column:
 
 
 def is_valid(n_drones: int = 8, max_frame: int | None = None, keys: Sequence[str] = SESSION) -> Column:
-    """Known session, time and frame, drone id within 1..n_drones, frame number within 0..max_frame where that is given."""
-    ok = F.col("drone_id").between(1, n_drones) & F.col("frame_num").isNotNull() & F.col("arrival_ts").isNotNull()
+    """Known session and time, drone id within 1..n_drones, frame number from 0 (to ``max_frame`` where that is given)."""
+    ok = F.col("drone_id").between(1, n_drones) & (F.col("frame_num") >= 0) & F.col("arrival_ts").isNotNull()
     for k in keys:
         ok = ok & F.col(k).isNotNull()
     if max_frame is not None:

@@ -34,7 +34,8 @@ def arrivals_of(events: DataFrame) -> DataFrame:
     late = F.when(F.col("event_id") % 7 == 0, 2).otherwise(0)
     at = F.col("ts").cast("timestamp")
     return events.select(
-        (F.floor(F.col("user_id") / 8) % 3 + 1).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
+        # a session lasts ten days
+        (F.floor(tick_of(at, HOUR, ORIGIN_US) / 240) + 1).cast("bigint").alias("session_id"), F.col("event_id").alias("packet_id"),
         (F.col("user_id") % 8 + 1).cast("int").alias("drone_id"),
         F.greatest(F.lit(0).cast("bigint"), tick_of(at, HOUR, ORIGIN_US) - late).alias("frame_num"),
         at.alias("arrival_ts"), (F.col("event_type") == "error").alias("failed"),
@@ -47,7 +48,7 @@ def good_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARRIVALS = """
 arrivals AS (
-  SELECT CAST(user_id // 8 % 3 + 1 AS BIGINT) AS session_id, event_id AS packet_id, CAST(user_id % 8 + 1 AS BIGINT) AS drone_id,
+  SELECT CAST((epoch_us(ts) - 1704067200000000) // 3600000000 // 240 + 1 AS BIGINT) AS session_id, event_id AS packet_id, CAST(user_id % 8 + 1 AS BIGINT) AS drone_id,
          greatest(0, (epoch_us(ts) - 1704067200000000) // 3600000000
                      - CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) AS frame_num,
          ts AS arrival_ts, (epoch_us(ts) - 1704067200000000) // 3600000000 AS tick,

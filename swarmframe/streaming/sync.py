@@ -83,8 +83,9 @@ def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_dr
 
     One row per (session, tick, frame, drone): ``kind`` displayed, superseded or late, the last packet of the
     cell, and ``n``, the number of arrivals it stands for. Displayed rows of one tick are the members of a newly
-    shown set; ``n_drones`` is their number (null for other rows). Lateness is by frame number; ``delay`` only says how long a window
-    waits for packets. ``session_ttl`` seconds after its last window a session is forgotten.
+    shown set; ``n_drones`` is their number (null for other rows). Lateness is by frame number; ``delay`` only says
+    how long a window waits for packets. A window comes out when the watermark passes its end; a finite input needs a
+    later row to close the last one. ``session_ttl`` seconds after its last window a session is forgotten.
     """
     cells = (arrivals.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
              .groupBy("session_id", F.window("arrival_ts", _interval(tick)), "frame_num", "drone_id")

@@ -83,3 +83,13 @@ def test_running_counters(spark, tmp_path):
     for d in range(5):
         mine = [r for r in rows if r[2] == d] + ([(9, 10 ** 6, 1, 0, FAR)] if d == 1 else [])
         assert final[d] == (len(mine), len([r for r in mine if r[1] % 5 == 0]), 10 * len(mine))
+
+
+def test_a_session_is_forgotten_after_its_ttl(spark, tmp_path):
+    """Frame 10, a long silence, then frame 3: late while the session is known, shown once it is forgotten."""
+    rows = [(1, 1, 1, 10, T0), (2, 2, 1, 1, T0 + dt.timedelta(seconds=100)), (2, 3, 1, 2, T0 + dt.timedelta(seconds=200)),
+            (1, 4, 1, 3, T0 + dt.timedelta(seconds=300))]
+    live = files(spark, rows, str(tmp_path / "in"))
+    for ttl, want in ((50, "displayed"), (10_000, "late"), (None, "late")):
+        out = drain(spark, stream_sync(live, 1.0, n_drones=3, session_ttl=ttl), tmp_path, f"ttl-{ttl}")
+        assert {r.packet_id: r.kind for r in out.filter("session_id = 1").collect()} == {1: "displayed", 4: want}
