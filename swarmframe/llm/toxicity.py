@@ -1,7 +1,7 @@
 """Toxicity of documents: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's words (letters, digits and bytes of other scripts; A-Z folded) are hashed in one vectorised pass over its bytes;
-unigrams, bigrams and pairs with one word between become buckets. A feature is present or not, so length does not add up.
+unigrams (words and their beginnings, as compounds share them), bigrams and pairs with one word between become buckets. A feature is present or not, so length does not add up.
 FTRL keeps a rate per bucket, and its L1 term leaves most weights at zero: the model that travels to the tasks is the list
 of buckets with a weight. Training reads a bounded sample of the labelled rows, half of it toxic where there are as many; the
 intercept is moved back by the change in odds, so scores stay probabilities. Texts are read whole.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import held_out, shipped, texts_of
 
 BUCKET_BITS = 22
+STEMS = (4, 5, 6, 7)
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
@@ -36,21 +37,29 @@ _POWERS = np.ones(4096, dtype=np.uint64)
 np.multiply.accumulate(np.full(4095, _P, dtype=np.uint64), out=_POWERS[1:])
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash per word, in order."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A 64-bit hash per word, in order, and hashes of the first ``STEMS`` bytes of the words that are longer."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.concatenate([[False], _WORD[raw], [False]])
     change = np.flatnonzero(inside[1:] != inside[:-1])
     begins, ends = change[::2], change[1::2]
+    lengths = ends - begins
     if not len(begins):
-        return np.zeros(0, dtype=np.uint64)
+        none = np.zeros(0, dtype=np.uint64)
+        return none, [none] * len(STEMS)
     at = np.flatnonzero(inside[1:-1])
-    place = at - np.repeat(begins, ends - begins)
+    place = at - np.repeat(begins, lengths)
     values = (_FOLD[raw[at]] + np.uint64(1)) * _POWERS[place % 4096]
-    starts = np.concatenate([[0], np.cumsum(ends - begins)[:-1]])
-    h = np.add.reduceat(values, starts)
-    h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+    starts = np.cumsum(lengths) - lengths
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values)])  # wraps around, and so do the differences
+    words = _mixed(sums[starts + lengths] - sums[starts])
+    stems = [_mixed(sums[s + k] - sums[s]) * np.uint64(7) for k in STEMS for s in [starts[lengths > k]]]
+    return words, stems
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -59,9 +68,9 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of a text's words, word pairs and pairs with a word between; they may repeat."""
-    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
-    return np.concatenate([_buckets(h), _buckets(h[:-1] * np.uint64(3) + h[1:]), _buckets(h[:-2] * np.uint64(5) + h[2:])])
+    """Buckets of a text's words and their beginnings, word pairs and pairs with a word between; they may repeat."""
+    h, stems = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    return np.concatenate([_buckets(x) for x in (h, h[:-1] * np.uint64(3) + h[1:], h[:-2] * np.uint64(5) + h[2:], *stems)])
 
 
 @dataclass
@@ -88,9 +97,9 @@ def train(texts: Sequence[str | None], labels: Sequence[int], alpha: float = 1.0
           l2: float = 1.0, epochs: int = 10, positive_share: float | None = None, seed: int = 7) -> ToxicityModel:
     """FTRL-proximal over documents; ``positive_share`` is the share among all labelled rows, if the sample has another.
 
-    ``l1``, unless given, follows the noise of the gradient sums: a fifth of the root of the number of toxic rows.
+    ``l1``, unless given, follows the noise of the gradient sums: a third of the root of the number of toxic rows.
     """
-    l1 = np.sqrt(sum(1 for x in labels if x == 1)) / 5 if l1 is None else l1
+    l1 = np.sqrt(sum(1 for x in labels if x == 1)) / 3 if l1 is None else l1
     n = 1 << BUCKET_BITS
     z, squares = np.zeros(n), np.zeros(n)
     z0 = squares0 = 0.0

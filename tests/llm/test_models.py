@@ -57,10 +57,13 @@ def test_long_texts_count_whole():
 
 
 def test_word_hashes_see_words_only():
-    assert len(X.word_hashes(b"")) == len(X.word_hashes(b" .,\n")) == 0
-    a = X.word_hashes(b"One two, ONE\ttwo-three")
+    assert len(X.word_hashes(b"")[0]) == len(X.word_hashes(b" .,\n")[0]) == len(X.features(None)) == 0
+    a, _ = X.word_hashes(b"One two, ONE\ttwo-three")
     assert len(a) == 5 and a[0] == a[2] and a[1] == a[3] and len(set(a.tolist())) == 3
-    assert X.word_hashes(b"x" * 10_000)[0] != X.word_hashes(b"x" * 10_001)[0]
+    assert X.word_hashes(b"x" * 10_000)[0][0] != X.word_hashes(b"x" * 10_001)[0][0]
+    # words of one beginning share its hash, wherever they stand
+    stems = X.word_hashes("a beginning, beginnon BEGINNS".encode())[1]
+    assert [len(set(s.tolist())) for s in stems] == [1, 1, 1, 2] and [len(s) for s in stems] == [3, 3, 3, 2]
 
 
 def test_toxicity_of_held_out_documents(spark):
