@@ -226,24 +226,29 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["class_id", "vector", "leaves"])
 
     index = settled(shipped(classes).mapInArrow(routed, "class_id long, vector array<double>, leaves array<int>"))
+    # how many blocks each leaf needs: at most trees x 2^depth numbers
     placed = index.select("class_id", F.posexplode("leaves").alias("tree", "leaf"))
-    # at most trees x 2^depth rows
-    blocks = {(r["tree"], r["leaf"]): -(-r["n"] // block_size)
-              for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
-    block_table = F.create_map(*[F.lit(x) for (t, leaf), n in sorted(blocks.items()) if n > 1
-                                 for x in (t << 16 | leaf, n)]) if any(n > 1 for n in blocks.values()) else None
-    own = (F.col("tree") * 65536 + F.col("leaf")).cast("int")
-    salt = F.lit(0).cast("long") if block_table is None else F.pmod(
-        F.xxhash64("class_id"), F.coalesce(F.try_element_at(block_table, own), F.lit(1)))
-    of_leaf = own.cast("long") * 65536 * 16 + salt
+    n_blocks = np.zeros((trees, 1 << depth), dtype=np.int64)
+    for r in placed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect():
+        n_blocks[r["tree"], r["leaf"]] = -(-r["n"] // block_size)
+    first_block = (np.cumsum(n_blocks) - n_blocks.ravel()).reshape(n_blocks.shape)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, trees)
+            ids = batch.column(0).to_numpy().astype(np.uint64)
+            spread = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            for t in range(trees):
+                block = first_block[t, leaves[:, t]] + spread % n_blocks[t, leaves[:, t]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), pa.array(np.zeros(len(block), dtype=np.int32)), *batch.columns[:2]], names=["block", "side", "id", "vector"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers = [], []
             matrix = _matrix(batch.column(1), dim)
             for i, q in enumerate(matrix):
-                own_keys = [(t << 16 | leaf) * 65536 * 16 + b for t, leaf in forest.value.visited(q, n_visits)
-                            for b in range(blocks.get((t, leaf), 0))]
+                own_keys = [int(first_block[at]) + b for at in forest.value.visited(q, n_visits) for b in range(int(n_blocks[at]))]
                 keys += own_keys
                 numbers += [i] * len(own_keys)
             for at in range(0, len(keys), 10_000):
@@ -254,9 +259,7 @@ def nearest(table: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
 
     queries = rows.where(is_query).select("vec_id", "vector")
     schema = "block long, side int, id long, vector array<double>"
-    both = index.select("class_id", "vector", F.posexplode("leaves").alias("tree", "leaf")).select(
-        of_leaf.alias("block"), F.lit(0).alias("side"), F.col("class_id").alias("id"), "vector").unionByName(
-        shipped(queries).mapInArrow(asked, schema))
+    both = shipped(index).mapInArrow(dealt, schema).unionByName(shipped(queries).mapInArrow(asked, schema))
     found = both.repartition("block").sortWithinPartitions("block", "side").mapInArrow(
         _searched(dim, k + 1), "query_id long, class_id long, score double")
     # the same class may come from several trees
