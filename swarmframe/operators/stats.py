@@ -71,7 +71,7 @@ def running_avg_kb(log: DataFrame, every: int = 100, keys: Sequence[str] = SESSI
     """
     keys = [*keys, "drone_id"]
     frames = log.groupBy(*keys, "frame_num").agg(F.sum("packet_bytes").alias("_bytes"), F.count("*").alias("_n"))
-    sums = running(frames, keys, "frame_num", {"_bytes": "total_bytes", "_n": "sent"})
+    sums = running(frames, keys, "frame_num", {"_bytes": "total_bytes", "_n": "sent"}, aggregated=True)
     return (sums.filter(F.pmod(F.col("frame_num"), F.lit(every)) == 0)
             .select(*keys, "frame_num", "sent", (F.col("total_bytes") / F.col("sent") / 1024.0).alias("avg_kb")))
 
@@ -87,7 +87,7 @@ def connection_gaps(log: DataFrame, gap: float = 5.0, keys: Sequence[str] = SESS
     at = log.select(*keys, micros("arrival_ts").alias("_us"))
     slots = (at.withColumn("_slot", ((F.col("_us") - F.pmod("_us", width)) / width).cast("bigint"))
              .groupBy(*keys, "_slot").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last")))
-    pairs = with_previous(slots, keys, ["_slot"], {"_last": "_silent_from"})
+    pairs = with_previous(slots, keys, ["_slot"], {"_last": "_silent_from"}, aggregated=True)
     outages = pairs.filter(F.col("_first") - F.col("_silent_from") > width).withColumn("_one", F.lit(1))
     numbered = running(outages, keys, "_slot", {"_one": "_n"})
     return numbered.select(*keys, F.timestamp_micros("_silent_from").alias("silent_from"),
@@ -104,7 +104,7 @@ def frame_gaps(log: DataFrame, n_frames: int | None = None, keys: Sequence[str]
     keys = [*keys, "drone_id"]
     frames = log.select(*keys, "frame_num").distinct()
     down = frames.where("frame_num IS NOT NULL").withColumn("_down", -F.col("frame_num"))
-    pairs = with_previous(down, keys, ["_down"], {"frame_num": "_next"}).drop("_down")
+    pairs = with_previous(down, keys, ["_down"], {"frame_num": "_next"}, aggregated=True).drop("_down")
     if n_frames is not None:
         first = frames.groupBy(*keys).agg(F.min("frame_num").alias("_next")).withColumn("frame_num", F.lit(-1))
         pairs = pairs.withColumn("_next", F.coalesce("_next", F.lit(n_frames))).unionByName(first)

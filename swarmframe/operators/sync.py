@@ -49,7 +49,7 @@ def frame_timeline(ticked: DataFrame, keys: Sequence[str] = SESSION) -> DataFram
     keys = list(keys)
     firsts = ticked.groupBy(*keys, "frame_num").agg(F.min("tick").alias("first_tick"))
     line = running(firsts.withColumn("_down", -F.col("frame_num")), keys, "_down", {"first_tick": "newer"}, how="min",
-                   exclusive=True).drop("_down")
+                   exclusive=True, aggregated=True).drop("_down")
     return line.withColumn("due", F.least("first_tick", "newer"))
 
 
@@ -105,7 +105,7 @@ def poll_trace(arrivals: DataFrame, tick: float, n_drones: int = 8, keys: Sequen
     keys = list(keys)
     peaks = (_ticked(arrivals, tick, origin_us).filter(is_valid(n_drones, max_frame, keys))
              .groupBy(*keys, "tick").agg(F.max("frame_num").alias("_peak")))
-    return running(peaks, keys, "tick", {"_peak": "frame_num"}, how="max") \
+    return running(peaks, keys, "tick", {"_peak": "frame_num"}, how="max", aggregated=True) \
         .select(*keys, "tick", "frame_num")
 
 

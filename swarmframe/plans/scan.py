@@ -21,14 +21,18 @@ from swarmframe.plans.lookup import join_null_safe
 CHUNKS = 256
 
 
-def chunked(df: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
+def chunked(df: DataFrame, order: str, chunks: int = CHUNKS, aggregated: bool = False) -> DataFrame:
     """Add ``_chunk``: how many of about ``chunks`` approximate quantiles of ``order`` lie below the row's.
 
-    Quantiles are looked up in two steps of ``side`` each, the square root of the number of chunks.
+    Quantiles are looked up in two steps of ``side`` each, the square root of the number of chunks. With ``aggregated``
+    (``df`` is the result of an aggregate) the quantiles read all its columns, so that Spark shuffles it once for all uses.
     """
     side = math.isqrt(max(chunks, 1) - 1) + 1
     shares = [i / side ** 2 for i in range(1, side ** 2)] or [1.0]
-    bounds = df.select(F.percentile_approx(order, shares, 50 * side ** 2)).scalar()
+    value = F.col(order)
+    if aggregated:
+        value = F.when(F.xxhash64(*df.columns) != F.lit(0), value)
+    bounds = df.select(F.percentile_approx(value, shares, 50 * side ** 2)).scalar()
 
     def below(at: Column) -> Column:
         return F.coalesce((F.get("_bounds", at) < F.col(order)).cast("int"), F.lit(0))
@@ -40,15 +44,15 @@ def chunked(df: DataFrame, order: str, chunks: int = CHUNKS) -> DataFrame:
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], how: str = "sum",
-            exclusive: bool = False, chunks: int = CHUNKS) -> DataFrame:
+            exclusive: bool = False, chunks: int = CHUNKS, aggregated: bool = False) -> DataFrame:
     """Add running ``how`` (sum, max or min) of each ``values[column] -> name`` in ascending ``order``.
 
     ``order`` must be unique within ``keys``. With ``exclusive`` the row itself is left out, and the first row of a
-    group gets null.
+    group gets null. ``aggregated``: see ``chunked``.
     """
     keys = list(keys)
     agg = getattr(F, how)
-    rows = chunked(df, order, chunks)
+    rows = chunked(df, order, chunks, aggregated)
     totals = rows.groupBy(*keys, "_chunk").agg(*[agg(c).alias(f"_total_{n}") for c, n in values.items()])
     # at most ``chunks`` rows per key
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,10 +74,10 @@ def running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, st
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
-                  chunks: int = CHUNKS) -> DataFrame:
+                  chunks: int = CHUNKS, aggregated: bool = False) -> DataFrame:
     """Add the previous row's ``values[column] -> name`` in ascending ``order`` (``lag`` by one, cut into chunks)."""
     keys = list(keys)
-    rows = chunked(df, order[0], chunks)
+    rows = chunked(df, order[0], chunks, aggregated)
     packed = F.struct(*order, *[F.col(c).alias(f"_v_{n}") for c, n in values.items()])
     tails = rows.groupBy(*keys, "_chunk").agg(F.max(packed).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_chunk")
