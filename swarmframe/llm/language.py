@@ -129,8 +129,8 @@ def train(texts: Sequence[str], labels: Sequence[str], dim: int = 16, epochs: in
     right = p.argmax(axis=1) == truth
     scores = np.sort(p[rows, truth][right])
     reject = float(scores[int(len(scores) * rejected)]) if len(scores) else 0.0
-    # never above even odds between two languages: rejection is for texts that are none of them
-    return LanguageModel(languages, table, bias, float(temperature), min(reject, 0.5))
+    # at most a quarter above chance: texts that mix known languages stay, rejection is for texts that are none of them
+    return LanguageModel(languages, table, bias, float(temperature), min(reject, 1.25 / len(languages)))
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label: Column, rows: int) -> list:
