@@ -27,8 +27,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that 10 documents or more hold go from all of them; a null text stays null."""
-    lines = drop_shared_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1)
+    """Lines that 10 documents or more hold go; of documents that consist of such lines the first keeps them. A null text stays null."""
+    lines = drop_shared_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1, keep_copies=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     return lines.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 

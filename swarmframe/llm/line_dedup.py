@@ -6,6 +6,10 @@ running sums give the number of documents, the first row the first occurrence. D
 bitmap per document, ``drops``: only its non-zero words, each (word number, 63 bits). Texts are joined with the bitmaps
 by (id, text hash) and filtered in place; they are never exploded.
 
+``keep_copies`` changes the rule for copies: a document that would lose more than half of its characters is a copy of a text
+that many hold, and of the copies that hold a line the first (least id, null last) keeps it, wherever the line stands in it.
+So a text stays once however often it was copied; lines shared by documents with text of their own still go from all of them.
+
 Cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars`` are kept always; repeated rows
 count as documents each; null ids are matched by text; if every line goes, the text is empty; an empty table gives an empty
 result; other columns are kept, whatever their names.
@@ -46,9 +50,9 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _shared(_hashes(docs, id_col, text_col, min_chars), min_docs, salts)
 
 
-def _hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, *more: Column) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"),
-                       _key_hashes(F.split(text_or_empty(text_col), "\n"), min_chars).alias("hashes"))
+                       _key_hashes(F.split(text_or_empty(text_col), "\n"), min_chars).alias("hashes"), *more)
 
 
 def _shared(hashes: DataFrame, min_docs: int, salts: int) -> DataFrame:
@@ -63,22 +67,44 @@ def _shared(hashes: DataFrame, min_docs: int, salts: int) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1,
-                 salts: int = 16) -> DataFrame:
+                 salts: int = 16, keep_copies: bool = False) -> DataFrame:
     """(``id``, ``text_key``, ``drops``) of the documents that lose lines.
 
     ``drops``: array of (``word``, ``bits``); bit k of word w is set if line ``63 * w + k`` goes. Words without a bit are left out.
+    With ``keep_copies``, the first of the documents that would lose most of their text keeps the lines that they share.
     """
-    hashes = settled(_hashes(docs, id_col, text_col, min_chars))
+    sizes = F.transform(F.split(text_or_empty(text_col), "\n"), F.char_length).alias("sizes")
+    hashes = settled(_hashes(docs, id_col, text_col, min_chars, *[sizes] * keep_copies))
     shared = _shared(hashes, min_docs, salts).select("hash")
     # rows that repeat an id and a text get one bitmap
-    lines = hashes.select("id", "text_key", F.posexplode("hashes").alias("pos", "hash")).where("hash IS NOT NULL")
-    hit = lines.join(shared, "hash").select("id", "text_key", "pos").distinct()
+    lines = hashes.select("id", "text_key", *["sizes"] * keep_copies, F.posexplode("hashes").alias("pos", "hash")).where("hash IS NOT NULL")
     word, bit = F.floor(F.col("pos") / WORD_BITS).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % WORD_BITS).cast("int"))
-    words = hit.groupBy("id", "text_key", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    if keep_copies:
+        total = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, size: n + size)
+        lines = lines.select("id", "text_key", "pos", "hash", F.get("sizes", F.col("pos")).alias("size"), total.alias("total"))
+        hit = settled(lines.join(shared, "hash").distinct())
+        kept = _first_copies(hit).select("id", "text_key", F.explode("places").alias("pos"))
+        both = hit.select("id", "text_key", "pos", F.lit(False).alias("stays")).unionByName(kept.withColumn("stays", F.lit(True)))
+        words = both.groupBy("id", "text_key", word.alias("word")).agg(
+            F.bit_or(bit).alias("all"), F.coalesce(F.bit_or(F.when(F.col("stays"), bit)), F.lit(0).cast("long")).alias("stay"))
+        words = words.select("id", "text_key", "word", F.col("all").bitwiseXOR(F.col("stay")).alias("bits")).where("bits <> 0")
+    else:
+        hit = lines.join(shared, "hash").select("id", "text_key", "pos").distinct()
+        words = hit.groupBy("id", "text_key", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     return words.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def _first_copies(hit: DataFrame) -> DataFrame:
+    """(``id``, ``text_key``, ``places``) per line of copies: the first copy that holds it, and where the line stands in it."""
+    lost = hit.groupBy("id", "text_key").agg(F.sum("size").alias("lost"), F.max("total").alias("total"),
+                                             F.collect_list(F.struct("hash", "pos")).alias("lines"))
+    copies = lost.where(2 * F.col("lost") > F.col("total")).select("id", "text_key", F.inline("lines"))
+    placed = copies.groupBy("id", "text_key", "hash").agg(F.collect_list("pos").alias("places"))
+    holder = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "places")
+    return placed.groupBy("hash").agg(F.min(holder).alias("first")).select("first.id", "first.text_key", "first.places")
+
+
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int | bool) -> DataFrame:
     """All rows and columns of ``docs`` with ``line_drops`` (null: none), ``n_lines``, ``n_dropped`` and ``kept_text``."""
     drops, n_lines, n_dropped, kept = fresh(docs, "line_drops", "n_lines", "n_dropped", "kept_text")
     bitmaps = drop_bitmaps(docs, id_col, text_col, **options)

@@ -48,6 +48,22 @@ def test_stages_take_effect(spark, docs_of, tmp_path):
     assert ids["packing"] == ids["mixing"]
 
 
+def test_one_of_many_copies_keeps_its_lines(spark, docs_of, tmp_path):
+    text = "\n".join(f"line {k} of a text that was copied often" for k in [*range(70), 3, 3])
+    near = [f"an edit that only number {i} has\n" + text.replace("line", "row").replace("often", "and edited") for i in range(12)]
+    rows = [(i, "common line\n" + f"words of document {i} alone " * 4) for i in range(12)]
+    rows += [(i, text) for i in [*range(120, 100, -1), None, 101]] + [(200 + i, t) for i, t in enumerate(near)]
+    corpus_pipeline.without_shared_lines(spark, docs_of(rows, 4), SF).write.parquet(str(tmp_path / "lines"))
+    out = spark.read.parquet(str(tmp_path / "lines"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got[101] == [text] * 2 and all(got[i] == [""] for i in [None, *range(102, 121)])
+    assert got[200] == [near[0]] and got[207] == ["an edit that only number 7 has"]
+    assert all("common" not in t for i in range(12) for t in got[i])
+    assert text in [r["text"] for r in corpus_pipeline.one_of_near_copies(spark, out, SF).collect()]
+
+
 def test_run_over_no_rows(spark, docs_of, tmp_path):
     docs_of([(1, "x")]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
