@@ -1,11 +1,11 @@
 """Main text of web pages: markup says what is an article, a suffix array per host says what is boilerplate elsewhere.
 
 A page becomes blocks of text, each inside an article, inside something that is never content (menu, footer, advert, ...) or
-in neither. Pages with an article give its blocks. For the others, the text outside of articles of all pages of a host is
-laid end to end, page by page (dealt into shards of bounded size): its suffix array, sorted as far as ``min_tokens`` tokens, shows
-which strings of that length occur, each shard returns them with their least and greatest page, and strings that two
-distinct pages of the host share, over all shards, are repeated. Blocks in neither region lose what repeated strings
-cover and keep their unique runs.
+in neither. Blocks that are never content go. Blocks of articles are firm if the articles hold at least half of the words that
+are left (teaser cards beside a body do not); all other blocks are loose. The loose text of all pages of a host is laid end
+to end, page by page (dealt into shards of bounded size): its suffix array, sorted as far as ``min_tokens`` tokens, shows
+which strings of that length occur, each shard returns them with their number of pages, and strings that two distinct
+texts of the host share, over all shards, are repeated. Loose blocks lose what repeated strings cover; firm ones stay.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own; a page row that is repeated is one page as
 evidence and gives a row each; unclosed, misnested and cut-off tags are read leniently; an empty table gives an empty
@@ -49,7 +49,6 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z/!][^>]*\Z", re.S | re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HAS_ARTICLE = r"(?i)<(article|main)[\s>/]"
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
@@ -136,58 +135,85 @@ def window_key(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
-def shared_strings(pages: list[int], streams: list[list[str]], length: int) -> list[tuple[bytes, int, int]]:
-    """Strings of ``length`` words in the streams (one per page): key, least and greatest page. One row per distinct string."""
+def _sorted_windows(streams: list[list[str]], length: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All words; of each suffix, in order, where it starts and in which stream; where suffixes of one window begin."""
     words = [w for s in streams for w in s]
+    none = np.zeros(0, dtype=np.int64)
     if not words:
-        return []
+        return words, none, none, none
     n = np.array([len(s) for s in streams])
-    page = np.repeat(np.array(pages, dtype=np.int64), n)
+    stream = np.repeat(np.arange(len(streams)), n)
     left = np.concatenate([np.arange(k, 0, -1) for k in n.tolist()])  # words from here to the end of the page
     numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
     rank = ranks(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)), length)
     starts = np.flatnonzero(left >= length)
     suffixes = starts[np.argsort(rank[starts], kind="stable")]  # the suffix array, windows that cross pages left out
+    if not len(suffixes):
+        return words, none, none, none
+    return words, suffixes, stream[suffixes], np.flatnonzero(np.append(True, rank[suffixes[1:]] != rank[suffixes[:-1]]))
+
+
+def shared_strings(pages: list[int], streams: list[list[str]], length: int) -> list[tuple[bytes, int, int]]:
+    """Strings of ``length`` words in the streams (one per page): key, least and greatest page. One row per distinct string."""
+    words, suffixes, stream, heads = _sorted_windows(streams, length)
     if not len(suffixes):
         return []
-    heads = np.flatnonzero(np.append(True, rank[suffixes[1:]] != rank[suffixes[:-1]]))
-    low, high = np.minimum.reduceat(page[suffixes], heads), np.maximum.reduceat(page[suffixes], heads)
+    page = np.array(pages, dtype=np.int64)[stream]
+    low, high = np.minimum.reduceat(page, heads), np.maximum.reduceat(page, heads)
     return [(window_key(words[s:s + length]), a, b) for s, a, b in zip(suffixes[heads].tolist(), low.tolist(), high.tolist(), strict=True)]
 
 
+def string_counts(streams: list[list[str]], length: int, least: int = 1) -> list[tuple[bytes, int]]:
+    """Strings of ``length`` words that ``least`` streams or more hold: key, number of streams."""
+    words, suffixes, stream, heads = _sorted_windows(streams, length)
+    if not len(suffixes):
+        return []
+    first = np.append(True, stream[1:] != stream[:-1])  # the sort is stable, so a stream's suffixes of one window lie together
+    first[heads] = True
+    n = np.add.reduceat(first.astype(np.int64), heads)
+    return [(window_key(words[s:s + length]), k) for s, k in zip(suffixes[heads].tolist(), n.tolist(), strict=True) if k >= least]
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [" ".join(t for r, t in blocks_of(h) if r != "article") for h in texts_of(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["host", "page", "stream"])
+def parts_of(html: str | None) -> list[tuple[bool, str]]:
+    """(firm, text) of the blocks that can be content; what is not firm may be boilerplate."""
+    parts = [(r == "article", t) for r, t in blocks_of(html) if r != "never"]
+    own, rest = (sum(len(t.split()) for firm, t in parts if firm == of) for of in (True, False))
+    return parts if own >= rest else [(False, t) for _, t in parts]
 
 
-def _article(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html in texts_of(batch.column(2)):
-            blocks = blocks_of(html)
-            own = [t for r, t in blocks if r == "article"] or [t for r, t in blocks if r == "open"]
-            texts.append("\n".join(own))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        firm, parts, contents = [], [], []
+        for html in texts_of(batch.column(3)):
+            found = parts_of(html)
+            firm.append([f for f, _ in found])
+            parts.append([t for _, t in found])
+            loose = [t for f, t in found if not f]
+            contents.append(window_key(loose) if loose else None)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(contents, pa.binary()), pa.array(firm, pa.list_(pa.bool_())), pa.array(parts, pa.list_(pa.string()))],
+            names=["page_id", "url", "host", "content", "firm", "parts"])
+
+
+PARSED = "page_id long, url string, host string, content binary, firm array<boolean>, parts array<string>"
 
 
-def repeated_strings(pages: DataFrame, min_tokens: int, shard_pages: int) -> DataFrame:
-    """(``host``, ``key``) of the strings outside articles that two distinct pages of a host share."""
-    streams = shipped(pages.select("host", "page", "html")).mapInArrow(_outside, "host string, page long, stream string")
-    shards = pages.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards"))
-    dealt = streams.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards")))
+def repeated_strings(streams: DataFrame, min_tokens: int, shard_pages: int) -> DataFrame:
+    """(``host``, ``key``) of the strings that two distinct ``streams`` (``host``, ``content``, ``stream``) of a host share."""
+    shards = streams.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards"))
+    dealt = streams.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("content"), F.col("shards")))
 
     def sorted_suffixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = shared_strings(rows["page"].tolist(), [s.split() for s in rows["stream"]], min_tokens)
-        return pd.DataFrame({"host": key[0], "key": [k for k, _, _ in found], "low": np.array([a for _, a, _ in found], dtype=np.int64),
-                             "high": np.array([b for _, _, b in found], dtype=np.int64)})
+        # a string that one page of the only shard holds is not repeated
+        found = string_counts([s.split() for s in rows["stream"]], min_tokens, least=2 if key[1] == 1 else 1)
+        return pd.DataFrame({"host": key[0], "key": [k for k, _ in found], "n": np.array([n for _, n in found], dtype=np.int64)})
 
-    some = dealt.groupBy("host", "shard").applyInPandas(sorted_suffixes, "host string, key binary, low long, high long")
-    return some.groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("host", "key")
+    some = dealt.groupBy("host", "shards", "shard").applyInPandas(sorted_suffixes, "host string, key binary, n long")
+    return some.groupBy("host", "key").agg(F.sum("n").alias("n")).where("n > 1").select("host", "key")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 6,
@@ -195,43 +221,45 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(``page_id``, ``url``, ``text``) per row of ``pages``."""
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"),
-                        F.xxhash64(pages[id_col], url).alias("page"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    has_article = F.col("html").rlike(HAS_ARTICLE)
-    marked = shipped(rows.where(has_article).select("page_id", "url", "html")).mapInArrow(_article, "page_id long, url string, text string")
+                        F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
+    parsed = shipped(rows).mapInArrow(_parsed, PARSED)
 
-    # the rest: open blocks, less what repeated strings cover
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = [w for r, t in blocks_of(html) if r != "article" for w in t.split()]
-                out += [(host, page, k, window_key(words[k:k + min_tokens])) for k in range(len(words) - min_tokens + 1)]
+            for host, content, stream in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = stream.split()
+                out += [(host, content, k, window_key(words[k:k + min_tokens])) for k in range(len(words) - min_tokens + 1)]
             columns = zip(*out, strict=True) if out else [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "pos", "key"])
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "content", "pos", "key"])
 
     def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, covered in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for firm, parts, covered in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 gone = {k for pos in covered or [] for k in range(pos, pos + min_tokens)}
                 kept, at = [], 0
-                for region, text in blocks_of(html):
-                    if region == "article":
+                for stays, text in zip(firm, parts, strict=True):
+                    if stays:
+                        kept.append(text)
                         continue
                     words = text.split()
                     own = [w for k, w in enumerate(words, at) if k not in gone]
                     at += len(words)
-                    if region == "open" and own:
+                    if own:
                         kept.append(" ".join(own))
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    others = rows.where(~has_article)
-    repeated = repeated_strings(rows, min_tokens, shard_pages)
-    found = others.select("host", "page", "html").dropDuplicates(["host", "page", "html"]).mapInArrow(
-        windows, "host string, page long, pos int, key binary")
-    covered = found.join(repeated, ["host", "key"]).groupBy("page").agg(F.collect_set("pos").alias("covered"))
-    bare = others.join(covered, "page", "left").select("page_id", "url", "html", "covered").mapInArrow(
+    # pages without a loose block have nothing that could go; their html is not moved
+    whole = parsed.where("content IS NULL").select("page_id", "url", F.array_join("parts", "\n").alias("text"))
+    loose = parsed.where("content IS NOT NULL")
+    stream = F.array_join(F.filter("parts", lambda _, i: ~F.get("firm", i)), " ")
+    streams = loose.select("host", "content", stream.alias("stream")).groupBy("host", "content").agg(F.first("stream").alias("stream"))
+    found = streams.mapInArrow(windows, "host string, content binary, pos int, key binary")
+    repeated = repeated_strings(streams, min_tokens, shard_pages)
+    covered = found.join(repeated, ["host", "key"]).groupBy("host", "content").agg(F.collect_set("pos").alias("covered"))
+    bare = loose.join(covered, ["host", "content"], "left").select("page_id", "url", "firm", "parts", "covered").mapInArrow(
         uncovered, "page_id long, url string, text string")
-    return marked.unionByName(bare)
+    return whole.unionByName(bare)

@@ -56,3 +56,19 @@ def test_repeated_text_goes_where_no_article_is_marked(spark, shard_pages):
     assert got == sorted([(1, "one unique text here"), (2, "two other text"), (3, NEWS + "\nsolo"), (4, ""), (5, "Art\n" + NEWS), (5, "Art\n" + NEWS),
                           (6, ""), (-1, NEWS), (-1, NEWS), (8, ("long text " * 30_000).strip())])
     assert main_texts(pages.limit(0)).collect() == []
+
+
+def texts_of_pages(spark, htmls):
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(main_texts(pages).collect(), key=lambda r: r["page_id"])]
+
+
+def body(i, n=60):
+    return " ".join(f"body{i}w{k}" for k in range(n))
+
+
+def test_no_page_escapes_by_a_mark_that_is_not_its_article(spark):
+    marks = ["<script>var a = '<article>'</script>", "<!-- <main> -->", "<article class=comment>a reader</article>", "<article>a card of few words</article>"]
+    got = texts_of_pages(spark, [f"{LETTER}<div>{body(i)}</div>{m}" for i, m in enumerate(marks)])
+    assert [t.split("\n")[0] for t in got] == [body(i) for i in range(4)]
+    assert got[:3] == [body(i) for i in range(3)]
