@@ -4,8 +4,12 @@ A page becomes blocks of text, each inside an article, inside something that is
 in neither. Blocks that are never content go. Blocks of articles are firm if the articles hold at least half of the words that
 are left (teaser cards beside a body do not); all other blocks are loose. The loose text of all pages of a host is laid end
 to end, page by page (dealt into shards of bounded size): its suffix array, sorted as far as ``min_tokens`` tokens, shows
-which strings of that length occur, each shard returns them with their number of pages, and strings that two distinct
-texts of the host share, over all shards, are repeated. Loose blocks lose what repeated strings cover; firm ones stay.
+which strings of that length occur, each shard returns them with their number of pages. Copies of one text are one page
+there. Strings on a quarter of the host's pages (two at least), over all shards, are boilerplate; a loose block goes if they
+cover all of it, so passages inside a block stay. Firm blocks stay too, and so do, as copied text:
+
+- runs of more than ``SHORT_RUN`` words of covered blocks in which some word is in strings of fewer than ``MANY_PAGES`` pages only;
+- all blocks of a page of more than ``SHORT_RUN`` words that would lose more than nine tenths of its words.
 
 Cases: null or empty html gives an empty text; a null url is a host of its own; a page row that is repeated is one page as
 evidence and gives a row each; unclosed, misnested and cut-off tags are read leniently; an empty table gives an empty
@@ -49,6 +53,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z/!][^>]*\Z", re.S | re.I)
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Fixed: what fewer pages than this share is boilerplate only in runs of at most so many words.
+MANY_PAGES, SHORT_RUN = 4, 40
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
@@ -199,26 +205,50 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["page_id", "url", "host", "content", "firm", "parts"])
 
 
+def stays(firm: list[bool], parts: list[str], covered: dict[int, int], length: int) -> list[bool]:
+    """Per block whether it stays; ``covered`` has the places in the loose text where boilerplate begins, with its pages."""
+    pages: dict[int, int] = {}  # per word the most pages of a string that covers it
+    for pos, n in covered.items():
+        for k in range(pos, pos + length):
+            pages[k] = max(n, pages.get(k, 0))
+    sizes = [len(text.split()) for text in parts]
+    out, run, at = [True] * len(parts), [], 0
+    for k, n in enumerate(sizes):
+        found = [] if firm[k] else [pages.get(i, 0) for i in range(at, at + n)]
+        at += len(found)
+        if found and min(found) >= MANY_PAGES:
+            out[k] = False
+        elif found and all(found):
+            run.append(k)
+        if run and (run[-1] != k or k + 1 == len(parts)):
+            if sum(sizes[i] for i in run) <= SHORT_RUN:
+                for i in run:
+                    out[i] = False
+            run = []
+    lost = sum(n for n, stay in zip(sizes, out, strict=True) if not stay)
+    return [True] * len(parts) if lost > SHORT_RUN and lost > 0.9 * sum(sizes) else out
+
+
 PARSED = "page_id long, url string, host string, content binary, firm array<boolean>, parts array<string>"
 
 
-def repeated_strings(streams: DataFrame, min_tokens: int, shard_pages: int) -> DataFrame:
-    """(``host``, ``key``) of the strings that two distinct ``streams`` (``host``, ``content``, ``stream``) of a host share."""
-    shards = streams.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards"))
+def repeated_strings(streams: DataFrame, min_tokens: int, shard_pages: int, support: float) -> DataFrame:
+    """(``host``, ``key``, ``n``) of strings that ``support`` of the ``streams`` (``host``, ``content``, ``stream``) of a host share, two at least."""
+    shards = streams.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards"),
+                                         F.greatest(F.lit(2), F.ceil(support * F.count("*"))).alias("least"))
     dealt = streams.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("content"), F.col("shards")))
 
     def sorted_suffixes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # a string that one page of the only shard holds is not repeated
-        found = string_counts([s.split() for s in rows["stream"]], min_tokens, least=2 if key[1] == 1 else 1)
-        return pd.DataFrame({"host": key[0], "key": [k for k, _ in found], "n": np.array([n for _, n in found], dtype=np.int64)})
+        found = string_counts([s.split() for s in rows["stream"]], min_tokens, least=key[1] if key[2] == 1 else 1)
+        return pd.DataFrame({"host": key[0], "least": key[1], "key": [k for k, _ in found], "n": np.array([n for _, n in found], dtype=np.int64)})
 
-    some = dealt.groupBy("host", "shards", "shard").applyInPandas(sorted_suffixes, "host string, key binary, n long")
-    return some.groupBy("host", "key").agg(F.sum("n").alias("n")).where("n > 1").select("host", "key")
+    some = dealt.groupBy("host", "least", "shards", "shard").applyInPandas(sorted_suffixes, "host string, least long, key binary, n long")
+    return some.groupBy("host", "least", "key").agg(F.sum("n").alias("n")).where("n >= least").select("host", "key", "n")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = 6,
-               shard_pages: int = 2000) -> DataFrame:
-    """(``page_id``, ``url``, ``text``) per row of ``pages``."""
+               shard_pages: int = 2000, support: float = 0.25) -> DataFrame:
+    """(``page_id``, ``url``, ``text``) per row of ``pages``; boilerplate is what ``support`` of a host's pages share."""
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"),
                         F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
@@ -238,17 +268,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             texts = []
             for firm, parts, covered in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                gone = {k for pos in covered or [] for k in range(pos, pos + min_tokens)}
-                kept, at = [], 0
-                for stays, text in zip(firm, parts, strict=True):
-                    if stays:
-                        kept.append(text)
-                        continue
-                    words = text.split()
-                    own = [w for k, w in enumerate(words, at) if k not in gone]
-                    at += len(words)
-                    if own:
-                        kept.append(" ".join(own))
+                own = stays(firm, parts, {c["pos"]: c["n"] for c in covered or []}, min_tokens)
+                kept = [text for text, stay in zip(parts, own, strict=True) if stay]
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -258,8 +279,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     stream = F.array_join(F.filter("parts", lambda _, i: ~F.get("firm", i)), " ")
     streams = loose.select("host", "content", stream.alias("stream")).groupBy("host", "content").agg(F.first("stream").alias("stream"))
     found = streams.mapInArrow(windows, "host string, content binary, pos int, key binary")
-    repeated = repeated_strings(streams, min_tokens, shard_pages)
-    covered = found.join(repeated, ["host", "key"]).groupBy("host", "content").agg(F.collect_set("pos").alias("covered"))
+    repeated = repeated_strings(streams, min_tokens, shard_pages, support)
+    covered = found.join(repeated, ["host", "key"]).groupBy("host", "content").agg(F.collect_list(F.struct("pos", "n")).alias("covered"))
     bare = loose.join(covered, ["host", "content"], "left").select("page_id", "url", "firm", "parts", "covered").mapInArrow(
         uncovered, "page_id long, url string, text string")
     return whole.unionByName(bare)

@@ -72,3 +72,14 @@ def test_no_page_escapes_by_a_mark_that_is_not_its_article(spark):
     got = texts_of_pages(spark, [f"{LETTER}<div>{body(i)}</div>{m}" for i, m in enumerate(marks)])
     assert [t.split("\n")[0] for t in got] == [body(i) for i in range(4)]
     assert got[:3] == [body(i) for i in range(3)]
+
+
+@pytest.mark.parametrize("edit", ["", "edited "])
+def test_copied_pages_without_marks_keep_their_text(spark, edit):
+    passage = f"<p>{body('passage', 30)}</p>"
+    pages = [f"{LETTER}<div>{body('copied')}</div><p>{edit * i}end of the copied text</p>" for i in range(3)]
+    pages += [f"{LETTER}<div>{body(i)} {body('quote', 20)} and more</div>{passage * (i < 2)}" for i in range(9)]
+    got = texts_of_pages(spark, pages)
+    assert all(t.split("\n")[0] == body("copied") for t in got[:3]) and NEWS not in "\n".join(got)
+    assert all(t.startswith(f"{body(i)} {body('quote', 20)} and more") for i, t in enumerate(got[3:]))
+    assert [body("passage", 30) in t for t in got[3:]] == [True] * 2 + [False] * 7
