@@ -40,10 +40,13 @@ ARTICLE = frozenset(("article", "main"))
 ENDED_BY_BLOCK = frozenset(("p",))
 ENDED_BY_SAME = frozenset("li dt dd tr td th option".split())
 #: Fixed: class, id and role words that mark what is not content.
-NEVER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|ads?|advert\w*|sponsor\w*|promo\w*|banner|"
+_WORDS = (
+    r"(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|ads?|advert\w*|sponsor\w*|promo\w*|banner|"
     r"cookies?|consent|gdpr|notice|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|disqus|"
-    r"replies|popup|modal|widget|pagination|pager|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+    r"replies|popup|modal|widget|pagination|pager|complementary|contentinfo|search)")
+#: One whole name, or names joined to one: cookie-notice counts, has-sidebar does not.
+NEVER_WORDS = re.compile(rf"(?:^|(?<=\s)){_WORDS}(?:[_-]+{_WORDS})*(?:$|(?=\s))", re.I)
+READER_WORDS = re.compile(r"(?:^|(?<=\s))(?:comments?|repl(?:y|ies))(?:$|(?=\s))", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -58,24 +61,23 @@ MANY_PAGES, SHORT_RUN = 4, 40
 
 
 def blocks_of(html: str | None) -> list[tuple[str, str]]:
-    """(``region``, text) of the blocks of a page; the region is article, never or open."""
-    out, parts, stack = [], [], []  # stack: (tag, region)
-    region = "open"
+    """(``region``, text) of the blocks of a page; the region is article, never or open.
+
+    Names mark neither an article (unless it is a reader's comment) nor main, nor what holds one outside of another article.
+    """
+    out, parts, stack = [], [], []  # stack: (tag, region, mark); a mark by names is a list, emptied when an article shows up in it
+    region, marks = "open", ()  # of the innermost element, and the marks that make it never as long as they hold
 
     def closed() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append((region, text))
+            out.append((region, marks, text))
         parts.clear()
 
-    def current() -> str:
-        found = "open"
-        for _, r in stack:
-            if r == "never":
-                return r
-            if r == "article":
-                found = r
-        return found
+    def current() -> tuple[str, tuple[list, ...]]:
+        kinds = {r for _, r, _ in stack}
+        found = "never" if "never" in kinds else "article" if "article" in kinds else "open"
+        return found, tuple(m for _, _, m in stack if m)
 
     at, html = 0, html or ""
     for m in _TOKEN.finditer(html):
@@ -93,10 +95,10 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
                 closed()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(r != "open" for _, r in stack[k:]):
+                    if any(r != "open" or m for _, r, m in stack[k:]):
                         closed()
                     del stack[k:]
-                    region = current()
+                    region, marks = current()
                     break
             continue
         if tag in VOID:
@@ -105,8 +107,10 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
             continue
         attrs = m["attrs"] or ""
         words = " ".join(a or b or c for a, b, c in _MARKS.findall(attrs)) if "=" in attrs else ""
-        own = "never" if tag in NEVER or words and NEVER_WORDS.search(words) else "article" if tag in ARTICLE else "open"
-        if tag in BLOCKS or own == "never":
+        own = "never" if tag in NEVER else "article" if tag in ARTICLE else "open"
+        named = bool(words) and own != "never" and tag not in ("body", "html") and bool(
+            NEVER_WORDS.search(words) if own == "open" else tag == "article" and READER_WORDS.search(words))
+        if tag in BLOCKS or own == "never" or named:
             closed()
             if tag == "body":
                 stack.clear()
@@ -114,12 +118,17 @@ def blocks_of(html: str | None) -> list[tuple[str, str]]:
                 stack.pop()
             if tag in ENDED_BY_SAME and stack and stack[-1][0] == tag:
                 stack.pop()
-            stack.append((tag, own if tag not in ("body", "html") else "open"))
-            region = current()
+            if own == "article" and not named:
+                for outer, _, mark in stack:
+                    if outer == "article":
+                        break
+                    mark.clear()
+            stack.append((tag, own, [tag] if named else []))
+            region, marks = current()
     if at < len(html):
         parts.append(unescape(html[at:]))
     closed()
-    return out
+    return [("never" if any(held) else r, text) for r, held, text in out]
 
 
 def ranks(tokens: np.ndarray, length: int) -> np.ndarray:

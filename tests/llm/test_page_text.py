@@ -83,3 +83,16 @@ def test_copied_pages_without_marks_keep_their_text(spark, edit):
     assert all(t.split("\n")[0] == body("copied") for t in got[:3]) and NEWS not in "\n".join(got)
     assert all(t.startswith(f"{body(i)} {body('quote', 20)} and more") for i, t in enumerate(got[3:]))
     assert [body("passage", 30) in t for t in got[3:]] == [True] * 2 + [False] * 7
+
+
+@pytest.mark.parametrize("html, blocks", [
+    ("<div class='site has-sidebar'><p>a</p></div>", [("open", "a")]),
+    ("<main class='no-sidebar'>a<div class='sidebar'>b</div></main>", [("article", "a"), ("never", "b")]),
+    ("<article class='post comments-open category-social'>a</article>", [("article", "a")]),
+    ("<main class=search><h1>a</h1></main>", [("article", "a")]),
+    ("<div class=widget><p>t</p><article>a<div id=comments>b<article>c</article></div></article></div>d",
+     [("open", "t"), ("article", "a"), ("never", "b"), ("never", "c"), ("open", "d")]),
+    ("<div role=search>a</div><div id='cookie-notice'>b</div><article class=comment>c</article>", [("never", "a"), ("never", "b"), ("never", "c")]),
+])
+def test_names_do_not_hide_articles(html, blocks):
+    assert blocks_of(html) == blocks
