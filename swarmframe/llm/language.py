@@ -3,8 +3,10 @@
 Subwords are byte n-grams of the folded text (white space becomes one mark, so word ends count), hashed into buckets. A
 bucket has a small vector; a document is the mean of its subwords' vectors; a softmax over a linear map gives the
 languages. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled documents, picked by
-a hash of the id; a part of it that is kept out fits the softmax temperature and the score below which a prediction is
-rejected. A trained model is one number per bucket and language (its size is fixed by parameters), so scoring is a sum of
+a hash of the id; a part of it that is kept out fits the softmax temperature and the limits of rejection: the score, and how
+common a text's subwords are in the languages learned (their mean log frequency, drawn to the usual one in short texts). The
+limits are what right answers and mixtures of two known languages seldom miss; the second is half way down to the texts of
+left-out languages (each taken out of the frequencies in turn) where those are lower still. A trained model is one number per bucket and language (its size is fixed by parameters), so scoring is a sum of
 table rows over a text's bytes. Texts are read whole, in training too.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts first; repeated
@@ -27,6 +29,8 @@ from .common import held_out, shipped, texts_of
 UNKNOWN = "und"
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
+#: Fixed: for how common subwords are, only those of lower-case words count, with so many of usual text added to each text.
+WORD_SIZES, SHRINK = (4,), 20
 
 # ASCII letters folded, white space to a mark, digits to one digit
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -53,6 +57,15 @@ def _framed(text: str) -> bytes:
     return b"_" + text.encode("utf-8", "surrogatepass") + b"_"
 
 
+_LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else ord("_") for b in range(256))
+
+
+def _words_only(text: str) -> bytes:
+    """The text in lower case, one mark for whatever stands between letters."""
+    b = np.frombuffer(_framed(text.lower()).translate(_LETTERS), dtype=np.uint8)
+    return b[np.append(True, (b[1:] != ord("_")) | (b[:-1] != ord("_")))].tobytes()
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -60,16 +73,29 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    common: np.ndarray | None = None  # per bucket the log frequency over all languages, less the usual mean of a text
+    strange_below: float = -np.inf
 
     def logits(self, text: str) -> np.ndarray:
-        data = _framed(text)
-        total, n = np.zeros(len(self.languages)), 0
+        return self._means(_framed(text), self.table, SIZES)[0] + self.bias
+
+    def rejects(self, text: str, score: float) -> bool:
+        """Whether a text with this score is of no known language."""
+        if score < self.reject_below:
+            return True
+        if self.common is None:
+            return False
+        mean, n = self._means(_words_only(text), self.common, WORD_SIZES)
+        return float(mean * n / (n + SHRINK)) < self.strange_below
+
+    def _means(self, data: bytes, table: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, int]:
+        total, n = np.zeros(table.shape[1:]), 0
         for at in range(0, len(data), 1 << 20):  # long texts a part at a time, overlapping by a subword
-            for size in SIZES:
+            for size in sizes:
                 buckets = subwords(data[at:at + (1 << 20) + size - 1], size)
                 n += len(buckets)
-                total += self.table[buckets].sum(axis=0, dtype=np.float64)
-        return total / max(n, 1) + self.bias
+                total += table[buckets].sum(axis=0, dtype=np.float64)
+        return total / max(n, 1), n
 
     def predict(self, text: str | None) -> tuple[str, float]:
         import regex
@@ -129,8 +155,55 @@ def train(texts: Sequence[str], labels: Sequence[str], dim: int = 16, epochs: in
     right = p.argmax(axis=1) == truth
     scores = np.sort(p[rows, truth][right])
     reject = float(scores[int(len(scores) * rejected)]) if len(scores) else 0.0
-    # at most a quarter above chance: texts that mix known languages stay, rejection is for texts that are none of them
-    return LanguageModel(languages, table, bias, float(temperature), min(reject, 1.25 / len(languages)))
+    # mixtures: texts of two or more languages, equal parts of each
+    right_at = np.flatnonzero(right)
+    mixtures = []
+    for count in range(2, min(len(languages), 4) + 1):
+        for _ in range(200 if len(set(truth[right_at])) >= count else 0):
+            some = rng.choice(np.unique(truth[right_at]), count, replace=False)
+            mixtures.append([int(rng.choice(right_at[truth[right_at] == k])) for k in some])
+    if mixtures:
+        mixed = np.array([z[m].mean(axis=0) for m in mixtures]) / temperature
+        e = np.exp(mixed - mixed.max(axis=1, keepdims=True))
+        reject = min(reject, _low((e / e.sum(axis=1, keepdims=True)).max(axis=1), rejected))
+
+    words = []
+    for text in texts:
+        data = _words_only(text)
+        counts = np.bincount(np.concatenate([subwords(data, size) for size in WORD_SIZES]), minlength=1)
+        at = np.flatnonzero(counts)
+        words.append((at, counts[at]))
+    per_language = np.zeros((len(languages), 1 << BUCKET_BITS))
+    for i in fit:
+        at, counts = words[i]
+        per_language[target[i], at] += counts
+    part = [words[i] for i in (out if n_out else fit)]
+    sizes = np.array([counts.sum() for _, counts in part])
+
+    def familiar(counts: np.ndarray, usual_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log frequencies by ``counts``, less their median over texts ``usual_of``; the shrunk means of all texts of ``part``."""
+        logs = np.log((counts + 0.1) / (counts.sum() + 0.1 * len(counts)))
+        means = np.array([n @ logs[at] / max(n.sum(), 1) for at, n in part])
+        usual = float(np.median(means[usual_of])) if len(usual_of) else 0.0
+        return logs - usual, (means - usual) * sizes / (sizes + SHRINK)
+
+    common, own = familiar(per_language.sum(axis=0), right_at)
+    strange = _low(np.array([*own[right_at], *(own[m].mean() for m in mixtures)]), rejected) if len(right_at) else -np.inf
+    foreign = []
+    for k in range(len(languages) if len(languages) > 1 else 0):
+        _, scores = familiar(per_language.sum(axis=0) - per_language[k], right_at[truth[right_at] != k])
+        foreign += scores[truth == k].tolist()
+    # half way down to the texts of left-out languages, where those are lower; with one language nothing shows what is strange
+    if not foreign:
+        strange = -np.inf
+    elif np.quantile(foreign, 0.99) < strange:
+        strange = (strange + float(np.quantile(foreign, 0.99))) / 2
+    return LanguageModel(languages, table, bias, float(temperature), reject, common.astype(np.float32), float(strange))
+
+
+def _low(scores: np.ndarray, share: float) -> float:
+    """The score that ``share`` of ``scores`` are below."""
+    return float(np.sort(scores)[int(len(scores) * share)])
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label: Column, rows: int) -> list:
@@ -163,7 +236,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         for batch in batches:
             found = [own.predict(t) for t in texts_of(batch.column(2))]
             score = [s for _, s in found]
-            rejected = [lang == UNKNOWN or s < own.reject_below for lang, s in found]
+            rejected = [lang == UNKNOWN or own.rejects(t, s) for t, (lang, s) in zip(texts_of(batch.column(2)), found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([lang for lang, _ in found], pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "text_key", "lang_pred", "score", "rejected"])
@@ -180,6 +253,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str =
         own = model_var.value
         for batch in batches:
             found = [own.predict(t) for t in texts_of(batch.column(at))]
-            yield batch.filter(pa.array([lang != UNKNOWN and s >= own.reject_below for lang, s in found], pa.bool_()))
+            stays = [lang != UNKNOWN and not own.rejects(t, s) for t, (lang, s) in zip(texts_of(batch.column(at)), found, strict=True)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return shipped(docs).mapInArrow(run, docs.schema)

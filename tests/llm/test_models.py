@@ -48,6 +48,29 @@ def test_language_learns_nothing_from_held_out_rows(spark, documents):
     assert {r["lang_pred"] for r in L.predict_languages(none, L.fit_language_model(none)).collect()} == {"und"}
 
 
+def test_texts_of_unknown_languages_go_and_mixtures_stay(spark, documents):
+    rows = [r for r in documents.where("lang IS NOT NULL AND n_chars > 200").select("doc_id", "text", "lang").collect()]
+    out = [r for r in rows if is_held_out(r["doc_id"])]
+    languages = sorted({r["lang"] for r in rows})
+    for left_out in [None, *languages]:
+        fit = [r for r in rows if not is_held_out(r["doc_id"]) and r["lang"] != left_out]
+        model = L.train([r["text"] for r in fit], [r["lang"] for r in fit])
+
+        def rejected(texts, model=model):
+            return np.mean([model.rejects(t, model.predict(t)[1]) for t in texts])
+
+        known = [r for r in out if r["lang"] != left_out]
+        mixed = [f"{a['text'][:2000]} {b['text'][:2000]}" for a in known[::9] for b in known[::7] if a["lang"] != b["lang"]]
+        assert rejected([r["text"] for r in known]) < 0.01 and len(mixed) > 20 and rejected(mixed) < 0.01
+        if left_out:
+            assert rejected([r["text"] for r in out if r["lang"] == left_out]) > 0.7
+        else:
+            assert rejected(["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными"]) == 1
+            docs = spark.createDataFrame([(1, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan"), (2, mixed[0])], "doc_id long, text string")
+            assert [r["doc_id"] for r in L.keep_known_languages(docs, model).collect()] == [2]
+            assert [r["rejected"] for r in L.predict_languages(docs, model).orderBy("doc_id").collect()] == [True, False]
+
+
 def test_long_texts_count_whole():
     model = L.train(["aaa bbb", "xyz zyx"] * 20, ["p", "q"] * 20)
     whole = model.logits("aaa " * 600_000)
