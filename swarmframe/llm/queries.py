@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_report
 from .common import held_out, scratch_folder
 from .exact_dedup import exact_duplicates
 from .language import fit_language_model, predict_languages
@@ -141,6 +142,36 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def _op11_round(i: int) -> str:
+    return f"""
+near{i} AS (
+  SELECT r, vec_id, v, k, d FROM (
+    SELECT r, vec_id, v, k, list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c) AS d FROM vectors, cent{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1),
+sums{i} AS (
+  SELECT k, j, sum(x::HUGEINT) AS s, count(*)::HUGEINT AS n
+  FROM (SELECT k, unnest(v)::BIGINT AS x, unnest(range(64)) AS j FROM near{i}) GROUP BY k, j),
+mean{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS c FROM sums{i} GROUP BY k),
+cent{i + 1} AS (SELECT k, coalesce(m.c, o.c) AS c FROM cent{i} o LEFT JOIN mean{i} m USING (k))"""
+
+
+OP11_SQL = f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = 64),
+cent0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS k, v AS c
+  FROM (SELECT sha256('2:' || vec_id) AS h, v FROM vectors ORDER BY h NULLS LAST, v LIMIT 40)),{",".join(map(_op11_round, range(6)))}
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM near5 JOIN cent5 USING (k)
+"""
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_simhash": (op2_simhash, None),
@@ -152,4 +183,5 @@ QUERIES = {
     "op8_neighbours": (op8_neighbours, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_page_text": (op10_page_text, None),
+    "op11_centroids": (op11_centroids, OP11_SQL),
 }
