@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .centroids import cluster_report
-from .common import held_out, scratch_folder
+from .common import held_out, scratch_folder, settled
 from .exact_dedup import exact_duplicates
 from .language import fit_language_model, predict_languages
 from .line_dedup import drop_shared_lines
+from .minhash import near_duplicate_groups
 from .mixing import mix_sources
 from .neighbours import nearest
 from .packing import pack_documents
 from .page_text import main_texts
+from .prefix_trie import numbered_turns, trie_nodes, with_family_openings
 from .simhash import simhash_groups
 from .token_files import token_index, write_token_files
 from .toxicity import fit_toxicity_model, score_toxicity
@@ -172,6 +174,82 @@ FROM near5 JOIN cent5 USING (k)
 """
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s
+    FROM words)),
+sets AS MATERIALIZED (SELECT r, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS k FROM shingles GROUP BY r),
+classes AS MATERIALIZED (SELECT k, min(n) AS n, min(r) AS c FROM sets GROUP BY k),
+first_shingles AS (SELECT c, n, s FROM classes JOIN shingles ON c = r),
+links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM first_shingles a JOIN first_shingles b USING (s)
+  WHERE a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c, c AS x FROM classes UNION SELECT c, b FROM reach JOIN both_ways ON x = a),
+first_ids AS (SELECT c, min(doc_id) AS first_id FROM classes JOIN sets USING (k) JOIN words USING (r) GROUP BY c),
+named AS (SELECT reach.c, min(first_id) AS component_id FROM reach JOIN first_ids f ON reach.x = f.c GROUP BY reach.c)
+SELECT doc_id, coalesce(s.n, 0) AS n_shingles, CASE WHEN s.n > 0 THEN component_id ELSE doc_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN s.n > 0 THEN component_id ELSE doc_id END AS kept
+FROM words LEFT JOIN sets s USING (r) LEFT JOIN classes k ON s.k = k.k LEFT JOIN named ON k.c = named.c
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = with_family_openings(settled(numbered_turns(_table(spark, sf_dir, "conversations"))))
+    return trie_nodes(turns, ids)
+
+
+# crc32 of a decimal number, eight shifts for each byte
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda d: [ord(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, b: xor(xor(x, b) >> 1, 3988292384::BIGINT * (xor(x, b) & 1))), 4294967295::BIGINT)"""
+
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT i.c, 0 AS part, pos, role, text FROM ids i JOIN turns t ON t.c = i.base AND pos < h
+  UNION ALL
+  SELECT i.c, 1, pos, role, text FROM ids i JOIN turns t ON t.c = i.c AND pos >= h),
+placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, sha256(role || chr(0) || text) AS turn,
+         len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM rebuilt),
+paths AS (
+  SELECT c, 0 AS depth, '' AS path, 0 AS words FROM ids
+  UNION ALL
+  SELECT c, depth, sha256(string_agg(turn, ',') OVER (PARTITION BY c ORDER BY depth)) AS path, words FROM placed),
+nodes AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words FROM paths GROUP BY path, depth),
+steps AS (SELECT DISTINCT p.path, q.path AS parent FROM paths p JOIN paths q ON p.c = q.c AND q.depth = p.depth - 1),
+childless AS (SELECT n.*, s.parent, (SELECT count(*) FROM steps k WHERE k.parent = n.path) AS n_children
+              FROM nodes n LEFT JOIN steps s ON n.path = s.path),
+subtrees AS (
+  SELECT a.path, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+  FROM childless n JOIN paths a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY a.path),
+last_nodes AS (SELECT c, arg_max(path, depth) AS path FROM paths GROUP BY c),
+ends AS (SELECT path, sha256(string_agg(c, ',' ORDER BY c)) AS ends_sha256 FROM last_nodes GROUP BY path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM childless n JOIN subtrees USING (path) LEFT JOIN nodes p ON n.parent = p.path LEFT JOIN ends e ON e.path = n.path
+"""
+
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_simhash": (op2_simhash, None),
@@ -184,4 +262,6 @@ QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_page_text": (op10_page_text, None),
     "op11_centroids": (op11_centroids, OP11_SQL),
+    "op12_minhash": (op12_minhash, OP12_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
