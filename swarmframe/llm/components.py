@@ -8,6 +8,8 @@ each round go to the checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,13 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (columns ``a``, ``b``); the root is the component's least node.
 
     Loops, repeated edges and edges with a null end are ignored; an empty table gives an empty result. Least nodes
-    themselves are not listed.
+    themselves are not listed. ``keep`` computes the edges of a round once and may drop those of the round before.
     """
-    edges = settled(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, now = None, _signature(edges)
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settled(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = keep(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, now = now, _signature(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,12 +6,12 @@
 3. Candidates are compared in batches of 32 minima. With a uniform prior, after ``m`` agreements among ``n`` minima the similarity
    is at least ``t`` with the probability that a binomial variable of ``n + 1`` trials and chance ``t`` is at most ``m``; a pair goes as soon
    as that falls below ``miss``. What is left is verified on the whole shingle sets, whatever the signature says.
-4. First each bucket's members meet the bucket's least class (its star). Verified links are contracted into components. Only
-   buckets that still hold several components are searched further, and in these only pairs of different components; large
-   buckets are dealt as pairs of tiles, without pairs inside the bucket's main component. A unit with more survivors than a multiple
-   of its members hands over a part of them, chosen by hash, and is searched again after contraction with a part four times as
-   large, until it has handed over all that still tell components apart. No pair of a bucket is left out, and no bucket is
-   written out as pairs.
+4. First the components of a bucket meet its least class (a star), for one band, then three, then the rest; after each step
+   verified links are contracted into components. Only buckets that still hold several components are searched further, and in
+   these only pairs of different components; large buckets are dealt as pairs of tiles, without pairs inside the bucket's main
+   component. A unit hands over, for each member, the ``share`` survivors with the most agreements. While a unit has more, it
+   is searched again after contraction with a share four times as large, until it has handed over all survivors that still lie in
+   different components. No pair of a bucket is left out, and no bucket is written out as pairs.
 
 Two sets of similarity 0.8 miss all of 32 bands of 4 rows with probability 5e-8 (less for more similar ones); a pruned pair is one
 that reaches the threshold with posterior probability below ``miss`` (1e-7). Everything that is found is exact.
@@ -31,15 +31,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from swarmframe.plans.once import stored
 
-from .common import settled, shipped, texts_of
+from .common import scratch_folder, shipped, texts_of
 from .components import components
 
 BATCH = 32
+#: Parts that a bucket of more members than a unit is joined in.
+_PARTS = 64
 _SEED = 7
 _ROWS = "doc_id long, text_key long, n long, sum_a long, sum_b long, signature binary"
 
@@ -109,8 +112,8 @@ def least_matches(trials: int, threshold: float, miss: float) -> int:
     return trials
 
 
-def likely(signatures: np.ndarray, one: np.ndarray, other: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Positions of the pairs (one[i], other[i]) that batch after batch of minima leaves likely enough."""
+def likely(signatures: np.ndarray, one: np.ndarray, other: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs (one[i], other[i]) that batch after batch of minima leaves likely enough, and their agreements."""
     alive = np.arange(len(one))
     matches = np.zeros(len(one), dtype=np.int64)
     for at in range(0, signatures.shape[1], BATCH):
@@ -120,16 +123,16 @@ def likely(signatures: np.ndarray, one: np.ndarray, other: np.ndarray, threshold
         alive = alive[matches[alive] >= least_matches(end, threshold, miss)]
         if not len(alive):
             break
-    return alive
+    return alive, matches[alive]
 
 
 def unit_survivors(signatures: np.ndarray, component: np.ndarray, left: int | None, threshold: float, miss: float,
                    block: int = 64) -> np.ndarray:
-    """Pairs of positions of different components that pruning leaves, as rows (i, j).
+    """Pairs of positions of different components that pruning leaves, as rows (i, j, agreements).
 
     With ``left``, only pairs of one of the first ``left`` members and one of the rest.
     """
-    n, out = len(signatures), []
+    n, out = len(signatures), [np.zeros((0, 3), dtype=np.int64)]
     for i in range(0, n if left is None else left, block):
         end = min(i + block, n if left is None else left)
         start = i if left is None else left
@@ -138,9 +141,19 @@ def unit_survivors(signatures: np.ndarray, component: np.ndarray, left: int | No
             apart &= np.arange(i, end)[:, None] < np.arange(start, n)[None, :]
         r, c = np.nonzero(apart)
         one, other = r + i, c + start
-        found = likely(signatures, one, other, threshold, miss)
-        out.append(np.stack([one[found], other[found]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+        found, matches = likely(signatures, one, other, threshold, miss)
+        out.append(np.stack([one[found], other[found], matches], axis=1))
+    return np.concatenate(out)
+
+
+def closest(pairs: np.ndarray, share: int) -> np.ndarray:
+    """Which rows (i, j, agreements) are among the ``share`` with the most agreements of either end; a larger share holds a smaller one."""
+    n = len(pairs)
+    ends = np.concatenate([pairs[:, 0], pairs[:, 1]])
+    order = np.lexsort((np.concatenate([pairs[:, 1], pairs[:, 0]]), -np.tile(pairs[:, 2], 2), ends))
+    begins = np.flatnonzero(np.append(True, ends[order][1:] != ends[order][:-1])) if n else np.array([], dtype=np.int64)
+    place = np.arange(2 * n) - np.repeat(begins, np.diff(np.append(begins, 2 * n)))
+    return np.unique(order[place < share] % max(n, 1))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -156,7 +169,7 @@ def _likely_pairs(threshold: float, miss: float):
                 part = batch.slice(at, 4096)
                 n = part.num_rows
                 both = np.concatenate([_matrix(part.column("sig_a")), _matrix(part.column("sig_b"))])
-                found = likely(both, np.arange(n), np.arange(n, 2 * n), threshold, miss)
+                found, _ = likely(both, np.arange(n), np.arange(n, 2 * n), threshold, miss)
                 yield part.select(["a", "b"]).take(pa.array(found))
 
     return run
@@ -172,16 +185,10 @@ def _unit_pairs(threshold: float, miss: float, share: int):
         classes, component = rows.column("cid").to_numpy(), rows.column("component").to_numpy()
         pairs = unit_survivors(_matrix(rows.column("signature").combine_chunks()), component,
                                int((sides == 0).sum()) if two else None, threshold, miss)
-        a, b = classes[pairs[:, 0]], classes[pairs[:, 1]]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        limit, more = share * len(classes), False
-        if len(a) > limit:
-            # the same pairs first in every round, so a larger share holds the smaller one
-            mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            first = np.argsort(mixed, kind="stable")[:limit]
-            a, b, more = a[first], b[first], True
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([more] * len(a), pa.bool_())], names=["a", "b", "more"])
+        chosen = pairs[closest(pairs, share)]
+        a, b, more = classes[chosen[:, 0]], classes[chosen[:, 1]], len(chosen) < len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a), pa.bool_())],
+                                          names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -255,39 +262,68 @@ def _units(members: DataFrame, signatures: DataFrame, unit: int) -> DataFrame:
         "band", "low", "high", "side", "cid", "component", "signature")
 
 
+class _Rounds:
+    """Tables of an iteration in the shared folder: the one before goes when the next has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        former, self.path = self.path, scratch_folder(self.spark, "minhash-round")
+        df.write.parquet(self.path)
+        if former is not None:
+            jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(former)
+            jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("root")), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("component"))
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(``a``, ``b``): in each bucket its least class and the least class of every other component."""
+    least = members.groupBy("band", "component").agg(F.min("cid").alias("b"))
+    centre = least.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    return least.join(centre, "band").where("a != b").select("a", "b").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-                          bands: int = 32, rows: int = 4, miss: float = 1e-7, unit: int = 2048, share: int = 8) -> DataFrame:
+                          bands: int = 32, rows: int = 4, size: int = 256, miss: float = 1e-7, unit: int = 2048, share: int = 2) -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``) per row of ``docs``.
 
     Sets link when ``100 * intersection >= percent * union``; ``component_id`` is the least id that links reach, ``kept`` says whether
-    it is the row's own. ``unit`` bounds the members a task compares at once, ``share`` what a unit hands over in its first round.
+    it is the row's own. ``size`` minima make a signature, of which the first ``bands * rows`` make buckets; ``unit`` bounds the members
+    that a task compares at once, ``share`` the partners that each of them hands over in the first round.
     """
-    threshold, size = percent / 100, bands * rows
+    threshold = percent / 100
+    spark = docs.sparkSession
     ids, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     source = docs.select(ids.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = shipped(source).mapInArrow(_signatures(words, size), _ROWS)
-    found = settled(found.withColumn("row_id", F.monotonically_increasing_id()))
+    found = stored(found.withColumn("row_id", F.monotonically_increasing_id()), "minhash-rows")
 
     same_set = ["n", "sum_a", "sum_b"]
     classes = found.where("n > 0").groupBy(*same_set).agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("row_id", "doc_id", "text_key", "signature")).alias("own"))
-    classes = settled(classes.select(*same_set, "first_id", F.col("own.row_id").alias("cid"), F.col("own.doc_id").alias("own_id"),
-                                     F.col("own.text_key").alias("own_key"), F.col("own.signature").alias("signature")))
+    classes = stored(classes.select(*same_set, "first_id", F.col("own.row_id").alias("cid"), F.col("own.doc_id").alias("own_id"),
+                                    F.col("own.text_key").alias("own_key"), F.col("own.signature").alias("signature")), "minhash-classes")
     signatures = classes.select("cid", "signature")
 
-    # buckets of two or more classes, each set of members once
-    keys = F.array(*[F.xxhash64(F.substring("signature", 4 * rows * i + 1, 4 * rows), F.lit(i)) for i in range(bands)])
-    entries = classes.select("cid", F.explode(keys).alias("band"))
-    buckets = entries.groupBy("band").agg(
-        F.count("*").alias("size"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"),
-        F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "least", "x", "y").agg(F.min("band").alias("band")).select("band", "least")
-    members = settled(entries.join(buckets, "band").select("band", "cid", "least"))
+    # buckets of two or more classes, each set of members once; a bucket of many members is joined in parts
+    keys = F.array(*[F.struct(F.xxhash64(F.substring("signature", 4 * rows * i + 1, 4 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
+                     for i in range(bands)])
+    entries = classes.select("cid", F.inline(keys))
+    buckets = entries.groupBy("band", "nr").agg(F.count("*").alias("size"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+                                                F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
+    buckets = buckets.groupBy("size", "least", "x", "y").agg(F.min(F.struct("nr", "band")).alias("one")).select(
+        "one.*", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > unit, _PARTS - 1).otherwise(0))).alias("part"), (F.col("size") > unit).alias("many"))
+    buckets = stored(buckets, "minhash-buckets")
+    many = buckets.where("many").select("band", "nr").distinct()
+    dealt = entries.join(many.withColumn("many", F.lit(True)), ["band", "nr"], "left").select(
+        "cid", "band", "nr", F.when(F.col("many"), F.pmod(F.xxhash64("cid"), F.lit(_PARTS))).otherwise(0).cast("int").alias("part"))
+    members = stored(dealt.join(buckets.drop("many"), ["band", "nr", "part"]).select("band", "nr", "cid"), "minhash-members")
 
     wanted = members.select("cid").distinct().join(classes.select("cid", "own_id", "own_key"), "cid")
     texts = source.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "text")
@@ -300,23 +336,32 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         linked = checked.where("linked").select("a", "b")
         named = linked.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("label_a")), "a").join(
             labels.select(F.col("cid").alias("b"), F.col("label").alias("label_b")), "b")
-        return components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-
-    stars = members.where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
-    stars = stars.join(signatures.select(F.col("cid").alias("a"), F.col("signature").alias("sig_a")), "a").join(
-        signatures.select(F.col("cid").alias("b"), F.col("signature").alias("sig_b")), "b")
-    likely_stars = shipped(stars.select("a", "b", "sig_a", "sig_b")).mapInArrow(_likely_pairs(threshold, miss), "a long, b long")
-    checked = settled(verify_pairs(likely_stars, texts, words, percent))
-    roots = contracted(checked)
+        return components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), keep=_Rounds(spark))
+
+    def verified(pairs: DataFrame, checked: DataFrame) -> tuple[DataFrame, bool]:
+        """``checked`` with new pairs, and whether these hold a link."""
+        new = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        now = stored(verify_pairs(new, texts, words, percent), "minhash-checked")
+        return checked.unionByName(now), not now.where("linked").isEmpty()
+
+    checked = spark.createDataFrame([], "a long, b long, linked boolean")
+    label = labels.schema["label"].dataType
+    roots = spark.createDataFrame([], StructType([StructField("node", label), StructField("root", label)]))
+    for first, last in ((0, 1), (1, 4), (4, bands)):  # few buckets first: what they join need not be compared in the others
+        stars = _stars(_labelled(members.where(F.col("nr").between(first, last - 1)), roots))
+        stars = stars.join(signatures.select(F.col("cid").alias("a"), F.col("signature").alias("sig_a")), "a").join(
+            signatures.select(F.col("cid").alias("b"), F.col("signature").alias("sig_b")), "b")
+        pairs = shipped(stars.select("a", "b", "sig_a", "sig_b")).mapInArrow(_likely_pairs(threshold, miss), "a long, b long")
+        checked, linked = verified(pairs, checked)
+        if linked:
+            roots = contracted(checked)
 
     while True:
         parts = shipped(_units(_labelled(members, roots), signatures, unit)).mapInArrow(
             _unit_pairs(threshold, miss, share), "a long, b long, more boolean")
-        parts = settled(parts.groupBy("a", "b").agg(F.max("more").alias("more")))
-        pairs = parts.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        now = settled(verify_pairs(pairs, texts, words, percent))
-        checked = checked.unionByName(now)
-        if not now.where("linked").isEmpty():
+        parts = stored(parts.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
+        checked, linked = verified(parts.select("a", "b"), checked)
+        if linked:
             roots = contracted(checked)
         if parts.where("more").isEmpty():
             break
@@ -324,7 +369,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     named = classes.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.first_id").alias("root_id")), "cid", "left").select(
         *same_set, F.coalesce("root_id", "first_id").alias("component_id"))
-    joined = found.join(named, same_set, "left")
+    joined = found.select("doc_id", *same_set).join(named, same_set, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"))
