@@ -8,7 +8,9 @@ from swarmframe import functions as X
 from swarmframe.operators import calibration as C
 from swarmframe.operators import packets as P
 from swarmframe.queries.views import CALIBRATION, PACKETS, calibration, packets, vector_bytes
-from swarmframe.sources import parse_extrinsic_xml, parse_intrinsic_xml
+from swarmframe.session import scratch_path
+from swarmframe.sources import parse_extrinsic_xml, parse_intrinsic_xml, scan_captures, stream_captures, write_captures
+from swarmframe.streaming import write_sets
 
 
 def _cells(matrix: str, prefix: str, places: int | None = None):
@@ -95,7 +97,36 @@ def overlay_fractions(spark, sf):
 
 def round_trip(spark, sf):
     good, _ = P.decode_packets(P.pack_packets(packets(spark, sf)).drop("drone_id", "frame_num", "error_kind"))
-    good = P.drop_wrong_drone(good)
+    return _decoded(P.drop_wrong_drone(good))
+
+
+def _written_captures(spark, sf) -> str:
+    """The packets as captured streams, one per port."""
+    path = scratch_path(spark, "captures")
+    write_captures(P.pack_packets(packets(spark, sf)), path, stream=F.col("port_drone_id"), order=F.col("packet_id"))
+    return path
+
+
+def _captured(rows):
+    """Captured packets decoded; the send time names the packet."""
+    good, _ = P.decode_packets(rows.filter("framed").select(F.col("stream").cast("int").alias("port_drone_id"), "packet"))
+    named = good.withColumn("packet_id", F.round((F.col("ts") - 1_700_000_000.25) * 8).cast("bigint"))
+    return _decoded(P.drop_wrong_drone(named))
+
+
+def captured(spark, sf):
+    return _captured(scan_captures(spark, _written_captures(spark, sf), split_bytes=16_384, max_packet=4096))
+
+
+def capture_stream(spark, sf):
+    """The same files read as a stream into a table, then decoded."""
+    live = stream_captures(spark, _written_captures(spark, sf), split_bytes=16_384, max_packet=4096)
+    path = scratch_path(spark, "capture-rows")
+    write_sets(live, path, scratch_path(spark, "capture-checkpoint"), every=None).awaitTermination()
+    return _captured(spark.read.schema(live.schema).parquet(path))
+
+
+def _decoded(good):
     t = X.position("t")
     return good.select(
         "packet_id", "drone_id", "frame_num", "ts", *_cells("K", "k"), *_cells("R", "r", 5),
@@ -246,6 +277,11 @@ loaded AS (
 
 _DIST = ", ".join(f"CASE WHEN vec_id % 9 = 2 THEN 0.0 ELSE {_D.format(i + 1)} END AS d{i}" for i in range(5))
 
+_ROUND_TRIP = f"""WITH {PACKETS}, {_ANGLES.format('packets')}
+SELECT packet_id, drone_id, frame AS frame_num, sent AS ts, {_K_OR_NULL}, {_sql_r()},
+       tvec[1] AS tx, tvec[2] AS ty, tvec[3] AS tz, {', '.join(_D.format(i + 1) + f' AS d{i}' for i in range(5))}
+FROM angles WHERE port = drone_id"""
+
 QUERIES = {
     "rodrigues": (rodrigues, f"WITH {CALIBRATION}, {_ANGLES.format('calibration')} SELECT vec_id, {_sql_r()} FROM angles"),
     "decode_vectors": (decoded_vectors, f"""WITH {CALIBRATION}
@@ -278,10 +314,9 @@ SELECT packet_id, frame AS frame_num, sent, jpeg_size, 80 + jpeg_size + k_size +
     "overlay_fractions": (overlay_fractions, f"""WITH {CALIBRATION}
 SELECT vec_id, printf('Intrinsic: fx=%.0f fy=%.0f', k[1] / 8.0::DOUBLE, k[5] / 8.0::DOUBLE) AS line2,
        printf('Principal: cx=%.0f cy=%.0f', k[3] / 8.0::DOUBLE, k[6] / 8.0::DOUBLE) AS line3 FROM calibration"""),
-    "packet_roundtrip": (round_trip, f"""WITH {PACKETS}, {_ANGLES.format('packets')}
-SELECT packet_id, drone_id, frame AS frame_num, sent AS ts, {_K_OR_NULL}, {_sql_r()},
-       tvec[1] AS tx, tvec[2] AS ty, tvec[3] AS tz, {', '.join(_D.format(i + 1) + f' AS d{i}' for i in range(5))}
-FROM angles WHERE port = drone_id"""),
+    "packet_roundtrip": (round_trip, _ROUND_TRIP),
+    "capture_roundtrip": (captured, _ROUND_TRIP),
+    "capture_stream": (capture_stream, _ROUND_TRIP),
     "validate_packets": (validated, f"""WITH {PACKETS}
 SELECT packet_id, CASE packet_id % 12
   WHEN 1 THEN 'too_small' WHEN 2 THEN 'bad_drone' WHEN 3 THEN 'bad_frame' WHEN 4 THEN 'bad_jpeg'

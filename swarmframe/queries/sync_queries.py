@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from swarmframe.operators import stats, sync
+from swarmframe.operators import sliding, stats, sync
 from swarmframe.queries.views import ARRIVALS, HOUR, ORIGIN_US, REPLAY, arrivals, good_arrivals, ts
 
 ARGS = {"tick": HOUR, "origin_us": ORIGIN_US}
@@ -28,6 +28,18 @@ def set_members(spark, sf):
                 F.col("m.packet_id").alias("packet_id"))
 
 
+def sliding_outcomes(spark, sf):
+    outcomes, _ = sliding.sync_sliding(good_arrivals(spark, sf), HOUR)
+    return outcomes.select("session_id", "packet_id", "outcome", F.col("shown_at").cast("timestamp_ntz").alias("shown_at"))
+
+
+def sliding_sets(spark, sf):
+    _, sets = sliding.sync_sliding(good_arrivals(spark, sf), HOUR)
+    return sets.select("session_id", F.col("shown_at").cast("timestamp_ntz").alias("shown_at"), "frame_num", "n_drones",
+                       F.explode("drones").alias("m")).select(
+        "session_id", "shown_at", "frame_num", "n_drones", F.col("m.drone_id").alias("drone_id"), F.col("m.packet_id").alias("packet_id"))
+
+
 def complete(spark, sf):
     return sync.sync_complete(good_arrivals(spark, sf)).select(
         "session_id", "frame_num", "n_drones", F.col("completed_at").cast("timestamp_ntz").alias("completed_at"))
@@ -103,7 +115,36 @@ stats AS (
   FROM overall o, (SELECT unnest(range(1, 9)) AS drone_id) d
   LEFT JOIN counts c ON c.session_id = o.session_id AND c.drone_id = d.drone_id)"""
 
+# The display step by step: each new set looks for the next one.
+_SLIDING = ARRIVALS + """,
+instants AS (
+  SELECT session_id, arrival_ts AS seen_at, max(max(frame_num)) OVER (PARTITION BY session_id ORDER BY arrival_ts) AS peak
+  FROM good GROUP BY session_id, arrival_ts),
+walk AS (
+  SELECT session_id, min(seen_at) AS seen_at, min(peak) AS frame_num FROM instants GROUP BY session_id
+  UNION ALL
+  SELECT w.session_id, min(i.seen_at), min(i.peak) FROM walk w JOIN instants i
+    ON i.session_id = w.session_id AND i.seen_at >= w.seen_at + INTERVAL 1 HOUR AND i.peak > w.frame_num GROUP BY w.session_id),
+shown AS (
+  SELECT session_id, seen_at AS shown_at, frame_num, coalesce(lag(seen_at) OVER w, TIMESTAMP '1970-01-01') AS after_at,
+         coalesce(lag(frame_num) OVER w, -1) AS last_frame
+  FROM walk WINDOW w AS (PARTITION BY session_id ORDER BY seen_at)),
+ends AS (SELECT session_id, max(shown_at) AS last_at, max(frame_num) AS last_frame FROM shown GROUP BY ALL),
+judged AS (
+  SELECT g.session_id, g.packet_id, g.drone_id, g.frame_num, g.arrival_ts,
+         CASE WHEN g.frame_num <= coalesce(s.last_frame, e.last_frame) THEN 'late' WHEN s.shown_at IS NULL THEN 'waiting'
+              WHEN g.frame_num = s.frame_num THEN 'displayed' ELSE 'superseded' END AS outcome, s.shown_at
+  FROM good g LEFT JOIN shown s ON g.session_id = s.session_id AND g.arrival_ts > s.after_at AND g.arrival_ts <= s.shown_at
+  JOIN ends e ON e.session_id = g.session_id)"""
+
 QUERIES = {
+    "sync_sliding_outcomes": (sliding_outcomes, f"""WITH RECURSIVE {_SLIDING}
+SELECT session_id, packet_id, outcome, CASE WHEN outcome = 'displayed' THEN shown_at END AS shown_at FROM judged"""),
+    "sync_sliding_sets": (sliding_sets, f"""WITH RECURSIVE {_SLIDING},
+members AS (
+  SELECT session_id, shown_at, frame_num, drone_id, arg_max(packet_id, (arrival_ts, packet_id)) AS packet_id
+  FROM judged WHERE outcome = 'displayed' GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY session_id, shown_at) AS n_drones FROM members"""),
     "sync_latest_outcomes": (outcomes, f"""WITH {REPLAY}
 SELECT session_id, packet_id, drone_id, frame_num, tick, outcome FROM outcomes"""),
     "sync_latest_sets": (set_members, f"""WITH {REPLAY}
