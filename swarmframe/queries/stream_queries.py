@@ -11,18 +11,18 @@ from swarmframe.queries.views import (ARRIVALS, HOUR, ORIGIN_US, PACKETS, REPLAY
                                       table, ts)
 from swarmframe.session import SETTINGS, scratch_path
 from swarmframe.sources import stream_packets
-from swarmframe.streaming import (stream_decode, stream_dedup, stream_dropped, stream_sessions, stream_sets,
+from swarmframe.streaming import (stream_counts, stream_decode, stream_dedup, stream_dropped, stream_sessions, stream_sets,
                                   stream_stats, stream_sync, stream_tick_max, write_sets)
 
 BASE = ORIGIN_US // 3_600_000_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _closed(spark, sf) -> DataFrame:
+def _closed(spark, sf, failed: bool = False) -> DataFrame:
     """Good arrivals and, in a session of its own, one long after them: it closes all windows and connections before it."""
     path = scratch_path(spark, "end")
-    live = _arrivals(spark, sf)
-    last = spark.range(1).select(*[F.lit({"session_id": -1, "drone_id": 1, "frame_num": 0}.get(f.name)).cast(f.dataType).alias(f.name)
+    live = _arrivals(spark, sf, failed)
+    last = spark.range(1).select(*[F.lit({"session_id": -1, "drone_id": 1, "frame_num": 0, "failed": False}.get(f.name)).cast(f.dataType).alias(f.name)
                                    if f.name != "arrival_ts" else ts("2100-01-01 00:00:00").alias(f.name) for f in live.schema])
     last.write.parquet(path)
     return live.unionByName(spark.readStream.schema(live.schema).parquet(path))
@@ -58,6 +58,13 @@ def dropped(spark, sf):
     return stream_dropped(_drained(stream_sync(_closed(spark, sf), HOUR), "outcomes"))
 
 
+def counts(spark, sf):
+    """Running counters of packets, failures, accepted and late frames; the last update of each drone."""
+    rows = _drained(stream_counts(_closed(spark, sf, failed=True), HOUR), "counts").filter("session_id >= 0")
+    names = ("packets", "failed", "total_bytes", "accepted", "dropped")
+    return rows.groupBy("session_id", "drone_id").agg(*[F.max_by(c, F.struct("as_of", "packets", "accepted", "dropped")).alias(c) for c in names])
+
+
 def tick_max(spark, sf):
     peaks = _drained(stream_tick_max(_closed(spark, sf), HOUR), "peaks")
     return peaks.select("session_id", (F.col("tick") - BASE).alias("tick"), "frame_num")
@@ -113,6 +120,15 @@ FROM members JOIN sets USING (session_id, tick, frame_num)"""),
     "stream_dropped": (dropped, f"""WITH {REPLAY}
 SELECT session_id, drone_id, count(*) FILTER (WHERE outcome <> 'late') AS received,
        count(*) FILTER (WHERE outcome = 'late') AS dropped FROM outcomes GROUP BY ALL"""),
+    "stream_counts": (counts, f"""WITH {REPLAY},
+judged AS (
+  SELECT session_id, drone_id, count(*) FILTER (WHERE outcome <> 'late') AS accepted, count(*) FILTER (WHERE outcome = 'late') AS dropped
+  FROM outcomes GROUP BY ALL),
+seen AS (
+  SELECT session_id, drone_id, count(*) AS packets, count(*) FILTER (WHERE failed) AS failed, CAST(sum(packet_bytes) AS BIGINT) AS total_bytes
+  FROM arrivals GROUP BY ALL)
+SELECT session_id, drone_id, packets, failed, total_bytes, coalesce(accepted, 0) AS accepted, coalesce(dropped, 0) AS dropped
+FROM seen LEFT JOIN judged USING (session_id, drone_id)"""),
     "stream_tick_max": (tick_max, f"WITH {REPLAY} SELECT session_id, tick, peak AS frame_num FROM peaks"),
     "stream_sessions": (sessions, f"""WITH {ARRIVALS},
 marked AS (

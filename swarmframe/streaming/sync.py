@@ -1,8 +1,9 @@
 """Alignment of live streams.
 
-Arrivals are aggregated per (session, poll window, frame, drone), then per (session, poll window): one row per window
-with its highest frame and its cells. A stateful operator keyed by session keeps one number, the last shown frame, and
-gets these rows only: Python sees one row per window. What became of each cell is decided in the JVM behind it.
+Arrivals are aggregated per (session, poll window, frame, drone) into cells, and beside that to one row per poll window: its
+highest frame and the drones that have it. Only these rows reach the stateful operator keyed by session, which keeps one number,
+the last shown frame; cells are joined back to what it says about their window and judged in the JVM. The state of that join
+goes with the watermark. Running counters take one row per (session, poll window, drone) and keep two maps per session.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from swarmframe.operators.sync import is_valid, tick_of
 
-OUTPUT = "session_id long, tick long, before long, shown long, cells string"
-_CELLS = "array<struct<frame_num:bigint,drone_id:int,packet_id:bigint,us:bigint,n:bigint>>"
+OUTPUT = "session_id long, closed_at timestamp, before long, shown long, members long"
+COUNTS = "session_id long, drone_id int, as_of timestamp, packets long, failed long, total_bytes long, accepted long, dropped long"
 
 
 def _interval(seconds: float) -> str:
@@ -53,7 +54,7 @@ def _replay(session_ttl: float | None) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             # one row per closed window
-            ticks = pd.concat(list(rows), ignore_index=True).sort_values("tick", ignore_index=True)
+            ticks = pd.concat(list(rows), ignore_index=True).sort_values("closed_at", ignore_index=True)
             known = self._shown.get() if self._shown.exists() else None
             shown = -1 if known is None else int(known[0])
             peaks = ticks["peak"].cummax().clip(lower=shown)
@@ -77,39 +78,97 @@ def _replay(session_ttl: float | None) -> StatefulProcessor:
     return _Replay()
 
 
+def _judged(arrivals: DataFrame, tick: float, delay: str, n_drones: int, max_frame: int | None, session_ttl: float | None) -> DataFrame:
+    """Cells of closed poll windows with ``before`` and ``shown``, the frames shown before and at the end of their window."""
+    valid = arrivals.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
+    window = F.window("arrival_ts", _interval(tick))
+    cells = (valid.groupBy("session_id", window, "frame_num", "drone_id")
+             .agg(F.max(F.struct("arrival_ts", "packet_id")).alias("_last"), F.count("*").alias("n"))
+             .select("session_id", F.window_time("window").alias("closed_at"), tick_of(F.col("window.start"), tick).alias("tick"), "frame_num",
+                     F.col("drone_id").cast("int").alias("drone_id"), F.col("_last.packet_id").alias("packet_id"),
+                     # a number, so that there is one event time
+                     F.unix_micros("_last.arrival_ts").alias("us"), "n"))
+    bit = F.expr("shiftleft(1L, CAST(drone_id AS INT) - 1)")
+    frames = (valid.groupBy("session_id", window, "frame_num").agg(F.bit_or(bit).alias("members"))
+              .select("session_id", F.window_time("window").alias("closed_at"), "frame_num", "members"))
+    ticks = (frames.groupBy("session_id", F.window("closed_at", _interval(tick)))
+             .agg(F.max(F.struct("frame_num", "members")).alias("top"))
+             .select("session_id", F.window_time("window").alias("closed_at"), F.col("top.frame_num").alias("peak"), "top.members"))
+    walked = ticks.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_replay(session_ttl), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName="closed_at")
+    said = walked.select(F.col("session_id").alias("_session"), F.col("closed_at").alias("_closed"), "before", "shown", "members")
+    return cells.join(said, (F.col("session_id") == F.col("_session")) & (F.col("closed_at") == F.col("_closed"))).drop("_session", "_closed")
+
+
 def stream_sync(arrivals: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8,
                 max_frame: int | None = None, session_ttl: float | None = None) -> DataFrame:
     """Cells of closed poll windows with what became of them.
 
     One row per (session, tick, frame, drone): ``kind`` displayed, superseded or late, the last packet of the
     cell, and ``n``, the number of arrivals it stands for. Displayed rows of one tick are the members of a newly
-    shown set; ``n_drones`` is their number (null for other rows). Lateness is by frame number; ``delay`` only says
+    shown set; ``n_drones`` (at most 64) is their number (null for other rows). Lateness is by frame number; ``delay`` only says
     how long a window waits for packets. A window comes out when the watermark passes its end; a finite input needs a
     later row to close the last one. ``session_ttl`` seconds after its last window a session is forgotten.
     """
-    cells = (arrivals.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
-             .groupBy("session_id", F.window("arrival_ts", _interval(tick)), "frame_num", "drone_id")
-             .agg(F.max(F.struct("arrival_ts", "packet_id")).alias("_last"), F.count("*").alias("n"))
-             .select("session_id", F.window_time("window").alias("closed_at"), "frame_num",
-                     F.col("drone_id").cast("int").alias("drone_id"), F.col("_last.packet_id").alias("packet_id"),
-                     F.unix_micros("_last.arrival_ts").alias("us"), "n"))
-    ticks = (cells.groupBy("session_id", F.window("closed_at", _interval(tick)))
-             .agg(F.max("frame_num").alias("peak"),
-                  F.to_json(F.collect_list(F.struct("frame_num", "drone_id", "packet_id", "us", "n"))).alias("cells"))
-             .select("session_id", F.window_time("window").alias("closed_at"),
-                     tick_of(F.col("window.start"), tick).alias("tick"), "peak", "cells"))
-    walked = ticks.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_replay(session_ttl), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
-    each = walked.withColumn("cells", F.from_json("cells", _CELLS))
-    displayed = F.size(F.filter("cells", lambda c: (c["frame_num"] > F.col("before")) & (c["frame_num"] == F.col("shown"))))
-    rows = each.select("session_id", "tick", "before", "shown", displayed.alias("_members"), F.inline("cells"))
+    rows = _judged(arrivals, tick, delay, n_drones, max_frame, session_ttl)
     late, now = F.col("frame_num") <= F.col("before"), F.col("frame_num") == F.col("shown")
     kind = F.when(late, "late").when(now, "displayed").otherwise("superseded")
     return rows.select("session_id", "tick", kind.alias("kind"), "frame_num",
-                       F.when(~late & now, F.col("_members")).cast("int").alias("n_drones"), "drone_id", "packet_id",
+                       F.when(~late & now, F.bit_count("members")).cast("int").alias("n_drones"), "drone_id", "packet_id",
                        F.timestamp_micros("us").alias("arrival_ts"), "n")
 
 
+def _counters() -> StatefulProcessor:
+    columns = [field.split()[0] for field in COUNTS.split(", ")]
+    counted = columns[3:]
+
+    class _Counters(StatefulProcessor):
+        """Adds up what each closed window brings to the drones of a session."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._totals = handle.getMapState("totals", "drone_id int", ", ".join(f"{c} long" for c in counted))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            # at most one row per closed window, drone and kind
+            new = pd.concat(list(rows), ignore_index=True).groupby("drone_id").agg({"as_of": "max", **dict.fromkeys(counted, "sum")})
+            out = []
+            for drone, row in new.iterrows():
+                known = self._totals.getValue((int(drone),)) if self._totals.containsKey((int(drone),)) else (0,) * len(counted)
+                total = tuple(int(a) + int(b) for a, b in zip(known, row[counted], strict=True))
+                self._totals.updateValue((int(drone),), total)
+                out.append((key[0], int(drone), row["as_of"], *total))
+            yield pd.DataFrame(out, columns=columns)
+
+        def close(self) -> None:
+            pass
+
+    return _Counters()
+
+
+def stream_counts(packets: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8, max_frame: int | None = None,
+                  session_ttl: float | None = None) -> DataFrame:
+    """Running counters per (session, drone), kept in state: each row replaces the one before it for its drone.
+
+    ``packets``: arrivals with ``failed`` and ``packet_bytes``. ``packets``, ``failed`` and ``total_bytes`` count all packets of closed
+    poll windows, ``accepted`` and ``dropped`` (late by frame number) the good ones; ``as_of`` is the end of the last window counted.
+    """
+    zero = F.lit(0).cast("bigint")
+    seen = (packets.filter(F.col("session_id").isNotNull() & F.col("drone_id").isNotNull()).withWatermark("arrival_ts", delay)
+            .groupBy("session_id", F.window("arrival_ts", _interval(tick)), "drone_id")
+            .agg(F.count("*").alias("packets"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("packet_bytes"), zero).alias("total_bytes"))
+            .select("session_id", F.col("drone_id").cast("int").alias("drone_id"), F.window_time("window").alias("as_of"), "packets", "failed",
+                    "total_bytes", zero.alias("accepted"), zero.alias("dropped")))
+    late = F.col("frame_num") <= F.col("before")
+    judged = (_judged(packets.filter(~F.col("failed")), tick, delay, n_drones, max_frame, session_ttl)
+              .groupBy("session_id", "drone_id", F.window("closed_at", _interval(tick)))
+              .agg(F.sum(F.when(late, zero).otherwise(F.col("n"))).alias("accepted"), F.sum(F.when(late, F.col("n")).otherwise(zero)).alias("dropped"))
+              .select("session_id", "drone_id", F.window_time("window").alias("as_of"), zero.alias("packets"), zero.alias("failed"),
+                      zero.alias("total_bytes"), "accepted", "dropped"))
+    return seen.unionByName(judged).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_counters(), outputStructType=COUNTS, outputMode="Append", timeMode="None")
+
+
 def stream_sets(synced: DataFrame) -> DataFrame:
     """Members of newly shown sets."""
     return synced.filter(F.col("kind") == "displayed").drop("kind", "n")
