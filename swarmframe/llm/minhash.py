@@ -56,7 +56,7 @@ def shingle_set(text: str | None, words: int) -> set[bytes]:
 
 
 class Hasher:
-    """Signatures: the least of ``a * h + b`` modulo 2^32 over a set's 64-bit hashes, for ``size`` pairs (a, b)."""
+    """Signatures: the least of ``a * h + b`` modulo 2^32 over a set's hashes, for ``size`` pairs (a, b); 16 bits of each are kept."""
 
     def __init__(self, size: int):
         rng = np.random.default_rng(_SEED)
@@ -75,7 +75,7 @@ class Hasher:
             values = np.multiply.outer(self.a, upper[at:at + 2048])
             values += self.b[:, None]
             np.minimum(least, values.min(axis=1), out=least)
-        return least
+        return least.astype(np.uint16)
 
 
 def _signed(value: np.uint64) -> int:
@@ -93,7 +93,7 @@ def _signatures(words: int, size: int):
                 # sums do not depend on the order of a set
                 first.append(_signed(hashes.sum(dtype=np.uint64)))
                 second.append(_signed(((hashes ^ (hashes >> np.uint64(29))) * odd).sum(dtype=np.uint64)))
-                signatures.append(hasher.signature(hashes).astype("<u4").tobytes() if len(hashes) else None)
+                signatures.append(hasher.signature(hashes).astype("<u2").tobytes() if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
                  pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n", "sum_a", "sum_b", "signature"])
@@ -158,7 +158,7 @@ def closest(pairs: np.ndarray, share: int) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<u4").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype="<u2").reshape(len(rows), -1)
 
 
 def _likely_pairs(threshold: float, miss: float):
@@ -312,7 +312,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signatures = classes.select("cid", "signature")
 
     # buckets of two or more classes, each set of members once; a bucket of many members is joined in parts
-    keys = F.array(*[F.struct(F.xxhash64(F.substring("signature", 4 * rows * i + 1, 4 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
+    keys = F.array(*[F.struct(F.xxhash64(F.substring("signature", 2 * rows * i + 1, 2 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
                      for i in range(bands)])
     entries = classes.select("cid", F.inline(keys))
     buckets = entries.groupBy("band", "nr").agg(F.count("*").alias("size"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"),
