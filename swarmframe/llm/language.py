@@ -206,21 +206,33 @@ def _low(scores: np.ndarray, share: float) -> float:
     return float(np.sort(scores)[int(len(scores) * share)])
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label: Column, rows: int) -> list:
-    """About ``rows`` labelled rows at most (all, if fewer), by a hash of id and text: (text, label)."""
-    labelled = docs.where(label.isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.count()
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label: Column, rows: int, least: int = 200,
+                    max_labels: int = 200) -> list:
+    """About ``rows`` labelled rows (all, if fewer), by a hash of id and text: (text, label).
+
+    Every label has its share of them, but about ``least`` rows where it has as many; labels beyond the ``max_labels`` most frequent
+    are not sampled. Twice the expected number is the most that is taken, as rows of one id (or null) are picked together.
+    """
+    labelled = docs.where(label.isNotNull() & F.col(text_col).isNotNull()).select(
+        docs[id_col].alias("id"), docs[text_col].alias("text"), label.alias("label"))
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()
+    n = sum(r["n"] for r in counts)
     if not n:
         return []
     share = min(1.0, rows / n)
-    place = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 20))
-    picked = labelled.where(place < int(share * (1 << 20))) if share < 1 else labelled
-    return picked.select(F.col(text_col).alias("text"), label.alias("label"), F.xxhash64(id_col, text_col).alias("k")).orderBy("k").collect()
+    shares = {r["label"]: max(share, min(1.0, least / r["n"])) for r in counts}
+    limit = F.lit(0)
+    for name, part in shares.items():
+        limit = F.when(F.col("label") == name, int(part * (1 << 20))).otherwise(limit)
+    place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20))
+    expected = sum(part * r["n"] for part, r in zip(shares.values(), counts, strict=True))
+    picked = labelled.where(place < limit).select("text", "label", F.xxhash64("id", "text").alias("k"))
+    return picked.orderBy("k").limit(int(2 * expected) + 100).collect()
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                        sample_rows: int = 3000, **options: float) -> LanguageModel:
-    """A model from at most about ``sample_rows`` labelled rows that are not held out."""
+    """A model from about ``sample_rows`` labelled rows that are not held out, more where rare languages need them (see ``training_sample``)."""
     rows = training_sample(docs.where(~held_out(id_col)), id_col, text_col, F.col(lang_col).cast("string"), sample_rows)
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 

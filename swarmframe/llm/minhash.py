@@ -1,11 +1,13 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets: MinHash bands, Bayesian pruning, exact verification.
 
-1. Each document becomes the size of its shingle set, a digest of the set and a signature of ``bands * rows`` minima. Equal sets
-   are one class from here on, so copies cost nothing further.
-2. Classes that agree in a band of the signature share a bucket. Buckets with the same members are kept once.
-3. Candidates are compared in batches of 32 minima. With a uniform prior, after ``m`` agreements among ``n`` minima the similarity
-   is at least ``t`` with the probability that a binomial variable of ``n + 1`` trials and chance ``t`` is at most ``m``; a pair goes as soon
-   as that falls below ``miss``. What is left is verified on the whole shingle sets, whatever the signature says.
+1. Each document becomes the size of its shingle set, a digest of the set and ``bands * rows`` minima. Equal sets are one class from
+   here on, so copies cost nothing further.
+2. Classes that agree in a band share a bucket. Buckets with the same members are kept once. Only classes in buckets get a signature
+   of ``checks`` further minima, of which a byte each is kept.
+3. Candidates are compared in batches of 64 minima. With a uniform prior, after ``m`` agreements among ``n`` minima the similarity
+   is at least ``t`` with the probability that a binomial variable of ``n + 1`` trials and chance ``t`` is at most ``m`` (``t`` raised by the
+   chance that different minima share a byte); a pair goes as soon as that falls below ``miss``. What is left is verified on the whole
+   shingle sets, whatever the signature says.
 4. First the components of a bucket meet its least class (a star), for one band, then three, then the rest; after each step
    verified links are contracted into components. Only buckets that still hold several components are searched further, and in
    these only pairs of different components; large buckets are dealt as pairs of tiles, without pairs inside the bucket's main
@@ -31,7 +33,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -40,7 +42,7 @@ from swarmframe.plans.once import stored
 from .common import scratch_folder, shipped, texts_of
 from .components import components
 
-BATCH = 32
+BATCH = 64
 #: Parts that a bucket of more members than a unit is joined in.
 _PARTS = 64
 _SEED = 7
@@ -56,10 +58,10 @@ def shingle_set(text: str | None, words: int) -> set[bytes]:
 
 
 class Hasher:
-    """Signatures: the least of ``a * h + b`` modulo 2^32 over a set's hashes, for ``size`` pairs (a, b); 16 bits of each are kept."""
+    """Signatures: the least of ``a * h + b`` modulo 2^32 over a set's hashes, for ``size`` pairs (a, b); the last bits of each are kept."""
 
-    def __init__(self, size: int):
-        rng = np.random.default_rng(_SEED)
+    def __init__(self, size: int, kind: type = np.uint16, seed: int = _SEED):
+        rng, self.kind = np.random.default_rng(seed), kind
         self.a = rng.integers(0, 1 << 31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 1 << 32, size, dtype=np.uint32)
 
@@ -71,11 +73,23 @@ class Hasher:
     def signature(self, hashes: np.ndarray) -> np.ndarray:
         upper = (hashes >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.a), np.iinfo(np.uint32).max, dtype=np.uint32)
-        for at in range(0, len(upper), 2048):
-            values = np.multiply.outer(self.a, upper[at:at + 2048])
+        step = max(64, (1 << 18) // len(self.a))
+        for at in range(0, len(upper), step):
+            values = np.multiply.outer(self.a, upper[at:at + step])
             values += self.b[:, None]
             np.minimum(least, values.min(axis=1), out=least)
-        return least.astype(np.uint16)
+        return least.astype(self.kind)
+
+
+def _checked_texts(words: int, checks: int):
+    """The signatures that candidates are compared by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(checks, np.uint8, _SEED + 1)
+        for batch in batches:
+            signatures = [hasher.signature(hasher.hashes(shingle_set(t, words))).tobytes() for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.binary())], names=["cid", "text", "signature"])
+
+    return run
 
 
 def _signed(value: np.uint64) -> int:
@@ -158,7 +172,7 @@ def closest(pairs: np.ndarray, share: int) -> np.ndarray:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<u2").reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
 
 
 def _likely_pairs(threshold: float, miss: float):
@@ -239,16 +253,25 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int, p
     return shipped(rows).mapInArrow(_verified(words, percent), "a long, b long, linked boolean")
 
 
+def _parts(many: Column) -> Column:
+    """The parts that a row of one bucket is joined under: all of them, if the bucket has many members."""
+    return F.explode(F.when(many, F.sequence(F.lit(0), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def _part(many: Column, cid: str) -> Column:
+    return F.when(many, F.pmod(F.xxhash64(cid), F.lit(_PARTS))).otherwise(0).cast("int").alias("part")
+
+
 def _units(members: DataFrame, signatures: DataFrame, unit: int) -> DataFrame:
-    """Members (``band``, ``cid``, ``component``) of buckets with several components, dealt to units of bounded size."""
+    """Members (``band``, ``many``, ``cid``, ``component``) of buckets with several components, dealt to units of bounded size."""
     per_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     buckets = per_component.groupBy("band").agg(
         F.sum("n").alias("all"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main")
     ).where("components > 1").select(
         "band", (F.col("all") <= unit).alias("small"), F.col("main.component").alias("main"),
         F.ceil(F.col("main.n") * 2 / unit).cast("int").alias("mains"),
-        F.ceil((F.col("all") - F.col("main.n")) * 2 / unit).cast("int").alias("others"))
-    rows = members.join(buckets, "band")
+        F.ceil((F.col("all") - F.col("main.n")) * 2 / unit).cast("int").alias("others"), _parts(F.col("all") > unit).alias("part"))
+    rows = members.withColumn("part", _part(F.col("many"), "cid")).join(buckets, ["band", "part"])
     is_main, pick = F.col("component") == F.col("main"), F.xxhash64("cid")
     tile = F.when(F.col("small"), 0).when(is_main, F.pmod(pick, F.col("mains"))).otherwise(
         F.col("mains") + F.pmod(pick, F.col("others"))).cast("int")
@@ -279,29 +302,30 @@ class _Rounds:
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("root")), "cid", "left").select(
-        "band", "cid", F.coalesce("root", "cid").alias("component"))
+        "band", "many", "cid", F.coalesce("root", "cid").alias("component"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """(``a``, ``b``): in each bucket its least class and the least class of every other component."""
-    least = members.groupBy("band", "component").agg(F.min("cid").alias("b"))
-    centre = least.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    return least.join(centre, "band").where("a != b").select("a", "b").distinct()
+    least = members.groupBy("band", "many", "component").agg(F.min("cid").alias("b"))
+    centre = least.groupBy("band", "many").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select(
+        "band", "a", _parts(F.col("many")).alias("part"))
+    return least.select("band", "b", _part(F.col("many"), "b")).join(centre, ["band", "part"]).where("a != b").select("a", "b").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-                          bands: int = 32, rows: int = 4, size: int = 256, miss: float = 1e-7, unit: int = 2048, share: int = 2) -> DataFrame:
+                          bands: int = 32, rows: int = 4, checks: int = 1024, miss: float = 1e-7, unit: int = 2048, share: int = 2) -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``) per row of ``docs``.
 
     Sets link when ``100 * intersection >= percent * union``; ``component_id`` is the least id that links reach, ``kept`` says whether
-    it is the row's own. ``size`` minima make a signature, of which the first ``bands * rows`` make buckets; ``unit`` bounds the members
-    that a task compares at once, ``share`` the partners that each of them hands over in the first round.
+    it is the row's own. ``bands`` of ``rows`` minima make buckets, ``checks`` minima a signature; ``unit`` bounds the members that a task
+    compares at once, ``share`` the partners that each of them hands over in the first round.
     """
-    threshold = percent / 100
+    threshold = percent / 100 + (1 - percent / 100) / 256
     spark = docs.sparkSession
     ids, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     source = docs.select(ids.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = shipped(source).mapInArrow(_signatures(words, size), _ROWS)
+    found = shipped(source).mapInArrow(_signatures(words, bands * rows), _ROWS)
     found = stored(found.withColumn("row_id", F.monotonically_increasing_id()), "minhash-rows")
 
     same_set = ["n", "sum_a", "sum_b"]
@@ -309,25 +333,24 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.min("doc_id").alias("first_id"), F.min(F.struct("row_id", "doc_id", "text_key", "signature")).alias("own"))
     classes = stored(classes.select(*same_set, "first_id", F.col("own.row_id").alias("cid"), F.col("own.doc_id").alias("own_id"),
                                     F.col("own.text_key").alias("own_key"), F.col("own.signature").alias("signature")), "minhash-classes")
-    signatures = classes.select("cid", "signature")
-
     # buckets of two or more classes, each set of members once; a bucket of many members is joined in parts
     keys = F.array(*[F.struct(F.xxhash64(F.substring("signature", 2 * rows * i + 1, 2 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
                      for i in range(bands)])
     entries = classes.select("cid", F.inline(keys))
     buckets = entries.groupBy("band", "nr").agg(F.count("*").alias("size"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"),
                                                 F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "least", "x", "y").agg(F.min(F.struct("nr", "band")).alias("one")).select(
-        "one.*", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > unit, _PARTS - 1).otherwise(0))).alias("part"), (F.col("size") > unit).alias("many"))
-    buckets = stored(buckets, "minhash-buckets")
-    many = buckets.where("many").select("band", "nr").distinct()
-    dealt = entries.join(many.withColumn("many", F.lit(True)), ["band", "nr"], "left").select(
-        "cid", "band", "nr", F.when(F.col("many"), F.pmod(F.xxhash64("cid"), F.lit(_PARTS))).otherwise(0).cast("int").alias("part"))
-    members = stored(dealt.join(buckets.drop("many"), ["band", "nr", "part"]).select("band", "nr", "cid"), "minhash-members")
+    buckets = stored(buckets.groupBy("size", "least", "x", "y").agg(F.min(F.struct("nr", "band")).alias("one")).select(
+        "one.*", (F.col("size") > unit).alias("many")), "minhash-buckets")
+    many = buckets.where("many").select("band", "nr", F.lit(True).alias("in_many"))
+    dealt = entries.join(many, ["band", "nr"], "left").select("cid", "band", "nr", _part(F.coalesce("in_many", F.lit(False)), "cid"))
+    members = dealt.join(buckets.select("band", "nr", "many", _parts(F.col("many")).alias("part")), ["band", "nr", "part"])
+    members = stored(members.select("band", "nr", "many", "cid"), "minhash-members")
 
     wanted = members.select("cid").distinct().join(classes.select("cid", "own_id", "own_key"), "cid")
     texts = source.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "text")
-    texts = stored(texts.groupBy("cid").agg(F.first("text").alias("text")), "minhash-texts")
+    texts = shipped(texts.groupBy("cid").agg(F.first("text").alias("text")))
+    texts = stored(texts.mapInArrow(_checked_texts(words, checks), "cid long, text string, signature binary"), "minhash-texts")
+    signatures, texts = texts.select("cid", "signature"), texts.select("cid", "text")
 
     # the label of a class orders by id, so that a root names its component
     labels = classes.select("cid", F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cid").alias("label"))

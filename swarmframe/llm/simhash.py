@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, shipped, texts_of
+from .common import fresh, settled, shipped, texts_of
 from .components import components
 
 SEED = 42
@@ -244,7 +244,8 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that stay when one document of each group does: the least id (nulls last), then text hash."""
     groups = simhash_groups(docs, id_col, text_col, **options)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f"))
-    keep = first.select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("keep_key")).distinct()
+    keep_id, keep_key = fresh(docs, "keep_id", "keep_key")
+    keep = first.select(F.col("f.doc_id").alias(keep_id), F.col("f.text_key").alias(keep_key)).distinct()
     ids, key = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
-    kept = docs.join(keep, ids.eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")))
-    return kept.dropDuplicates(["keep_id", "keep_key"]).select(*docs.columns)
+    kept = docs.join(keep, ids.eqNullSafe(keep[keep_id]) & (key == keep[keep_key]))
+    return kept.dropDuplicates([keep_id, keep_key]).select(*docs.columns)

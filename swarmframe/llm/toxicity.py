@@ -150,8 +150,10 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     limit = F.when(F.col("label") == 1, int(min(1.0, rows_per_class / max(counts.get(1, 0), 1)) * (1 << 20))).otherwise(
         int(min(1.0, rows_per_class / max(counts.get(0, 0), 1)) * (1 << 20)))
     # about 2 x rows_per_class rows of two numbers, whatever the size of the tables: the texts need not move
-    picked = docs.join(F.broadcast(known.where(place < limit)), docs[id_col] == F.col("id")).select(
-        F.col("id").alias("k"), docs[text_col].alias("text"), "label")
+    texts = docs.select(docs[id_col].alias("k"), docs[text_col].alias("text"))
+    picked = texts.join(F.broadcast(known.where(place < limit)), F.col("k") == F.col("id")).select("k", "text", "label")
+    # ids that stand for many documents, or have many labels, are picked together: twice the expected number is the most that is taken
+    picked = picked.orderBy(F.xxhash64("k", "text", "label")).limit(4 * rows_per_class)
     rows = sorted(picked.collect(), key=lambda r: (r["k"], r["text"] or "", r["label"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows], positive_share=counts.get(1, 0) / total, **options)
 
