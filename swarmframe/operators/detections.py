@@ -1,20 +1,22 @@
 """Detection tables: filtering, matching against truth, suppression and quality metrics.
 
 Matching follows the published VOC rule: a detection belongs to the truth box it overlaps most, and of the
-detections that belong to one truth box the most confident is right. Average precision is the 101-point COCO
-interpolation. Both are aggregations, so an image of any size is spread over many tasks.
+detections that belong to one truth box the most confident is right. With the rule ``greedy`` a detection whose best box is taken
+gets its next best, in rounds of aggregations. Average precision is the 101-point COCO
+interpolation. All are aggregations, so an image of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swarmframe.functions.geometry import box_iou
 from swarmframe.functions.text import active_label, detection_status
-from swarmframe.operators.sync import latest_per_drone
+from swarmframe.operators.sync import latest_per_drone, latest_per_drone_at
 from swarmframe.plans.boxes import CELLS, COORDS, filed, grid_pairs, is_real, overlapping, searching
 from swarmframe.plans.lookup import join_null_safe, micros
 from swarmframe.plans.once import stored
@@ -86,9 +88,58 @@ def true_positives(best: DataFrame, thresholds: Sequence[float], class_aware: bo
     return top.select(*keys, "truth_id", *extra, "iou_threshold", *[F.col(f"_t.{c}").alias(c) for c in rest])
 
 
-def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Every detection with ``is_tp``."""
-    hits = true_positives(best_matches(det, truth, iou), [iou])
+def _assigned(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One-to-one pairs of ``edges`` (keys, det_id, truth_id, conf, iou): most confident detections choose first.
+
+    Deferred acceptance: every detection asks for its best truth box, a box keeps the most confident one that asks, and the
+    pairs that were turned down go. A group (one set of keys) in which nothing was turned down is settled. The edges of a round
+    are written to the shared folder; a round is two aggregations, whatever the size of an image.
+    """
+    keys = list(keys)
+    columns = [*keys, "det_id", "truth_id", "conf", "iou"]
+    left, settled = stored(edges.select(*columns), "greedy-edges"), []
+    while not left.isEmpty():
+        choice = F.max(F.struct("iou", (-F.col("truth_id")).alias("_t"), "truth_id", "conf"))
+        asked = left.groupBy(*keys, "det_id").agg(choice.alias("_a")).select(
+            *keys, "det_id", F.col("_a.truth_id").alias("truth_id"), F.col("_a.conf").alias("conf"), F.col("_a.iou").alias("iou"))
+        first = F.max(F.struct("conf", (-F.col("det_id")).alias("_d"), "det_id", "iou"))
+        kept = asked.groupBy(*keys, "truth_id").agg(first.alias("_k"), F.count("*").alias("_n"))
+        # one row per truth box that was asked for
+        kept = stored(kept.select(*keys, "truth_id", F.col("_k.det_id").alias("det_id"), F.col("_k.conf").alias("conf"),
+                                  F.col("_k.iou").alias("iou"), "_n"), "greedy-kept")
+        open_groups = kept.filter("_n > 1").select(*keys).distinct()
+        settled.append(kept.join(open_groups, keys, "left_anti").select(*columns))
+        # a box that holds a detection turns down every less confident one, now or later
+        holders = kept.select(*keys, "truth_id", F.struct(F.col("conf").alias("c"), (-F.col("det_id")).alias("d")).alias("_holds"))
+        rest = left.join(open_groups, keys, "left_semi").join(holders, [*keys, "truth_id"], "left")
+        mine = F.struct(F.col("conf").alias("c"), (-F.col("det_id")).alias("d"))
+        left = stored(rest.filter(F.col("_holds").isNull() | (mine >= F.col("_holds"))).select(*columns), "greedy-edges")
+    return reduce(DataFrame.unionByName, settled) if settled else left
+
+
+def greedy_matches(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
+    """One-to-one pairs per image and class: detections choose in falling confidence (ties: lower id), each the free truth box
+    it overlaps most.
+
+    A detection whose best box is taken gets its next best, as long as the overlap reaches ``iou``; ties of overlap go to the
+    lower truth id. Ids name the boxes of an image and class. Null and NaN confidences match nothing. Rounds run when this is called.
+    """
+    return _assigned(_sure(_pairs(det, truth, iou, True)), _keys(True))
+
+
+def _sure(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("conf").isNotNull() & ~F.isnan(F.col("conf").cast("double")))
+
+
+def _is_greedy(rule: str) -> bool:
+    if rule not in ("voc", "greedy"):
+        raise ValueError(f"no matching rule {rule!r}")
+    return rule == "greedy"
+
+
+def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5, rule: str = "voc") -> DataFrame:
+    """Every detection with ``is_tp``, by the published VOC rule or by greedy matching (``rule``)."""
+    hits = greedy_matches(det, truth, iou) if _is_greedy(rule) else true_positives(best_matches(det, truth, iou), [iou])
     hits = hits.select("image_id", "cls", F.col("det_id").alias("box_id"), F.lit(True).alias("_hit"))
     return det.join(hits, ["image_id", "cls", "box_id"], "left").withColumn(
         "is_tp", F.coalesce("_hit", F.lit(False))).drop("_hit")
@@ -138,18 +189,25 @@ def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5,
-                      thresholds: Sequence[float] = THRESHOLDS, class_mean: bool = False) -> DataFrame:
+                      thresholds: Sequence[float] = THRESHOLDS, class_mean: bool = False, rule: str = "voc") -> DataFrame:
     """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``.
 
+    ``rule``: voc, or greedy (matched anew at each threshold, all thresholds in the same rounds).
+
     Classes without truth or without detections have zeros. With ``class_mean`` one more row, of class null, has the
     sums of the counts and the means of the rates over the classes that have truth. Matching runs when this is called; its counts per confidence are written to the shared folder.
     """
     levels = sorted({*thresholds, iou, 0.5})
-    # of a truth box only the confidence of its right detection counts: one maximum per threshold, no row per threshold moves
-    best = best_matches(det, truth, levels[0]).groupBy("image_id", "cls", "truth_id").agg(
-        *[F.max(F.when(F.col("iou") >= t, F.col("conf"))).alias(f"_{i}") for i, t in enumerate(levels)])
-    tops = F.array(*[F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"_{i}").alias("conf")) for i, t in enumerate(levels)])
-    hits = best.select("cls", F.inline(tops)).where("conf IS NOT NULL")
+    if _is_greedy(rule):
+        reached = F.filter(F.array(*[F.lit(float(t)) for t in levels]), lambda t: t <= F.col("iou"))
+        edges = _sure(_pairs(det, truth, levels[0], True)).withColumn("iou_threshold", F.explode(reached))
+        hits = _assigned(edges, ["image_id", "cls", "iou_threshold"]).select("cls", "iou_threshold", "conf")
+    else:
+        # of a truth box only the confidence of its right detection counts: one maximum per threshold, no row per threshold moves
+        best = best_matches(det, truth, levels[0]).groupBy("image_id", "cls", "truth_id").agg(
+            *[F.max(F.when(F.col("iou") >= t, F.col("conf"))).alias(f"_{i}") for i, t in enumerate(levels)])
+        tops = F.array(*[F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"_{i}").alias("conf")) for i, t in enumerate(levels)])
+        hits = best.select("cls", F.inline(tops)).where("conf IS NOT NULL")
     right = stored(hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit")), "metric-hits")
     found = stored(det.groupBy("cls", "conf").agg(F.count("*").alias("n")), "metric-found")
     counts = _truth_counts(truth)
@@ -197,18 +255,29 @@ def confusion_matrix(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou:
     return matched.unionByName(rest(truth, "true_cls", "pred_cls")).unionByName(rest(det, "pred_cls", "true_cls"))
 
 
+def _cards(last: DataFrame, det: DataFrame, at: Column, conf: float, active_within: float, keys: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """Cards of cameras whose newest rows are ``last``; detections are counted per frame before they meet them."""
+    frame = [*keys, "frame_num"]
+    hits = filter_conf(det, conf).join(last.select(*frame).distinct(), frame, "left_semi").groupBy(*frame).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0).cast("bigint"))
+    active = micros(at) - micros("arrival_ts") <= int(active_within * 1_000_000)
+    return last.join(hits, frame, "left").select(
+        *keys, *more, F.format_string("Camera %03d", F.col("drone_id").cast("int")).alias("title"), "frame_num",
+        n.alias("detections"), detection_status(n).alias("status"), active_label(active).alias("state"))
+
+
 def camera_dashboard(det: DataFrame, arrivals: DataFrame, as_of: Column, conf: float = 0.25,
                      active_within: float = 5.0, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """One card per camera: detections in its latest frame, status labels, and whether it is still sending."""
-    keys = [*keys, "drone_id"]
-    last = latest_per_drone(arrivals.select(*keys, "frame_num", "arrival_ts", "packet_id"), as_of, keys[:-1])
-    hits = (filter_conf(det, conf).join(last.select(*keys, "frame_num"), [*keys, "frame_num"], "left_semi")
-            .groupBy(*keys).agg(F.count("*").alias("_n")))
-    n = F.coalesce("_n", F.lit(0).cast("bigint"))
-    active = micros(as_of) - micros("arrival_ts") <= int(active_within * 1_000_000)
-    return last.join(hits, keys, "left").select(
-        *keys, F.format_string("Camera %03d", F.col("drone_id").cast("int")).alias("title"), "frame_num",
-        n.alias("detections"), detection_status(n).alias("status"), active_label(active).alias("state"))
+    light = arrivals.select(*keys, "drone_id", "frame_num", "arrival_ts", "packet_id")
+    return _cards(latest_per_drone(light, as_of, keys), det, as_of, conf, active_within, [*keys, "drone_id"], [])
+
+
+def camera_dashboard_at(det: DataFrame, arrivals: DataFrame, times: DataFrame, conf: float = 0.25, active_within: float = 5.0,
+                        keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """The cards at each of a table of times (keys, ``at``)."""
+    light = arrivals.select(*keys, "drone_id", "frame_num", "arrival_ts", "packet_id")
+    return _cards(latest_per_drone_at(light, times, keys), det, F.col("at"), conf, active_within, [*keys, "drone_id"], ["at"])
 
 
 def _suppress_in_rows(det: DataFrame, iou: float) -> DataFrame:
@@ -285,7 +354,7 @@ def nms(det: DataFrame, iou: float = 0.45, group_limit: int = 2000) -> DataFrame
 
 
 __all__ = [
-    "average_precision", "best_detections", "best_matches", "camera_dashboard", "confusion_matrix",
-    "detection_metrics", "filter_conf", "label_detections", "match_boxes", "nms",
+    "average_precision", "best_detections", "best_matches", "camera_dashboard", "camera_dashboard_at", "confusion_matrix",
+    "detection_metrics", "filter_conf", "greedy_matches", "label_detections", "match_boxes", "nms",
     "precision_recall_curve", "true_positives",
 ]

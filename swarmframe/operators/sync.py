@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmframe.functions.text import fixed, footer_text, frame_key, grid_cell
 from swarmframe.plans.lookup import latest, micros
-from swarmframe.plans.scan import running, with_previous
+from swarmframe.plans.once import stored
+from swarmframe.plans.scan import as_of, over_recent, running, with_previous
 
 SESSION = ("session_id",)
 
@@ -148,6 +149,19 @@ def latest_per_drone(arrivals: DataFrame, as_of: Column | None = None, keys: Seq
     return latest(rows, [*keys, "drone_id"], ["arrival_ts", "packet_id"])
 
 
+def latest_per_drone_at(arrivals: DataFrame, times: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """Newest row of each drone at each of a table of times (keys, ``at``); a drone that has not come yet has no row.
+
+    One pass in chunks answers all times, so a drone may hold all arrivals and there may be as many times as arrivals.
+    """
+    rows = arrivals.withColumn("_us", micros("arrival_ts"))
+    drones = arrivals.select(*keys, "drone_id").distinct()
+    # a row per time and drone of its session
+    probes = times.select(*keys, micros("at").alias("_at")).distinct().join(drones, list(keys))
+    found = as_of(probes, rows, [*keys, "drone_id"], "_at", "_us", ["packet_id"])
+    return found.select(*keys, F.timestamp_micros("_at").alias("at"), *[c for c in arrivals.columns if c not in keys])
+
+
 def _dense_drones(sessions: DataFrame, n_drones: int) -> DataFrame:
     return sessions.withColumn("drone_id", F.explode(F.sequence(F.lit(1), F.lit(n_drones))))
 
@@ -165,11 +179,10 @@ def buffer_stats(outcomes: DataFrame, sets: DataFrame, n_drones: int = 8,
         F.count_if(F.col("outcome") == "late").alias("dropped"),
         F.max("tick").alias("_last_tick")))
     ends = per_drone.groupBy(*keys).agg(F.max("_last_tick").alias("_end"))
-    # shown sets only: at most one per poll of a session
-    by_tick = Window.partitionBy(*keys).orderBy("tick")
-    spans = sets.select(*keys, "tick", "frame_num", "n_drones",
-                        F.transform("drones", lambda d: d["drone_id"]).alias("_members"),
-                        F.lead("tick").over(by_tick).alias("_next"))
+    shown = stored(sets.select(*keys, "tick", "frame_num", "n_drones", F.transform("drones", lambda d: d["drone_id"]).alias("_members"),
+                               (-F.col("tick")).alias("_down")), "buffer-sets")
+    # the row before in falling order is the next one
+    spans = with_previous(shown, keys, ["_down"], {"tick": "_next"})
     full = F.col("n_drones") == n_drones
     overall = spans.join(ends, keys).groupBy(*keys).agg(
         F.sum(F.when(full, F.coalesce("_next", F.col("_end") + 1) - F.col("tick")).otherwise(0))
@@ -224,24 +237,20 @@ def grid_manifest(sets: DataFrame, n_drones: int = 8, keys: Sequence[str] = SESS
 
 
 def rolling_fps(sets: DataFrame, tick: float, n: int = 30, keys: Sequence[str] = SESSION) -> DataFrame:
-    """Instantaneous display rate of each new set and the mean over the last ``n`` rates.
-
-    Only shown sets come in: at most one row per poll of a session.
-    """
-    by_tick = Window.partitionBy(*keys).orderBy("tick")
-    gap = (F.col("tick") - F.lag("tick").over(by_tick)) * F.lit(float(tick))
-    rates = (sets.select(*keys, "tick", "frame_num", gap.alias("_gap"))
+    """Instantaneous display rate of each new set and the mean over the last ``n`` rates; no task holds a whole session."""
+    shown = stored(sets.select(*keys, "tick", "frame_num"), "fps-sets")
+    gap = (F.col("tick") - F.col("_before")) * F.lit(float(tick))
+    rates = (with_previous(shown, keys, ["tick"], {"tick": "_before"}).withColumn("_gap", gap)
              .withColumn("fps", F.when(F.col("_gap") > 0, F.lit(1.0) / F.col("_gap"))))
-    recent = by_tick.rowsBetween(-(n - 1), 0)
     # rows without a rate are dropped first: the mean covers the last n rates, not the last n rows
-    return (rates.filter(F.col("fps").isNotNull())
-            .withColumn("avg_fps", F.avg("fps").over(recent))
+    rates = stored(rates.filter(F.col("fps").isNotNull()).select(*keys, "tick", "frame_num", "fps"), "fps-rates")
+    return (over_recent(rates, keys, "tick", {"fps": "avg_fps"}, n)
             .withColumn("footer", footer_text("frame_num", "avg_fps"))
             .select(*keys, "tick", "frame_num", "fps", "avg_fps", "footer"))
 
 
 __all__ = [
     "best_frame", "buffer_stats", "buffer_status_text", "dedupe_displayed", "fixed", "frame_completeness",
-    "frame_timeline", "grid_manifest", "is_valid", "last_write_wins", "latest_per_drone", "poll_trace",
+    "frame_timeline", "grid_manifest", "is_valid", "last_write_wins", "latest_per_drone", "latest_per_drone_at", "poll_trace",
     "rolling_fps", "status_line", "sync_complete", "sync_latest", "sync_outcomes", "sync_sets", "tick_of",
 ]

@@ -89,3 +89,49 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return joined.select(*df.columns, *[
         F.when(F.col("_place") == 1, F.col(f"_carry._v_{n}")).otherwise(F.col(f"_local_{n}")).alias(n)
         for n in values.values()])
+
+
+def over_recent(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], n: int, how: str = "avg",
+                chunks: int = CHUNKS, aggregated: bool = False) -> DataFrame:
+    """Add ``how`` (any aggregate) of each ``values[column] -> name`` over the last ``n`` rows in ascending ``order``, the row included.
+
+    The last ``n - 1`` rows of a chunk, or of as many chunks as it takes, are handed to the next one and leave it again.
+    """
+    keys = list(keys)
+    agg = getattr(F, how)
+    rows = chunked(df, order, chunks, aggregated)
+    columns = [order, *values]
+    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(order))
+    ends = rows.select(*keys, "_chunk", *dict.fromkeys(columns), F.row_number().over(back).alias("_back")).filter(F.col("_back") < n)
+    tails = ends.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"_h_{i}") for i, c in enumerate(columns)]))).alias("_tail"))
+    # a chunk of a key has a row at least, so n - 1 chunks before hold n - 1 rows where there are as many
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-(n - 1), -1)
+    halo = F.flatten(F.collect_list("_tail").over(before))
+    handed = tails.select(*keys, "_chunk", halo.alias("_halo")).select(
+        *keys, "_chunk", F.inline(F.when(F.size("_halo") >= n, F.slice("_halo", -(n - 1), n - 1)).otherwise(F.col("_halo"))))
+    own = rows.select("*", F.lit(False).alias("_handed"))
+    extra = handed.select(*keys, "_chunk", *[F.col(f"_h_{i}").alias(c) for i, c in enumerate(columns)], F.lit(True).alias("_handed"))
+    recent = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-(n - 1), 0)
+    both = own.unionByName(extra, allowMissingColumns=True)
+    return both.select(*df.columns, "_handed", *[agg(c).over(recent).alias(name) for c, name in values.items()]).filter(
+        ~F.col("_handed")).drop("_handed")
+
+
+def as_of(probes: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, time: str, rank: Sequence[str] = (),
+          chunks: int = CHUNKS) -> DataFrame:
+    """For every distinct (keys, ``at``) of ``probes``, the newest of ``rows`` with ``time`` not after it, by ``time``, then ``rank``.
+
+    Times are numbers. Probes and rows are lined up by time, one line per (keys, time), and the newest row is carried along in
+    chunks, so neither a key nor a time may hold too much. Columns: keys, ``at`` and those of ``rows``; probes before any row are left out.
+    """
+    keys = list(keys)
+    rest = [c for c in rows.columns if c not in (*keys, time, *rank)]
+    newest = rows.filter(F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("_at")).agg(F.max(F.struct(*rank, *rest)).alias("_row"))
+    lines = newest.select(*keys, "_at", F.struct(F.col("_at").alias("_time"), "_row").alias("_row"), F.lit(False).alias("_asked"))
+    nothing = F.lit(None).cast(lines.schema["_row"].dataType)
+    asked = probes.filter(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at"), nothing.alias("_row"), F.lit(True).alias("_asked"))
+    line = lines.unionByName(asked).groupBy(*keys, "_at").agg(F.max("_row").alias("_row"), F.max("_asked").alias("_asked"))
+    carried = running(line, keys, "_at", {"_row": "_newest"}, how="max", chunks=chunks, aggregated=True)
+    found = carried.filter(F.col("_asked") & F.col("_newest").isNotNull())
+    return found.select(*keys, F.col("_at").alias(at), *[
+        F.col("_newest._time").alias(c) if c == time else F.col(f"_newest._row.{c}").alias(c) for c in rows.columns if c not in keys])

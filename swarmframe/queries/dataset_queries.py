@@ -8,6 +8,8 @@ from swarmframe.functions.paths import calibration_path, frame_path, image_path,
 from swarmframe.functions.text import frame_key, sample_name
 from swarmframe.operators import dataset as D
 from swarmframe.queries.views import IMAGES, images, label_files, table
+from swarmframe.session import scratch_path
+from swarmframe.sources import scan_frames, scan_split_images, write_tree
 
 
 def _labelled(spark, sf):
@@ -44,6 +46,25 @@ def path_rules(spark, sf):
                         label["folder"].alias("label_folder"), label["stem"].alias("label_stem"))
 
 
+def scanned_frames(spark, sf):
+    """The images written as frame files, and the frames found among them."""
+    root = scratch_path(spark, "frames")
+    rows = images(spark, sf)
+    write_tree(rows, root, F.concat(F.lit("image_subsets/"), F.col("path")), F.concat(F.lit("image "), F.col("stem")))
+    return scan_frames(spark, root).select("drone_id", "frame_num", F.substring_index("path", "/", -2).alias("path"), "length")
+
+
+def scanned_split(spark, sf):
+    """The images and label files written as a tree, listed and matched again."""
+    root = scratch_path(spark, "split")
+    write_tree(images(spark, sf), root, F.col("path"), F.col("stem"))
+    write_tree(label_files(spark, sf), root, F.col("path"), F.col("stem"))
+    found, labels = scan_split_images(spark, root)
+    rows = D.attach_labels(found, labels)
+    return rows.select("folder", "stem", "suffix", F.substring_index("path", "/", -2).alias("path"),
+                       F.substring_index("label_path", "/", -3).alias("label_path"))
+
+
 def verified(spark, sf):
     return D.verify_dataset(D.with_split(images(spark, sf)), D.with_split(label_files(spark, sf)))
 
@@ -72,6 +93,10 @@ SELECT doc_id, CASE WHEN kind = 0 OR kind = 1 AND doc_id >= 1000 THEN drone END
        CASE WHEN kind = 5 THEN 'D' || drone END AS label_folder, CASE WHEN kind = 5 THEN key END AS label_stem
 FROM p"""),
     "attach_labels": (attached, f"WITH {IMAGES} SELECT folder, stem, suffix, path, label_path FROM labelled"),
+    "scan_frames": (scanned_frames, f"""WITH {IMAGES}
+SELECT CAST(substr(folder, 2) AS BIGINT) AS drone_id, CAST(stem AS BIGINT) AS frame_num, path, 6 + length(stem) AS length
+FROM images WHERE suffix = '.png'"""),
+    "scan_split_images": (scanned_split, f"WITH {IMAGES} SELECT folder, stem, suffix, path, label_path FROM labelled"),
     "union_scans": (lambda s, d: images(s, d), f"WITH {IMAGES} SELECT folder, stem, suffix, path FROM images"),
     "split_counts": (counts, f"""WITH {IMAGES},
 n AS (SELECT folder, count(*) AS n FROM images GROUP BY ALL)

@@ -48,6 +48,24 @@ def _shifted(spark, sf):
         (F.col("x2") + 400).alias("x2"), (F.col("y2") + 400).alias("y2"), "conf")
 
 
+def _crowded(spark, sf):
+    """Twenty orders share an image and boxes are enlarged, so that detections compete for truth boxes."""
+    def merged(boxes):
+        return boxes.withColumns({"box_id": F.col("image_id") % 20 * 100 + F.col("box_id"), "image_id": F.floor(F.col("image_id") / 20).cast("bigint"),
+                                  "x2": F.col("x2") + 600, "y2": F.col("y2") + 600})
+
+    return merged(detections(spark, sf)), merged(truth_boxes(spark, sf))
+
+
+def greedy(spark, sf):
+    return D.greedy_matches(*_crowded(spark, sf)).select("image_id", "cls", "det_id", "truth_id", F.round("iou", 9).alias("iou"))
+
+
+def greedy_metrics(spark, sf):
+    rows = D.detection_metrics(*_crowded(spark, sf), rule="greedy")
+    return rows.select("cls", "n_truth", "n_det", "n_tp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "ap50", "map")])
+
+
 def curve(spark, sf):
     det, truth = _both(spark, sf)
     points = D.precision_recall_curve(D.label_detections(det, truth), truth)
@@ -74,6 +92,17 @@ def dashboard(spark, sf):
         "session_id", "drone_id", "title", "frame_num", "detections", "status", "state")
 
 
+def dashboard_at(spark, sf):
+    """The cards every twelve hours."""
+    det = detections(spark, sf).select(
+        (F.floor(F.col("image_id") / 8) % 3 + 1).cast("bigint").alias("session_id"), (F.col("image_id") % 8 + 1).cast("int").alias("drone_id"),
+        (F.col("image_id") % 720).alias("frame_num"), "conf")
+    seen = arrivals(spark, sf)
+    half_day = F.timestamp_micros(F.unix_micros("arrival_ts") - F.pmod(F.unix_micros("arrival_ts"), F.lit(43_200_000_000)))
+    cards = D.camera_dashboard_at(det, seen, seen.select("session_id", half_day.alias("at")).distinct(), active_within=1800)
+    return cards.select("session_id", F.col("at").cast("timestamp_ntz").alias("at"), "drone_id", "title", "frame_num", "detections", "status", "state")
+
+
 # each detection's truth box, then the most confident detection of each truth box
 _VOC = f"""
 {BOXES}, {IOU},
@@ -84,11 +113,33 @@ _HITS = _VOC + """,
 hits AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls, truth_id ORDER BY conf DESC, det_id) AS place
                  FROM best) WHERE place = 1)"""
-_LEVELS = _VOC + """,
-levels AS (SELECT CAST(unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS DOUBLE) AS level),
+_LEVELS = """
+levels AS (SELECT CAST(unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS DOUBLE) AS level)"""
+_VOC_LEVELS = _VOC + "," + _LEVELS + """,
 hits AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, image_id, cls, truth_id ORDER BY conf DESC, det_id)
-                 AS place FROM best JOIN levels ON iou >= level) WHERE place = 1),
+                 AS place FROM best JOIN levels ON iou >= level) WHERE place = 1)"""
+# detections one after the other, each with the truth boxes that are taken so far
+_GREEDY = f"""
+{BOXES.replace("truth AS (", "one_truth AS (").replace("det AS (", "one_det AS (")},
+truth AS (
+  SELECT image_id // 20 AS image_id, image_id % 20 * 100 + box_id AS box_id, cls, x1, y1, x2 + 600 AS x2, y2 + 600 AS y2 FROM one_truth),
+det AS (
+  SELECT image_id // 20 AS image_id, image_id % 20 * 100 + box_id AS box_id, cls, x1, y1, x2 + 600 AS x2, y2 + 600 AS y2, conf FROM one_det),
+{IOU}, {_LEVELS},
+wishes AS (
+  SELECT level, image_id, cls, det_id, conf, list(truth_id ORDER BY iou DESC, truth_id) AS wanted
+  FROM overlapping JOIN levels ON iou >= level GROUP BY ALL),
+queue AS (
+  SELECT *, row_number() OVER (PARTITION BY level, image_id, cls ORDER BY conf DESC, det_id) AS place FROM wishes),
+walk AS (
+  SELECT level, image_id, cls, place, det_id, conf, wanted[1] AS truth_id, [wanted[1]] AS taken FROM queue WHERE place = 1
+  UNION ALL
+  SELECT q.level, q.image_id, q.cls, q.place, q.det_id, q.conf, q.got, CASE WHEN q.got IS NULL THEN q.taken ELSE list_append(q.taken, q.got) END
+  FROM (SELECT q.*, w.taken, list_filter(q.wanted, lambda t: NOT list_contains(w.taken, t))[1] AS got
+        FROM walk w JOIN queue q ON q.level = w.level AND q.image_id = w.image_id AND q.cls = w.cls AND q.place = w.place + 1) q),
+hits AS (SELECT level, image_id, cls, det_id, truth_id, conf FROM walk WHERE truth_id IS NOT NULL)"""
+_CURVES = """,
 per_conf AS (
   SELECT level, a.cls, a.conf, n, coalesce(tp, 0) AS tp
   FROM (SELECT cls, conf, count(*) AS n FROM det GROUP BY ALL) a CROSS JOIN levels
@@ -104,7 +155,7 @@ ap AS (
   SELECT level, cls, sum(p) / 101 AS ap FROM (
     SELECT level, cls, r, coalesce(max(p), 0) AS p FROM reach JOIN grid ON reached >= r GROUP BY ALL) GROUP BY ALL)"""
 
-_METRICS = _LEVELS + """,
+_AT_CONF = """,
 at_conf AS (
   SELECT cls, CAST(sum(n) AS BIGINT) AS n_det, CAST(sum(tp) AS BIGINT) AS n_tp FROM per_conf
   WHERE level = 0.5 AND conf >= 0.25 GROUP BY cls),
@@ -115,6 +166,8 @@ metrics AS (
          coalesce((SELECT sum(ap) / 10 FROM ap WHERE ap.cls = c.cls), 0) AS map
   FROM (SELECT cls FROM truth UNION SELECT cls FROM det) c LEFT JOIN totals USING (cls) LEFT JOIN at_conf USING (cls))"""
 
+_METRICS = _VOC_LEVELS + _CURVES + _AT_CONF
+
 _RANKED = f"""
 {BOXES},
 big AS (
@@ -159,6 +212,11 @@ SELECT cls, round(conf, 9) AS conf, CAST(sum(tp) OVER w AS BIGINT) AS tp, CAST(s
        round(coalesce(sum(tp) OVER w * 1.0::DOUBLE / nullif((SELECT count(*) FROM truth t WHERE t.cls = flagged.cls), 0), 0), 9) AS recall
 FROM flagged WINDOW w AS (PARTITION BY cls ORDER BY conf DESC)"""),
     "detection_metrics": (metrics, f"""WITH {_METRICS}
+SELECT cls, n_truth, n_det, n_tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ap50, 9) AS ap50,
+       round(map, 9) AS map FROM metrics"""),
+    "greedy_matches": (greedy, f"""WITH RECURSIVE {_GREEDY}
+SELECT image_id, cls, det_id, truth_id, round(iou, 9) AS iou FROM hits JOIN overlapping USING (image_id, cls, det_id, truth_id) WHERE level = 0.5"""),
+    "detection_metrics_greedy": (greedy_metrics, f"""WITH RECURSIVE {_GREEDY} {_CURVES} {_AT_CONF}
 SELECT cls, n_truth, n_det, n_tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ap50, 9) AS ap50,
        round(map, 9) AS map FROM metrics"""),
     "detection_metrics_mean": (mean_metrics, f"""WITH {_METRICS}
@@ -185,6 +243,21 @@ UNION ALL SELECT cls, -1, count(*) FROM truth t WHERE NOT EXISTS (
   SELECT 1 FROM hits h WHERE h.image_id = t.image_id AND h.truth_id = t.box_id) GROUP BY cls
 UNION ALL SELECT -1, cls, count(*) FROM confident d WHERE NOT EXISTS (
   SELECT 1 FROM hits h WHERE h.image_id = d.image_id AND h.det_id = d.box_id) GROUP BY cls"""),
+    "camera_dashboard_at": (dashboard_at, f"""WITH {ARRIVALS}, {BOXES},
+times AS (SELECT DISTINCT session_id, time_bucket(INTERVAL 12 HOUR, arrival_ts, TIMESTAMP '2024-01-01') AS at_time FROM arrivals),
+rows AS (
+  SELECT session_id, drone_id, arrival_ts, arg_max(frame_num, packet_id) AS frame_num FROM arrivals GROUP BY ALL),
+asked AS (SELECT DISTINCT t.session_id, t.at_time, a.drone_id FROM times t JOIN arrivals a ON a.session_id = t.session_id),
+last AS (
+  SELECT a.session_id, a.at_time, a.drone_id, r.frame_num, r.arrival_ts AS last_at
+  FROM asked a ASOF JOIN rows r ON a.session_id = r.session_id AND a.drone_id = r.drone_id AND a.at_time >= r.arrival_ts),
+hits AS (
+  SELECT image_id // 8 % 3 + 1 AS session_id, image_id % 8 + 1 AS drone_id, image_id % 720 AS frame_num, count(*) AS n
+  FROM det WHERE conf >= 0.25 GROUP BY ALL)
+SELECT l.session_id, at_time AS "at", l.drone_id, printf('Camera %03d', l.drone_id) AS title, l.frame_num, coalesce(n, 0) AS detections,
+       CASE WHEN n > 0 THEN n || ' TARGETS' ELSE 'NO TARGETS' END AS status,
+       CASE WHEN at_time - last_at <= INTERVAL 1800 SECOND THEN 'ACTIVE' ELSE 'INACTIVE' END AS state
+FROM last l LEFT JOIN hits h ON h.session_id = l.session_id AND h.drone_id = l.drone_id AND h.frame_num = l.frame_num"""),
     "camera_dashboard": (dashboard, f"""WITH {ARRIVALS}, {BOXES},
 last AS (
   SELECT session_id, drone_id, arg_max(frame_num, (arrival_ts, packet_id)) AS frame_num, max(arrival_ts) AS last_at

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swarmframe import functions as X
+from swarmframe.functions.text import frame_key
 from swarmframe.operators import calibration as C
 from swarmframe.operators import packets as P
 from swarmframe.queries.views import CALIBRATION, PACKETS, calibration, packets, vector_bytes
 from swarmframe.session import scratch_path
-from swarmframe.sources import parse_extrinsic_xml, parse_intrinsic_xml, scan_captures, stream_captures, write_captures
+from swarmframe.sources import (parse_extrinsic_xml, parse_intrinsic_xml, scan_captures, scan_extrinsics, scan_intrinsics, scan_packets,
+                                stream_captures, write_captures, write_tree)
 from swarmframe.streaming import write_sets
 
 
@@ -209,12 +211,39 @@ def _extr(spark, sf):
     return parse_extrinsic_xml(_xml(spark, sf).select("vec_id", "drone_id", "frame_num", F.col("extr").alias("xml")))
 
 
+def _scanned(spark, sf, kind: str, scan):
+    """Calibration files written under their names and scanned; a name gives the vector back."""
+    root = scratch_path(spark, f"{kind}-files")
+    drone, key = F.col("drone_id").cast("string"), frame_key("frame_num")
+    name = F.concat(F.lit(f"calibrations/{kind}rinsic/{kind}r_Drone"), drone, F.lit("_"), key, F.lit(".xml"))
+    write_tree(_xml(spark, sf), root, name, F.col(f"{kind}r"))
+    return scan(spark, root).withColumn("vec_id", F.col("frame_num") * 8 + F.col("drone_id") - 1)
+
+
+def scanned_packets(spark, sf):
+    """Packets at rest: written, scanned with the declared schema, their headers read."""
+    path = scratch_path(spark, "packet-table")
+    packed = P.pack_packets(packets(spark, sf))
+    packed.select("session_id", "packet_id", "port_drone_id", F.timestamp_seconds(F.lit(1_700_000_000)).alias("arrival_ts"), "packet").write.parquet(path)
+    rows = scan_packets(spark, path)
+    return rows.select("session_id", "packet_id", F.col("port_drone_id").cast("bigint").alias("port_drone_id"), X.decode_header("packet").alias("h")).select(
+        "session_id", "packet_id", "port_drone_id", "h.drone_id", "h.frame_num", "h.jpeg_size", "h.ts")
+
+
 def intrinsic_xml(spark, sf):
-    return _intr(spark, sf).select("vec_id", "k_text", F.nullif("dist_text", F.lit("")).alias("dist_text"), "error_kind")
+    return _intrinsic_texts(_intr(spark, sf))
+
+
+def _intrinsic_texts(rows):
+    return rows.select("vec_id", "k_text", F.nullif("dist_text", F.lit("")).alias("dist_text"), "error_kind")
 
 
 def extrinsic_xml(spark, sf):
-    rows = C.decode_vectors(_extr(spark, sf), ["rvec", "tvec"])
+    return _extrinsic_vectors(_extr(spark, sf))
+
+
+def _extrinsic_vectors(files):
+    rows = C.decode_vectors(files, ["rvec", "tvec"])
     return rows.select("vec_id", *[F.get(v, F.lit(i)).alias(f"{v[0]}{i}") for v in ("rvec", "tvec") for i in range(3)],
                        "error_kind")
 
@@ -282,6 +311,13 @@ SELECT packet_id, drone_id, frame AS frame_num, sent AS ts, {_K_OR_NULL}, {_sql_
        tvec[1] AS tx, tvec[2] AS ty, tvec[3] AS tz, {', '.join(_D.format(i + 1) + f' AS d{i}' for i in range(5))}
 FROM angles WHERE port = drone_id"""
 
+_INTRINSIC_SQL = f"""WITH {CALIBRATION}
+SELECT vec_id, CASE WHEN vec_id % 9 NOT IN (1, 3) THEN k_text END AS k_text,
+       CASE WHEN vec_id % 9 NOT IN (2, 3) THEN nullif(dist_text, '') END AS dist_text, {_KIND_I} AS error_kind FROM texts"""
+_EXTRINSIC_SQL = f"""WITH {CALIBRATION}
+SELECT vec_id, {', '.join(f"CASE WHEN {_KIND_E} IS NULL THEN {v}[{i + 1}] END AS {v[0]}{i}" for v in ('rvec', 'tvec') for i in range(3))},
+       {_KIND_E} AS error_kind FROM calibration"""
+
 QUERIES = {
     "rodrigues": (rodrigues, f"WITH {CALIBRATION}, {_ANGLES.format('calibration')} SELECT vec_id, {_sql_r()} FROM angles"),
     "decode_vectors": (decoded_vectors, f"""WITH {CALIBRATION}
@@ -328,12 +364,12 @@ SELECT packet_id, CASE packet_id % 12
     "validate_outgoing": (outgoing, """
 SELECT vec_id AS packet_id, CASE vec_id % 7 WHEN 1 THEN 'bad_drone' WHEN 2 THEN 'bad_frame' WHEN 3 THEN 'empty_frame'
   WHEN 4 THEN 'bad_rvec' WHEN 5 THEN 'bad_tvec' END AS error_kind FROM embeddings"""),
-    "intrinsic_xml": (intrinsic_xml, f"""WITH {CALIBRATION}
-SELECT vec_id, CASE WHEN vec_id % 9 NOT IN (1, 3) THEN k_text END AS k_text,
-       CASE WHEN vec_id % 9 NOT IN (2, 3) THEN nullif(dist_text, '') END AS dist_text, {_KIND_I} AS error_kind FROM texts"""),
-    "extrinsic_xml": (extrinsic_xml, f"""WITH {CALIBRATION}
-SELECT vec_id, {', '.join(f"CASE WHEN {_KIND_E} IS NULL THEN {v}[{i + 1}] END AS {v[0]}{i}" for v in ('rvec', 'tvec') for i in range(3))},
-       {_KIND_E} AS error_kind FROM calibration"""),
+    "scan_packets": (scanned_packets, f"""WITH {PACKETS}
+SELECT 1::BIGINT AS session_id, packet_id, port AS port_drone_id, drone_id, frame AS frame_num, jpeg_size, sent AS ts FROM packets"""),
+    "intrinsic_xml": (intrinsic_xml, _INTRINSIC_SQL),
+    "scan_intrinsics": (lambda s, d: _intrinsic_texts(_scanned(s, d, "int", scan_intrinsics)), _INTRINSIC_SQL),
+    "extrinsic_xml": (extrinsic_xml, _EXTRINSIC_SQL),
+    "scan_extrinsics": (lambda s, d: _extrinsic_vectors(_scanned(s, d, "ext", scan_extrinsics)), _EXTRINSIC_SQL),
     "load_calibration": (loaded, f"""WITH {_LOADED}, {_ANGLES.format('loaded')}
 SELECT drone_id, frame_num, {_K}, {_sql_r()}, tvec[1] AS t0, tvec[2] AS t1, tvec[3] AS t2, {_DIST} FROM angles"""),
     "compare_calibration": (compared, f"""WITH {_LOADED}, {_ANGLES.format('loaded')},

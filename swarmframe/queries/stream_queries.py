@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from swarmframe.functions.packet import packet_info
 from swarmframe.operators.packets import pack_packets
 from swarmframe.queries.views import (ARRIVALS, HOUR, ORIGIN_US, PACKETS, REPLAY, arrivals_of, packets,
                                       table, ts)
 from swarmframe.session import SETTINGS, scratch_path
 from swarmframe.sources import stream_packets
-from swarmframe.streaming import (stream_counts, stream_decode, stream_dedup, stream_dropped, stream_sessions, stream_sets,
+from swarmframe.streaming import (stream_counts, stream_decode, stream_dedup, stream_dropped, stream_payloads, stream_sessions, stream_sets,
                                   stream_stats, stream_sync, stream_tick_max, write_sets)
 
 BASE = ORIGIN_US // 3_600_000_000
@@ -22,7 +23,7 @@ def _closed(spark, sf, failed: bool = False) -> DataFrame:
     """Good arrivals and, in a session of its own, one long after them: it closes all windows and connections before it."""
     path = scratch_path(spark, "end")
     live = _arrivals(spark, sf, failed)
-    last = spark.range(1).select(*[F.lit({"session_id": -1, "drone_id": 1, "frame_num": 0, "failed": False}.get(f.name)).cast(f.dataType).alias(f.name)
+    last = spark.range(1).select(*[F.lit({"session_id": -1, "packet_id": -1, "drone_id": 1, "frame_num": 0, "failed": False}.get(f.name)).cast(f.dataType).alias(f.name)
                                    if f.name != "arrival_ts" else ts("2100-01-01 00:00:00").alias(f.name) for f in live.schema])
     last.write.parquet(path)
     return live.unionByName(spark.readStream.schema(live.schema).parquet(path))
@@ -58,6 +59,21 @@ def dropped(spark, sf):
     return stream_dropped(_drained(stream_sync(_closed(spark, sf), HOUR), "outcomes"))
 
 
+def payloads(spark, sf):
+    """Every arrival carries a whole packet; those of shown sets are delivered and read."""
+    marker = F.lit(b"\xff\xd8"), F.lit(b"\xff\xd9")
+    body = F.encode(F.repeat(F.lit("pixel"), (F.col("packet_id") % 9).cast("int")), "UTF-8")
+    rows = _closed(spark, sf).select(
+        "session_id", "packet_id", "arrival_ts", "drone_id", "frame_num", (F.unix_micros("arrival_ts") / 1_000_000).alias("ts"),
+        F.concat(marker[0], body, marker[1]).alias("jpeg"), F.lit(b"\x00" * 24).alias("rvec"), F.lit(b"\x00" * 24).alias("tvec"),
+        F.concat_ws(" ", F.lit("1000 0 960 0 1010 540 0 0"), F.col("packet_id").cast("string")).alias("k_text"), F.lit("0.5").alias("dist_text"))
+    shown = _drained(stream_payloads(pack_packets(rows).drop("error_kind"), HOUR), "payloads")
+    info = F.struct(packet_info("packet").alias("i"))["i"]
+    return shown.select("session_id", (F.col("tick") - BASE).alias("tick"), "packet_id", F.col("n_drones").cast("bigint").alias("n_drones"),
+                        info["drone_id"].alias("drone_id"), info["frame_num"].alias("frame_num"), info["jpeg_size"].alias("jpeg_size"),
+                        F.length("packet").cast("bigint").alias("packet_size"))
+
+
 def counts(spark, sf):
     """Running counters of packets, failures, accepted and late frames; the last update of each drone."""
     rows = _drained(stream_counts(_closed(spark, sf, failed=True), HOUR), "counts").filter("session_id >= 0")
@@ -120,6 +136,10 @@ FROM members JOIN sets USING (session_id, tick, frame_num)"""),
     "stream_dropped": (dropped, f"""WITH {REPLAY}
 SELECT session_id, drone_id, count(*) FILTER (WHERE outcome <> 'late') AS received,
        count(*) FILTER (WHERE outcome = 'late') AS dropped FROM outcomes GROUP BY ALL"""),
+    "stream_payloads": (payloads, f"""WITH {REPLAY}
+SELECT session_id, tick, packet_id, n_drones, drone_id, frame_num, 4 + 5 * (packet_id % 9) AS jpeg_size,
+       24 + 4 + 5 * (packet_id % 9) + 48 + 8 + 26 + length(CAST(packet_id AS VARCHAR)) + 3 AS packet_size
+FROM members JOIN sets USING (session_id, tick, frame_num)"""),
     "stream_counts": (counts, f"""WITH {REPLAY},
 judged AS (
   SELECT session_id, drone_id, count(*) FILTER (WHERE outcome <> 'late') AS accepted, count(*) FILTER (WHERE outcome = 'late') AS dropped

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from swarmframe.operators import sliding, stats, sync
+from swarmframe.operators import sessions, sliding, stats, sync
 from swarmframe.queries.views import ARRIVALS, HOUR, ORIGIN_US, REPLAY, arrivals, good_arrivals, ts
 
 ARGS = {"tick": HOUR, "origin_us": ORIGIN_US}
@@ -40,6 +40,23 @@ def sliding_sets(spark, sf):
         "session_id", "shown_at", "frame_num", "n_drones", F.col("m.drone_id").alias("drone_id"), F.col("m.packet_id").alias("packet_id"))
 
 
+def recovered(spark, sf):
+    """Frame numbers that begin again every hundred hours, without a session id."""
+    rows = good_arrivals(spark, sf).withColumn("frame_num", F.col("frame_num") % 100).drop("session_id")
+    return sessions.recover_sessions(rows).select("packet_id", "drone_id", "frame_num", "session_no")
+
+
+def _six_hours(spark, sf):
+    """Every six hours that a session has."""
+    at = F.timestamp_micros(F.unix_micros("arrival_ts") - F.pmod(F.unix_micros("arrival_ts"), F.lit(21_600_000_000)))
+    return arrivals(spark, sf).select("session_id", at.alias("at")).distinct()
+
+
+def newest_at(spark, sf):
+    rows = sync.latest_per_drone_at(good_arrivals(spark, sf), _six_hours(spark, sf))
+    return rows.select("session_id", F.col("at").cast("timestamp_ntz").alias("at"), "drone_id", "frame_num", "packet_id")
+
+
 def complete(spark, sf):
     return sync.sync_complete(good_arrivals(spark, sf)).select(
         "session_id", "frame_num", "n_drones", F.col("completed_at").cast("timestamp_ntz").alias("completed_at"))
@@ -137,7 +154,28 @@ judged AS (
   FROM good g LEFT JOIN shown s ON g.session_id = s.session_id AND g.arrival_ts > s.after_at AND g.arrival_ts <= s.shown_at
   JOIN ends e ON e.session_id = g.session_id)"""
 
+_TIMES = ARRIVALS + """,
+times AS (SELECT DISTINCT session_id, time_bucket(INTERVAL 6 HOUR, arrival_ts, TIMESTAMP '2024-01-01') AS at_time FROM arrivals),
+rows AS (SELECT session_id, drone_id, arrival_ts, max(packet_id) AS packet_id, arg_max(frame_num, packet_id) AS frame_num FROM good GROUP BY ALL),
+asked AS (SELECT DISTINCT t.session_id, t.at_time, g.drone_id FROM times t JOIN good g ON g.session_id = t.session_id),
+newest AS (
+  SELECT a.session_id, a.at_time, a.drone_id, r.frame_num, r.packet_id, r.arrival_ts
+  FROM asked a ASOF JOIN rows r ON a.session_id = r.session_id AND a.drone_id = r.drone_id AND a.at_time >= r.arrival_ts)"""
+
 QUERIES = {
+    "recover_sessions": (recovered, f"""WITH RECURSIVE {ARRIVALS},
+trace AS (
+  SELECT packet_id, drone_id, frame_num % 100 AS frame_num, row_number() OVER (PARTITION BY drone_id ORDER BY arrival_ts, packet_id) AS i
+  FROM good),
+walk AS (
+  SELECT packet_id, drone_id, frame_num, i, frame_num AS top, 1::BIGINT AS session_no FROM trace WHERE i = 1
+  UNION ALL
+  SELECT t.packet_id, t.drone_id, t.frame_num, t.i, CASE WHEN t.frame_num < w.top - 10 THEN t.frame_num ELSE greatest(w.top, t.frame_num) END,
+         w.session_no + CAST(t.frame_num < w.top - 10 AS BIGINT)
+  FROM walk w JOIN trace t ON t.drone_id = w.drone_id AND t.i = w.i + 1)
+SELECT packet_id, drone_id, frame_num, session_no FROM walk"""),
+    "latest_per_drone_at": (newest_at, f"""WITH {_TIMES}
+SELECT session_id, at_time AS "at", drone_id, frame_num, packet_id FROM newest"""),
     "sync_sliding_outcomes": (sliding_outcomes, f"""WITH RECURSIVE {_SLIDING}
 SELECT session_id, packet_id, outcome, CASE WHEN outcome = 'displayed' THEN shown_at END AS shown_at FROM judged"""),
     "sync_sliding_sets": (sliding_sets, f"""WITH RECURSIVE {_SLIDING},

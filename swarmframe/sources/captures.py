@@ -100,7 +100,7 @@ def frames(data: bytes, whole_start: bool, max_packet: int = MAX_PACKET) -> Iter
         at = found
 
 
-def _file_system(path: str):
+def file_system(path: str):
     from pyarrow import fs
 
     if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+://", path) and not path.startswith("file:"):
@@ -112,7 +112,7 @@ def _sizes(path: str) -> dict[str, int]:
     """Size of every capture file below a path; hidden names are not read."""
     from pyarrow import fs
 
-    system, root = _file_system(path)
+    system, root = file_system(path)
     info = system.get_file_info(root)
     files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     return {f.path: f.size for f in files if f.type == fs.FileType.File and f.base_name[0] not in "._"}
@@ -138,7 +138,7 @@ class _Captures:
         self.max_packet = int(options.get("maxpacket", MAX_PACKET))
 
     def rows(self, split: Split) -> Iterator[pa.RecordBatch]:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         start = max(0, split.begin - self.max_packet)
         with system.open_input_file(split.path) as file:
             data = file.read_at(split.end - start, start)
@@ -211,7 +211,7 @@ class CaptureWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         from pyspark import TaskContext
 
-        system, root = _file_system(self.path)
+        system, root = file_system(self.path)
         task, name, file, files = TaskContext.get().partitionId(), None, None, []
         for row in iterator:
             if row.packet is None:
@@ -229,12 +229,12 @@ class CaptureWriter(DataSourceWriter):
         return Written(json.dumps(files))
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         for hidden, named in (f for m in messages if m is not None for f in json.loads(m.files)):
             system.move(hidden, named)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = _file_system(self.path)
+        system, _ = file_system(self.path)
         for hidden, _named in (f for m in messages if m is not None for f in json.loads(m.files)):
             system.delete_file(hidden)
 

@@ -174,6 +174,24 @@ def stream_sets(synced: DataFrame) -> DataFrame:
     return synced.filter(F.col("kind") == "displayed").drop("kind", "n")
 
 
+def stream_payloads(packets: DataFrame, tick: float, delay: str = "0 seconds", n_drones: int = 8, max_frame: int | None = None,
+                    session_ttl: float | None = None) -> DataFrame:
+    """The packets of newly shown sets, with all their columns, ``tick`` and ``n_drones``.
+
+    ``packets``: arrivals with any payload. Only their keys pass the alignment; payloads wait in a join that is bounded in time, as a
+    member arrived within the poll window of its set, so the state holds the packets of windows that are still open.
+    """
+    keys = packets.select("session_id", "packet_id", "drone_id", "frame_num", "arrival_ts")
+    rows = _judged(keys, tick, delay, n_drones, max_frame, session_ttl).filter("frame_num > before AND frame_num = shown")
+    members = rows.select(F.col("session_id").alias("_session"), F.col("packet_id").alias("_packet"), "closed_at", "tick",
+                          F.bit_count("members").cast("int").alias("n_drones"))
+    whole = packets.filter(is_valid(n_drones, max_frame)).withWatermark("arrival_ts", delay)
+    within = (F.col("arrival_ts") <= F.col("closed_at")) & (F.col("arrival_ts") > F.col("closed_at") - F.expr(f"INTERVAL '{tick:.6f}' SECOND"))
+    joined = whole.join(members, (F.col("session_id") == F.col("_session")) & (F.col("packet_id") == F.col("_packet")) & within)
+    at = F.timestamp_micros(F.unix_micros("arrival_ts")).alias("arrival_ts")  # no longer the stream's event time
+    return joined.select("tick", "n_drones", *[at if c == "arrival_ts" else F.col(c) for c in packets.columns])
+
+
 def stream_late(synced: DataFrame) -> DataFrame:
     """Late arrivals per (session, tick, frame, drone)."""
     return synced.filter(F.col("kind") == "late").select("session_id", "tick", "frame_num", "drone_id", "n")

@@ -202,3 +202,44 @@ def test_dashboard(spark):
     as_of = F.lit("2024-01-01 00:00:10").cast("timestamp")
     got = [(r.title, r.frame_num, r.status, r.state) for r in D.camera_dashboard(det, arrivals, as_of).orderBy("drone_id").collect()]
     assert got == [("Camera 001", 2, "2 TARGETS", "ACTIVE"), ("Camera 002", 5, "NO TARGETS", "INACTIVE")]
+
+
+def replayed(det, truth, limit):
+    """Detections one after the other, each with the best free truth box."""
+    out = set()
+    for key in {(d[0], d[2]) for d in det}:
+        free = {t[1]: t for t in truth if (t[0], t[2]) == key}
+        for d in sorted((d for d in det if (d[0], d[2]) == key), key=lambda d: (-d[7], d[1])):
+            wanted = sorted((-iou(d[3:7], t[3:7]), i) for i, t in free.items() if iou(d[3:7], t[3:7]) >= limit)
+            if wanted:
+                out.add((*key, d[1], wanted[0][1]))
+                del free[wanted[0][1]]
+    return out
+
+
+@pytest.mark.parametrize("limit,spread,images", [(0.2, 20, 2), (0.5, 60, 3), (0.1, 8, 1)])
+def test_greedy_matching_equals_a_replay(spark, limit, spread, images):
+    det, truth = crowd(140, 7, images, spread), crowd(120, 8, images, spread)
+    got = D.greedy_matches(boxes(spark, det), boxes(spark, truth, False), limit)
+    assert {(r.image_id, r.cls, r.det_id, r.truth_id) for r in got.collect()} == replayed(det, truth, limit)
+    assert D.greedy_matches(boxes(spark, det), boxes(spark, truth[:0] or [(99, 1, 0, 0.0, 0.0, 1.0, 1.0)], False), limit).count() == 0
+
+
+def test_next_best_box_in_a_chain(spark):
+    """Each detection overlaps its own box best but the next one too; the first takes over all of the chain."""
+    truth = [(1, i, 0, 10.0 * i, 0.0, 10.0 * i + 20, 10.0) for i in range(30)]
+    det = [(1, i, 0, 10.0 * i + 4.9, 0.0, 10.0 * i + 24.9, 10.0, 1 - i / 100) for i in range(30)] + [(1, 99, 0, 0.0, 0.0, 20.0, 10.0, 1.0)]
+    got = D.greedy_matches(boxes(spark, det), boxes(spark, truth, False), 0.3)
+    assert {(r.image_id, r.cls, r.det_id, r.truth_id) for r in got.collect()} == replayed(det, truth, 0.3)
+
+
+def test_rules_of_matching(spark):
+    truth = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 2, 0, 2.0, 0.0, 12.0, 10.0)]
+    det = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0, .9), (1, 2, 0, 0.0, 0.0, 10.0, 9.9, .8), (1, 3, 0, 0.0, 0.0, 10.0, 10.0, None)]
+    d, t = boxes(spark, det), boxes(spark, truth, False)
+    flags = {rule: {r.box_id for r in D.label_detections(d, t, 0.5, rule).filter("is_tp").collect()} for rule in ("voc", "greedy")}
+    assert flags == {"voc": {1}, "greedy": {1, 2}}
+    rows = {rule: D.detection_metrics(d, t, rule=rule).first() for rule in ("voc", "greedy")}
+    assert (rows["voc"].n_tp, rows["greedy"].n_tp) == (1, 2) and rows["greedy"].ap50 > rows["voc"].ap50
+    with pytest.raises(ValueError):
+        D.label_detections(d, t, rule="best")

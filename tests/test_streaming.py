@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swarmframe.operators import sync
 from swarmframe.schemas import ARRIVALS
-from swarmframe.streaming import (stream_dedup, stream_dropped, stream_late, stream_sessions, stream_sets, stream_stats, stream_sync,
+from swarmframe.streaming import (stream_counts, stream_dedup, stream_dropped, stream_late, stream_payloads, stream_sessions, stream_sets, stream_stats, stream_sync,
                                   stream_tick_max, write_sets)
 
 T0 = dt.datetime(2024, 1, 1)
@@ -93,3 +93,55 @@ def test_a_session_is_forgotten_after_its_ttl(spark, tmp_path):
     for ttl, want in ((50, "displayed"), (10_000, "late"), (None, "late")):
         out = drain(spark, stream_sync(live, 1.0, n_drones=3, session_ttl=ttl), tmp_path, f"ttl-{ttl}")
         assert {r.packet_id: r.kind for r in out.filter("session_id = 1").collect()} == {1: "displayed", 4: want}
+
+
+def test_counters_run_over_restarts(spark, tmp_path):
+    """The state of the counters survives a restart from the checkpoint; every update is the total so far."""
+    rows = trace(300, 11)
+    half = [r for r in rows if r[4] < rows[150][4]]
+    extended = spark.createDataFrame([], ARRIVALS).withColumn("failed", F.lit(True)).withColumn("packet_bytes", F.lit(1).cast("bigint")).schema
+
+    def put(part, name):
+        full = [(*r, r[1] % 7 == 0, 10) for r in part]
+        spark.createDataFrame(full, extended).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        live = spark.readStream.schema(extended).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        df = stream_counts(live, 1.0, n_drones=3)
+        write_sets(df, str(tmp_path / "out"), str(tmp_path / "cp"), every=None).awaitTermination()
+        return spark.read.schema(df.schema).parquet(str(tmp_path / "out"))
+
+    put(half, "a")
+    first = run().count()
+    put([r for r in rows if r not in half] + [(9, 10 ** 6, 1, 0, FAR)], "b")
+    updates = run()
+    assert 0 < first < updates.count()
+    names = ("packets", "failed", "total_bytes", "accepted", "dropped")
+    got = {(r.session_id, r.drone_id): tuple(r[c] for c in names) for r in updates.groupBy("session_id", "drone_id").agg(
+        *[F.max(c).alias(c) for c in names]).collect()}
+    good = [r for r in rows if r[1] % 7]
+    outcomes, _ = sync.sync_latest(spark.createDataFrame(good, ARRIVALS), 1.0, n_drones=3)
+    judged = {(r.session_id, r.drone_id): (r.a, r.d) for r in outcomes.filter("outcome <> 'invalid'").groupBy("session_id", "drone_id").agg(
+        F.count_if(F.col("outcome") != "late").alias("a"), F.count_if(F.col("outcome") == "late").alias("d")).collect()}
+    want = {}
+    for s, d in {(r[0], r[2]) for r in rows}:
+        mine = [r for r in rows if (r[0], r[2]) == (s, d)]
+        want[s, d] = (len(mine), sum(r[1] % 7 == 0 for r in mine), 10 * len(mine), *judged.get((s, d), (0, 0)))
+    assert got == want
+
+
+def test_payloads_come_with_their_sets_and_leave_the_state(spark, tmp_path):
+    rows = trace(300, 12)
+    live = files(spark, rows, str(tmp_path / "in"), parts=8).withColumn("payload", F.concat(F.lit("image "), F.col("packet_id")))
+    df = stream_payloads(live, 1.0, n_drones=3)
+    query = write_sets(df, str(tmp_path / "out"), str(tmp_path / "cp"), every=None)
+    query.awaitTermination()
+    _, sets = sync.sync_latest(spark.createDataFrame(rows, ARRIVALS), 1.0, n_drones=3)
+    want = {(r.session_id, r.tick, r.frame_num, r.n_drones, d.drone_id, d.packet_id, d.arrival_ts, f"image {d.packet_id}")
+            for r in sets.collect() for d in r.drones}
+    got = [(r.session_id, r.tick, r.frame_num, r.n_drones, r.drone_id, r.packet_id, r.arrival_ts, r.payload)
+           for r in spark.read.schema(df.schema).parquet(str(tmp_path / "out")).filter("session_id < 9").collect()]
+    assert set(got) == want and len(got) == len(want)
+    joins = [s for s in query.lastProgress["stateOperators"] if s["operatorName"] == "symmetricHashJoin"]
+    # the last row closes all windows: nothing of them waits any longer
+    assert len(joins) == 2 and all(s["numRowsTotal"] <= 4 for s in joins)

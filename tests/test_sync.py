@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from swarmframe.operators import stats, sync
 from swarmframe.plans.scan import chunked, running, with_previous
+from swarmframe.schemas import ARRIVALS
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "session_id bigint, packet_id bigint, drone_id int, frame_num bigint, arrival_ts timestamp"
@@ -231,3 +232,45 @@ def test_sender_and_receiver_counters(spark):
     assert round(rows[0].success_pct, 3) == 66.667 and rows[1].success_pct == 0 and rows[1].avg_kb == 0
     log = spark.createDataFrame([(1, False), (1, False), (1, True)], "drone_id int, failed boolean")
     assert stats.receiver_stats(log).first().success_rate_reported == 75.0
+
+
+def test_recent_rows_reach_over_chunks(spark):
+    from swarmframe.plans.scan import over_recent
+
+    rnd = random.Random(3)
+    rows = [(k, i * rnd.choice([1, 1, 50]) + i, float(rnd.randint(0, 9))) for k in ("a", None) for i in range(1, 90)]
+    rows = list({(k, o): (k, o, v) for k, o, v in rows}.values()) + [("b", 7, 1.0)]
+    df = spark.createDataFrame(rows, "k string, o long, v double")
+    for n, chunks in ((1, 9), (2, 100), (7, 25), (30, 100), (500, 16)):
+        got = over_recent(df, ["k"], "o", {"v": "s"}, n, "sum", chunks)
+        want = []
+        for key in ("a", "b", None):
+            line = sorted(r[1:] for r in rows if r[0] == key)
+            want += [(str(key), o, v, sum(x for _, x in line[max(0, i - n + 1):i + 1])) for i, (o, v) in enumerate(line)]
+        assert sorted((str(r.k), r.o, r.v, r.s) for r in got.collect()) == sorted(want)
+
+
+def test_newest_row_at_many_times(spark):
+    rnd = random.Random(5)
+    # one drone holds most arrivals
+    rows = [(1, i, rnd.choice([1, 1, 1, 1, 2, 3]), rnd.randint(0, 50), T0 + dt.timedelta(seconds=rnd.randint(0, 60))) for i in range(300)]
+    rows += [(2, 900, 1, 5, T0), (1, 901, 1, 5, None)]
+    times = [(1, T0 + dt.timedelta(seconds=s)) for s in (-5, 0, 0, 7, 30, 31, 60, 99)] + [(3, T0), (2, T0 + dt.timedelta(seconds=1)), (1, None)]
+    got = sync.latest_per_drone_at(spark.createDataFrame(rows, ARRIVALS), spark.createDataFrame(times, "session_id long, at timestamp"))
+    want = set()
+    for session, at in times:
+        for drone in (1, 2, 3):
+            mine = [r for r in rows if r[0] == session and r[2] == drone and at is not None and r[4] is not None and r[4] <= at]
+            if mine:
+                want.add((session, at, *max(mine, key=lambda r: (r[4], r[1]))[1:5]))
+    got = [(r.session_id, r["at"], r.packet_id, r.drone_id, r.frame_num, r.arrival_ts) for r in got.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_rates_and_counters_without_session_windows(spark):
+    rows = [(1, i, i % 3 + 1, i // 3, T0 + dt.timedelta(seconds=i)) for i in range(200)]
+    outcomes, sets = sync.sync_latest(spark.createDataFrame(rows, ARRIVALS), 1.0, n_drones=3)
+    for plan in (sync.rolling_fps(sets, 1.0), sync.buffer_stats(outcomes, sets, 3)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        over = [line for line in text.splitlines() if "windowspecdefinition(session_id" in line]
+        assert all("_chunk" in line for line in over)
