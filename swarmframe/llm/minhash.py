@@ -2,8 +2,8 @@
 
 1. Each document becomes the size of its shingle set, a digest of the set and ``bands * rows`` minima. Equal sets are one class from
    here on, so copies cost nothing further.
-2. Classes that agree in a band share a bucket. Buckets with the same members are kept once. Only classes in buckets get a signature
-   of ``checks`` further minima, of which a byte each is kept.
+2. Classes that agree in a band share a bucket. Buckets with the same members are kept once, and a pair belongs to the first band it
+   agrees in. Only classes in buckets get a signature of ``checks`` further minima, of which a byte each is kept.
 3. Candidates are compared in batches of 64 minima. With a uniform prior, after ``m`` agreements among ``n`` minima the similarity
    is at least ``t`` with the probability that a binomial variable of ``n + 1`` trials and chance ``t`` is at most ``m`` (``t`` raised by the
    chance that different minima share a byte); a pair goes as soon as that falls below ``miss``. What is left is verified on the whole
@@ -12,7 +12,7 @@
    verified links are contracted into components. Only buckets that still hold several components are searched further, and in
    these only pairs of different components; large buckets are dealt as pairs of tiles, without pairs inside the bucket's main
    component. A unit hands over, for each member, the ``share`` survivors with the most agreements. While a unit has more, it
-   is searched again after contraction with a share four times as large, until it has handed over all survivors that still lie in
+   is searched again after contraction with a share 16 times as large, until it has handed over all survivors that still lie in
    different components. No pair of a bucket is left out, and no bucket is written out as pairs.
 
 Two sets of similarity 0.8 miss all of 32 bands of 4 rows with probability 5e-8 (less for more similar ones); a pruned pair is one
@@ -46,7 +46,7 @@ BATCH = 64
 #: Parts that a bucket of more members than a unit is joined in.
 _PARTS = 64
 _SEED = 7
-_ROWS = "doc_id long, text_key long, n long, sum_a long, sum_b long, signature binary"
+_ROWS = "doc_id long, text_key long, n long, sum_a long, sum_b long, minima binary"
 
 
 def shingle_set(text: str | None, words: int) -> set[bytes]:
@@ -87,7 +87,7 @@ def _checked_texts(words: int, checks: int):
         hasher = Hasher(checks, np.uint8, _SEED + 1)
         for batch in batches:
             signatures = [hasher.signature(hasher.hashes(shingle_set(t, words))).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.binary())], names=["cid", "text", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.binary())], names=["cid", "text", "minima", "signature"])
 
     return run
 
@@ -110,7 +110,7 @@ def _signatures(words: int, size: int):
                 signatures.append(hasher.signature(hashes).astype("<u2").tobytes() if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                 pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n", "sum_a", "sum_b", "signature"])
+                 pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n", "sum_a", "sum_b", "minima"])
 
     return run
 
@@ -175,6 +175,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
 
 
+def first_bands(minima: np.ndarray, one: np.ndarray, other: np.ndarray, bands: int) -> np.ndarray:
+    """The first band in which each pair (one[i], other[i]) agrees."""
+    wide = minima.reshape(len(minima), bands, -1)
+    out = np.empty(len(one), dtype=np.int64)
+    for at in range(0, len(one), 65_536):
+        out[at:at + 65_536] = (wide[one[at:at + 65_536]] == wide[other[at:at + 65_536]]).all(axis=2).argmax(axis=1)
+    return out
+
+
 def _likely_pairs(threshold: float, miss: float):
     """Pairs (a, b) whose signatures survive."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +198,7 @@ def _likely_pairs(threshold: float, miss: float):
     return run
 
 
-def _unit_pairs(threshold: float, miss: float, share: int):
+def _unit_pairs(threshold: float, miss: float, share: int, bands: int):
     """What the units of a partition hand over; rows lie sorted by unit, side and class."""
     key = ["band", "low", "high"]
 
@@ -199,6 +208,8 @@ def _unit_pairs(threshold: float, miss: float, share: int):
         classes, component = rows.column("cid").to_numpy(), rows.column("component").to_numpy()
         pairs = unit_survivors(_matrix(rows.column("signature").combine_chunks()), component,
                                int((sides == 0).sum()) if two else None, threshold, miss)
+        minima = _matrix(rows.column("minima").combine_chunks())
+        pairs = pairs[first_bands(minima, pairs[:, 0], pairs[:, 1], bands) == rows.column("nr")[0].as_py()]
         chosen = pairs[closest(pairs, share)]
         a, b, more = classes[chosen[:, 0]], classes[chosen[:, 1]], len(chosen) < len(pairs)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a), pa.bool_())],
@@ -263,7 +274,7 @@ def _part(many: Column, cid: str) -> Column:
 
 
 def _units(members: DataFrame, signatures: DataFrame, unit: int) -> DataFrame:
-    """Members (``band``, ``many``, ``cid``, ``component``) of buckets with several components, dealt to units of bounded size."""
+    """Members (``band``, ``nr``, ``many``, ``cid``, ``component``) of buckets with several components, dealt to units of bounded size."""
     per_component = members.groupBy("band", "component").agg(F.count("*").alias("n"))
     buckets = per_component.groupBy("band").agg(
         F.sum("n").alias("all"), F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main")
@@ -278,11 +289,11 @@ def _units(members: DataFrame, signatures: DataFrame, unit: int) -> DataFrame:
     # tiles of the main component meet those of the others; these meet all tiles, their own included
     first, last = F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1
     partners = F.when(F.col("small"), F.array(F.lit(0))).otherwise(F.sequence(first, last))
-    dealt = rows.select("band", "cid", "component", tile.alias("own"), F.explode(partners).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+    dealt = rows.select("band", "nr", "cid", "component", tile.alias("own"), F.explode(partners).alias("other"))
+    dealt = dealt.select("band", "nr", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                          (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "component")
     return dealt.join(signatures, "cid").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "side", "cid").select(
-        "band", "low", "high", "side", "cid", "component", "signature")
+        "band", "low", "high", "nr", "side", "cid", "component", "minima", "signature")
 
 
 class _Rounds:
@@ -302,7 +313,7 @@ class _Rounds:
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("root")), "cid", "left").select(
-        "band", "many", "cid", F.coalesce("root", "cid").alias("component"))
+        "band", "nr", "many", "cid", F.coalesce("root", "cid").alias("component"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -314,7 +325,7 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-                          bands: int = 32, rows: int = 4, checks: int = 1024, miss: float = 1e-7, unit: int = 2048, share: int = 2) -> DataFrame:
+                          bands: int = 32, rows: int = 4, checks: int = 1024, miss: float = 1e-7, unit: int = 2048, share: int = 4) -> DataFrame:
     """(``doc_id``, ``n_shingles``, ``component_id``, ``kept``) per row of ``docs``.
 
     Sets link when ``100 * intersection >= percent * union``; ``component_id`` is the least id that links reach, ``kept`` says whether
@@ -326,15 +337,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     source = docs.select(ids.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = shipped(source).mapInArrow(_signatures(words, bands * rows), _ROWS)
-    found = stored(found.withColumn("row_id", F.monotonically_increasing_id()), "minhash-rows")
+    rows_kept = _Rounds(spark)
+    found = rows_kept(found.withColumn("row_id", F.monotonically_increasing_id()))
 
     same_set = ["n", "sum_a", "sum_b"]
     classes = found.where("n > 0").groupBy(*same_set).agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("row_id", "doc_id", "text_key", "signature")).alias("own"))
+        F.min("doc_id").alias("first_id"), F.min(F.struct("row_id", "doc_id", "text_key", "minima")).alias("own"))
     classes = stored(classes.select(*same_set, "first_id", F.col("own.row_id").alias("cid"), F.col("own.doc_id").alias("own_id"),
-                                    F.col("own.text_key").alias("own_key"), F.col("own.signature").alias("signature")), "minhash-classes")
+                                    F.col("own.text_key").alias("own_key"), F.col("own.minima").alias("minima")), "minhash-classes")
+    found = rows_kept(found.select("doc_id", *same_set))  # minima of copies are not needed any more
     # buckets of two or more classes, each set of members once; a bucket of many members is joined in parts
-    keys = F.array(*[F.struct(F.xxhash64(F.substring("signature", 2 * rows * i + 1, 2 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
+    keys = F.array(*[F.struct(F.xxhash64(F.substring("minima", 2 * rows * i + 1, 2 * rows), F.lit(i)).alias("band"), F.lit(i).alias("nr"))
                      for i in range(bands)])
     entries = classes.select("cid", F.inline(keys))
     buckets = entries.groupBy("band", "nr").agg(F.count("*").alias("size"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"),
@@ -346,11 +359,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = dealt.join(buckets.select("band", "nr", "many", _parts(F.col("many")).alias("part")), ["band", "nr", "part"])
     members = stored(members.select("band", "nr", "many", "cid"), "minhash-members")
 
-    wanted = members.select("cid").distinct().join(classes.select("cid", "own_id", "own_key"), "cid")
-    texts = source.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "text")
-    texts = shipped(texts.groupBy("cid").agg(F.first("text").alias("text")))
-    texts = stored(texts.mapInArrow(_checked_texts(words, checks), "cid long, text string, signature binary"), "minhash-texts")
-    signatures, texts = texts.select("cid", "signature"), texts.select("cid", "text")
+    wanted = members.select("cid").distinct().join(classes.select("cid", "own_id", "own_key", "minima"), "cid")
+    texts = source.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "text", "minima")
+    texts = shipped(texts.groupBy("cid").agg(F.first("text").alias("text"), F.first("minima").alias("minima")))
+    texts = stored(texts.mapInArrow(_checked_texts(words, checks), "cid long, text string, minima binary, signature binary"), "minhash-texts")
+    signatures, texts = texts.select("cid", "minima", "signature"), texts.select("cid", "text")
 
     # the label of a class orders by id, so that a root names its component
     labels = classes.select("cid", F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cid").alias("label"))
@@ -381,14 +394,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     while True:
         parts = shipped(_units(_labelled(members, roots), signatures, unit)).mapInArrow(
-            _unit_pairs(threshold, miss, share), "a long, b long, more boolean")
+            _unit_pairs(threshold, miss, share, bands), "a long, b long, more boolean")
         parts = stored(parts.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
         checked, linked = verified(parts.select("a", "b"), checked)
         if linked:
             roots = contracted(checked)
         if parts.where("more").isEmpty():
             break
-        share *= 4
+        share *= 16
 
     named = classes.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.first_id").alias("root_id")), "cid", "left").select(
         *same_set, F.coalesce("root_id", "first_id").alias("component_id"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swarmframe.llm.minhash import Hasher, closest, least_matches, likely, near_duplicate_groups, shingle_set, unit_survivors
+from swarmframe.llm.minhash import Hasher, closest, first_bands, least_matches, likely, near_duplicate_groups, shingle_set, unit_survivors
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -127,3 +127,14 @@ def test_closest_partners_of_either_end():
         mine = [k for k, p in enumerate(pairs) if end in p[:2]]
         assert max(pairs[mine, 2]) in pairs[[k for k in mine if k in chosen[0]], 2]
     assert len(closest(pairs[:0], 3)) == 0
+
+
+def test_first_band_of_a_pair():
+    rng = np.random.default_rng(6)
+    minima = rng.integers(0, 2, (40, 12)).astype(np.uint8)
+    bands = minima.reshape(40, 6, 2)
+    one, other = np.triu_indices(40, 1)
+    agree = (bands[one] == bands[other]).all(axis=2)
+    some = agree.any(axis=1)
+    got = first_bands(minima, one[some], other[some], 6)
+    assert got.tolist() == [row.tolist().index(True) for row in agree[some]]
