@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swarmframe.plans.once import stored
+
 from .common import shipped, texts_of
 
 #: Fixed: element names by what they mean for the text in them.
@@ -261,7 +263,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"),
                         F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    parsed = shipped(rows).mapInArrow(_parsed, PARSED)
+    # written once: every branch below reads blocks, none parses html again
+    parsed = stored(shipped(rows).mapInArrow(_parsed, PARSED), "page-blocks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
