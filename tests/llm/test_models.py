@@ -112,3 +112,21 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] == scores[3] == scores[4] < 0.3 < scores[2]
     assert X.score_toxicity(odd.limit(0), model).collect() == []
     assert {r["score"] < 0.01 for r in X.score_toxicity(odd, X.fit_toxicity_model(docs, known.limit(0))).collect()} == {True}
+
+
+def test_rare_languages_are_sampled_and_hot_ids_are_bounded(spark):
+    rows = [(i, f"text {i}", "aa") for i in range(4000)] + [(10_000 + i, f"rare {i}", "bb") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = L.training_sample(docs, "doc_id", "text", F.col("lang"), 200, least=50)
+    n = {lang: sum(r["label"] == lang for r in picked) for lang in ("aa", "bb")}
+    assert 120 < n["aa"] < 290 and n["bb"] > 30
+    one_id = spark.createDataFrame([(None, f"text {i}", "aa") for i in range(4000)], "doc_id long, text string, lang string")
+    for salt in ("", "x", "y", "z"):  # all or none of them are picked
+        assert len(L.training_sample(one_id.withColumn("text", F.concat("text", F.lit(salt))), "doc_id", "text", F.col("lang"), 200)) <= 500
+
+
+def test_hot_document_ids_do_not_fill_the_driver(spark):
+    docs = spark.createDataFrame([(1, f"you fool number {i}") for i in range(3000)] + [(2, "fine"), (3, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    model = X.fit_toxicity_model(docs, labels, rows_per_class=50)
+    assert 0 <= model.score("you fool") <= 1
