@@ -20,7 +20,7 @@ from swarmframe.operators.sync import latest_per_drone, latest_per_drone_at
 from swarmframe.plans.boxes import CELLS, COORDS, filed, grid_pairs, is_real, overlapping, searching
 from swarmframe.plans.lookup import join_null_safe, micros
 from swarmframe.plans.once import stored
-from swarmframe.plans.scan import running
+from swarmframe.plans.scan import chunks_for, running
 
 # The COCO thresholds .50:.05:.95.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -146,9 +146,9 @@ def label_detections(det: DataFrame, truth: DataFrame, iou: float = 0.5, rule: s
 
 
 def _falling(points: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Running sums over falling confidence; one row per key and confidence, cut into chunks."""
+    """Running sums over falling confidence; one row per key and confidence, cut into as many chunks as the (written) rows need."""
     down = points.select(*keys, (-F.col("conf")).alias("_down"), *values)
-    sums = running(down, keys, "_down", values)
+    sums = running(down, keys, "_down", values, chunks=chunks_for(points.count()))
     return sums.select(*keys, (-F.col("_down")).alias("conf"), *values.values())
 
 

@@ -21,6 +21,11 @@ from swarmframe.plans.lookup import join_null_safe
 CHUNKS = 256
 
 
+def chunks_for(rows: int, per_chunk: int = 20_000) -> int:
+    """How many chunks (up to ``CHUNKS``) a table of ``rows`` is worth: results are the same for any number."""
+    return max(1, min(CHUNKS, -(-rows // per_chunk)))
+
+
 def chunked(df: DataFrame, order: str, chunks: int = CHUNKS, aggregated: bool = False) -> DataFrame:
     """Add ``_chunk``: how many of about ``chunks`` approximate quantiles of ``order`` lie below the row's.
 

@@ -183,7 +183,11 @@ def _xml(spark, sf):
     n = F.col("vec_id")
 
     def node(name, body, attr=""):
-        return F.concat(F.lit(f"<{name} type_id=\"m\"><rows>3</rows><data{attr}>\n  "), body, F.lit(f"\n</data></{name}>"))
+        """In every fourth file the element lies deeper, with data of others around it, and its own data deeper still."""
+        plain = F.concat(F.lit(f"<{name} type_id=\"m\"><rows>3</rows><data{attr}>\n  "), body, F.lit(f"\n</data></{name}>"))
+        deep = F.concat(F.lit(f"<camera><data>7</data><part><{name} type_id=\"m\"><values><data{attr}>\n  "), body,
+                        F.lit(f"\n</data></values><data>8</data></{name}></part></camera><{name}><data>9</data></{name}>"))
+        return F.when(n % 4 == 0, deep).otherwise(plain)
 
     def blob(name):
         data = F.base64(F.concat(F.lit(b"\x01\x02\x03"), name))

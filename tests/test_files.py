@@ -143,3 +143,36 @@ def test_packets_at_rest(spark, tmp_path):
     spark.range(3).selectExpr("1L session_id", "id packet_id", "1 port_drone_id", "timestamp'2024-01-01' arrival_ts",
                               "binary('x') packet").write.parquet(path)
     assert S.scan_packets(spark, path).count() == 3
+
+
+def test_elements_at_any_depth(spark):
+    """The first element of a name in the order of the file, and the first data below it, as a descendant search finds them."""
+    deep = "<r><a><data>0</data><b><camera_matrix><c><d><data> 1 2 </data></d></c><data>3</data></camera_matrix></b></a><camera_matrix><data>4</data></camera_matrix></r>"
+    cases = {
+        "deep": (deep, "1 2", None), "no data": ("<r><camera_matrix><rows>3</rows></camera_matrix></r>", None, None),
+        "root": ("<camera_matrix><data>1</data></camera_matrix>", None, None), "empty data": ("<r><camera_matrix><data/></camera_matrix></r>", "", None),
+        "two roots": ("<r></r><r></r>", None, "corrupt"), "cut off": (deep[:-4], None, "corrupt"), "no file": ("", None, "corrupt"), "null": (None, None, "corrupt"),
+        "text behind": (deep + "rest", None, "corrupt"), "comment": ("<r><!-- <camera_matrix> --><x><camera_matrix><data>5</data></camera_matrix></x></r>", "5", None)}
+    df = spark.createDataFrame([(n, x) for n, (x, _, _) in cases.items()], "name string, xml string")
+    got = {r.name: (r.k_text, r.error_kind) for r in S.parse_intrinsic_xml(df).collect()}
+    assert got == {n: (k, e) for n, (_, k, e) in cases.items()}
+
+
+def test_vectors_at_any_depth(spark):
+    flat = extr_xml()
+    rvec, tvec = flat[len("<opencv_storage>"):-len("</opencv_storage>")].split("<tvec>")
+    deep = f"<o><camera><pose>{rvec}</pose></camera><list><item><tvec>{tvec}</item></list></o>"
+    df = spark.createDataFrame([("flat", flat), ("deep", deep), ("damaged", deep[:-9])], "name string, xml string")
+    rows = {r.name: r for r in S.parse_extrinsic_xml(df).collect()}
+    assert rows["deep"][1:] == rows["flat"][1:] and rows["flat"].error_kind is None and rows["damaged"].error_kind == "corrupt"
+
+
+def test_written_tree_reads_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("D1/0001.png", b"a"), ("D2/0002.png", b""), ("D2/labels/0002.txt", b"x"), (None, b"y"), ("D3/0003.png", None)],
+                               "name string, content binary")
+    for _ in range(2):  # the same files again
+        S.write_tree(df, str(tmp_path / "t"), F.col("name"), F.col("content"))
+    assert [(r.drone_id, r.frame_num, r.length) for r in S.scan_frames(spark, str(tmp_path / "t")).orderBy("drone_id").collect()] == [(1, 1, 1), (2, 2, 0)]
+    assert (tmp_path / "t" / "D2" / "labels" / "0002.txt").read_bytes() == b"x" and not (tmp_path / "t" / "D3").exists()
