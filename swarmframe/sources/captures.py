@@ -2,9 +2,10 @@
 
 A packet has no marker of its own; its length follows from its header and from two sizes behind the image. A file is
 read in splits. A split holds the packets that *end* in its range, so a packet belongs to exactly one split and is whole in a file
-that is still growing. To find its first packet a split looks back by at most ``max_packet`` bytes, takes the first position where
-``CONFIRM`` packets follow each other, and goes on from there. Bytes that are no packet (damage, a cut-off end) come out as one
-row without ``framed``, so nothing of a file is lost; a damaged stretch longer than ``max_packet`` is shown from that far back.
+that is still growing. To find its first packet a split looks back by at most ``max_packet`` bytes (some packets' worth), takes the first
+position where ``CONFIRM`` packets follow each other, and goes on from there. Bytes that are no packet come out as one row without ``framed``,
+together with the packet behind them or, at the end of a file, in its last split; of a damaged stretch that is longer than the look back
+the part that no split can tell from a packet's end is left out.
 
 The stream reader's offset is the number of bytes of each file. A batch reads what lies between two offsets; the cut-off end
 of a growing file waits until its packet is whole. The writer puts each task's packets into one file, named when the job commits.
@@ -143,16 +144,20 @@ class _Captures:
         with system.open_input_file(split.path) as file:
             data = file.read_at(split.end - start, start)
         out: list[tuple] = []
-        size = 0
+        size, gap = 0, None
         for begin, end, framed in frames(data, start == 0, self.max_packet):
-            open_end = not framed and end == len(data)  # may go on behind this split
-            if start + end <= split.begin or open_end and not split.last:
+            if not framed:
+                gap = (split.path, start + begin, False, data[begin:end])  # goes with the packet behind it
                 continue
-            out.append((split.path, start + begin, framed, data[begin:end]))
-            size += end - begin
+            if start + end > split.begin:
+                out += [r for r in (gap, (split.path, start + begin, True, data[begin:end])) if r]
+                size += end - begin
+            gap = None
             if size > 8 << 20:
                 yield self._batch(out)
                 out, size = [], 0
+        if gap is not None and split.last:
+            out.append(gap)
         yield self._batch(out)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:

@@ -66,7 +66,7 @@ def test_damaged_bytes_come_out_beside_the_packets(spark, tmp_path, split):
     pieces = [(p, True) for p in packets[:4]] + [(damaged[0], False)] + [(p, True) for p in packets[5:9]] + [(damaged[1], False)]
     pieces += [(p, True) for p in packets[10:14]] + [(longer, False)] + [(p, True) for p in packets[15:]] + [(packets[0][:40], False)]
     (tmp_path / "a.bin").write_bytes(b"".join(p for p, _ in pieces))
-    got = scan_captures(spark, str(tmp_path), split_bytes=split, max_packet=1000)
+    got = scan_captures(spark, str(tmp_path), split_bytes=split, max_packet=4000)
     assert rows_of(got) == expected(tmp_path / "a.bin", pieces)
     _, bad = P.decode_packets(got.select("offset", "packet"))
     assert {b.error_kind for b in bad.collect()} <= {"too_small", "bad_drone", "bad_frame", "bad_jpeg", "extrinsic_truncated",

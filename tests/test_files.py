@@ -170,9 +170,9 @@ def test_vectors_at_any_depth(spark):
 def test_written_tree_reads_back(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("D1/0001.png", b"a"), ("D2/0002.png", b""), ("D2/labels/0002.txt", b"x"), (None, b"y"), ("D3/0003.png", None)],
+    df = spark.createDataFrame([("D1/0001.png", b"a"), ("D2/0002.png", b"bb"), ("D2/labels/0002.txt", b"x"), (None, b"y"), ("D3/0003.png", None)],
                                "name string, content binary")
     for _ in range(2):  # the same files again
         S.write_tree(df, str(tmp_path / "t"), F.col("name"), F.col("content"))
-    assert [(r.drone_id, r.frame_num, r.length) for r in S.scan_frames(spark, str(tmp_path / "t")).orderBy("drone_id").collect()] == [(1, 1, 1), (2, 2, 0)]
+    assert [(r.drone_id, r.frame_num, r.length) for r in S.scan_frames(spark, str(tmp_path / "t")).orderBy("drone_id").collect()] == [(1, 1, 1), (2, 2, 2)]
     assert (tmp_path / "t" / "D2" / "labels" / "0002.txt").read_bytes() == b"x" and not (tmp_path / "t" / "D3").exists()
