@@ -6,8 +6,9 @@
    agrees in. Only classes in buckets get a signature of ``checks`` further minima, of which a byte each is kept.
 3. Candidates are compared in batches of 64 minima. With a uniform prior, after ``m`` agreements among ``n`` minima the similarity
    is at least ``t`` with the probability that a binomial variable of ``n + 1`` trials and chance ``t`` is at most ``m`` (``t`` raised by the
-   chance that different minima share a byte); a pair goes as soon as that falls below ``miss``. What is left is verified on the whole
-   shingle sets, whatever the signature says.
+   chance that different minima share a byte); a pair goes as soon as that falls below ``miss``. Pairs whose sizes alone rule a link out
+   go too, and pairs of small sets whose whole sets, as 32-bit hashes, do (merged hashes counted as shared). What is left is verified
+   on the whole shingle sets, whatever signatures say.
 4. First the components of a bucket meet its least class (a star), for one band, then three, then the rest; after each step
    verified links are contracted into components. Only buckets that still hold several components are searched further, and in
    these only pairs of different components; large buckets are dealt as pairs of tiles, without pairs inside the bucket's main
@@ -43,6 +44,8 @@ from .common import scratch_folder, shipped, texts_of
 from .components import components
 
 BATCH = 64
+#: Sets of at most so many shingles travel whole, as 32-bit hashes, beside their signatures.
+SMALL_SET = 256
 #: Parts that a bucket of more members than a unit is joined in.
 _PARTS = 64
 _SEED = 7
@@ -81,17 +84,46 @@ class Hasher:
         return least.astype(self.kind)
 
 
+_TEXTS = "cid long, text string, minima binary, signature binary, n long, hashes binary"
+
+
 def _checked_texts(words: int, checks: int):
-    """The signatures that candidates are compared by."""
+    """What candidates are compared by: a signature, the size of the set, and a small set's hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(checks, np.uint8, _SEED + 1)
         for batch in batches:
-            signatures = [hasher.signature(hasher.hashes(shingle_set(t, words))).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.binary())], names=["cid", "text", "minima", "signature"])
+            signatures, n, small = [], [], []
+            for text in texts_of(batch.column(1)):
+                hashes = hasher.hashes(shingle_set(text, words))
+                signatures.append(hasher.signature(hashes).tobytes())
+                n.append(len(hashes))
+                small.append((hashes >> np.uint64(32)).astype("<u4").tobytes() if len(hashes) <= SMALL_SET else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signatures, pa.binary()), pa.array(n, pa.int64()), pa.array(small, pa.binary())],
+                                             names=["cid", "text", "minima", "signature", "n", "hashes"])
 
     return run
 
 
+def possible(pairs: np.ndarray, n: np.ndarray, hashes: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of positions may link by the sizes of their sets and, of small sets, by their 32-bit hashes."""
+    sizes = np.sort(n[pairs[:, :2]], axis=1)
+    out = 100 * sizes[:, 0] >= percent * sizes[:, 1]
+    sets: dict[int, frozenset] = {}
+
+    def whole(k: int) -> frozenset:
+        if k not in sets:
+            sets[k] = frozenset(np.frombuffer(hashes[k], dtype="<u4").tolist())
+        return sets[k]
+
+    for at in np.flatnonzero(out).tolist():
+        i, j = int(pairs[at, 0]), int(pairs[at, 1])
+        if hashes[i] and hashes[j]:
+            merged = min(int(n[i]) - len(whole(i)), int(n[j]) - len(whole(j)))
+            shared = len(whole(i) & whole(j)) + merged
+            out[at] = 100 * shared >= percent * (int(n[i]) + int(n[j]) - shared)
+    return out
+
+
 def _signed(value: np.uint64) -> int:
     return int(value) - (1 << 64) if int(value) >> 63 else int(value)
 
@@ -198,7 +230,7 @@ def _likely_pairs(threshold: float, miss: float):
     return run
 
 
-def _unit_pairs(threshold: float, miss: float, share: int, bands: int):
+def _unit_pairs(threshold: float, miss: float, share: int, bands: int, percent: int):
     """What the units of a partition hand over; rows lie sorted by unit, side and class."""
     key = ["band", "low", "high"]
 
@@ -210,6 +242,7 @@ def _unit_pairs(threshold: float, miss: float, share: int, bands: int):
                                int((sides == 0).sum()) if two else None, threshold, miss)
         minima = _matrix(rows.column("minima").combine_chunks())
         pairs = pairs[first_bands(minima, pairs[:, 0], pairs[:, 1], bands) == rows.column("nr")[0].as_py()]
+        pairs = pairs[possible(pairs, rows.column("n").to_numpy(), rows.column("hashes").to_pylist(), percent)]
         chosen = pairs[closest(pairs, share)]
         a, b, more = classes[chosen[:, 0]], classes[chosen[:, 1]], len(chosen) < len(pairs)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([more] * len(a), pa.bool_())],
@@ -293,7 +326,7 @@ def _units(members: DataFrame, signatures: DataFrame, unit: int) -> DataFrame:
     dealt = dealt.select("band", "nr", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                          (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "component")
     return dealt.join(signatures, "cid").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "side", "cid").select(
-        "band", "low", "high", "nr", "side", "cid", "component", "minima", "signature")
+        "band", "low", "high", "nr", "side", "cid", "component", "minima", "signature", "n", "hashes")
 
 
 class _Rounds:
@@ -362,8 +395,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = members.select("cid").distinct().join(classes.select("cid", "own_id", "own_key", "minima"), "cid")
     texts = source.join(wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "text", "minima")
     texts = shipped(texts.groupBy("cid").agg(F.first("text").alias("text"), F.first("minima").alias("minima")))
-    texts = stored(texts.mapInArrow(_checked_texts(words, checks), "cid long, text string, minima binary, signature binary"), "minhash-texts")
-    signatures, texts = texts.select("cid", "minima", "signature"), texts.select("cid", "text")
+    texts = stored(texts.mapInArrow(_checked_texts(words, checks), _TEXTS), "minhash-texts")
+    signatures, texts = texts.drop("text"), texts.select("cid", "text")
 
     # the label of a class orders by id, so that a root names its component
     labels = classes.select("cid", F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cid").alias("label"))
@@ -394,7 +427,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     while True:
         parts = shipped(_units(_labelled(members, roots), signatures, unit)).mapInArrow(
-            _unit_pairs(threshold, miss, share, bands), "a long, b long, more boolean")
+            _unit_pairs(threshold, miss, share, bands, percent), "a long, b long, more boolean")
         parts = stored(parts.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
         checked, linked = verified(parts.select("a", "b"), checked)
         if linked:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from swarmframe.llm.minhash import Hasher, closest, first_bands, least_matches, likely, near_duplicate_groups, shingle_set, unit_survivors
+from swarmframe.llm.minhash import Hasher, closest, first_bands, least_matches, likely, near_duplicate_groups, possible, shingle_set, unit_survivors
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -138,3 +138,14 @@ def test_first_band_of_a_pair():
     some = agree.any(axis=1)
     got = first_bands(minima, one[some], other[some], 6)
     assert got.tolist() == [row.tolist().index(True) for row in agree[some]]
+
+
+def test_small_sets_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    whole = [rng.choice(60, rng.integers(1, 60), replace=False) for _ in range(60)]
+    packed = [(s % 50).astype("<u4").tobytes() if k % 7 else b"" for k, s in enumerate(whole)]  # some hashes merge, some sets are too large
+    n = np.array([len(s) for s in whole])
+    pairs = np.array([(i, j, 0) for i in range(60) for j in range(i + 1, 60)])
+    may = possible(pairs, n, packed, 60)
+    links = np.array([100 * len(set(whole[i]) & set(whole[j])) >= 60 * len(set(whole[i]) | set(whole[j])) for i, j, _ in pairs])
+    assert not (links & ~may).any() and may.sum() < 0.7 * len(pairs) and links.any()
