@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -27,7 +28,8 @@ def rebuilt(paths):
     out = {}
     for c, own in paths.items():
         h = zlib.crc32(str(c).encode()) % 4
-        out[c] = paths.get(c - c % 20, [])[:h] + own[h:]
+        base = c - int(math.fmod(c, 20))  # as SQL divides negative numbers
+        out[c] = paths.get(base, [])[:h] + own[h:]
     return out
 
 
@@ -49,8 +51,8 @@ def brute(paths):
 
 
 def result(df):
-    assert df.columns == COLUMNS
-    return sorted((tuple(r) for r in df.collect()), key=str)
+    assert sorted(df.columns) == sorted(COLUMNS)
+    return sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=str)
 
 
 def conversations(rng, n=60):
