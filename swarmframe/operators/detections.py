@@ -2,13 +2,13 @@
 
 Matching follows the published VOC rule: a detection belongs to the truth box it overlaps most, and of the
 detections that belong to one truth box the most confident is right. With the rule ``greedy`` a detection whose best box is taken
-gets its next best, in rounds of aggregations. Average precision is the 101-point COCO
-interpolation. All are aggregations, so an image of any size is spread over many tasks.
+gets its next best: images of bounded size are folded in place, crowded ones go through rounds of aggregations. Average precision is
+the 101-point COCO interpolation. Boxes of crowded images are filed in a grid, so an image of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from swarmframe.functions.geometry import box_iou
 from swarmframe.functions.text import active_label, detection_status
 from swarmframe.operators.sync import latest_per_drone, latest_per_drone_at
-from swarmframe.plans.boxes import CELLS, COORDS, filed, grid_pairs, is_real, overlapping, searching
+from swarmframe.plans.boxes import CELLS, COORDS, filed, is_real, overlapping, searching, split_pairs
 from swarmframe.plans.lookup import join_null_safe, micros
 from swarmframe.plans.once import stored
 from swarmframe.plans.scan import chunks_for, running
 
 # The COCO thresholds .50:.05:.95.
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+#: Images and classes of more pairs are matched greedily in rounds. It only chooses the plan.
+PAIR_LIMIT = 2048
+#: Fixed: the bits of a long that name levels.
+_BITS = 62
 
 
 def filter_conf(det: DataFrame, conf: float = 0.25) -> DataFrame:
@@ -41,23 +45,29 @@ def _keys(class_aware: bool) -> list[str]:
     return ["image_id", "cls"] if class_aware else ["image_id"]
 
 
-def _pairs(det: DataFrame, truth: DataFrame, iou: float, class_aware: bool) -> DataFrame:
+def _split_pairs(det: DataFrame, truth: DataFrame, iou: float, class_aware: bool) -> list[DataFrame]:
+    """Pairs of images (and classes) of bounded size, then those of crowded ones, if there are any."""
     keys = _keys(class_aware)
     carry = [] if class_aware else ["cls"]
     a_carry, b_carry = ["box_id", "conf", *carry], ["box_id", *carry]
     if iou <= 0:
         raise ValueError("the IoU threshold must be above 0")
-    found = grid_pairs(det.select(*keys, *COORDS, *a_carry), truth.select(*keys, *COORDS, *b_carry), keys, iou, a_carry, b_carry)
-    return found.select(*keys, F.col("_a_box_id").alias("det_id"), F.col("_b_box_id").alias("truth_id"),
+    found = split_pairs(det.select(*keys, *COORDS, *a_carry), truth.select(*keys, *COORDS, *b_carry), keys, iou, a_carry, b_carry)
+    return [part.select(*keys, F.col("_a_box_id").alias("det_id"), F.col("_b_box_id").alias("truth_id"),
                         F.col("_a_conf").alias("conf"), "iou",
                         *[F.col(f"_{s}_cls").alias(n) for s, n in (("a", "pred_cls"), ("b", "true_cls"))
-                          if not class_aware])
+                          if not class_aware]) for part in found if part is not None]
+
+
+def _pairs(det: DataFrame, truth: DataFrame, iou: float, class_aware: bool) -> DataFrame:
+    return reduce(DataFrame.unionByName, _split_pairs(det, truth, iou, class_aware))
 
 
 def match_boxes(det: DataFrame, truth: DataFrame, iou: float = 0.5, class_aware: bool = True) -> DataFrame:
     """Pairs of one image (and class) with IoU >= ``iou``: det_id, truth_id, conf, iou.
 
     Boxes with a null, NaN or infinite coordinate, or without area, match nothing; a null image or class neither.
+    Boxes per image are counted when this is called.
     """
     return _pairs(det, truth, iou, class_aware)
 
@@ -124,7 +134,42 @@ def greedy_matches(det: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFr
     A detection whose best box is taken gets its next best, as long as the overlap reaches ``iou``; ties of overlap go to the
     lower truth id. Ids name the boxes of an image and class. Null and NaN confidences match nothing. Rounds run when this is called.
     """
-    return _assigned(_sure(_pairs(det, truth, iou, True)), _keys(True))
+    return _greedy(det, truth, [iou]).drop("_levels")
+
+
+def _greedy(det: DataFrame, truth: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """Greedy pairs at each of up to ``_BITS`` ascending ``levels`` of overlap; bit i of ``_levels`` says that it is one at level i.
+
+    The pairs of a group (an image and class) are walked by falling confidence, then overlap, and kept at the levels at which
+    neither box is taken: one fold for all levels. Crowded groups, those of more than ``PAIR_LIMIT`` pairs and those in which a
+    detection's id has several confidences are settled in rounds instead.
+    """
+    keys = _keys(True)
+    columns = [*keys, "det_id", "truth_id", "conf", "iou", "_levels"]
+    reached = reduce(Column.bitwiseOR, [F.when(F.col("iou") >= float(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, t in enumerate(levels)])
+    direct, *crowded = [_sure(part).withColumn("_levels", reached) for part in _split_pairs(det, truth, levels[0], True)]
+    rank = F.struct("conf", (-F.col("det_id")).alias("_d"), "iou", (-F.col("truth_id")).alias("_t"), "det_id", "truth_id", "_levels")
+    groups = direct.groupBy(*keys).agg(F.sort_array(F.collect_list(rank), asc=False).alias("_pairs"))
+
+    def free(kept: Column, pair: Column) -> Column:
+        taken = F.aggregate(kept, F.lit(0).cast("bigint"), lambda bits, k: F.when(
+            k["det_id"].eqNullSafe(pair["det_id"]) | k["truth_id"].eqNullSafe(pair["truth_id"]), bits.bitwiseOR(k["_levels"])).otherwise(bits))
+        return pair["_levels"].bitwiseAND(F.bitwise_not(taken))
+
+    kept = F.aggregate("_pairs", F.slice("_pairs", 1, 0), lambda acc, pair: F.concat(
+        acc, F.filter(F.array(pair.withField("_levels", free(acc, pair))), lambda p: p["_levels"] != 0)))
+    ids = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["det_id"])))
+    confs = F.size(F.array_distinct(F.transform("_pairs", lambda p: F.xxhash64(p["det_id"], p["conf"]))))
+    is_open = (F.size("_pairs") > PAIR_LIMIT) | (ids != confs)
+    rows = stored(groups.select(*keys, is_open.alias("_open"), F.inline(F.when(is_open, F.col("_pairs")).otherwise(kept))).select("_open", *columns),
+                  "greedy-pairs")
+    done, left = rows.filter(~F.col("_open")).select(*columns), rows.filter("_open").select(*columns)
+    if not crowded and left.isEmpty():
+        return done
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: F.getbit("_levels", i) == 1)
+    edges = reduce(DataFrame.unionByName, [left, *crowded]).withColumn("_level", F.explode(bits))
+    found = _assigned(edges, [*keys, "_level"])
+    return done.unionByName(found.withColumn("_levels", F.expr("shiftleft(1L, _level)")).select(*columns))
 
 
 def _sure(pairs: DataFrame) -> DataFrame:
@@ -188,27 +233,36 @@ def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return steps.groupBy(*keys).agg((F.sum(F.col("_best") * F.col("_width")) / 101.0).alias("ap"))
 
 
+def _hits(rows: DataFrame, levels: Sequence[float], is_hit: Callable[[int], Column]) -> DataFrame:
+    """cls, conf, iou_threshold, hit: how many ``rows`` of a class and confidence are right at each level; one row per class and confidence moves."""
+    sums = rows.groupBy("cls", "conf").agg(*[F.count_if(is_hit(i)).alias(f"_n{i}") for i in range(len(levels))])
+    counts = F.array(*[F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"_n{i}").alias("hit")) for i, t in enumerate(levels)])
+    return sums.select("cls", "conf", F.inline(counts)).where("hit > 0")
+
+
 def detection_metrics(det: DataFrame, truth: DataFrame, conf: float = 0.25, iou: float = 0.5,
                       thresholds: Sequence[float] = THRESHOLDS, class_mean: bool = False, rule: str = "voc") -> DataFrame:
     """Per class: precision and recall at ``conf`` and ``iou``, AP50 and the mean AP over ``thresholds``.
 
-    ``rule``: voc, or greedy (matched anew at each threshold, all thresholds in the same rounds).
+    ``rule``: voc, or greedy (matched anew at each threshold, all thresholds in the same fold or rounds).
 
     Classes without truth or without detections have zeros. With ``class_mean`` one more row, of class null, has the
     sums of the counts and the means of the rates over the classes that have truth. Matching runs when this is called; its counts per confidence are written to the shared folder.
     """
     levels = sorted({*thresholds, iou, 0.5})
     if _is_greedy(rule):
-        reached = F.filter(F.array(*[F.lit(float(t)) for t in levels]), lambda t: t <= F.col("iou"))
-        edges = _sure(_pairs(det, truth, levels[0], True)).withColumn("iou_threshold", F.explode(reached))
-        hits = _assigned(edges, ["image_id", "cls", "iou_threshold"]).select("cls", "iou_threshold", "conf")
+        parts = [levels[i:i + _BITS] for i in range(0, len(levels), _BITS)]
+        right = [_hits(_greedy(det, truth, part), part, lambda i: F.getbit("_levels", F.lit(i)) == 1) for part in parts]
     else:
         # of a truth box only the confidence of its right detection counts: one maximum per threshold, no row per threshold moves
         best = best_matches(det, truth, levels[0]).groupBy("image_id", "cls", "truth_id").agg(
             *[F.max(F.when(F.col("iou") >= t, F.col("conf"))).alias(f"_{i}") for i, t in enumerate(levels)])
-        tops = F.array(*[F.struct(F.lit(float(t)).alias("iou_threshold"), F.col(f"_{i}").alias("conf")) for i, t in enumerate(levels)])
-        hits = best.select("cls", F.inline(tops)).where("conf IS NOT NULL")
-    right = stored(hits.groupBy("cls", "iou_threshold", "conf").agg(F.count("*").alias("hit")), "metric-hits")
+        # maxima fall as thresholds rise, so equal ones follow each other: each is listed once
+        tops = F.array(*[F.struct(F.col(f"_{i}").alias("conf"), (~F.col(f"_{i}").eqNullSafe(F.col(f"_{i - 1}")) if i else F.lit(True)).alias("_first"))
+                         for i in range(len(levels))])
+        rows = best.select("cls", *[f"_{i}" for i in range(len(levels))], F.inline(tops)).where("_first AND conf IS NOT NULL")
+        right = [_hits(rows, levels, lambda i: F.col(f"_{i}") == F.col("conf"))]
+    right = stored(reduce(DataFrame.unionByName, right), "metric-hits")
     found = stored(det.groupBy("cls", "conf").agg(F.count("*").alias("n")), "metric-found")
     counts = _truth_counts(truth)
     # interpolated precision is reached where a right detection comes in, so only those points are followed per

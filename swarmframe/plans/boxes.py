@@ -3,6 +3,8 @@
 Two boxes with IoU >= t have widths within a factor 1/t of each other and left edges at most
 ``(1 - t) * max(width)`` apart; the same holds for heights and top edges. A box is therefore filed under its size
 class and grid cell, and the other side looks only into the classes and cells it can match, in images of any size.
+A box searches several cells, so its row moves several times; only crowded groups are worth that. In the others, found by one
+pre-aggregated count, boxes are joined by the group alone: both sides move once.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swarmframe.functions.geometry import box_iou
+from swarmframe.plans.once import stored
 
+#: Groups of more boxes, both sides counted, are crowded. It only chooses the plan.
+GROUP_LIMIT = 512
 _BASE = 4.0
 _SLACK = 1e-9
 COORDS = ["x1", "y1", "x2", "y2"]
@@ -84,3 +89,22 @@ def grid_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], iou: float, a_ca
                b_carry: Sequence[str]) -> DataFrame:
     """Pairs with at least this IoU, which must be above 0; ``a`` looks up the cells ``b`` is filed under."""
     return overlapping(searching(a, iou), filed(b), keys, a_carry, b_carry).filter(F.col("iou") >= iou)
+
+
+def split_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], iou: float, a_carry: Sequence[str],
+                b_carry: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs of ``grid_pairs``: those of groups of at most ``GROUP_LIMIT`` boxes, and those of crowded ones (None without any).
+
+    The first come out of one join by ``keys`` and lie together by them. Groups are counted when this is called.
+    """
+    a, b = (df.dropna(subset=list(keys)) for df in (a, b))
+    sizes = a.select(*keys).unionByName(b.select(*keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = stored(sizes.filter(F.col("_n") > GROUP_LIMIT).select(*keys), "crowded-groups")
+    none = hot.isEmpty()
+    a, b = real(a), real(b)
+    few = [df if none else df.join(hot, list(keys), "left_anti") for df in (a, b)]
+    joined = _named(few[0], "a", keys, a_carry).join(_named(few[1], "b", keys, b_carry), list(keys))
+    direct = joined.withColumn("iou", _iou()).filter(F.col("iou") >= iou)
+    if none:
+        return direct, None
+    return direct, grid_pairs(*[df.join(hot, list(keys), "left_semi") for df in (a, b)], keys, iou, a_carry, b_carry)

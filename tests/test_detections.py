@@ -243,3 +243,62 @@ def test_rules_of_matching(spark):
     assert (rows["voc"].n_tp, rows["greedy"].n_tp) == (1, 2) and rows["greedy"].ap50 > rows["voc"].ap50
     with pytest.raises(ValueError):
         D.label_detections(d, t, rule="best")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 40, 512])
+def test_pairs_do_not_depend_on_the_plan(spark, monkeypatch, limit):
+    monkeypatch.setattr("swarmframe.plans.boxes.GROUP_LIMIT", limit)
+    det, truth = crowd(60, 11, images=4) + [(None, 900, 0, 0.0, 0.0, 5.0, 5.0, .5), (1, 901, None, 0.0, 0.0, 5.0, 5.0, .5)], crowd(60, 12, images=2)
+    det += [(9, 1000 + i, 0, 0.0, 0.0, float(i), 9.0, .5) for i in range(3)]  # an image without truth, and a box without area
+    for aware in (True, False):
+        got = [(r.det_id, r.truth_id) for r in D.match_boxes(boxes(spark, det), boxes(spark, truth, False), 0.3, aware).collect()]
+        want = [(a[1], b[1]) for a in det for b in truth if a[0] == b[0] and a[2] is not None and (a[2] == b[2] or not aware) and iou(a[3:7], b[3:7]) >= 0.3]
+        assert sorted(got) == sorted(want)
+
+
+def test_images_of_usual_size_do_not_search_cells(spark):
+    det, truth = boxes(spark, crowd(60, 13)), boxes(spark, crowd(60, 14), False)
+    assert "_x_cell" not in _plan(D.match_boxes(det, truth)) and "_x_cell" not in _plan(D.best_matches(det, truth, class_aware=False))
+    big = boxes(spark, crowd(1200, 13, images=1, copies=False))
+    assert "_x_cell" in _plan(D.match_boxes(big, truth))
+
+
+@pytest.mark.parametrize("groups, pairs", [(0, 2048), (512, 0), (512, 2048), (40, 30)])
+def test_greedy_does_not_depend_on_the_plan(spark, monkeypatch, groups, pairs):
+    """In the grid or not, folded or in rounds; some ids of detections come twice, with the same and with another confidence."""
+    det, truth = crowd(60, 15, images=3, spread=25), crowd(60, 16, images=3, spread=25)
+    det += [det[3], (*det[4][:7], .77), (*det[5][:3], *[x + 1 for x in det[5][3:7]], .01)]
+    d, t = boxes(spark, det), boxes(spark, truth, False)
+
+    def found():
+        rows = sorted(tuple(r) for r in D.greedy_matches(d, t, 0.3).collect())
+        metrics = D.detection_metrics(d, t, thresholds=[0.3, 0.5, 0.7], rule="greedy").orderBy("cls").collect()
+        return rows, [[round(x, 9) for x in r] for r in metrics]
+
+    monkeypatch.setattr(D, "PAIR_LIMIT", 0)
+    want = found()
+    monkeypatch.setattr("swarmframe.plans.boxes.GROUP_LIMIT", groups)
+    monkeypatch.setattr(D, "PAIR_LIMIT", pairs)
+    assert found() == want
+
+
+def test_greedy_of_usual_images_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(D, "_assigned", None)
+    det = crowd(60, 17, images=3, spread=25, copies=False)
+    assert D.greedy_matches(boxes(spark, det), boxes(spark, det, False), 0.3).count() == 60
+
+
+def test_more_levels_than_bits(spark, monkeypatch):
+    d, t = boxes(spark, crowd(60, 19, spread=25, copies=False)), boxes(spark, crowd(60, 20, spread=25, copies=False), False)
+    levels = [0.3, 0.4, 0.5, 0.6, 0.7]
+
+    def found(rule):
+        return [[round(x, 9) for x in r] for r in D.detection_metrics(d, t, thresholds=levels, rule=rule).orderBy("cls").collect()]
+
+    want = found("greedy")
+    monkeypatch.setattr(D, "_BITS", 2)
+    assert found("greedy") == want
