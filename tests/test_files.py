@@ -176,3 +176,29 @@ def test_written_tree_reads_back(spark, tmp_path):
         S.write_tree(df, str(tmp_path / "t"), F.col("name"), F.col("content"))
     assert [(r.drone_id, r.frame_num, r.length) for r in S.scan_frames(spark, str(tmp_path / "t")).orderBy("drone_id").collect()] == [(1, 1, 1), (2, 2, 2)]
     assert (tmp_path / "t" / "D2" / "labels" / "0002.txt").read_bytes() == b"x" and not (tmp_path / "t" / "D3").exists()
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    for name in [f"D{i % 4}/{i:04d}.png" for i in range(1500)] + ["D1/labels/0001.txt"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    frames = S.scan_frames(spark, str(tmp_path))
+    # Spark's own splits hold 32 of these files each
+    assert frames.count() == 1500 and frames.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    images, labels = S.scan_split_images(spark, str(tmp_path))
+    assert images.count() == 1500 and labels.count() == 1
+    # folders are listed, not every file by its own name
+    listed = images._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths()
+    assert listed.size() == 4
+
+
+def test_only_files_directly_below_the_folders(spark, tmp_path, monkeypatch):
+    good = ["D1/1.png", "D1/2.jpg", "D1/labels/1.txt", "Dx y/é.png"]
+    for name in [*good, "D1/3.gif", "D1/4.txt", "D1/labels/5.png", "D1/D2/6.png", "D1/D2/labels/7.txt", "E1/8.png", "x/D1/9.png", "D.png", "D1/labels/x/1.txt", "D1/_h.png"]:
+        (tmp_path / "D9" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "D9" / name).write_bytes(b"x")
+    (tmp_path / "D9/D1/empty.png").write_bytes(b"")
+    for root in (f"{tmp_path}/D9", f"file:{tmp_path}/D9/", f"file://{tmp_path}/D9"):
+        images, labels = S.scan_split_images(spark, root)
+        found = [r.path for df in (images, labels) for r in df.collect()]
+        assert sorted(p.split("/D9/")[-1] for p in found) == sorted(good) and all(p.startswith("file:/") for p in found)
