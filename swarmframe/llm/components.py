@@ -2,8 +2,8 @@
 
 Each round hangs the neighbours of a node on the smallest one (first the larger neighbours, then the smaller ones), so
 paths halve and the edges end as stars around the smallest node of each component. A round is a few joins and
-aggregates over edges; nothing is collected but two numbers that tell whether the round changed anything. The edges of
-each round go to the checkpoint folder.
+aggregates over edges; nothing is collected but one number that tells whether all edges are such stars, so edges that
+already are cost no round. The edges of each round go to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from .common import settled
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one smaller node, on which nothing but nodes hang: then that is its component's least."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    most = ends.groupBy("x").agg((F.sum("below") + F.max("above")).alias("n")).agg(F.max("n")).first()[0]
+    return most is None or most <= 1
 
 
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
@@ -27,13 +31,11 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = settle
     themselves are not listed. ``keep`` computes the edges of a round once and may drop those of the round before.
     """
     edges = keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before, now = None, _signature(edges)
-    while now != before and now[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         larger = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, now = now, _signature(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

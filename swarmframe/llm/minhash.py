@@ -36,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from swarmframe.plans.once import stored
 
@@ -345,7 +344,7 @@ class _Rounds:
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("root")), "cid", "left").select(
+    return members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "nr", "many", "cid", F.coalesce("root", "cid").alias("component"))
 
 
@@ -398,45 +397,42 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = stored(texts.mapInArrow(_checked_texts(words, checks), _TEXTS), "minhash-texts")
     signatures, texts = texts.drop("text"), texts.select("cid", "text")
 
-    # the label of a class orders by id, so that a root names its component
-    labels = classes.select("cid", F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "cid").alias("label"))
+    def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """Classes and the least class of their component: ``roots``, which are stars already, with new links."""
+        return components(roots.toDF("a", "b").unionByName(links.select("a", "b")), keep=_Rounds(spark))
 
-    def contracted(checked: DataFrame) -> DataFrame:
-        linked = checked.where("linked").select("a", "b")
-        named = linked.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("label_a")), "a").join(
-            labels.select(F.col("cid").alias("b"), F.col("label").alias("label_b")), "b")
-        return components(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), keep=_Rounds(spark))
-
-    def verified(pairs: DataFrame, checked: DataFrame) -> tuple[DataFrame, bool]:
-        """``checked`` with new pairs, and whether these hold a link."""
-        new = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    def verified(pairs: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``checked`` with new pairs, and the links that these hold. New pairs are written first, as verifying reads them several times."""
+        new = stored(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "minhash-new")
         now = stored(verify_pairs(new, texts, words, percent), "minhash-checked")
-        return checked.unionByName(now), not now.where("linked").isEmpty()
+        return checked.unionByName(now), now.where("linked")
 
     checked = spark.createDataFrame([], "a long, b long, linked boolean")
-    label = labels.schema["label"].dataType
-    roots = spark.createDataFrame([], StructType([StructField("node", label), StructField("root", label)]))
+    roots = spark.createDataFrame([], "node long, root long")
     for first, last in ((0, 1), (1, 4), (4, bands)):  # few buckets first: what they join need not be compared in the others
         stars = _stars(_labelled(members.where(F.col("nr").between(first, last - 1)), roots))
         stars = stars.join(signatures.select(F.col("cid").alias("a"), F.col("signature").alias("sig_a")), "a").join(
             signatures.select(F.col("cid").alias("b"), F.col("signature").alias("sig_b")), "b")
         pairs = shipped(stars.select("a", "b", "sig_a", "sig_b")).mapInArrow(_likely_pairs(threshold, miss), "a long, b long")
-        checked, linked = verified(pairs, checked)
-        if linked:
-            roots = contracted(checked)
+        checked, links = verified(pairs, checked)
+        if not links.isEmpty():
+            roots = contracted(roots, links)
 
     while True:
         parts = shipped(_units(_labelled(members, roots), signatures, unit)).mapInArrow(
             _unit_pairs(threshold, miss, share, bands, percent), "a long, b long, more boolean")
         parts = stored(parts.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-pairs")
-        checked, linked = verified(parts.select("a", "b"), checked)
-        if linked:
-            roots = contracted(checked)
+        checked, links = verified(parts.select("a", "b"), checked)
+        if not links.isEmpty():
+            roots = contracted(roots, links)
         if parts.where("more").isEmpty():
             break
         share *= 16
 
-    named = classes.join(roots.select(F.col("node.cid").alias("cid"), F.col("root.first_id").alias("root_id")), "cid", "left").select(
+    # a component is named by the least id of its classes, which its root need not have
+    of_roots = roots.toDF("cid", "root").unionByName(roots.select(F.col("root").alias("cid"), "root").distinct())
+    names = of_roots.join(classes.select("cid", "first_id"), "cid").groupBy("root").agg(F.min("first_id").alias("root_id"))
+    named = classes.join(of_roots.join(names, "root").select("cid", "root_id"), "cid", "left").select(
         *same_set, F.coalesce("root_id", "first_id").alias("component_id"))
     joined = found.select("doc_id", *same_set).join(named, same_set, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from swarmframe.llm.common import settled
 from swarmframe.llm.components import components
 from swarmframe.llm.exact_dedup import FuseFilter, exact_duplicates
 from swarmframe.llm.line_dedup import drop_shared_lines, shared_lines
@@ -107,6 +108,20 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def test_edges_that_are_stars_cost_no_round(spark):
+    kept = []
+
+    def keep(df):
+        kept.append(settled(df))
+        return kept[-1]
+
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 40)] + [(51, 50), (52, 50), (50, 52)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(stars, keep=keep).collect()} == {(i, 0) for i in range(1, 40)} | {(51, 50), (52, 50)}
+    assert len(kept) == 1
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(path, keep=keep).collect()} == {(2, 1), (3, 1)}
+
+
 WORDS = " ".join(f"word{i}" for i in range(200))
 DOCS = [(7, WORDS), (3, WORDS.upper()), (9, WORDS.replace("word7 ", "other ")), (4, "short one"), (5, ""), (6, None), (8, "short one"), (8, "short one"),
         (None, "without id"), (None, "without id too")]

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from swarmframe.llm import minhash
 from swarmframe.llm.minhash import Hasher, closest, first_bands, least_matches, likely, near_duplicate_groups, possible, shingle_set, unit_survivors
+from swarmframe.plans.once import stored
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -149,3 +151,21 @@ def test_small_sets_rule_out_no_link():
     may = possible(pairs, n, packed, 60)
     links = np.array([100 * len(set(whole[i]) & set(whole[j])) >= 60 * len(set(whole[i]) | set(whole[j])) for i, j, _ in pairs])
     assert not (links & ~may).any() and may.sum() < 0.7 * len(pairs) and links.any()
+
+
+def test_verifying_plans_stay_small_and_roots_need_not_have_the_least_id(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash, "stored", kept)
+    rng = random.Random(11)
+    words = [rng.choice(WORDS) for _ in range(120)]
+    # the least id comes last, so it is not the one of the class that is written first
+    rows = [(100 - k, " ".join([*words[:100 + 2 * k], f"only{k}"])) for k in range(8)] + [(None, " ".join(words[:99])), (7, "alone in here")]
+    rows += [(300 + k, " ".join(rng.choice(WORDS) for _ in range(50))) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert result(near_duplicate_groups(docs, words=4)) == brute(rows, 4, 80)
+    assert max(plans["minhash-checked"]) < 20
